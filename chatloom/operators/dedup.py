@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import canonical_text
@@ -19,3 +19,166 @@ def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
     cols = [c for c in samples.columns]
     winner = F.min_by(F.struct(*cols), F.col("ord"))
     return samples.groupBy(key.alias("_k")).agg(winner.alias("_w")).select("_w.*")
+
+
+# ---------------------------------------------------------------------------
+# Near duplicates
+# ---------------------------------------------------------------------------
+
+def token_sets(df: DataFrame, text=None) -> DataFrame:
+    """``(ord, tokens, n_tokens)``: distinct lower-cased whitespace tokens.
+
+    ``text`` defaults to the canonical sample text of ``messages``.
+    """
+    from chatloom.functions import tokens
+
+    src = text if text is not None else canonical_text("messages")
+    return df.select("ord", tokens(src).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("bigint"))
+
+
+def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Group identical non-empty token sets; the lowest ``ord`` represents each group.
+
+    Returns ``(reps(rep, tokens, n_tokens), members(ord, rep))``. Copies of a set always
+    lose to its first member under keep-first, so only representatives take part in the
+    similarity join. Partial aggregation keeps a hot group of copies from reaching a
+    single task. Empty sets are never duplicates and stay their own representatives.
+    """
+    key = F.when(F.col("n_tokens") > 0, F.sha2(F.array_join(F.array_sort("tokens"), "\x00"), 256)).otherwise(
+        F.concat(F.lit("empty:"), F.col("ord").cast("string")))
+    keyed = sets.withColumn("_k", key)
+    reps = keyed.groupBy("_k").agg(
+        F.min("ord").alias("rep"), F.min_by("tokens", "ord").alias("tokens"), F.min_by("n_tokens", "ord").alias("n_tokens"))
+    members = keyed.select("ord", "_k").join(reps.select("_k", "rep"), "_k").select("ord", "rep")
+    return reps.drop("_k"), members
+
+
+def _prefix_len(n: F.Column, threshold: float) -> F.Column:
+    # prefix of n - ceil(t*n) + 1 tokens; the epsilon guards float error at exact products
+    return n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1
+
+
+def prefix_candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs ``(a, b)``, a < b, from the prefix filter over global token frequency.
+
+    Every pair with Jaccard ≥ t shares a token among the first ``n - ceil(t n) + 1`` tokens
+    of both sets when tokens are ordered by (frequency, token). Frequent tokens sit at the
+    end of that order, so they enter prefixes only of sets made of frequent tokens.
+    """
+    occ = reps.where(F.col("n_tokens") > 0).select("rep", "n_tokens", F.explode("tokens").alias("tok"))
+    freq = occ.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
+    ranked = occ.join(freq, "tok")
+    w = Window.partitionBy("rep").orderBy("freq", "tok")
+    prefix = (ranked.withColumn("_i", F.row_number().over(w))
+              .where(F.col("_i") <= _prefix_len(F.col("n_tokens"), threshold))
+              .select("rep", "n_tokens", "tok"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    cond = [
+        F.col("a.tok") == F.col("b.tok"),
+        F.col("a.rep") < F.col("b.rep"),
+        # size filter: J ≥ t needs min(na, nb) ≥ t · max(na, nb)
+        F.least("a.n_tokens", "b.n_tokens") >= F.lit(threshold) * F.greatest("a.n_tokens", "b.n_tokens") - F.lit(1e-9),
+    ]
+    return a.join(b, cond).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+
+
+def verify_pairs(cands: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Exact Jaccard of candidate pairs; keeps those ≥ ``threshold`` → ``(a, b, jaccard)``."""
+    ta = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
+    tb = reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
+    j = cands.join(ta, "a").join(tb, "b")
+    inter = F.size(F.array_intersect("ta", "tb"))
+    jac = inter / (F.size("ta") + F.size("tb") - inter)
+    return j.select("a", "b", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(threshold))
+
+
+def lsh_candidates(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` whose MinHash signatures agree on at least one whole band (D3/D4 lsh)."""
+    from chatloom.operators.minhash import lsh_params, minhash_udf, token_hashes
+
+    b, r = bands or lsh_params(threshold, num_perm)
+    sig = reps.select("rep", minhash_udf(num_perm)(token_hashes(F.col("tokens"), F.col("rep"))).alias("sig"))
+    band_rows = sig.select(
+        "rep",
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.slice("sig", i * r + 1, r))).alias("band", "key"))
+    x, y = band_rows.alias("x"), band_rows.alias("y")
+    return (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+
+def minhash_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
+    from chatloom.operators.minhash import minhash_udf, token_hashes
+
+    return sets.select("ord", minhash_udf(num_perm)(token_hashes(F.col("tokens"), F.col("ord"))).alias("signature"))
+
+
+def near_dup_pairs(sets: DataFrame, threshold: float = 0.85, mode: str = "exact", verify: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Similar pairs over representatives → ``(pairs(a, b, jaccard), reps, members)``."""
+    reps, members = collapse_identical_sets(sets)
+    if mode == "exact":
+        pairs = verify_pairs(prefix_candidates(reps, threshold), reps, threshold)
+    elif mode == "lsh":
+        cands = lsh_candidates(reps, threshold)
+        pairs = verify_pairs(cands, reps, threshold) if verify else cands.withColumn("jaccard", F.lit(None).cast("double"))
+    else:
+        raise ValueError(f"unknown near-dup mode {mode!r}")
+    return pairs, reps, members
+
+
+def greedy_keep_first(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Nodes of the pair graph dropped by sequential keep-first → ``(x)``.
+
+    A node is dropped iff some *kept* lower neighbour exists. Rounds: a node whose lower
+    neighbours are all decided and none kept is kept; a node with a kept lower neighbour
+    is dropped. This equals the sequential scan because a node's fate depends only on
+    lower nodes. Each round is checkpointed (reliable, in the shared checkpoint folder).
+    """
+    from chatloom.session import checkpoint_root
+
+    spark = pairs.sparkSession
+    checkpoint_root(spark)
+    edges = pairs.select("a", "b").checkpoint()
+    nodes = edges.select(F.col("a").alias("x")).union(edges.select(F.col("b").alias("x"))).distinct()
+    # status: 0 undecided, 1 kept, 2 dropped
+    status = nodes.withColumn("s", F.lit(0)).checkpoint()
+    for _ in range(max_rounds):
+        low = (edges.join(status.withColumnRenamed("x", "a"), "a")
+               .groupBy(F.col("b").alias("x"))
+               .agg(F.max((F.col("s") == 1).cast("int")).alias("any_kept"),
+                    F.max((F.col("s") == 0).cast("int")).alias("any_open")))
+        nxt = (status.join(low, "x", "left")
+               .select("x", F.when(F.col("s") != 0, F.col("s"))
+                       .when(F.coalesce("any_kept", F.lit(0)) == 1, F.lit(2))
+                       .when(F.coalesce("any_open", F.lit(0)) == 0, F.lit(1))
+                       .otherwise(F.lit(0)).alias("s"))
+               .checkpoint())
+        status = nxt
+        if status.where(F.col("s") == 0).isEmpty():
+            return status.where(F.col("s") == 2).select("x")
+    raise RuntimeError(f"greedy keep-first did not settle within {max_rounds} rounds")
+
+
+def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text=None, verify: bool = True) -> DataFrame:
+    """Keep-first near-duplicate removal (D5): drop a row only when it is similar to an
+    earlier *kept* row. Rows come back with their columns; order key is ``ord``."""
+    if not (0.0 < threshold <= 1.0):
+        raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
+    sets = token_sets(df, text)
+    pairs, reps, members = near_dup_pairs(sets, threshold, mode, verify)
+    dropped = greedy_keep_first(pairs)
+    kept_reps = reps.select("rep").join(dropped.withColumnRenamed("x", "rep"), "rep", "left_anti")
+    kept_ords = members.where(F.col("ord") == F.col("rep")).join(kept_reps, "rep").select("ord")
+    return df.join(kept_ords, "ord", "left_semi")
+
+
+def dedup_and_filter(samples: DataFrame, similarity_threshold: float = 0.85, min_assistant_chars: int = 50,
+                     mode: str = "exact") -> DataFrame:
+    """Length filter, then near-duplicate removal (``mode='exact_text'`` = exact dedup only)."""
+    from chatloom.operators.validate import min_answer_filter
+
+    if not (0.0 < similarity_threshold <= 1.0):
+        raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {similarity_threshold!r}")
+    filtered = min_answer_filter(samples, min_assistant_chars)
+    if mode == "exact_text":
+        return exact_dedup(filtered)
+    return near_dedup(filtered, similarity_threshold, mode)

@@ -194,3 +194,102 @@ WITH t AS ({DOC_TURNS}),
 c AS (SELECT ord, {canon_md5('role', 'content', 'turn')} AS canon_md5,
              string_agg(role || chr(1) || content, chr(0) ORDER BY turn) AS canon FROM t GROUP BY ord)
 SELECT min(ord) AS ord, any_value(canon_md5) AS canon_md5 FROM c GROUP BY canon""")
+
+
+# ---------------------------------------------------------------------------
+# Near duplicates: token sets, identical-set collapse, all-pairs Jaccard, greedy scan
+# ---------------------------------------------------------------------------
+
+def _perm_values(num_perm: int = 128) -> str:
+    from chatloom.operators.minhash import perm_params
+
+    a, b = perm_params(num_perm)
+    return ", ".join(f"({i}, {int(a[i])}, {int(b[i])})" for i in range(num_perm))
+
+
+def token_ctes(docs_sql: str) -> str:
+    """``docs_sql`` yields (ord, text). Defines tl (token lists), toks, sizes, reps, members."""
+    return f"""
+docs AS ({docs_sql}),
+tl AS (SELECT ord, list_distinct(list_filter(regexp_split_to_array(lower(text), '{WS}'), lambda x: x <> '')) AS tl FROM docs),
+toks AS (SELECT ord, unnest(tl) AS tok FROM tl),
+sizes AS (SELECT ord, len(tl)::BIGINT AS n FROM tl),
+setkey AS (SELECT ord, CASE WHEN len(tl) = 0 THEN 'empty:' || ord ELSE md5(array_to_string(list_sort(tl), ' ')) END AS k FROM tl),
+reps AS (SELECT min(ord) AS rep FROM setkey GROUP BY k),
+rt AS (SELECT t.ord, t.tok FROM toks t SEMI JOIN reps r ON r.rep = t.ord)"""
+
+
+def greedy_ctes(pairs: str = "pairs") -> str:
+    return f"""
+gnodes AS (SELECT x, row_number() OVER (ORDER BY x) AS rn FROM (SELECT DISTINCT b AS x FROM {pairs})),
+rec(rn, dropped) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT o.rn, CASE WHEN EXISTS (SELECT 1 FROM {pairs} p WHERE p.b = o.x AND NOT list_contains(r.dropped, p.a))
+                    THEN list_append(r.dropped, o.x) ELSE r.dropped END
+  FROM rec r JOIN gnodes o ON o.rn = r.rn + 1),
+gdropped AS (SELECT unnest(dropped) AS x FROM rec WHERE rn = (SELECT coalesce(max(rn), 0) FROM gnodes)),
+gkept AS (SELECT rep AS ord FROM reps WHERE rep NOT IN (SELECT x FROM gdropped))"""
+
+
+def jaccard_pairs_cte(threshold: float = 0.85) -> str:
+    return f"""
+inter AS (SELECT a.ord AS a, b.ord AS b, count(*) AS i FROM rt a JOIN rt b ON a.tok = b.tok AND a.ord < b.ord GROUP BY ALL),
+pairs AS (
+  SELECT a, b, i / (sa.n + sb.n - i) AS jaccard FROM inter
+  JOIN sizes sa ON sa.ord = a JOIN sizes sb ON sb.ord = b
+  WHERE i / (sa.n + sb.n - i) >= {threshold})"""
+
+
+def minhash_ctes(num_perm: int = 128) -> str:
+    return f"""
+perm(i, a, b) AS (VALUES {_perm_values(num_perm)}),
+htl AS (SELECT ord, CASE WHEN len(tl) = 0 THEN ['__empty__' || ord] ELSE tl END AS tl FROM tl),
+hh AS (SELECT ord, ('0x' || substr(md5(unnest(tl)), 1, 8))::BIGINT % 2147483647 AS h FROM htl),
+mh AS (SELECT hh.ord, p.i, min((p.a * hh.h + p.b) % 2147483647) AS m FROM hh CROSS JOIN perm p GROUP BY ALL)"""
+
+
+DOC_TEXT = "SELECT doc_id AS ord, text FROM documents"
+DOC_CANON = ("SELECT doc_id AS ord, 'user' || chr(1) || source || chr(0) || 'assistant' || chr(1) || text AS text "
+             "FROM documents WHERE length(text) >= 50")
+
+ORACLES["token_sets"] = q(f"""
+WITH {token_ctes(DOC_TEXT)}
+SELECT ord, len(tl)::BIGINT AS n_tokens, md5(array_to_string(list_sort(tl), ' ')) AS tokens_md5 FROM tl""")
+
+ORACLES["identical_sets"] = q(f"""
+WITH {token_ctes(DOC_TEXT)}
+SELECT s.ord, min(s2.ord)::BIGINT AS rep FROM setkey s JOIN setkey s2 ON s2.k = s.k GROUP BY s.ord""")
+
+ORACLES["minhash_signatures"] = q(f"""
+WITH {token_ctes(DOC_TEXT)}, {minhash_ctes()}
+SELECT ord, md5(string_agg(m::VARCHAR, ',' ORDER BY i)) AS sig_md5 FROM mh GROUP BY ord""")
+
+ORACLES["near_dup_pairs"] = q(f"""
+WITH {token_ctes(DOC_TEXT)}, {jaccard_pairs_cte()}
+SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs""")
+
+ORACLES["near_dedup"] = q(f"""
+WITH RECURSIVE {token_ctes(DOC_TEXT)}, {jaccard_pairs_cte()}, {greedy_ctes()}
+SELECT ord FROM gkept""")
+
+ORACLES["dedup_and_filter"] = q(f"""
+WITH RECURSIVE {token_ctes(DOC_CANON)}, {jaccard_pairs_cte()}, {greedy_ctes()}
+SELECT ord FROM gkept""")
+
+
+def _lsh_pairs_cte(bands: int = 8, rows: int = 16) -> str:
+    return f"""
+bandkey AS (SELECT mh.ord, mh.i // {rows} AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS key
+            FROM mh SEMI JOIN reps r ON r.rep = mh.ord WHERE mh.i < {bands * rows} GROUP BY ALL),
+pairs AS (SELECT DISTINCT x.ord AS a, y.ord AS b FROM bandkey x JOIN bandkey y
+          ON x.band = y.band AND x.key = y.key AND x.ord < y.ord)"""
+
+
+ORACLES["lsh_candidates"] = q(f"""
+WITH {token_ctes(DOC_TEXT)}, {minhash_ctes()}, {_lsh_pairs_cte()}
+SELECT a, b FROM pairs""")
+
+ORACLES["near_dedup_lsh"] = q(f"""
+WITH RECURSIVE {token_ctes(DOC_TEXT)}, {minhash_ctes()}, {_lsh_pairs_cte()}, {greedy_ctes()}
+SELECT ord FROM gkept""")

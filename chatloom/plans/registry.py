@@ -105,3 +105,57 @@ def q_train_eval_split(spark, sf):
 def q_exact_dedup(spark, sf):
     kept = dedup.exact_dedup(derived.document_samples(spark, sf))
     return kept.select("ord", F.md5(canonical_text("messages")).alias("canon_md5"))
+
+
+# --- near duplicates (D2-D6) ------------------------------------------------
+
+def _doc_sets(spark, sf):
+    d = derived.document_texts(spark, sf)
+    return dedup.token_sets(d, F.col("text"))
+
+
+@query("token_sets")
+def q_token_sets(spark, sf):
+    s = _doc_sets(spark, sf)
+    return s.select("ord", "n_tokens", F.md5(F.array_join(F.array_sort("tokens"), " ")).alias("tokens_md5"))
+
+
+@query("identical_sets")
+def q_identical_sets(spark, sf):
+    _, members = dedup.collapse_identical_sets(_doc_sets(spark, sf))
+    return members.select("ord", F.col("rep").cast("bigint").alias("rep"))
+
+
+@query("minhash_signatures")
+def q_minhash_signatures(spark, sf):
+    sig = dedup.minhash_signatures(_doc_sets(spark, sf))
+    return sig.select("ord", F.md5(F.array_join("signature", ",")).alias("sig_md5"))
+
+
+@query("near_dup_pairs")
+def q_near_dup_pairs(spark, sf):
+    pairs, _, _ = dedup.near_dup_pairs(_doc_sets(spark, sf), 0.85, "exact")
+    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("lsh_candidates")
+def q_lsh_candidates(spark, sf):
+    reps, _ = dedup.collapse_identical_sets(_doc_sets(spark, sf))
+    return dedup.lsh_candidates(reps, 0.85)
+
+
+@query("near_dedup")
+def q_near_dedup(spark, sf):
+    d = derived.document_texts(spark, sf)
+    return dedup.near_dedup(d, 0.85, "exact", text=F.col("text")).select("ord")
+
+
+@query("near_dedup_lsh")
+def q_near_dedup_lsh(spark, sf):
+    d = derived.document_texts(spark, sf)
+    return dedup.near_dedup(d, 0.85, "lsh", text=F.col("text"), verify=False).select("ord")
+
+
+@query("dedup_and_filter")
+def q_dedup_and_filter(spark, sf):
+    return dedup.dedup_and_filter(derived.document_samples(spark, sf)).select("ord")
