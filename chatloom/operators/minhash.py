@@ -34,6 +34,13 @@ def token_hashes(tokens: Column, ord_col: Column) -> Column:
 
 
 def minhash_udf(num_perm: int = 128, seed: int = PERM_SEED):
+    from pyspark.sql import SparkSession
+
+    from chatloom.session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     a, b = perm_params(num_perm, seed)
     a_col, b_col = a[:, None], b[:, None]
 

@@ -293,3 +293,114 @@ SELECT a, b FROM pairs""")
 ORACLES["near_dedup_lsh"] = q(f"""
 WITH RECURSIVE {token_ctes(DOC_TEXT)}, {minhash_ctes()}, {_lsh_pairs_cte()}, {greedy_ctes()}
 SELECT ord FROM gkept""")
+
+
+# ---------------------------------------------------------------------------
+# Replies: expected outcomes straight from the conversations and the damage rules
+# ---------------------------------------------------------------------------
+
+def _json_str(x: str) -> str:
+    return f"replace({x}, chr(10), '\\n')"
+
+
+REPLY_CTES = f"""
+rt AS (SELECT conv_id AS c, turn, role, text FROM conversations),
+conv AS (SELECT DISTINCT c FROM rt),
+att AS (
+  SELECT c AS batch_id, 1 AS attempt, 'call_failed' AS kind FROM conv WHERE c % 13 = 12
+  UNION ALL SELECT c, 1, 'no_json' FROM conv WHERE c % 13 <> 12 AND c % 5 = 4
+  UNION ALL SELECT c, 2, CASE WHEN c % 3 = 0 THEN 'non_object' ELSE 'damaged' END FROM conv WHERE c % 13 <> 12 AND c % 5 = 4
+  UNION ALL SELECT c, 1, 'damaged' FROM conv WHERE c % 13 <> 12 AND c % 5 <> 4),
+astat AS (
+  SELECT batch_id, attempt, kind,
+    CASE kind WHEN 'call_failed' THEN 'call_failed' WHEN 'no_json' THEN 'no_array' WHEN 'non_object' THEN 'non_object_items'
+              ELSE CASE WHEN batch_id % 8 = 6 THEN 'salvaged' ELSE 'ok' END END AS status
+  FROM att),
+orig AS (
+  SELECT c, count(*)::BIGINT AS n,
+    md5(string_agg(role || chr(1) || text, chr(0) ORDER BY turn)) AS m,
+    md5(string_agg(role || chr(1) || '\\p' || text, chr(0) ORDER BY turn)) AS m7,
+    '{{"messages":[' || string_agg('{{"role":"' || role || '","content":"' || {_json_str('text')} || '"}}', ',' ORDER BY turn) || ']}}' AS sj,
+    '[' || string_agg('{{"role":"' || role || '","content":"' || {_json_str('text')} || '"}}', ',' ORDER BY turn) || ']' AS flat
+  FROM rt GROUP BY c),
+fl AS (
+  SELECT c, turn, role, text, lag(role) OVER w AS prev, lead(role) OVER w AS nxt, lead(text) OVER w AS ntext
+  FROM rt WHERE c % 8 = 4 WINDOW w AS (PARTITION BY c ORDER BY turn)),
+grp AS (
+  SELECT c, turn AS start,
+    CASE WHEN role = 'user' AND nxt = 'assistant' THEN 2 ELSE 1 END::BIGINT AS n_messages,
+    md5(CASE WHEN role = 'user' AND nxt = 'assistant' THEN role || chr(1) || text || chr(0) || nxt || chr(1) || ntext
+             ELSE role || chr(1) || text END) AS canon_md5
+  FROM fl WHERE role = 'user' OR (role = 'assistant' AND coalesce(prev, '') <> 'user')),
+wrapped AS (SELECT c, (row_number() OVER (PARTITION BY c ORDER BY start) - 1)::INTEGER AS pos, n_messages, canon_md5 FROM grp),
+items AS (
+  SELECT a.batch_id, a.attempt, 0 AS pos, o.n AS n_messages,
+         CASE WHEN a.batch_id % 8 = 7 THEN o.m7 ELSE o.m END AS canon_md5, true AS valid
+  FROM att a JOIN orig o ON o.c = a.batch_id WHERE a.kind = 'damaged' AND a.batch_id % 8 <> 4
+  UNION ALL
+  SELECT a.batch_id, a.attempt, 1, 0::BIGINT, '', false
+  FROM att a WHERE a.kind = 'damaged' AND a.batch_id % 8 = 0 AND a.batch_id % 3 = 0
+  UNION ALL
+  SELECT a.batch_id, a.attempt, w.pos, w.n_messages, w.canon_md5, true
+  FROM att a JOIN wrapped w ON w.c = a.batch_id WHERE a.kind = 'damaged'),
+merged AS (
+  SELECT c AS batch_id,
+    coalesce((SELECT min(s.attempt) FROM astat s WHERE s.batch_id = conv.c AND s.status IN ('ok', 'salvaged')
+              AND NOT EXISTS (SELECT 1 FROM astat f WHERE f.batch_id = conv.c AND f.status = 'call_failed')), -1)::INTEGER AS used_attempt
+  FROM conv),
+acct AS (
+  SELECT m.batch_id, count(i.pos)::BIGINT AS n_items, count(i.pos) FILTER (WHERE i.valid)::BIGINT AS n_valid
+  FROM merged m LEFT JOIN items i ON i.batch_id = m.batch_id AND i.attempt = m.used_attempt GROUP BY m.batch_id)"""
+
+ORACLES["reply_parse"] = q(f"""
+WITH {REPLY_CTES}
+SELECT s.batch_id, s.attempt::INTEGER AS attempt, s.status,
+       (SELECT count(*) FROM items i WHERE i.batch_id = s.batch_id AND i.attempt = s.attempt)::BIGINT AS n_items
+FROM astat s""")
+
+ORACLES["reply_wrap_flat"] = q(f"""
+WITH {REPLY_CTES}
+SELECT batch_id, attempt::INTEGER AS attempt, pos::INTEGER AS pos, n_messages, canon_md5, valid FROM items""")
+
+ORACLES["reply_salvage"] = q(f"""
+WITH {REPLY_CTES}
+SELECT i.batch_id, i.attempt::INTEGER AS attempt, i.pos::INTEGER AS pos, i.canon_md5
+FROM items i JOIN astat s ON s.batch_id = i.batch_id AND s.attempt = i.attempt WHERE s.status = 'salvaged'""")
+
+ORACLES["reply_clean"] = q(f"""
+WITH {REPLY_CTES},
+arr AS (SELECT c, '[' || sj || CASE WHEN c % 8 = 0 AND c % 3 = 0 THEN ',{{"messages":[{{"role":"user","content":5}}]}}' ELSE '' END || ']' AS arr,
+               flat FROM orig)
+SELECT a.batch_id, a.attempt::INTEGER AS attempt,
+  md5(CASE a.kind WHEN 'call_failed' THEN '' WHEN 'no_json' THEN '' WHEN 'non_object' THEN '[1, 2]'
+    ELSE CASE a.batch_id % 8
+      WHEN 2 THEN x.arr || chr(10) || 'Hope this helps!'
+      WHEN 4 THEN x.flat
+      WHEN 5 THEN '[ ' || chr(10) || substr(x.arr, 2)
+      WHEN 6 THEN substr(x.arr, 1, length(x.arr) - 1) || ',{{"messages":[{{"role":"user","content":"cut off'
+      WHEN 7 THEN replace(x.arr, '"content":"', '"content":"\\\\p')
+      ELSE x.arr END END) AS cleaned_md5
+FROM att a JOIN arr x ON x.c = a.batch_id""")
+
+ORACLES["reply_retry_merge"] = q(f"""
+WITH {REPLY_CTES}
+SELECT batch_id, used_attempt, CASE WHEN used_attempt > 0 THEN 'ok' ELSE 'failed' END AS status FROM merged""")
+
+ORACLES["batch_accounting"] = q(f"""
+WITH {REPLY_CTES}
+SELECT batch_id, n_items, n_valid, n_items - n_valid AS n_dropped FROM acct""")
+
+ORACLES["first_n_samples"] = q(f"""
+WITH {REPLY_CTES}
+SELECT i.batch_id, i.pos::INTEGER AS pos, i.canon_md5
+FROM items i JOIN merged m ON m.batch_id = i.batch_id AND m.used_attempt = i.attempt
+WHERE i.valid ORDER BY i.batch_id, i.pos LIMIT 60""")
+
+ORACLES["stall_runs"] = q(f"""
+WITH {REPLY_CTES},
+tb AS (SELECT 'topic-' || (batch_id % 4) AS topic, batch_id, n_valid = 0 AS empty FROM acct),
+isl AS (SELECT topic, batch_id, empty,
+          row_number() OVER (PARTITION BY topic ORDER BY batch_id) - row_number() OVER (PARTITION BY topic, empty ORDER BY batch_id) AS island
+        FROM tb)
+SELECT topic, min(batch_id) AS run_start, max(batch_id) AS run_end, count(*)::BIGINT AS run_len, count(*) >= 5 AS stalled
+FROM isl WHERE empty GROUP BY topic, island""")

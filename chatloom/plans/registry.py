@@ -159,3 +159,69 @@ def q_near_dedup_lsh(spark, sf):
 @query("dedup_and_filter")
 def q_dedup_and_filter(spark, sf):
     return dedup.dedup_and_filter(derived.document_samples(spark, sf)).select("ord")
+
+
+# --- replies (E1-E7) -----------------------------------------------------------
+
+from chatloom.operators import replies as rp  # noqa: E402
+
+
+def _parsed(spark, sf):
+    return rp.parse_replies(derived.replies(spark, sf))
+
+
+def _item_digest(items: DataFrame, keys) -> DataFrame:
+    return items.select(*keys, F.col("pos").cast("int").alias("pos"),
+                        F.coalesce(F.size("messages"), F.lit(0)).cast("bigint").alias("n_messages"),
+                        F.coalesce(F.md5(canonical_text("messages")), F.lit("")).alias("canon_md5"), "valid")
+
+
+@query("reply_clean")
+def q_reply_clean(spark, sf):
+    r = derived.replies(spark, sf)
+    _, repaired = rp.clean_reply(F.col("reply"))
+    return r.select("batch_id", F.col("attempt").cast("int").alias("attempt"),
+                    F.md5(F.coalesce(repaired, F.lit(""))).alias("cleaned_md5"))
+
+
+@query("reply_parse")
+def q_reply_parse(spark, sf):
+    p = _parsed(spark, sf)
+    return p.select("batch_id", F.col("attempt").cast("int").alias("attempt"), "status",
+                    F.size("items").cast("bigint").alias("n_items"))
+
+
+@query("reply_wrap_flat")
+def q_reply_wrap_flat(spark, sf):
+    items = rp.explode_items(_parsed(spark, sf))
+    return _item_digest(items, ["batch_id", F.col("attempt").cast("int").alias("attempt")])
+
+
+@query("reply_salvage")
+def q_reply_salvage(spark, sf):
+    p = _parsed(spark, sf).where(F.col("status") == "salvaged")
+    return _item_digest(rp.explode_items(p), ["batch_id", F.col("attempt").cast("int").alias("attempt")]).drop(
+        "n_messages", "valid")
+
+
+@query("reply_retry_merge")
+def q_reply_retry_merge(spark, sf):
+    return rp.retry_merge(_parsed(spark, sf)).select("batch_id", "used_attempt", "status")
+
+
+@query("batch_accounting")
+def q_batch_accounting(spark, sf):
+    return rp.batch_accounting(rp.retry_merge(_parsed(spark, sf)))
+
+
+@query("first_n_samples")
+def q_first_n_samples(spark, sf):
+    first = rp.first_n_samples(rp.retry_merge(_parsed(spark, sf)), 60)
+    return first.select("batch_id", F.col("pos").cast("int").alias("pos"), F.md5(canonical_text("messages")).alias("canon_md5"))
+
+
+@query("stall_runs")
+def q_stall_runs(spark, sf):
+    acct = rp.batch_accounting(rp.retry_merge(_parsed(spark, sf)))
+    acct = acct.withColumn("topic", F.concat(F.lit("topic-"), (F.col("batch_id") % 4).cast("string")))
+    return rp.stall_runs(acct).select("topic", "run_start", "run_end", F.col("run_len").cast("bigint").alias("run_len"), "stalled")

@@ -52,3 +52,45 @@ def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(ord, text)`` from ``documents`` for text-only dedup and chunking."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+
+
+# ---------------------------------------------------------------------------
+# Stored replies: one generation batch per conversation, damaged by conv_id % 8
+# ---------------------------------------------------------------------------
+
+BAD_ITEM = '{"messages":[{"role":"user","content":5}]}'
+NO_JSON_REPLY = "I could not produce the JSON, sorry."
+NON_OBJECT_REPLY = "[1, 2]"
+TRUNCATED_TAIL = ',{"messages":[{"role":"user","content":"cut off'
+
+
+def damaged_reply(conv_id: F.Column, messages: F.Column) -> F.Column:
+    sample = F.to_json(F.struct(messages.alias("messages")))
+    cls = conv_id % 8
+    arr = F.concat(F.lit("["), sample, F.when((cls == 0) & (conv_id % 3 == 0), F.lit("," + BAD_ITEM)).otherwise(F.lit("")), F.lit("]"))
+    n = F.length(arr)
+    return (F.when(cls == 1, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
+            .when(cls == 2, F.concat(F.lit("Here are the examples:\n"), arr, F.lit("\nHope this helps!")))
+            .when(cls == 3, F.concat(arr.substr(F.lit(1), n - 4), F.lit("},]},,]")))
+            .when(cls == 4, F.to_json(messages))
+            .when(cls == 5, F.concat(F.lit("[ // batch of samples\n"), arr.substr(F.lit(2), n)))
+            .when(cls == 6, F.concat(arr.substr(F.lit(1), n - 1), F.lit(TRUNCATED_TAIL)))
+            .when(cls == 7, F.replace(arr, F.lit('"content":"'), F.lit('"content":"\\p')))
+            .otherwise(arr))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(topic, batch_id, attempt, reply)``; NULL reply = failed call (never retried)."""
+    s = samples(spark, sf_dir)
+    c = F.col("ord")
+    dmg = damaged_reply(c, F.col("messages"))
+    first = F.struct(F.lit(1).alias("attempt"), dmg.alias("reply"))
+    failed_call = F.array(F.struct(F.lit(1).alias("attempt"), F.lit(None).cast("string").alias("reply")))
+    retry = F.array(
+        F.struct(F.lit(1).alias("attempt"), F.lit(NO_JSON_REPLY).alias("reply")),
+        F.struct(F.lit(2).alias("attempt"), F.when(c % 3 == 0, F.lit(NON_OBJECT_REPLY)).otherwise(dmg).alias("reply")),
+    )
+    attempts = F.when(c % 13 == 12, failed_call).when(c % 5 == 4, retry).otherwise(F.array(first))
+    return s.select(
+        F.concat(F.lit("topic-"), (c % 4).cast("string")).alias("topic"), c.alias("batch_id"),
+        F.explode(attempts).alias("a")).select("topic", "batch_id", "a.attempt", "a.reply")
