@@ -404,3 +404,176 @@ isl AS (SELECT topic, batch_id, empty,
         FROM tb)
 SELECT topic, min(batch_id) AS run_start, max(batch_id) AS run_end, count(*)::BIGINT AS run_len, count(*) >= 5 AS stalled
 FROM isl WHERE empty GROUP BY topic, island""")
+
+
+# ---------------------------------------------------------------------------
+# Chunking (recursive over paragraph lengths), requests, judge
+# ---------------------------------------------------------------------------
+
+def fill_sql(template: str, **exprs: str) -> str:
+    """SQL concatenation for a ``str.format`` template; literals quoted, fields as SQL."""
+    import string
+
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append("'" + literal.replace("'", "''") + "'")
+        if field is not None:
+            parts.append(f"CAST({exprs[field]} AS VARCHAR)")
+    return "(" + " || ".join(parts) + ")"
+
+
+def chunk_ctes(docs_sql: str, c: int = 3000) -> str:
+    """``docs_sql`` yields (doc_id, text); defines ``chunks(doc_id, chunk_idx, n_chunks, chunk)``."""
+    sep = "chr(10) || chr(10)"
+    return f"""
+cd AS ({docs_sql}),
+cp AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, {sep}), lambda x: {strip_sql('x')}), lambda x: x <> '') AS ps FROM cd),
+prl AS (SELECT doc_id, i, p, length(p)::BIGINT AS l FROM (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM cp)),
+cr(doc_id, i, k, op, cur_no, clen, assign_no, big) AS (
+  SELECT doc_id, 0, 0::BIGINT, false, -1::BIGINT, 0::BIGINT, -1::BIGINT, false FROM cp
+  UNION ALL
+  SELECT r.doc_id, r.i + 1,
+    CASE WHEN x.l > {c} THEN r.k + ceil(x.l / {c})::BIGINT WHEN r.clen + x.l > {c} AND r.op THEN r.k + 1
+         WHEN r.op THEN r.k ELSE r.k + 1 END,
+    x.l <= {c},
+    CASE WHEN x.l > {c} THEN -1 WHEN r.clen + x.l > {c} AND r.op THEN r.k WHEN r.op THEN r.cur_no ELSE r.k END,
+    CASE WHEN x.l > {c} THEN 0 WHEN r.clen + x.l > {c} AND r.op THEN x.l WHEN r.op THEN r.clen + x.l ELSE x.l END,
+    CASE WHEN x.l > {c} THEN r.k WHEN r.clen + x.l > {c} AND r.op THEN r.k WHEN r.op THEN r.cur_no ELSE r.k END,
+    x.l > {c}
+  FROM cr r JOIN prl x ON x.doc_id = r.doc_id AND x.i = r.i + 1),
+asg AS (SELECT r.doc_id, r.i, r.assign_no, r.big, x.p, x.l FROM cr r JOIN prl x ON x.doc_id = r.doc_id AND x.i = r.i),
+cparts AS (
+  SELECT doc_id, assign_no AS chunk_no, string_agg(p, {sep} ORDER BY i) AS chunk FROM asg WHERE NOT big GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, assign_no + j AS chunk_no, substr(p, (j * {c} + 1)::BIGINT, {c}) AS chunk
+  FROM (SELECT doc_id, assign_no, p, unnest(range(0, ceil(l / {c})::BIGINT)) AS j FROM asg WHERE big)
+  UNION ALL
+  SELECT doc_id, 0, substr(text, 1, {c}) FROM cp WHERE len(ps) = 0),
+chunks AS (SELECT doc_id, chunk_no::INTEGER AS chunk_idx, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS n_chunks, chunk FROM cparts)"""
+
+
+DOCS_RAW = "SELECT doc_id, text FROM documents"
+DOCS_PARAS = "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents"
+
+ORACLES["chunk_text"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)}
+SELECT doc_id, chunk_idx, n_chunks, length(chunk)::BIGINT AS chunk_len, md5(chunk) AS chunk_md5 FROM chunks""")
+
+ORACLES["chunk_text_paragraphs"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_PARAS)}
+SELECT doc_id, chunk_idx, n_chunks, length(chunk)::BIGINT AS chunk_len, md5(chunk) AS chunk_md5 FROM chunks""")
+
+
+def _structure_requests_sql() -> str:
+    from chatloom.operators.prompts import EXTRACT_USER
+
+    per = "greatest(1, 50 // n_chunks)"
+    return f"""
+sreq AS (SELECT doc_id, chunk_idx, n_chunks, {per}::INTEGER AS per_chunk, greatest(2048, {per} * 300)::INTEGER AS max_tokens,
+                {fill_sql(EXTRACT_USER, n=per, chunk='chunk')} AS prompt, chunk FROM chunks)"""
+
+
+ORACLES["structure_requests"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)}, {_structure_requests_sql()}
+SELECT doc_id, chunk_idx, per_chunk, max_tokens, md5(prompt) AS prompt_md5, length(prompt)::BIGINT AS prompt_len FROM sreq""")
+
+ORACLES["inference_hook"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)}
+SELECT doc_id, chunk_idx, true AS replied FROM chunks""")
+
+ORACLES["structure_collect"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)},
+ok AS (SELECT doc_id, chunk_idx, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn
+       FROM chunks WHERE length(chunk) >= 200)
+SELECT doc_id, chunk_idx, 0 AS pos,
+  md5('user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || substr(chunk, 1, 200)) AS canon_md5
+FROM ok WHERE rn <= 50""")
+
+
+def _generation_sql() -> str:
+    from chatloom.operators.prompts import GENERATE_USER
+
+    return f"""
+tp AS (SELECT source || '/' || lang AS topic, count(*) AS n FROM documents GROUP BY ALL),
+greq AS (SELECT topic, i::INTEGER AS call_idx, least(10, n - i * 10)::INTEGER AS batch_size
+         FROM (SELECT topic, n, unnest(range(0, ceil(n / 10)::BIGINT)) AS i FROM tp)),
+greqp AS (SELECT topic, call_idx, batch_size, {fill_sql(GENERATE_USER, batch_size='batch_size', topic='topic')} AS prompt FROM greq)"""
+
+
+ORACLES["generation_requests"] = q(f"""
+WITH {_generation_sql()}
+SELECT topic, call_idx, batch_size, md5(prompt) AS prompt_md5 FROM greqp""")
+
+
+def _judge_requests_sql() -> str:
+    from chatloom.operators.prompts import JUDGE_GROUNDED, JUDGE_SELF
+
+    return f"""
+jreq AS (
+  SELECT doc_id AS ord, 0 AS mode, {fill_sql(JUDGE_SELF, scale="'5'", q='source', a='text')} AS prompt FROM documents
+  UNION ALL
+  SELECT doc_id, 1, {fill_sql(JUDGE_GROUNDED, scale="'5'", source='substr(text, 1, 3000)', q='source', a='text')} FROM documents)"""
+
+
+ORACLES["judge_requests"] = q(f"""
+WITH {_judge_requests_sql()}
+SELECT ord, mode, md5(prompt) AS prompt_md5, length(prompt)::BIGINT AS prompt_len FROM jreq""")
+
+ORACLES["request_cost"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)}, {_structure_requests_sql()}, {_generation_sql()}, {_judge_requests_sql()},
+allr AS (
+  SELECT 'extraction' AS kind, length(prompt) AS chars FROM sreq
+  UNION ALL SELECT 'generation', length(prompt) FROM greqp
+  UNION ALL SELECT 'judge', length(prompt) FROM jreq WHERE mode = 0)
+SELECT kind, count(*)::BIGINT AS n_calls, sum(chars)::BIGINT AS prompt_chars,
+       round(sum(chars) / 3.8, 3) AS est_tokens, round(sum(chars) / 3.8 / 1000 * 0.0001, 9) AS est_cost
+FROM allr GROUP BY kind""")
+
+JUDGE_REPLIES = """
+SELECT doc_id AS ord, quality, toxic,
+  CASE doc_id % 5 WHEN 0 THEN 'No score given.'
+    WHEN 1 THEN 'Score: ' || (1 + quality * 4 - toxic)
+    WHEN 2 THEN (1 + quality * 4 - toxic) || '/5'
+    WHEN 3 THEN 'I rate it -' || (1 + quality * 4 - toxic)
+    ELSE 'score' || (1 + quality * 4 - toxic) || '0' END AS reply,
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 4 THEN least(5.0, greatest(1.0, (1 + quality * 4 - toxic) * 10.0))
+    ELSE least(5.0, greatest(1.0, (1 + quality * 4 - toxic) * 1.0)) END AS parsed
+FROM labels"""
+
+ORACLES["judge_scores"] = q(f"""
+WITH jr AS ({JUDGE_REPLIES})
+SELECT ord, coalesce(parsed, -1.0)::DOUBLE AS score FROM jr""")
+
+ORACLES["quality_gate"] = q(f"""
+WITH jr AS ({JUDGE_REPLIES}),
+sc AS (SELECT d.doc_id AS ord, coalesce(jr.parsed, 3.0)::DOUBLE AS score FROM documents d LEFT JOIN jr ON jr.ord = d.doc_id)
+SELECT ord, score FROM sc WHERE score >= 3.0""")
+
+ORACLES["quality_drops"] = q(f"""
+WITH jr AS ({JUDGE_REPLIES}),
+sc AS (SELECT d.doc_id AS ord, coalesce(jr.parsed, 3.0)::DOUBLE AS score FROM documents d LEFT JOIN jr ON jr.ord = d.doc_id)
+SELECT ord, score, 'Sample ' || ord || ': dropped, quality score ' || printf('%.1f', score) || '/5 < 3.0' AS message
+FROM sc WHERE score < 3.0""")
+
+EVAL_REPLIES = """
+SELECT t.trial_id, l.doc_id AS ord,
+  (2 + l.quality * 5 - l.toxic + t.trial_id) AS s, (l.doc_id + t.trial_id) % 5 AS k
+FROM labels l CROSS JOIN (SELECT unnest([0, 1, 2]) AS trial_id) t"""
+
+ORACLES["eval_scores"] = q(f"""
+WITH er AS ({EVAL_REPLIES})
+SELECT trial_id::INTEGER AS trial_id, ord,
+  CASE WHEN k IN (0, 3) THEN -1.0 WHEN k = 4 THEN least(10.0, greatest(1.0, s + 0.5))
+       ELSE least(10.0, greatest(1.0, s * 1.0)) END::DOUBLE AS score FROM er""")
+
+ORACLES["judge_mean"] = q(f"""
+WITH er AS ({EVAL_REPLIES}),
+lastn AS (SELECT d.doc_id AS ord FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id WHERE d.source <> ''
+          ORDER BY d.doc_id DESC LIMIT 20),
+sc AS (SELECT trial_id, CASE WHEN k IN (0, 3) THEN NULL WHEN k = 4 THEN least(10.0, greatest(1.0, s + 0.5))
+                               ELSE least(10.0, greatest(1.0, s * 1.0)) END AS score
+       FROM er SEMI JOIN lastn ON lastn.ord = er.ord),
+tr AS (SELECT DISTINCT trial_id FROM er)
+SELECT tr.trial_id::INTEGER AS trial_id, coalesce(count(sc.score), 0)::BIGINT AS n_scored, coalesce(avg(sc.score), 5.0)::DOUBLE AS mean_score
+FROM tr LEFT JOIN sc ON sc.trial_id = tr.trial_id GROUP BY tr.trial_id""")

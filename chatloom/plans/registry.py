@@ -225,3 +225,122 @@ def q_stall_runs(spark, sf):
     acct = rp.batch_accounting(rp.retry_merge(_parsed(spark, sf)))
     acct = acct.withColumn("topic", F.concat(F.lit("topic-"), (F.col("batch_id") % 4).cast("string")))
     return rp.stall_runs(acct).select("topic", "run_start", "run_end", F.col("run_len").cast("bigint").alias("run_len"), "stalled")
+
+
+# --- chunking, requests, inference, judge (E8-E12, F1-F5, G3) -----------------
+
+from chatloom.operators import chunking, inference, judge, prompts  # noqa: E402
+from chatloom.sources.tables import table  # noqa: E402
+
+
+def _chunks(spark, sf, paragraphs: bool = False):
+    d = table(spark, sf, "documents")
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")) if paragraphs else F.col("text")
+    return chunking.chunk_text(d.select("doc_id", text.alias("text")))
+
+
+def _chunk_digest(c):
+    return c.select("doc_id", "chunk_idx", "n_chunks", F.length("chunk").cast("bigint").alias("chunk_len"),
+                    F.md5("chunk").alias("chunk_md5"))
+
+
+@query("chunk_text")
+def q_chunk_text(spark, sf):
+    return _chunk_digest(_chunks(spark, sf))
+
+
+@query("chunk_text_paragraphs")
+def q_chunk_text_paragraphs(spark, sf):
+    return _chunk_digest(_chunks(spark, sf, paragraphs=True))
+
+
+def _structure_requests(spark, sf):
+    return prompts.structure_requests(_chunks(spark, sf), num_samples=50)
+
+
+@query("structure_requests")
+def q_structure_requests(spark, sf):
+    r = _structure_requests(spark, sf)
+    return r.select("doc_id", "chunk_idx", "per_chunk", "max_tokens", F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").cast("bigint").alias("prompt_len"))
+
+
+@query("inference_hook")
+def q_inference_hook(spark, sf):
+    out = inference.inference_hook(_structure_requests(spark, sf), inference.passage_echo_model, ["doc_id", "chunk_idx"],
+                                   max_tokens_col="max_tokens")
+    return out.select("doc_id", "chunk_idx", (F.col("reply").isNotNull() & F.col("error").isNull()).alias("replied"))
+
+
+@query("structure_collect")
+def q_structure_collect(spark, sf):
+    replies = inference.inference_hook(_structure_requests(spark, sf), inference.passage_echo_model, ["doc_id", "chunk_idx"],
+                                       max_tokens_col="max_tokens")
+    samples, _ = inference.extraction_collect(replies, num_samples=50)
+    return samples.select("doc_id", "chunk_idx", F.col("pos").cast("int").alias("pos"),
+                          F.md5(canonical_text("messages")).alias("canon_md5"))
+
+
+@query("generation_requests")
+def q_generation_requests(spark, sf):
+    r = prompts.generation_requests(derived.topics(spark, sf), batch_size=10)
+    return r.select("topic", "call_idx", "batch_size", F.md5("prompt").alias("prompt_md5"))
+
+
+def _judge_requests(spark, sf):
+    s = derived.document_samples(spark, sf)
+    self_mode = prompts.judge_requests(s, scale=5)
+    grounded = prompts.judge_requests(s, scale=5, sources=table(spark, sf, "documents"), source_key="doc_id")
+    return self_mode, grounded
+
+
+@query("judge_requests")
+def q_judge_requests(spark, sf):
+    a, b = _judge_requests(spark, sf)
+    return a.unionByName(b).select("ord", "mode", F.md5("prompt").alias("prompt_md5"),
+                                   F.length("prompt").cast("bigint").alias("prompt_len"))
+
+
+@query("request_cost")
+def q_request_cost(spark, sf):
+    self_mode, _ = _judge_requests(spark, sf)
+    cost = prompts.request_cost({
+        "extraction": _structure_requests(spark, sf),
+        "generation": prompts.generation_requests(derived.topics(spark, sf), batch_size=10),
+        "judge": self_mode,
+    })
+    return cost.select("kind", "n_calls", "prompt_chars", F.round("est_tokens", 3).alias("est_tokens"),
+                       F.round("est_cost", 9).alias("est_cost"))
+
+
+@query("judge_scores")
+def q_judge_scores(spark, sf):
+    r = derived.judge_replies(spark, sf)
+    return r.select("ord", F.coalesce(judge.gate_score(F.col("reply"), 5), F.lit(-1.0)).alias("score"))
+
+
+def _gate(spark, sf):
+    return judge.quality_gate(derived.document_samples(spark, sf), derived.judge_replies(spark, sf), 3.0, 5)
+
+
+@query("quality_gate")
+def q_quality_gate(spark, sf):
+    kept, _ = _gate(spark, sf)
+    return kept.select("ord", "score")
+
+
+@query("quality_drops")
+def q_quality_drops(spark, sf):
+    _, drops = _gate(spark, sf)
+    return drops
+
+
+@query("eval_scores")
+def q_eval_scores(spark, sf):
+    r = derived.eval_replies(spark, sf)
+    return r.select("trial_id", "ord", F.coalesce(judge.eval_score(F.col("reply")), F.lit(-1.0)).alias("score"))
+
+
+@query("judge_mean")
+def q_judge_mean(spark, sf):
+    return judge.judge_mean(derived.eval_samples(spark, sf), derived.eval_replies(spark, sf), n_prompts=20)

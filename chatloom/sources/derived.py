@@ -94,3 +94,43 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         F.concat(F.lit("topic-"), (c % 4).cast("string")).alias("topic"), c.alias("batch_id"),
         F.explode(attempts).alias("a")).select("topic", "batch_id", "a.attempt", "a.reply")
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation topics: one per (source, lang) of ``documents``; quota = its document count."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.concat("source", F.lit("/"), "lang").alias("topic")).agg(F.count(F.lit(1)).alias("num_samples"))
+
+
+def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate replies ``(ord, reply)`` from ``labels``; score = 1 + 4*quality - toxic, in
+    varied wording; one in five replies carries no number."""
+    lab = table(spark, sf_dir, "labels")
+    s = (F.lit(1) + F.col("quality") * 4 - F.col("toxic")).cast("string")
+    k = F.col("doc_id") % 5
+    reply = (F.when(k == 0, F.lit("No score given."))
+             .when(k == 1, F.concat(F.lit("Score: "), s))
+             .when(k == 2, F.concat(s, F.lit("/5")))
+             .when(k == 3, F.concat(F.lit("I rate it -"), s))
+             .otherwise(F.concat(F.lit("score"), s, F.lit("0"))))
+    return lab.select(F.col("doc_id").alias("ord"), reply.alias("reply"))
+
+
+def eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation dataset: document samples of labelled documents."""
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"))
+    return document_samples(spark, sf_dir).join(lab, "ord", "left_semi")
+
+
+def eval_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eval judge replies ``(trial_id, ord, reply)``: three trials per labelled document."""
+    lab = table(spark, sf_dir, "labels")
+    t = lab.select("doc_id", "quality", "toxic", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("trial_id"))
+    s = (F.lit(2) + F.col("quality") * 5 - F.col("toxic") + F.col("trial_id")).cast("string")
+    k = (F.col("doc_id") + F.col("trial_id")) % 5
+    reply = (F.when(k == 0, F.lit("n/a"))
+             .when(k == 1, F.concat(F.lit("Score: "), s))
+             .when(k == 2, F.concat(s, F.lit("/10")))
+             .when(k == 3, F.concat(F.lit("score"), s))
+             .otherwise(F.concat(F.lit("I give it "), s, F.lit(".5 out of 10"))))
+    return t.select(F.col("trial_id").cast("int").alias("trial_id"), F.col("doc_id").alias("ord"), reply.alias("reply"))
