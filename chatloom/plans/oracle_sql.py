@@ -577,3 +577,104 @@ sc AS (SELECT trial_id, CASE WHEN k IN (0, 3) THEN NULL WHEN k = 4 THEN least(10
 tr AS (SELECT DISTINCT trial_id FROM er)
 SELECT tr.trial_id::INTEGER AS trial_id, coalesce(count(sc.score), 0)::BIGINT AS n_scored, coalesce(avg(sc.score), 5.0)::DOUBLE AS mean_score
 FROM tr LEFT JOIN sc ON sc.trial_id = tr.trial_id GROUP BY tr.trial_id""")
+
+
+# ---------------------------------------------------------------------------
+# Trial log from events
+# ---------------------------------------------------------------------------
+
+TRIAL_CTES = """
+tl0 AS (
+  SELECT 'run-' || user_id AS run_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS trial_id,
+         event_type, (props::JSON ->> 'k')::INTEGER AS k, value,
+         CASE WHEN event_type = 'error' THEN 'inf'::DOUBLE ELSE value END AS bpb
+  FROM events),
+tl1 AS (
+  SELECT *,
+    CASE WHEN event_type = 'view' AND k % 10 = 0 THEN '{}'
+         WHEN event_type = 'view' THEN '{"lora_rank": ' || k || '}'
+         WHEN event_type = 'click' THEN '{"learning_rate": ' || printf('%.4f', k / 10000.0) || '}'
+         WHEN event_type = 'purchase' THEN '{"scheduler": "linear", "lora_alpha": ' || (k * 11) || '}'
+         WHEN event_type = 'signup' AND k % 3 = 0 THEN '{"lora_rank": true}'
+         WHEN event_type = 'signup' AND k % 3 = 1 THEN '{"target_modules": []}'
+         WHEN event_type = 'signup' THEN '{"scheduler": "step"}'
+         ELSE '{"dropout": 0.' || k || '}' END AS recipe_diff,
+    coalesce(min(bpb) OVER (PARTITION BY run_id ORDER BY trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS best_before
+  FROM tl0),
+tl AS (SELECT *, bpb < best_before AS kept FROM tl1),
+bt AS (
+  SELECT r.run_id, coalesce(b.trial_id, -1)::INTEGER AS best_trial_id, coalesce(b.bpb, 'inf'::DOUBLE) AS best_bpb,
+         coalesce(b.recipe_diff, '{}') AS best_recipe_diff
+  FROM (SELECT DISTINCT run_id FROM tl) r
+  LEFT JOIN (SELECT run_id, arg_min(trial_id, (bpb, trial_id)) AS trial_id, min(bpb) AS bpb,
+                    arg_min(recipe_diff, (bpb, trial_id)) AS recipe_diff
+             FROM tl WHERE bpb < 'inf'::DOUBLE GROUP BY run_id) b ON b.run_id = r.run_id)"""
+
+ORACLES["running_best"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT run_id, trial_id, round(best_before, 6) AS best_before, kept FROM tl""")
+
+ORACLES["best_trial"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT run_id, best_trial_id, round(best_bpb, 6) AS best_bpb, best_recipe_diff FROM bt""")
+
+ORACLES["top_k_trials"] = q(f"""
+WITH {TRIAL_CTES},
+rk AS (SELECT run_id, trial_id, bpb, row_number() OVER (PARTITION BY run_id ORDER BY bpb, trial_id) AS rank FROM tl WHERE kept)
+SELECT run_id, rank::INTEGER AS rank, trial_id, round(bpb, 6) AS eval_bpb FROM rk WHERE rank <= 3""")
+
+ORACLES["run_summary"] = q(f"""
+WITH {TRIAL_CTES},
+agg AS (SELECT run_id, count(*)::BIGINT AS trials_logged, count(*) FILTER (WHERE kept)::BIGINT AS kept_count,
+               count(*) FILTER (WHERE bpb = 'inf'::DOUBLE)::BIGINT AS failed_count, (max(trial_id) + 1)::INTEGER AS next_trial
+        FROM tl GROUP BY run_id)
+SELECT a.run_id, a.trials_logged, a.kept_count, a.failed_count, a.next_trial, b.best_trial_id, round(b.best_bpb, 6) AS best_bpb,
+       (a.next_trial - a.trials_logged)::BIGINT AS trial_gaps, round(a.failed_count / a.trials_logged, 6) AS failure_rate
+FROM agg a JOIN bt b ON b.run_id = a.run_id""")
+
+ORACLES["failed_trials"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT run_id, trial_id FROM tl WHERE bpb = 'inf'::DOUBLE""")
+
+ORACLES["recipe_diff_audit"] = q(f"""
+WITH {TRIAL_CTES},
+au AS (
+  SELECT run_id, trial_id, event_type, k,
+    CASE WHEN event_type = 'view' THEN NULL
+         WHEN event_type = 'click' THEN CASE WHEN k = 0 THEN 'out_of_bounds' END
+         WHEN event_type = 'purchase' THEN CASE WHEN k * 11 < 1 OR k * 11 > 1024 THEN 'out_of_bounds' END
+         WHEN event_type = 'signup' THEN ['out_of_bounds', 'empty_target_modules', 'bad_scheduler'][k % 3 + 1]
+         ELSE 'unknown_knob' END AS reason,
+    CASE WHEN event_type = 'view' THEN NULL
+         WHEN event_type = 'click' THEN CASE WHEN k = 0 THEN 'learning_rate' END
+         WHEN event_type = 'purchase' THEN CASE WHEN k * 11 < 1 OR k * 11 > 1024 THEN 'lora_alpha' END
+         WHEN event_type = 'signup' THEN ['lora_rank', 'target_modules', 'scheduler'][k % 3 + 1]
+         ELSE 'dropout' END AS knob
+  FROM tl)
+SELECT run_id, trial_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status,
+  coalesce(reason, '') AS reason, coalesce(knob, '') AS knob,
+  CASE WHEN reason IS NOT NULL THEN -1 WHEN event_type = 'view' AND k % 10 <> 0 THEN k ELSE 16 END::BIGINT AS applied_lora_rank,
+  CASE WHEN reason IS NOT NULL THEN -1.0 WHEN event_type = 'click' THEN round(k / 10000.0, 6) ELSE 0.0002 END::DOUBLE AS applied_learning_rate,
+  CASE WHEN reason IS NOT NULL THEN '' WHEN event_type = 'purchase' THEN 'linear' ELSE 'cosine' END AS applied_scheduler
+FROM au""")
+
+ORACLES["bits_per_byte"] = q("""
+SELECT user_id AS trial_id, sum(event_id % 50)::BIGINT AS n_tokens,
+  round(CASE WHEN sum(event_id % 50) > 0 THEN sum(value / 100 * (event_id % 50)) / sum(event_id % 50) / ln(2) / 3.8
+        ELSE 'inf'::DOUBLE END, 6) AS bpb
+FROM events GROUP BY user_id""")
+
+ORACLES["trial_log_roundtrip"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT run_id, trial_id, round(bpb, 6) AS eval_bpb, kept, k AS steps FROM tl""")
+
+ORACLES["trial_log_read"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT run_id, trial_id, round(bpb, 6) AS eval_bpb, kept, k AS steps FROM tl
+WHERE trial_id % 17 <> 5 AND trial_id % 19 <> 7""")
+
+ORACLES["run_states"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT b.run_id, 'final' AS phase, b.best_trial_id::BIGINT AS best_trial_id, round(b.best_bpb, 6) AS best_bpb,
+       (SELECT count(*) FROM tl WHERE tl.run_id = b.run_id)::BIGINT AS total_trials
+FROM bt b""")

@@ -344,3 +344,108 @@ def q_eval_scores(spark, sf):
 @query("judge_mean")
 def q_judge_mean(spark, sf):
     return judge.judge_mean(derived.eval_samples(spark, sf), derived.eval_replies(spark, sf), n_prompts=20)
+
+
+# --- trial log (A8-A10, C7, G2, H1-H5) ----------------------------------------
+
+from chatloom.operators import trials  # noqa: E402
+from chatloom.session import scratch_path  # noqa: E402
+from chatloom.sources import trial_log as tlog  # noqa: E402
+
+
+def _log(spark, sf):
+    return derived.trial_log(spark, sf)
+
+
+@query("running_best")
+def q_running_best(spark, sf):
+    log = _log(spark, sf).drop("kept")
+    rb = trials.running_best(log)
+    return rb.select("run_id", "trial_id", F.round("best_before", 6).alias("best_before"), F.col("is_best").alias("kept"))
+
+
+@query("best_trial")
+def q_best_trial(spark, sf):
+    b = trials.best_trial(_log(spark, sf))
+    return b.select("run_id", "best_trial_id", F.round("best_bpb", 6).alias("best_bpb"), "best_recipe_diff")
+
+
+@query("top_k_trials")
+def q_top_k_trials(spark, sf):
+    t = trials.top_k_trials(_log(spark, sf), k=3)
+    return t.select("run_id", F.col("rank").cast("int").alias("rank"), "trial_id", F.round("eval_bpb", 6).alias("eval_bpb"))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    s = trials.run_summary(_log(spark, sf))
+    return s.select("run_id", F.col("trials_logged").cast("bigint").alias("trials_logged"),
+                    F.col("kept_count").cast("bigint").alias("kept_count"),
+                    F.col("failed_count").cast("bigint").alias("failed_count"), "next_trial", "best_trial_id",
+                    F.round("best_bpb", 6).alias("best_bpb"), "trial_gaps", F.round("failure_rate", 6).alias("failure_rate"))
+
+
+@query("failed_trials")
+def q_failed_trials(spark, sf):
+    return trials.failed_trials(_log(spark, sf)).select("run_id", "trial_id")
+
+
+@query("recipe_diff_audit")
+def q_recipe_diff_audit(spark, sf):
+    a = trials.recipe_diff_audit(_log(spark, sf))
+    return a.select("run_id", "trial_id", "status", F.coalesce("reason", F.lit("")).alias("reason"),
+                    F.coalesce("knob", F.lit("")).alias("knob"),
+                    F.coalesce("applied_lora_rank", F.lit(-1)).cast("bigint").alias("applied_lora_rank"),
+                    F.coalesce(F.round("applied_learning_rate", 6), F.lit(-1.0)).alias("applied_learning_rate"),
+                    F.coalesce("applied_scheduler", F.lit("")).alias("applied_scheduler"))
+
+
+@query("bits_per_byte")
+def q_bits_per_byte(spark, sf):
+    b = trials.bits_per_byte(derived.losses(spark, sf), ["trial_id"])
+    return b.select("trial_id", "n_tokens", F.round("bpb", 6).alias("bpb"))
+
+
+def _roundtrip_cols(df):
+    return df.select("run_id", "trial_id", F.round("eval_bpb", 6).alias("eval_bpb"), "kept", "steps")
+
+
+@query("trial_log_roundtrip")
+def q_trial_log_roundtrip(spark, sf):
+    path = scratch_path(spark, "trial-log")
+    tlog.write_trial_log(_log(spark, sf), path)
+    return _roundtrip_cols(tlog.read_trial_log(spark, path))
+
+
+@query("trial_log_read")
+def q_trial_log_read(spark, sf):
+    """Reads a log with damaged lines: truncated, missing a required key, blank, unknown key."""
+    path = scratch_path(spark, "trial-log-damaged")
+    log = _log(spark, sf)
+    bpb = F.when(F.col("eval_bpb") == F.lit(float("inf")), F.lit(None)).otherwise(F.col("eval_bpb"))
+    full = F.to_json(F.struct("trial_id", F.parse_json("recipe_diff").alias("recipe_diff"), bpb.alias("eval_bpb"),
+                              "judge_score", "kept", "wall_clock_secs", "steps", "timestamp",
+                              F.lit("extra").alias("note")), {"ignoreNullFields": "false"})
+    no_steps = F.to_json(F.struct("trial_id", F.parse_json("recipe_diff").alias("recipe_diff"), bpb.alias("eval_bpb"),
+                                  "judge_score", "kept", "wall_clock_secs", "timestamp"), {"ignoreNullFields": "false"})
+    t = F.col("trial_id")
+    line = (F.when(t % 17 == 5, full.substr(F.lit(1), F.length(full) - 5))
+            .when(t % 19 == 7, no_steps).otherwise(full))
+    lines = F.when(t % 23 == 11, F.array(line, F.lit(""))).otherwise(F.array(line))
+    log.select("run_id", F.explode(lines).alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+    return _roundtrip_cols(tlog.read_trial_log(spark, path))
+
+
+@query("run_states")
+def q_run_states(spark, sf):
+    s = trials.run_summary(_log(spark, sf))
+    states = s.select(
+        "run_id", F.concat(F.lit("runs/"), F.col("run_id")).alias("run_dir"), F.lit("base-model").alias("base_model"),
+        F.lit("dataset.jsonl").alias("dataset_path"), F.lit("").alias("started_at"), F.lit("final").alias("phase"),
+        F.col("best_trial_id").cast("bigint").alias("best_trial_id"), "best_bpb",
+        F.col("trials_logged").cast("bigint").alias("total_trials"), F.lit("").alias("final_adapter_path"),
+        F.lit("").alias("gguf_path"), F.lit("").alias("merged_path"))
+    path = scratch_path(spark, "run-states")
+    tlog.write_run_states(states, path)
+    r = tlog.read_run_states(spark, path)
+    return r.select("run_id", "phase", "best_trial_id", F.round("best_bpb", 6).alias("best_bpb"), "total_trials")

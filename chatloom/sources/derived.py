@@ -134,3 +134,49 @@ def eval_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 3, F.concat(F.lit("score"), s))
              .otherwise(F.concat(F.lit("I give it "), s, F.lit(".5 out of 10"))))
     return t.select(F.col("trial_id").cast("int").alias("trial_id"), F.col("doc_id").alias("ord"), reply.alias("reply"))
+
+
+# ---------------------------------------------------------------------------
+# Trial log from ``events``: run = user, trial = order by (ts, event_id)
+# ---------------------------------------------------------------------------
+
+def recipe_diff_text(event_type: F.Column, k: F.Column) -> F.Column:
+    ks = k.cast("string")
+    return (F.when((event_type == "view") & (k % 10 == 0), F.lit("{}"))
+            .when(event_type == "view", F.concat(F.lit('{"lora_rank": '), ks, F.lit("}")))
+            .when(event_type == "click", F.concat(F.lit('{"learning_rate": '), F.format_string("%.4f", k / 10000.0), F.lit("}")))
+            .when(event_type == "purchase", F.concat(F.lit('{"scheduler": "linear", "lora_alpha": '), (k * 11).cast("string"), F.lit("}")))
+            .when((event_type == "signup") & (k % 3 == 0), F.lit('{"lora_rank": true}'))
+            .when((event_type == "signup") & (k % 3 == 1), F.lit('{"target_modules": []}'))
+            .when(event_type == "signup", F.lit('{"scheduler": "step"}'))
+            .otherwise(F.concat(F.lit('{"dropout": 0.'), ks, F.lit("}"))))
+
+
+def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trial per event; ``eval_bpb = value`` or +inf for ``error`` events; ``kept`` is
+    the running-best flag as the tuning loop logs it."""
+    from pyspark.sql import Window
+
+    from chatloom.operators.trials import running_best
+
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    log = e.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
+        (F.row_number().over(w) - 1).cast("int").alias("trial_id"),
+        recipe_diff_text(F.col("event_type"), k).alias("recipe_diff"),
+        F.when(F.col("event_type") == "error", F.lit(float("inf"))).otherwise(F.col("value")).alias("eval_bpb"),
+        F.lit(None).cast("double").alias("judge_score"),
+        (F.col("value") * 3).alias("wall_clock_secs"),
+        k.alias("steps"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
+    )
+    return running_best(log).withColumnRenamed("is_best", "kept").drop("best_before")
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-sample eval losses: trial = user, loss = value / 100, tokens = event_id % 50."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("ord"),
+                    (F.col("value") / 100).alias("loss"), (F.col("event_id") % 50).alias("n_tokens"))
