@@ -678,3 +678,99 @@ WITH {TRIAL_CTES}
 SELECT b.run_id, 'final' AS phase, b.best_trial_id::BIGINT AS best_trial_id, round(b.best_bpb, 6) AS best_bpb,
        (SELECT count(*) FROM tl WHERE tl.run_id = b.run_id)::BIGINT AS total_trials
 FROM bt b""")
+
+
+# ---------------------------------------------------------------------------
+# Sources, golden parsing, record conversion
+# ---------------------------------------------------------------------------
+
+ORIG = f"""
+orig AS (SELECT conv_id AS c, count(*)::BIGINT AS n, {canon_md5('role', 'text', 'turn')} AS canon_md5 FROM conversations GROUP BY conv_id)"""
+
+ORACLES["parse_samples"] = q(f"""
+WITH {ORIG}
+SELECT c AS ord, (c % 9) NOT IN (3, 4, 5, 6) AS valid,
+  CASE c % 9 WHEN 3 THEN 'bad_message' WHEN 4 THEN 'bad_message' WHEN 5 THEN 'messages_not_list' WHEN 6 THEN 'messages_empty' ELSE '' END AS reason,
+  CASE WHEN c % 9 IN (0, 7, 8) THEN 'conv-' || c ELSE '' END AS id,
+  CASE WHEN c % 9 IN (3, 4, 5, 6) THEN 0 WHEN c % 9 = 8 THEN 0 ELSE n END::BIGINT AS n_messages,
+  CASE WHEN c % 9 IN (3, 4, 5, 6) THEN '' WHEN c % 9 = 8 THEN md5('') ELSE canon_md5 END AS canon_md5
+FROM orig""")
+
+ORACLES["parse_reject_reasons"] = q("""
+SELECT CASE conv_id % 9 WHEN 5 THEN 'messages_not_list' WHEN 6 THEN 'messages_empty' ELSE 'bad_message' END AS reason,
+       count(*)::BIGINT AS n
+FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 9 IN (3, 4, 5, 6) GROUP BY 1""")
+
+ORACLES["read_jsonl"] = q(f"""
+WITH {ORIG}
+SELECT 'conv-' || c AS id, n AS n_messages, canon_md5 FROM orig""")
+
+ORACLES["read_json_array"] = ORACLES["read_jsonl"]
+
+ORACLES["write_jsonl_roundtrip"] = q(f"""
+WITH {REPAIR_CTES},
+kept AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS pos FROM reason WHERE code IS NULL),
+lines AS (
+  SELECT printf('sample_%04d', kp.pos) AS id, count(*)::BIGINT AS n_messages, {canon_md5('k.role', 'k.content', 'k.pos')} AS canon_md5,
+    md5('{{"id": "' || printf('sample_%04d', kp.pos) || '", "messages": ['
+        || string_agg('{{"role": "' || k.role || '", "content": "' || replace(k.content, chr(10), '\\n') || '"}}', ', ' ORDER BY k.pos)
+        || ']}}') AS line_md5
+  FROM k JOIN kept kp ON kp.ord = k.ord GROUP BY kp.pos)
+SELECT id, n_messages, canon_md5, line_md5 FROM lines""")
+
+RECORDS_EXPECTED = """
+rec AS (
+  SELECT doc_id AS ord, doc_id % 7 AS k, source, text, lang,
+    CASE doc_id % 7 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'instruction'
+      WHEN 3 THEN 'prompt_response' WHEN 4 THEN 'prompt_completion' WHEN 5 THEN 'question_answer' ELSE 'unrecognized' END AS source_format
+  FROM documents),
+recm AS (
+  SELECT ord, source_format,
+    CASE WHEN k = 6 THEN 0 WHEN k = 1 AND ord % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS n_messages,
+    CASE WHEN k = 6 THEN ''
+      WHEN k = 2 THEN md5('user' || chr(1) || source || CASE WHEN ord % 2 = 0 THEN chr(10) || chr(10) || lang ELSE '' END
+                          || chr(0) || 'assistant' || chr(1) || text)
+      WHEN k = 1 AND ord % 5 = 0 THEN md5('user' || chr(1) || source || chr(0) || 'assistant' || chr(1) || text
+                                          || chr(0) || 'narrator' || chr(1) || lang)
+      ELSE md5('user' || chr(1) || source || chr(0) || 'assistant' || chr(1) || text) END AS canon_md5
+  FROM rec)"""
+
+ORACLES["convert_records"] = q(f"""
+WITH {RECORDS_EXPECTED}
+SELECT ord, source_format, n_messages, canon_md5 FROM recm""")
+
+ORACLES["convert_census"] = q(f"""
+WITH {RECORDS_EXPECTED}
+SELECT source_format, count(*)::BIGINT AS n FROM recm GROUP BY 1""")
+
+ORACLES["sharegpt_to_messages"] = q(f"""
+WITH {RECORDS_EXPECTED}
+SELECT ord, n_messages, canon_md5 FROM recm WHERE source_format = 'conversations'""")
+
+ORACLES["format_census"] = q("""
+SELECT count(*)::BIGINT AS n_records, count(*) FILTER (WHERE doc_id % 7 = 1)::BIGINT AS n_conversations_only,
+  count(*) > 0 AND count(*) FILTER (WHERE doc_id % 7 = 1) = count(*) AS all_conversations,
+  count(*) FILTER (WHERE doc_id % 7 = 1) > 0 AND count(*) FILTER (WHERE doc_id % 7 = 1) < count(*) AS mixed
+FROM documents""")
+
+SOURCES = """
+src AS (
+  SELECT url AS source FROM pages
+  UNION SELECT source || '/' || lang FROM documents
+  UNION SELECT source || '/' || lang || '/validation' FROM documents
+  UNION SELECT source || '.jsonl' FROM documents)"""
+
+ORACLES["classify_source"] = q(f"""
+WITH {SOURCES}
+SELECT source, CASE WHEN starts_with(source, 'http://') OR starts_with(source, 'https://') THEN 'url'
+                    WHEN regexp_matches(source, '^[A-Za-z0-9_\\-.]+/[A-Za-z0-9_\\-.]+$') THEN 'hf' ELSE 'local' END AS source_type
+FROM src""")
+
+ORACLES["source_cache_name"] = q(f"""
+WITH {SOURCES},
+p AS (SELECT source, string_split(source, '/') AS parts FROM src)
+SELECT source,
+  coalesce(nullif(list_last(string_split(regexp_replace(split_part(source, '?', 1), '/+$', ''), '/')), ''), 'dataset.jsonl') AS cache_name,
+  CASE WHEN len(parts) = 3 THEN parts[1] || '/' || parts[2] ELSE source END AS repo_id,
+  CASE WHEN len(parts) = 3 THEN parts[3] ELSE 'train' END AS split
+FROM p""")

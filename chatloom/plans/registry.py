@@ -449,3 +449,119 @@ def q_run_states(spark, sf):
     tlog.write_run_states(states, path)
     r = tlog.read_run_states(spark, path)
     return r.select("run_id", "phase", "best_trial_id", F.round("best_bpb", 6).alias("best_bpb"), "total_trials")
+
+
+# --- sources and conversion (A1-A6, A11-A12, B1-B4) ------------------------------
+
+from chatloom.operators import convert  # noqa: E402
+from chatloom.operators.replies import parse_sample  # noqa: E402
+from chatloom.sources import jsonl, manifest  # noqa: E402
+
+
+def _sample_digest(df: DataFrame) -> DataFrame:
+    return df.select("id", F.size("messages").cast("bigint").alias("n_messages"),
+                     F.md5(canonical_text("messages")).alias("canon_md5"))
+
+
+@query("parse_samples")
+def q_parse_samples(spark, sf):
+    lines = derived.golden_lines(spark, sf)
+    p = lines.select("ord", parse_sample(jsonl._strict_json(F.col("line"))).alias("s"))
+    return p.select("ord", F.col("s.valid").alias("valid"), F.coalesce("s.reason", F.lit("")).alias("reason"),
+                    F.when(F.col("s.valid"), F.col("s.id")).otherwise(F.lit("")).alias("id"),
+                    F.coalesce(F.size("s.messages"), F.lit(0)).cast("bigint").alias("n_messages"),
+                    F.coalesce(F.md5(canonical_text("s.messages")), F.lit("")).alias("canon_md5"))
+
+
+@query("parse_reject_reasons")
+def q_parse_reject_reasons(spark, sf):
+    path = scratch_path(spark, "golden-damaged")
+    derived.golden_lines(spark, sf).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    _, rejects = jsonl.read_jsonl(spark, path, strict=False)
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _clean_lines(spark, sf):
+    s = derived.samples(spark, sf)
+    line = F.to_json(F.struct(F.concat(F.lit("conv-"), F.col("ord").cast("string")).alias("id"), F.col("messages")))
+    return s.select("ord", line.alias("line"))
+
+
+@query("read_jsonl")
+def q_read_jsonl(spark, sf):
+    path = scratch_path(spark, "golden-jsonl")
+    lines = _clean_lines(spark, sf)
+    with_noise = F.when(F.col("ord") == 0, F.array(F.concat(F.lit("﻿"), F.col("line")))).when(
+        F.col("ord") % 10 == 3, F.array(F.col("line"), F.lit(""), F.lit("   "))).otherwise(F.array(F.col("line")))
+    lines.select(F.explode(with_noise).alias("value")).write.mode("overwrite").text(path)
+    samples, _ = jsonl.read_jsonl(spark, path, strict=True)
+    return _sample_digest(samples)
+
+
+@query("read_json_array")
+def q_read_json_array(spark, sf):
+    path = scratch_path(spark, "golden-json-array")
+    lines = _clean_lines(spark, sf).withColumn("file_no", (F.col("ord") / 25).cast("long"))
+    arrays = lines.groupBy("file_no").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), ",\n"),
+                 F.lit("]")).alias("value"))
+    arrays.repartition("file_no").write.mode("overwrite").partitionBy("file_no").text(path)
+    samples, _ = jsonl.read_json_array(spark, path, strict=True)
+    return _sample_digest(samples)
+
+
+@query("write_jsonl_roundtrip")
+def q_write_jsonl_roundtrip(spark, sf):
+    repaired = validate.validate_and_repair(derived.dirty_samples(spark, sf), keep_id=False)
+    with_ids = positions.assign_ids(repaired).drop("pos")
+    path = scratch_path(spark, "golden-out")
+    jsonl.write_jsonl(with_ids, path)
+    text = spark.read.text(path)
+    back, _ = jsonl.read_jsonl(spark, path, strict=True)
+    digest = _sample_digest(back)
+    line_md5 = text.select(F.md5("value").alias("line_md5"),
+                           F.get_json_object("value", "$.id").alias("id"))
+    return digest.join(line_md5, "id")
+
+
+def _records(spark, sf):
+    return convert.convert_records(derived.records(spark, sf))
+
+
+@query("convert_records")
+def q_convert_records(spark, sf):
+    r = _records(spark, sf)
+    return r.select("ord", "source_format", F.coalesce(F.size("messages"), F.lit(0)).cast("bigint").alias("n_messages"),
+                    F.coalesce(F.md5(canonical_text("messages")), F.lit("")).alias("canon_md5"))
+
+
+@query("convert_census")
+def q_convert_census(spark, sf):
+    return _records(spark, sf).groupBy("source_format").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sharegpt_to_messages")
+def q_sharegpt_to_messages(spark, sf):
+    r = derived.records(spark, sf).where(F.col("conversations").isNotNull())
+    m = r.select("ord", convert.sharegpt_messages("conversations").alias("messages"))
+    return m.select("ord", F.size("messages").cast("bigint").alias("n_messages"),
+                    F.md5(canonical_text("messages")).alias("canon_md5"))
+
+
+@query("format_census")
+def q_format_census(spark, sf):
+    return convert.format_census(derived.records(spark, sf))
+
+
+@query("classify_source")
+def q_classify_source(spark, sf):
+    s = derived.sources_manifest(spark, sf)
+    return s.select("source", manifest.source_type(F.col("source")).alias("source_type"))
+
+
+@query("source_cache_name")
+def q_source_cache_name(spark, sf):
+    s = derived.sources_manifest(spark, sf)
+    repo, split = manifest.hub_repo_and_split(F.col("source"))
+    return s.select("source", manifest.cache_name(F.col("source")).alias("cache_name"), repo.alias("repo_id"),
+                    split.alias("split"))

@@ -180,3 +180,66 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("ord"),
                     (F.col("value") / 100).alias("loss"), (F.col("event_id") % 50).alias("n_tokens"))
+
+
+# ---------------------------------------------------------------------------
+# Record shapes, golden lines and source strings
+# ---------------------------------------------------------------------------
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign record shapes from ``documents`` by ``doc_id % 7`` (6 = unrecognized)."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 7
+    msg = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
+    turn = lambda f, v: F.struct(f.alias("from"), v.alias("value"))
+    conv = F.array(turn(F.when(F.col("doc_id") % 2 == 0, F.lit("Human")).otherwise(F.lit("human")), F.col("source")),
+                   turn(F.lit("gpt"), F.col("text")))
+    conv = F.when(F.col("doc_id") % 5 == 0, F.concat(conv, F.array(turn(F.lit("narrator"), F.col("lang"))))).otherwise(conv)
+    s = lambda cond, v: F.when(cond, v)
+    return d.select(
+        F.col("doc_id").alias("ord"),
+        s(k == 0, F.array(msg("user", F.col("source")), msg("assistant", F.col("text")))).alias("messages"),
+        s(k == 1, conv).alias("conversations"),
+        s(k == 2, F.col("source")).alias("instruction"),
+        s(k == 2, F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit("  "))).alias("input"),
+        s(k == 2, F.col("text")).alias("output"),
+        s((k == 3) | (k == 4), F.col("source")).alias("prompt"),
+        s(k == 3, F.col("text")).alias("response"),
+        s(k == 4, F.col("text")).alias("completion"),
+        s(k == 5, F.col("source")).alias("question"),
+        s(k == 5, F.col("text")).alias("answer"),
+        s(k == 6, F.col("text")).alias("text"),
+    )
+
+
+def golden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden JSONL text per conversation, damaged by ``conv_id % 9`` (shape errors and
+    accepted variants: no id, numeric id, double-nested list, ``[[]]``)."""
+    s = samples(spark, sf_dir)
+    c = F.col("ord")
+    k = c % 9
+    msgs_json = F.to_json(F.col("messages"))
+    ident = F.concat(F.lit('"conv-'), c.cast("string"), F.lit('"'))
+    first_as_number = F.regexp_replace(
+        msgs_json, r'^\[\{"role":"([a-z]+)","content":"[^"\\]*+(?:\\.[^"\\]*+)*+"', '[{"role":"$1","content":7')
+    no_role = F.regexp_replace(msgs_json, r'^\[\{"role":"[a-z]+",', "[{")
+    body = (F.when(k == 1, F.concat(F.lit('{"messages":'), msgs_json, F.lit("}")))
+            .when(k == 2, F.concat(F.lit('{"id":42,"messages":'), msgs_json, F.lit("}")))
+            .when(k == 3, F.concat(F.lit('{"id":'), ident, F.lit(',"messages":'), first_as_number, F.lit("}")))
+            .when(k == 4, F.concat(F.lit('{"id":'), ident, F.lit(',"messages":'), no_role, F.lit("}")))
+            .when(k == 5, F.concat(F.lit('{"id":'), ident, F.lit(',"messages":"hello"}')))
+            .when(k == 6, F.concat(F.lit('{"id":'), ident, F.lit(',"messages":[]}')))
+            .when(k == 7, F.concat(F.lit('{"id":'), ident, F.lit(',"messages":['), msgs_json, F.lit("]}")))
+            .when(k == 8, F.concat(F.lit('{"id":'), ident, F.lit(',"messages":[[]]}')))
+            .otherwise(F.concat(F.lit('{"id":'), ident, F.lit(',"messages":'), msgs_json, F.lit("}"))))
+    return s.select("ord", body.alias("line"))
+
+
+def sources_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source strings: page URLs, hub-like ids ``source/lang``, three-part ids and local names."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("source"))
+    d = table(spark, sf_dir, "documents").select("source", "lang").distinct()
+    hub = d.select(F.concat("source", F.lit("/"), "lang").alias("source"))
+    three = d.select(F.concat("source", F.lit("/"), "lang", F.lit("/validation")).alias("source"))
+    local = d.select(F.concat("source", F.lit(".jsonl")).alias("source"))
+    return pages.unionByName(hub).unionByName(three).unionByName(local).distinct()

@@ -102,7 +102,7 @@ def read_run_states(spark: SparkSession, path: str) -> DataFrame:
 
 def read_loop_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """A10 (checkpoint): the whole document is rejected when a key is unknown or missing."""
-    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("_path"))
     v = F.try_parse_json("value")
     keys = F.map_keys(F.from_json(F.col("value"), "map<string,string>"))
