@@ -75,3 +75,24 @@ def train_eval_split(df: DataFrame, order_col: str = "ord", eval_fraction: float
     else:
         raise ValueError(f"unknown split mode {mode!r}")
     return pos.withColumn("is_train", is_train).withColumn("is_eval", is_eval)
+
+
+def dense_positions_by(df: DataFrame, order_cols: list[str], pos_col: str = "ord", buckets: int | None = None) -> DataFrame:
+    """0-based positions in the order of several columns (any sortable types).
+
+    Range partitioning gives contiguous buckets; the bucketed rows are checkpointed so the
+    bucket ids stay fixed while counts, offsets and in-bucket row numbers are computed.
+    """
+    from chatloom.session import checkpoint_root
+
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("_bkt", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_bkt", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_bkt").orderBy(*order_cols)
+    return (ranged.join(F.broadcast(offsets), "_bkt")
+            .withColumn(pos_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
+            .drop("_bkt", "_off"))

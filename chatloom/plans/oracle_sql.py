@@ -774,3 +774,36 @@ SELECT source,
   CASE WHEN len(parts) = 3 THEN parts[1] || '/' || parts[2] ELSE source END AS repo_id,
   CASE WHEN len(parts) = 3 THEN parts[3] ELSE 'train' END AS split
 FROM p""")
+
+ORACLES["warning_summary"] = q(f"""
+WITH {REPAIR_CTES},
+w AS (
+  SELECT 'empty_content' AS code FROM ann WHERE stripped = ''
+  UNION ALL SELECT 'stripped_whitespace' FROM ann WHERE stripped <> '' AND stripped <> raw
+  UNION ALL SELECT 'unknown_role' FROM ann WHERE stripped <> '' AND norm NOT IN ('system', 'user', 'assistant')
+  UNION ALL SELECT 'normalized_role' FROM ann WHERE stripped <> '' AND norm IN ('system', 'user', 'assistant') AND norm <> raw_role
+  UNION ALL SELECT code FROM reason WHERE code IS NOT NULL)
+SELECT code, count(*)::BIGINT AS n FROM w GROUP BY code""")
+
+ORACLES["stage_funnel"] = q(f"""
+WITH RECURSIVE {token_ctes(DOC_CANON)}, {jaccard_pairs_cte()}, {greedy_ctes()},
+jr AS ({JUDGE_REPLIES}),
+gated AS (SELECT g.ord FROM gkept g LEFT JOIN jr ON jr.ord = g.ord WHERE coalesce(jr.parsed, 3.0) >= 3.0),
+st AS (
+  SELECT 0 AS stage_no, 'acquired' AS stage, (SELECT count(*) FROM documents) AS n
+  UNION ALL SELECT 1, 'length_filter', (SELECT count(*) FROM documents WHERE length(text) >= 50)
+  UNION ALL SELECT 2, 'dedup', (SELECT count(*) FROM gkept)
+  UNION ALL SELECT 3, 'quality_gate', (SELECT count(*) FROM gated)
+  UNION ALL SELECT 4, 'validated', (SELECT count(*) FROM gated g JOIN documents d ON d.doc_id = g.ord
+                                    WHERE {strip_sql('d.text')} <> '' AND {strip_sql('d.source')} <> ''))
+SELECT stage_no::INTEGER AS stage_no, stage, n::BIGINT AS n FROM st""")
+
+ORACLES["mode_bring_your_own"] = q(f"""
+WITH {RECORDS_EXPECTED},
+kept AS (
+  SELECT ord, 2::BIGINT AS n_messages,
+    CASE WHEN k = 2 THEN md5('user' || chr(1) || source || CASE WHEN ord % 2 = 0 THEN chr(10) || chr(10) || lang ELSE '' END
+                             || chr(0) || 'assistant' || chr(1) || text)
+         ELSE md5('user' || chr(1) || source || chr(0) || 'assistant' || chr(1) || text) END AS canon_md5
+  FROM rec WHERE source_format <> 'unrecognized')
+SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, n_messages, canon_md5 FROM kept""")

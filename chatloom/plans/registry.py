@@ -565,3 +565,54 @@ def q_source_cache_name(spark, sf):
     repo, split = manifest.hub_repo_and_split(F.col("source"))
     return s.select("source", manifest.cache_name(F.col("source")).alias("cache_name"), repo.alias("repo_id"),
                     split.alias("split"))
+
+
+# --- dataset modes and the stage funnel (P1-P3, G4) -------------------------------
+
+from chatloom.plans import dataset_modes  # noqa: E402
+
+
+def _funnel_out(f):
+    return f.select(F.col("stage_no").cast("int").alias("stage_no"), "stage", F.col("n").cast("bigint").alias("n"))
+
+
+@query("stage_funnel")
+def q_stage_funnel(spark, sf):
+    """Document samples through length filter, near dedup, judge gate and repair."""
+    s = derived.document_samples(spark, sf)
+    filtered = validate.min_answer_filter(s)
+    deduped = dedup.near_dedup(filtered, 0.85)
+    gated, _ = judge.quality_gate(deduped, derived.judge_replies(spark, sf))
+    repaired = validate.validate_and_repair(gated.drop("score"))
+    return _funnel_out(dataset_modes.funnel([("acquired", s), ("length_filter", filtered), ("dedup", deduped),
+                                             ("quality_gate", gated), ("validated", repaired)]))
+
+
+def _final_digest(ds):
+    return ds.select("ord", "id", F.size("messages").cast("bigint").alias("n_messages"),
+                     F.md5(canonical_text("messages")).alias("canon_md5"))
+
+
+@query("mode_generate")
+def q_mode_generate(spark, sf):
+    ds, _ = dataset_modes.generate_mode(derived.replies(spark, sf), num_samples=10_000_000)
+    return _final_digest(ds)
+
+
+@query("mode_structure")
+def q_mode_structure(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ds, _ = dataset_modes.structure_mode(docs, inference.passage_echo_model, num_samples=50,
+                                         judge_replies=derived.judge_replies(spark, sf))
+    return _final_digest(ds)
+
+
+@query("mode_bring_your_own")
+def q_mode_bring_your_own(spark, sf):
+    ds, _ = dataset_modes.bring_your_own_mode(derived.records(spark, sf))
+    return _final_digest(ds)
+
+
+@query("warning_summary")
+def q_warning_summary(spark, sf):
+    return validate.warning_summary(derived.dirty_samples(spark, sf)).select("code", F.col("n").cast("bigint").alias("n"))
