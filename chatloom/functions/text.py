@@ -13,14 +13,20 @@ def _c(col) -> Column:
 
 
 def ustrip(col) -> Column:
-    """``str.strip()``: trims Unicode whitespace (``trim`` only trims ASCII space)."""
-    return F.regexp_replace(_c(col), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """``str.strip()``: trims Unicode whitespace (``trim`` only trims ASCII space).
+
+    The regex runs only when the first or last character is whitespace; a scan of every
+    position of a long text is the slow part otherwise.
+    """
+    c = _c(col)
+    edge = F.substring(c, 1, 1).rlike(WS_CLASS) | F.substring(c, -1, 1).rlike(WS_CLASS)
+    return F.when(edge, F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")).otherwise(c)
 
 
 def tokens(col) -> Column:
     """``set(text.lower().split())`` as a sorted-free distinct array of strings."""
     parts = F.split(F.lower(_c(col)), f"{WS_CLASS}+")
-    return F.array_distinct(F.filter(parts, lambda t: t != F.lit("")))
+    return F.array_distinct(F.array_remove(parts, ""))
 
 
 def py_repr(col) -> Column:

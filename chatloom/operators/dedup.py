@@ -36,17 +36,24 @@ def token_sets(df: DataFrame, text=None) -> DataFrame:
     return df.select("ord", tokens(src).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
-def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collapse_identical_sets(sets: DataFrame, checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Group identical non-empty token sets; the lowest ``ord`` represents each group.
 
     Returns ``(reps(rep, tokens, n_tokens), members(ord, rep))``. Copies of a set always
     lose to its first member under keep-first, so only representatives take part in the
     similarity join. Partial aggregation keeps a hot group of copies from reaching a
     single task. Empty sets are never duplicates and stay their own representatives.
+    ``checkpoint=True`` tokenizes once: the keyed sets are written to the shared
+    checkpoint folder and both outputs read them.
     """
     key = F.when(F.col("n_tokens") > 0, F.sha2(F.array_join(F.array_sort("tokens"), "\x00"), 256)).otherwise(
         F.concat(F.lit("empty:"), F.col("ord").cast("string")))
-    keyed = sets.withColumn("_k", key)
+    keyed = sets.select("ord", "tokens", "n_tokens", key.alias("_k"))
+    if checkpoint:
+        from chatloom.session import checkpoint_root
+
+        checkpoint_root(sets.sparkSession)
+        keyed = keyed.checkpoint()
     reps = keyed.groupBy("_k").agg(
         F.min("ord").alias("rep"), F.min_by("tokens", "ord").alias("tokens"), F.min_by("n_tokens", "ord").alias("n_tokens"))
     members = keyed.select("ord", "_k").join(reps.select("_k", "rep"), "_k").select("ord", "rep")
@@ -113,8 +120,17 @@ def minhash_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
 
 
 def near_dup_pairs(sets: DataFrame, threshold: float = 0.85, mode: str = "exact", verify: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Similar pairs over representatives → ``(pairs(a, b, jaccard), reps, members)``."""
-    reps, members = collapse_identical_sets(sets)
+    """Similar pairs over representatives → ``(pairs(a, b, jaccard), reps, members)``.
+
+    The representatives are checkpointed once (reliable checkpoint in the shared folder):
+    candidate generation and verification both read them, and tokenizing whole texts is
+    the most expensive step of the plan.
+    """
+    from chatloom.session import checkpoint_root
+
+    checkpoint_root(sets.sparkSession)
+    reps, members = collapse_identical_sets(sets, checkpoint=True)
+    reps = reps.checkpoint()
     if mode == "exact":
         pairs = verify_pairs(prefix_candidates(reps, threshold), reps, threshold)
     elif mode == "lsh":
