@@ -807,3 +807,15 @@ kept AS (
          ELSE md5('user' || chr(1) || source || chr(0) || 'assistant' || chr(1) || text) END AS canon_md5
   FROM rec WHERE source_format <> 'unrecognized')
 SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, n_messages, canon_md5 FROM kept""")
+
+ORACLES["stream_trial_tail"] = q(f"""
+WITH {TRIAL_CTES}
+SELECT b.run_id, round(b.best_bpb, 6) AS best_bpb, b.best_trial_id, a.n AS trials_logged, a.last_trial
+FROM bt b JOIN (SELECT run_id, count(*)::BIGINT AS n, max(trial_id)::INTEGER AS last_trial FROM tl GROUP BY run_id) a
+  ON a.run_id = b.run_id""")
+
+ORACLES["stream_reply_ingest"] = q(f"""
+WITH {REPLY_CTES},
+ok AS (SELECT i.* FROM items i JOIN astat s ON s.batch_id = i.batch_id AND s.attempt = i.attempt
+       WHERE s.status IN ('ok', 'salvaged') AND i.valid)
+SELECT DISTINCT n_messages, canon_md5 FROM ok""")

@@ -616,3 +616,35 @@ def q_mode_bring_your_own(spark, sf):
 @query("warning_summary")
 def q_warning_summary(spark, sf):
     return validate.warning_summary(derived.dirty_samples(spark, sf)).select("code", F.col("n").cast("bigint").alias("n"))
+
+
+# --- streaming (S1, S2) ----------------------------------------------------------
+
+from chatloom.streaming import reply_ingest, trial_tail  # noqa: E402
+
+
+def _reply_records(spark, sf):
+    r = derived.replies(spark, sf)
+    return r.select("batch_id", "attempt", "reply",
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("batch_id").cast("int"))).alias("ts"))
+
+
+@query("stream_reply_ingest")
+def q_stream_reply_ingest(spark, sf):
+    src = scratch_path(spark, "s1-source")
+    _reply_records(spark, sf).write.mode("overwrite").json(src)
+    sink, ckpt = scratch_path(spark, "s1-sink"), scratch_path(spark, "s1-checkpoint")
+    reply_ingest.start_reply_ingest(spark, src, sink, ckpt).awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select(F.col("n_messages").cast("bigint").alias("n_messages"), "canon_md5")
+
+
+@query("stream_trial_tail")
+def q_stream_trial_tail(spark, sf):
+    logdir = scratch_path(spark, "s2-log")
+    tlog.write_trial_log(_log(spark, sf), logdir)
+    sink, ckpt = scratch_path(spark, "s2-sink"), scratch_path(spark, "s2-checkpoint")
+    trial_tail.start_trial_tail(spark, logdir, sink, ckpt).awaitTermination()
+    v = trial_tail.current_view(spark, sink)
+    return v.select("run_id", F.round("best_bpb", 6).alias("best_bpb"), F.coalesce("best_trial_id", F.lit(-1)).cast("int").alias("best_trial_id"),
+                    F.col("trials_logged").cast("bigint").alias("trials_logged"), F.col("last_trial").cast("int").alias("last_trial"))
