@@ -67,31 +67,40 @@ def _kept_messages(ann: Column) -> Column:
     return F.transform(kept, lambda m: F.struct(m["norm"].alias("role"), m["stripped"].alias("content")))
 
 
-def _drop_reason(msgs: Column) -> tuple[Column, Column]:
-    """First failing sample rule → (code, detail); NULL when the sample is kept."""
-    ns = F.filter(msgs, lambda m: m["role"] != "system")
+def _with_drop_reason(df: DataFrame, msgs: str = "repaired") -> DataFrame:
+    """First failing sample rule → ``drop_code`` / ``drop_detail`` (NULL when kept).
+
+    Intermediate arrays are staged as columns so each is evaluated once per row.
+    """
+    m = F.col(msgs)
+    df = df.withColumn("_ns", F.filter(m, lambda x: x["role"] != "system"))
+    ns = F.col("_ns")
     n_ns = F.size(ns)
-    first_role = F.get(ns, 0)["role"]
     # index i (1-based in the non-system list) of the first repeated role
     steps = F.when(n_ns >= 2, F.sequence(F.lit(1), n_ns - 1)).otherwise(F.array().cast("array<int>"))
-    rep = F.get(F.filter(steps, lambda i: F.get(ns, i)["role"] == F.get(ns, i - 1)["role"]), 0)
-    has = lambda r: F.exists(msgs, lambda m: m["role"] == r)
-    code = (F.when(F.size(msgs) == 0, F.lit("no_messages"))
+    df = df.withColumn("_rep", F.get(F.filter(steps, lambda i: F.get(ns, i)["role"] == F.get(ns, i - 1)["role"]), 0))
+    df = df.withColumn("_roles", F.transform(m, lambda x: x["role"]))
+    has = lambda r: F.array_contains(F.col("_roles"), r)
+    first_role = F.get(ns, 0)["role"]
+    rep = F.col("_rep")
+    code = (F.when(F.size(m) == 0, F.lit("no_messages"))
             .when(~has("user"), F.lit("no_user"))
             .when(~has("assistant"), F.lit("no_assistant"))
             .when(first_role != "user", F.lit("first_not_user"))
             .when(rep.isNotNull(), F.lit("consecutive_roles")))
-    detail = (F.when(code == "no_messages", F.lit("Dropped sample: no messages remaining after cleanup."))
-              .when(code == "no_user", F.lit("Dropped sample: no 'user' turn after repair."))
-              .when(code == "no_assistant", F.lit("Dropped sample: no 'assistant' turn after repair."))
-              .when(code == "first_not_user",
+    df = df.withColumn("drop_code", code)
+    c = F.col("drop_code")
+    detail = (F.when(c == "no_messages", F.lit("Dropped sample: no messages remaining after cleanup."))
+              .when(c == "no_user", F.lit("Dropped sample: no 'user' turn after repair."))
+              .when(c == "no_assistant", F.lit("Dropped sample: no 'assistant' turn after repair."))
+              .when(c == "first_not_user",
                     F.concat(F.lit("Dropped sample: first non-system turn is "), py_repr(first_role),
                              F.lit(", expected 'user'.")))
-              .when(code == "consecutive_roles",
+              .when(c == "consecutive_roles",
                     F.concat(F.lit("Dropped sample: consecutive "), py_repr(F.get(ns, rep)["role"]),
                              F.lit(" turns at positions "), (rep - 1).cast("string"), F.lit(","),
                              rep.cast("string"), F.lit("."))))
-    return code, detail
+    return df.withColumn("drop_detail", detail).drop("_ns", "_rep", "_roles")
 
 
 def repair(samples: DataFrame) -> DataFrame:
@@ -100,13 +109,11 @@ def repair(samples: DataFrame) -> DataFrame:
     Message rules in order: drop empty (after strip), warn when stripped, drop unknown
     role, warn when the role was normalized. Sample rules: first failing only.
     """
-    ann = _annotate(F.col("messages"))
-    staged = samples.withColumn("_ann", ann).withColumn("repaired", _kept_messages(F.col("_ann")))
-    code, detail = _drop_reason(F.col("repaired"))
-    drop_w = F.when(code.isNotNull(), F.array(F.struct(F.lit(None).cast("int").alias("msg_pos"),
-                                                       code.alias("code"), detail.alias("detail"))))
-    return (staged.withColumn("drop_code", code).withColumn("drop_detail", detail)
-            .withColumn("warnings", F.concat(_message_warnings(F.col("_ann")), F.coalesce(drop_w, _no_warn())))
+    staged = samples.withColumn("_ann", _annotate(F.col("messages"))).withColumn("repaired", _kept_messages(F.col("_ann")))
+    staged = _with_drop_reason(staged)
+    drop_w = F.when(F.col("drop_code").isNotNull(), F.array(F.struct(
+        F.lit(None).cast("int").alias("msg_pos"), F.col("drop_code").alias("code"), F.col("drop_detail").alias("detail"))))
+    return (staged.withColumn("warnings", F.concat(_message_warnings(F.col("_ann")), F.coalesce(drop_w, _no_warn())))
             .drop("_ann"))
 
 
