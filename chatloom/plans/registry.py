@@ -359,8 +359,7 @@ def _log(spark, sf):
 
 @query("running_best")
 def q_running_best(spark, sf):
-    log = _log(spark, sf).drop("kept")
-    rb = trials.running_best(log)
+    rb = trials.running_best(derived.trial_log_base(spark, sf))
     return rb.select("run_id", "trial_id", F.round("best_before", 6).alias("best_before"), F.col("is_best").alias("kept"))
 
 

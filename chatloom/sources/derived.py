@@ -155,10 +155,15 @@ def recipe_diff_text(event_type: F.Column, k: F.Column) -> F.Column:
 def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trial per event; ``eval_bpb = value`` or +inf for ``error`` events; ``kept`` is
     the running-best flag as the tuning loop logs it."""
-    from pyspark.sql import Window
-
     from chatloom.operators.trials import running_best
 
+    return running_best(trial_log_base(spark, sf_dir)).withColumnRenamed("is_best", "kept").drop("best_before")
+
+
+def trial_log_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trial log without the ``kept`` flag."""
+    from pyspark.sql import Window
+
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -172,7 +177,7 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("steps"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
     )
-    return running_best(log).withColumnRenamed("is_best", "kept").drop("best_before")
+    return log
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
