@@ -96,3 +96,12 @@ def dense_positions_by(df: DataFrame, order_cols: list[str], pos_col: str = "ord
     return (ranged.join(F.broadcast(offsets), "_bkt")
             .withColumn(pos_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
             .drop("_bkt", "_off"))
+
+
+def group_positions(df: DataFrame, group_cols: list[str], order_cols: list[str], pos_col: str = "pos") -> DataFrame:
+    """0-based position inside each group without a per-group window: a global dense
+    position in (group, order) order minus the group's first position (an aggregate).
+    A group holding a third of all rows is still spread over many range buckets."""
+    g = dense_positions_by(df, group_cols + order_cols, "_gpos")
+    first = g.groupBy(*group_cols).agg(F.min("_gpos").alias("_gmin"))
+    return g.join(first, group_cols).withColumn(pos_col, F.col("_gpos") - F.col("_gmin")).drop("_gpos", "_gmin")

@@ -161,15 +161,15 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_log_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trial log without the ``kept`` flag."""
-    from pyspark.sql import Window
+    """The trial log without the ``kept`` flag; trial ids are positions in (ts, event_id)
+    order inside each user's run (no per-run window)."""
+    from chatloom.operators.positions import group_positions
 
-    e = table(spark, sf_dir, "events")
+    e = group_positions(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "_trial")
     k = F.get_json_object("props", "$.k").cast("int")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     log = e.select(
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("trial_id"),
+        F.col("_trial").cast("int").alias("trial_id"),
         recipe_diff_text(F.col("event_type"), k).alias("recipe_diff"),
         F.when(F.col("event_type") == "error", F.lit(float("inf"))).otherwise(F.col("value")).alias("eval_bpb"),
         F.lit(None).cast("double").alias("judge_score"),
