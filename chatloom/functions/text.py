@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatloom.schema import WS_CLASS
+from chatloom.schema import WS_CLASS_JAVA as WS
 
 
 def _c(col) -> Column:
@@ -19,13 +19,13 @@ def ustrip(col) -> Column:
     position of a long text is the slow part otherwise.
     """
     c = _c(col)
-    edge = F.substring(c, 1, 1).rlike(WS_CLASS) | F.substring(c, -1, 1).rlike(WS_CLASS)
-    return F.when(edge, F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")).otherwise(c)
+    edge = F.substring(c, 1, 1).rlike(f"(?U){WS}") | F.substring(c, -1, 1).rlike(f"(?U){WS}")
+    return F.when(edge, F.regexp_replace(c, f"(?U)^{WS}+|{WS}+$", "")).otherwise(c)
 
 
 def tokens(col) -> Column:
     """``set(text.lower().split())`` as a sorted-free distinct array of strings."""
-    parts = F.split(F.lower(_c(col)), f"{WS_CLASS}+")
+    parts = F.split(F.lower(_c(col)), f"(?U){WS}+")
     return F.array_distinct(F.array_remove(parts, ""))
 
 

@@ -29,6 +29,10 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same set for Java regex: with the (?U) flag, \s is Unicode White_Space, which equals
+# str.isspace() except for \x1c-\x1f. Patterns using it must start with (?U).
+WS_CLASS_JAVA = r"[\s\x1c-\x1f]"
+
 VALID_ROLES = ("system", "user", "assistant")
 
 # Role aliases applied by repair / strict validation (after lower + strip).
