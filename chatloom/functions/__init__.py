@@ -1,6 +1,6 @@
 """Column expressions (JVM-side, codegen-friendly) used by the operators."""
 
-from chatloom.functions.text import py_repr, tokens, ustrip
+from chatloom.functions.text import bind, py_repr, tokens, ustrip
 from chatloom.functions.messages import (
     assistant_chars,
     canonical_text,
@@ -11,6 +11,7 @@ from chatloom.functions.messages import (
 
 __all__ = [
     "assistant_chars",
+    "bind",
     "canonical_text",
     "first_content",
     "normalize_role",

@@ -37,3 +37,9 @@ def py_repr(col) -> Column:
     single = F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'"))
     use_double = (F.instr(c, "'") > 0) & (F.instr(c, '"') == 0)
     return F.when(use_double, double).otherwise(single)
+
+
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a let-binding through a one-element
+    ``transform``), so an expensive expression is not copied into every use."""
+    return F.get(F.transform(F.array(value), fn), 0)

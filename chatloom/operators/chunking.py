@@ -48,7 +48,8 @@ def chunk_column(text: Column, chunk_chars: int = CHUNK_CHARS) -> Column:
 def chunk_text(docs: DataFrame, text_col: str = "text", key: str = "doc_id", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``(key, chunk_idx, n_chunks, chunk)`` — one row per chunk, 0-based ``chunk_idx``."""
     c = docs.select(key, chunk_column(F.col(text_col), chunk_chars).alias("_chunks"))
-    return c.select(key, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_idx", "chunk")).select(
+    c = c.select(key, F.size("_chunks").alias("n_chunks"), F.posexplode_outer("_chunks").alias("chunk_idx", "chunk"))
+    return c.where(F.col("chunk_idx").isNotNull()).select(
         key, F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("n_chunks").cast("int").alias("n_chunks"), "chunk")
 
 

@@ -127,7 +127,8 @@ def validate_and_repair(samples: DataFrame, keep_id: bool = True) -> DataFrame:
 def repair_warnings(samples: DataFrame, index_col: str = "ord") -> DataFrame:
     """Long warning table ``(ord, seq, msg_pos, code, message)``; message = "Sample {i}: …"."""
     r = repair(samples)
-    return r.select("ord", F.col(index_col).alias("_i"), F.posexplode("warnings").alias("seq", "w")).select(
+    r = r.select("ord", F.col(index_col).alias("_i"), F.posexplode_outer("warnings").alias("seq", "w"))
+    return r.where(F.col("seq").isNotNull()).select(
         "ord", F.col("seq").cast("int").alias("seq"), F.coalesce(F.col("w.msg_pos"), F.lit(-1)).alias("msg_pos"), F.col("w.code").alias("code"),
         F.concat(F.lit("Sample "), F.col("_i").cast("string"), F.lit(": "), F.col("w.detail")).alias("message"),
     )
@@ -169,6 +170,7 @@ def validate_strict(samples: DataFrame, index_col: str = "ord") -> DataFrame:
 
     errors = F.when(F.size(msgs) == 0, F.array(err(F.lit(None), "no_messages", F.concat(prefix, F.lit(": has no messages."))))).otherwise(
         F.concat(sample_errs, F.flatten(F.transform(msgs, per_msg))))
-    return samples.select("ord", F.posexplode(errors).alias("seq", "e")).select(
+    out = samples.select("ord", F.posexplode_outer(errors).alias("seq", "e")).where(F.col("seq").isNotNull())
+    return out.select(
         "ord", F.col("seq").cast("int").alias("seq"), F.coalesce(F.col("e.msg_pos"), F.lit(-1)).alias("msg_pos"), F.col("e.code").alias("code"),
         F.col("e.message").alias("message"))

@@ -60,8 +60,8 @@ def read_json_array(spark: SparkSession, path: str, strict: bool = True) -> tupl
     file_rejects = staged.where(F.col("arr").isNull()).select(
         "file", F.lit(-1).cast("long").alias("pos"),
         F.when(F.col("v").isNull(), F.lit("invalid_json")).otherwise(F.lit("not_array")).alias("reason"))
-    items = staged.where(F.col("arr").isNotNull()).select("file", F.posexplode("arr").alias("pos", "item")).withColumn(
-        "s", parse_sample(F.col("item")))
+    items = (staged.where(F.col("arr").isNotNull()).select("file", F.posexplode_outer("arr").alias("pos", "item"))
+             .where(F.col("pos").isNotNull()).withColumn("s", parse_sample(F.col("item"))))
     item_rejects = items.where(F.col("s.reason").isNotNull()).select("file", F.col("pos").cast("long"), F.col("s.reason").alias("reason"))
     rejects = file_rejects.unionByName(item_rejects)
     samples = items.where(F.col("s.reason").isNull()).select(
