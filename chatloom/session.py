@@ -58,12 +58,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[str] = set()
 
 
+def _write_shared_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write bytes to ``path`` through the Hadoop FileSystem of the session (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(conf).create(jpath, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``chatloom`` importable in Python workers (pandas UDFs, ``mapInPandas``).
 
-    The package is zipped once per application and added with ``addPyFile``, which is
-    how Spark distributes Python code to executors.
+    The package is zipped once per application into the shared checkpoint folder and added
+    with ``addPyFile``, which is how Spark distributes Python code to executors.
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -71,12 +84,14 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="chatloom-pyfiles-"), "chatloom.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _, files in os.walk(pkg_dir):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(out)
+    target = f"{checkpoint_root(spark)}/chatloom-pyfiles-{uuid.uuid4().hex[:12]}/chatloom.zip"
+    _write_shared_file(spark, target, buf.getvalue())
+    sc.addPyFile(target)
     _SHIPPED.add(app)
