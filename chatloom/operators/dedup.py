@@ -65,6 +65,21 @@ def _prefix_len(n: F.Column, threshold: float) -> F.Column:
     return n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1
 
 
+def prefix_rows(reps: DataFrame, threshold: float) -> DataFrame:
+    """``(rep, n_tokens, tok)``: each set's prefix under the global (frequency, token) order."""
+    occ = reps.where(F.col("n_tokens") > 0).select("rep", "n_tokens", F.explode("tokens").alias("tok"))
+    freq = occ.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
+    w = Window.partitionBy("rep").orderBy("freq", "tok")
+    return (occ.join(freq, "tok").withColumn("_i", F.row_number().over(w))
+            .where(F.col("_i") <= _prefix_len(F.col("n_tokens"), threshold))
+            .select("rep", "n_tokens", "tok"))
+
+
+def _size_ok(a: str, b: str, threshold: float) -> F.Column:
+    # J ≥ t needs min(na, nb) ≥ t · max(na, nb)
+    return F.least(f"{a}.n_tokens", f"{b}.n_tokens") >= F.lit(threshold) * F.greatest(f"{a}.n_tokens", f"{b}.n_tokens") - F.lit(1e-9)
+
+
 def prefix_candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs ``(a, b)``, a < b, from the prefix filter over global token frequency.
 
@@ -72,20 +87,9 @@ def prefix_candidates(reps: DataFrame, threshold: float) -> DataFrame:
     of both sets when tokens are ordered by (frequency, token). Frequent tokens sit at the
     end of that order, so they enter prefixes only of sets made of frequent tokens.
     """
-    occ = reps.where(F.col("n_tokens") > 0).select("rep", "n_tokens", F.explode("tokens").alias("tok"))
-    freq = occ.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = occ.join(freq, "tok")
-    w = Window.partitionBy("rep").orderBy("freq", "tok")
-    prefix = (ranked.withColumn("_i", F.row_number().over(w))
-              .where(F.col("_i") <= _prefix_len(F.col("n_tokens"), threshold))
-              .select("rep", "n_tokens", "tok"))
+    prefix = prefix_rows(reps, threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
-    cond = [
-        F.col("a.tok") == F.col("b.tok"),
-        F.col("a.rep") < F.col("b.rep"),
-        # size filter: J ≥ t needs min(na, nb) ≥ t · max(na, nb)
-        F.least("a.n_tokens", "b.n_tokens") >= F.lit(threshold) * F.greatest("a.n_tokens", "b.n_tokens") - F.lit(1e-9),
-    ]
+    cond = [F.col("a.tok") == F.col("b.tok"), F.col("a.rep") < F.col("b.rep"), _size_ok("a", "b", threshold)]
     return a.join(b, cond).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
@@ -174,14 +178,83 @@ def greedy_keep_first(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"greedy keep-first did not settle within {max_rounds} rounds")
 
 
-def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text=None, verify: bool = True) -> DataFrame:
+def wave_keep_first(reps: DataFrame, threshold: float, max_rounds: int = 6) -> DataFrame:
+    """Keep-first over representatives without pairing undecided sets with each other
+    → dropped reps ``(x)``.
+
+    Round: (1) drop every undecided set that is similar (verified Jaccard) to a set kept in
+    the previous round with a lower ``ord`` — pairs are undecided × newly kept only;
+    (2) keep every undecided set that is the lowest undecided ``ord`` in each of its prefix-
+    token groups — similar pairs always share a prefix token, so no lower undecided set can
+    be similar to it. A group of near copies resolves in two rounds with one check per
+    member, where a pair join would emit every pair of the group. The lowest undecided set
+    always qualifies, so each round decides something; after ``max_rounds`` the remaining
+    undecided sets are finished exactly by the pair method (:func:`greedy_keep_first`).
+    """
+    from chatloom.session import checkpoint_root
+
+    spark = reps.sparkSession
+    checkpoint_root(spark)
+    prefix = prefix_rows(reps, threshold).checkpoint()
+    toks = reps.select("rep", "tokens")
+    # status: 0 undecided, 1 kept (in an earlier round), 2 kept in the last round, 3 dropped
+    status = reps.select("rep", F.when(F.col("n_tokens") == 0, F.lit(2)).otherwise(F.lit(0)).alias("s")).checkpoint()
+    for _ in range(max_rounds):
+        open_p = prefix.join(status.where("s = 0"), "rep")
+        new_p = prefix.join(status.where("s = 2"), "rep")
+        u, k = open_p.alias("u"), new_p.alias("k")
+        cand = (u.join(k, (F.col("u.tok") == F.col("k.tok")) & (F.col("k.rep") < F.col("u.rep")) & _size_ok("u", "k", threshold))
+                .select(F.col("k.rep").alias("a"), F.col("u.rep").alias("b")).distinct())
+        dropped = verify_pairs(cand, reps, threshold).select(F.col("b").alias("rep")).distinct()
+        still = status.where("s = 0").join(dropped, "rep", "left_anti")
+        still_p = prefix.join(still.select("rep"), "rep")
+        lowest = still_p.groupBy("tok").agg(F.min("rep").alias("_low"))
+        leaders = (still_p.join(lowest, "tok").groupBy("rep")
+                   .agg(F.min((F.col("_low") == F.col("rep")).cast("int")).alias("_lead"))
+                   .where("_lead = 1").select("rep"))
+        nxt = (status.join(dropped.withColumn("_d", F.lit(1)), "rep", "left")
+               .join(leaders.withColumn("_l", F.lit(1)), "rep", "left")
+               .select("rep", F.when(F.col("s") == 2, F.lit(1))
+                       .when((F.col("s") == 0) & F.col("_d").isNotNull(), F.lit(3))
+                       .when((F.col("s") == 0) & F.col("_l").isNotNull(), F.lit(2))
+                       .otherwise(F.col("s")).alias("s"))
+               .checkpoint())
+        status = nxt
+        if status.where("s = 0").isEmpty():
+            return status.where("s = 3").select(F.col("rep").alias("x"))
+    # Finish exactly: the remaining undecided sets and every kept set, by the pair method.
+    live = status.where("s <> 3")
+    live_reps = reps.join(live.select("rep"), "rep")
+    pairs = verify_pairs(prefix_candidates(live_reps, threshold), reps, threshold)
+    kept_before = status.where("s IN (1, 2)").select("rep")
+    # kept sets stay kept: only pairs whose lower end is kept or undecided can drop a set
+    dropped_rest = greedy_keep_first(pairs).join(kept_before.withColumnRenamed("rep", "x"), "x", "left_anti")
+    return status.where("s = 3").select(F.col("rep").alias("x")).unionByName(dropped_rest)
+
+
+def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text=None, verify: bool = True,
+               greedy: str = "pairs") -> DataFrame:
     """Keep-first near-duplicate removal (D5): drop a row only when it is similar to an
-    earlier *kept* row. Rows come back with their columns; order key is ``ord``."""
+    earlier *kept* row. Rows come back with their columns; order key is ``ord``.
+
+    ``mode="exact"`` (default) decides over the verified pair table (``greedy="pairs"``,
+    rounds over the pair graph) or with :func:`wave_keep_first` (``greedy="wave"``), which
+    never pairs undecided sets with each other and suits inputs with large clusters of near
+    copies; ``mode="lsh"`` uses band collisions.
+    """
     if not (0.0 < threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
     sets = token_sets(df, text)
-    pairs, reps, members = near_dup_pairs(sets, threshold, mode, verify)
-    dropped = greedy_keep_first(pairs)
+    if mode == "exact" and greedy == "wave":
+        from chatloom.session import checkpoint_root
+
+        checkpoint_root(sets.sparkSession)
+        reps, members = collapse_identical_sets(sets, checkpoint=True)
+        reps = reps.checkpoint()
+        dropped = wave_keep_first(reps, threshold)
+    else:
+        pairs, reps, members = near_dup_pairs(sets, threshold, mode, verify)
+        dropped = greedy_keep_first(pairs)
     kept_reps = reps.select("rep").join(dropped.withColumnRenamed("x", "rep"), "rep", "left_anti")
     kept_ords = members.where(F.col("ord") == F.col("rep")).join(kept_reps, "rep").select("ord")
     return df.join(kept_ords, "ord", "left_semi")

@@ -109,3 +109,31 @@ def test_greedy_random_graphs(spark):
             if not any((k, x) in edges for k in kept):
                 kept.append(x)
         assert dropped == set(range(n)) - set(kept)
+
+
+def test_wave_near_copy_cluster_and_fallback(spark):
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(40):                      # near copies: each swaps one word of the base text
+        t = list(base)
+        t[rnd.randrange(60)] = f"u{i}"
+        texts.append(" ".join(t))
+    texts += [" ".join(rnd.sample(base, 20)) + f" z{i}" for i in range(10)]
+    want = sequential_keep_first(texts, 0.85)
+    assert _kept(spark, texts) == want
+    sets = dedup.token_sets(_texts(spark, texts), F.col("text"))
+    reps, members = dedup.collapse_identical_sets(sets)
+    dropped = {r["x"] for r in dedup.wave_keep_first(reps, 0.85, max_rounds=1).collect()}
+    assert sorted(set(range(len(texts))) - dropped) == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.data())
+def test_pair_greedy_equals_sequential(spark, data):
+    vocab = [f"t{i}" for i in range(10)]
+    n = data.draw(st.integers(3, 20))
+    texts = [" ".join(data.draw(st.lists(st.sampled_from(vocab), min_size=0, max_size=7))) for _ in range(n)]
+    df = _texts(spark, texts)
+    got = sorted(r["ord"] for r in dedup.near_dedup(df, 0.7, text=F.col("text"), greedy="pairs").collect())
+    assert got == sequential_keep_first(texts, 0.7)
