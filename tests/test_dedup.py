@@ -122,6 +122,8 @@ def test_wave_near_copy_cluster_and_fallback(spark):
     texts += [" ".join(rnd.sample(base, 20)) + f" z{i}" for i in range(10)]
     want = sequential_keep_first(texts, 0.85)
     assert _kept(spark, texts) == want
+    df = _texts(spark, texts)
+    assert sorted(r["ord"] for r in dedup.near_dedup(df, 0.85, text=F.col("text"), greedy="wave").collect()) == want
     sets = dedup.token_sets(_texts(spark, texts), F.col("text"))
     reps, members = dedup.collapse_identical_sets(sets)
     dropped = {r["x"] for r in dedup.wave_keep_first(reps, 0.85, max_rounds=1).collect()}
