@@ -819,3 +819,17 @@ WITH {REPLY_CTES},
 ok AS (SELECT i.* FROM items i JOIN astat s ON s.batch_id = i.batch_id AND s.attempt = i.attempt
        WHERE s.status IN ('ok', 'salvaged') AND i.valid)
 SELECT DISTINCT n_messages, canon_md5 FROM ok""")
+
+ORACLES["mode_structure"] = q(f"""
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)},
+okc AS (SELECT doc_id, chunk_idx, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn
+        FROM chunks WHERE length(chunk) >= 200),
+acq AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS ord, substr(chunk, 1, 200) AS ans FROM okc WHERE rn <= 50),
+{token_ctes("SELECT ord, 'user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || ans AS text FROM acq")},
+{jaccard_pairs_cte()}, {greedy_ctes()},
+jr AS ({JUDGE_REPLIES}),
+gated AS (SELECT g.ord FROM gkept g LEFT JOIN jr ON jr.ord = g.ord WHERE coalesce(jr.parsed, 3.0) >= 3.0),
+fin AS (SELECT a.ord, {strip_sql('a.ans')} AS ans FROM acq a SEMI JOIN gated g ON g.ord = a.ord)
+SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, 2::BIGINT AS n_messages,
+       md5('user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || ans) AS canon_md5
+FROM fin""")
