@@ -48,8 +48,13 @@ UNION ALL
 SELECT doc_id AS ord, 1 AS turn, 'assistant' AS role, text AS content FROM documents"""
 
 # Repair of the dirty turns: annotated messages, kept messages, first failing rule.
-REPAIR_CTES = f"""
-dt AS ({DIRTY_TURNS}),
+def repair_ctes(turns_sql: str) -> str:
+    """``turns_sql`` yields (ord, turn, role, content)."""
+    return REPAIR_CTES_TEMPLATE.replace("@TURNS@", turns_sql)
+
+
+REPAIR_CTES_TEMPLATE = f"""
+dt AS (@TURNS@),
 ann AS (
   SELECT ord, turn, (row_number() OVER (PARTITION BY ord ORDER BY turn) - 1) AS pos,
          role AS raw_role, content AS raw, {strip_sql('content')} AS stripped, {norm_sql('role')} AS norm
@@ -84,6 +89,8 @@ reason AS (
     END AS detail
   FROM reason0 r)"""
 
+REPAIR_CTES = REPAIR_CTES_TEMPLATE.replace("@TURNS@", DIRTY_TURNS)
+
 
 def q(sql: str) -> str:
     return sql.strip()
@@ -216,7 +223,7 @@ toks AS (SELECT ord, unnest(tl) AS tok FROM tl),
 sizes AS (SELECT ord, len(tl)::BIGINT AS n FROM tl),
 setkey AS (SELECT ord, CASE WHEN len(tl) = 0 THEN 'empty:' || ord ELSE md5(array_to_string(list_sort(tl), ' ')) END AS k FROM tl),
 reps AS (SELECT min(ord) AS rep FROM setkey GROUP BY k),
-rt AS (SELECT t.ord, t.tok FROM toks t SEMI JOIN reps r ON r.rep = t.ord)"""
+rtok AS (SELECT t.ord, t.tok FROM toks t SEMI JOIN reps r ON r.rep = t.ord)"""
 
 
 def greedy_ctes(pairs: str = "pairs") -> str:
@@ -234,7 +241,7 @@ gkept AS (SELECT rep AS ord FROM reps WHERE rep NOT IN (SELECT x FROM gdropped))
 
 def jaccard_pairs_cte(threshold: float = 0.85) -> str:
     return f"""
-inter AS (SELECT a.ord AS a, b.ord AS b, count(*) AS i FROM rt a JOIN rt b ON a.tok = b.tok AND a.ord < b.ord GROUP BY ALL),
+inter AS (SELECT a.ord AS a, b.ord AS b, count(*) AS i FROM rtok a JOIN rtok b ON a.tok = b.tok AND a.ord < b.ord GROUP BY ALL),
 pairs AS (
   SELECT a, b, i / (sa.n + sb.n - i) AS jaccard FROM inter
   JOIN sizes sa ON sa.ord = a JOIN sizes sb ON sb.ord = b
@@ -332,7 +339,7 @@ grp AS (
     md5(CASE WHEN role = 'user' AND nxt = 'assistant' THEN role || chr(1) || text || chr(0) || nxt || chr(1) || ntext
              ELSE role || chr(1) || text END) AS canon_md5
   FROM fl WHERE role = 'user' OR (role = 'assistant' AND coalesce(prev, '') <> 'user')),
-wrapped AS (SELECT c, (row_number() OVER (PARTITION BY c ORDER BY start) - 1)::INTEGER AS pos, n_messages, canon_md5 FROM grp),
+wrapped AS (SELECT c, start, (row_number() OVER (PARTITION BY c ORDER BY start) - 1)::INTEGER AS pos, n_messages, canon_md5 FROM grp),
 items AS (
   SELECT a.batch_id, a.attempt, 0 AS pos, o.n AS n_messages,
          CASE WHEN a.batch_id % 8 = 7 THEN o.m7 ELSE o.m END AS canon_md5, true AS valid
@@ -833,3 +840,28 @@ fin AS (SELECT a.ord, {strip_sql('a.ans')} AS ans FROM acq a SEMI JOIN gated g O
 SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, 2::BIGINT AS n_messages,
        md5('user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || ans) AS canon_md5
 FROM fin""")
+
+ORACLES["mode_generate"] = q(f"""
+WITH RECURSIVE {REPLY_CTES},
+used AS (SELECT a.batch_id FROM att a JOIN merged m ON m.batch_id = a.batch_id AND m.used_attempt = a.attempt
+         WHERE a.kind = 'damaged'),
+imsg AS (
+  SELECT t.c AS batch_id, 0 AS pos, t.turn AS mpos, t.role,
+         CASE WHEN t.c % 8 = 7 THEN '\\p' || t.text ELSE t.text END AS content
+  FROM rt t WHERE t.c IN (SELECT batch_id FROM used) AND t.c % 8 <> 4
+  UNION ALL
+  SELECT w.c, w.pos, 0, f.role, f.text FROM wrapped w JOIN fl f ON f.c = w.c AND f.turn = w.start
+  WHERE w.c IN (SELECT batch_id FROM used)
+  UNION ALL
+  SELECT w.c, w.pos, 1, f.nxt, f.ntext FROM wrapped w JOIN fl f ON f.c = w.c AND f.turn = w.start
+  WHERE w.c IN (SELECT batch_id FROM used) AND w.n_messages = 2),
+acq AS (SELECT batch_id, pos, row_number() OVER (ORDER BY batch_id, pos) - 1 AS ord FROM (SELECT DISTINCT batch_id, pos FROM imsg)),
+am AS (SELECT a.ord, i.mpos, i.role, i.content FROM acq a JOIN imsg i ON i.batch_id = a.batch_id AND i.pos = a.pos),
+lenok AS (SELECT ord FROM am GROUP BY ord HAVING coalesce(sum(length(content)) FILTER (WHERE role = 'assistant'), 0) >= 50),
+{token_ctes("SELECT ord, string_agg(role || chr(1) || content, chr(0) ORDER BY mpos) AS text FROM am WHERE ord IN (SELECT ord FROM lenok) GROUP BY ord")},
+{jaccard_pairs_cte()}, {greedy_ctes()},
+{repair_ctes("SELECT ord, mpos AS turn, role, content FROM am WHERE ord IN (SELECT ord FROM gkept)")},
+keptids AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS p FROM reason WHERE code IS NULL)
+SELECT k.ord, printf('sample_%04d', any_value(ki.p)) AS id, count(*)::BIGINT AS n_messages,
+       {canon_md5('k.role', 'k.content', 'k.pos')} AS canon_md5
+FROM k JOIN keptids ki ON ki.ord = k.ord GROUP BY k.ord""")
