@@ -178,80 +178,90 @@ def greedy_keep_first(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"greedy keep-first did not settle within {max_rounds} rounds")
 
 
-def wave_keep_first(reps: DataFrame, threshold: float, max_rounds: int = 6) -> DataFrame:
-    """Keep-first over representatives without pairing undecided sets with each other
-    → dropped reps ``(x)``.
-
-    Round: (1) drop every undecided set that is similar (verified Jaccard) to a set kept in
-    the previous round with a lower ``ord`` — pairs are undecided × newly kept only;
-    (2) keep every undecided set that is the lowest undecided ``ord`` in each of its prefix-
-    token groups — similar pairs always share a prefix token, so no lower undecided set can
-    be similar to it. A group of near copies resolves in two rounds with one check per
-    member, where a pair join would emit every pair of the group. The lowest undecided set
-    always qualifies, so each round decides something; after ``max_rounds`` the remaining
-    undecided sets are finished exactly by the pair method (:func:`greedy_keep_first`).
+def hybrid_keep_first(reps: DataFrame, threshold: float, group_limit: int = 1000, max_rounds: int = 100_000) -> DataFrame:
+    """Keep-first over representatives → dropped reps ``(x)``, without pairing the members
+    of large prefix-token groups with each other.
+
+    Prefix-token groups of at most ``group_limit`` sets are joined once into verified
+    similar pairs ``S`` (cost bounded by the limit). Larger groups — where clusters of
+    near copies land — use a leader rule instead. Each round:
+
+    1. drop undecided sets with a similar lower set kept in the last round: via ``S``, and
+       in large groups by checking undecided × newly kept members only;
+    2. keep every undecided set that has no undecided lower ``S`` neighbour and is the
+       lowest undecided member of each of its large groups. Similar pairs always share a
+       prefix token, so no undecided lower set can be similar to it.
+
+    The lowest undecided set always qualifies, so every round decides at least one set.
+    ``group_limit=0`` is a pure leader wave; a very large limit is the pair method.
     """
     from chatloom.session import checkpoint_root
 
     spark = reps.sparkSession
     checkpoint_root(spark)
     prefix = prefix_rows(reps, threshold).checkpoint()
-    toks = reps.select("rep", "tokens")
-    # status: 0 undecided, 1 kept (in an earlier round), 2 kept in the last round, 3 dropped
-    status = reps.select("rep", F.when(F.col("n_tokens") == 0, F.lit(2)).otherwise(F.lit(0)).alias("s")).checkpoint()
+    gsize = prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("_gn"))
+    small_p = prefix.join(gsize.where(F.col("_gn") <= group_limit).select("tok"), "tok")
+    large_p = prefix.join(gsize.where(F.col("_gn") > group_limit).select("tok"), "tok").checkpoint()
+    a, b = small_p.alias("a"), small_p.alias("b")
+    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.rep") < F.col("b.rep")) & _size_ok("a", "b", threshold))
+            .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
+    pairs = verify_pairs(cand, reps, threshold).select("a", "b").checkpoint()
+    # status: 0 undecided, 1 kept earlier, 2 kept in the last round, 3 dropped
+    status = reps.select("rep", F.when(F.col("n_tokens") == 0, F.lit(1)).otherwise(F.lit(0)).alias("s")).checkpoint()
     for _ in range(max_rounds):
-        open_p = prefix.join(status.where("s = 0"), "rep")
-        new_p = prefix.join(status.where("s = 2"), "rep")
-        u, k = open_p.alias("u"), new_p.alias("k")
-        cand = (u.join(k, (F.col("u.tok") == F.col("k.tok")) & (F.col("k.rep") < F.col("u.rep")) & _size_ok("u", "k", threshold))
-                .select(F.col("k.rep").alias("a"), F.col("u.rep").alias("b")).distinct())
-        dropped = verify_pairs(cand, reps, threshold).select(F.col("b").alias("rep")).distinct()
-        still = status.where("s = 0").join(dropped, "rep", "left_anti")
-        still_p = prefix.join(still.select("rep"), "rep")
-        lowest = still_p.groupBy("tok").agg(F.min("rep").alias("_low"))
-        leaders = (still_p.join(lowest, "tok").groupBy("rep")
-                   .agg(F.min((F.col("_low") == F.col("rep")).cast("int")).alias("_lead"))
-                   .where("_lead = 1").select("rep"))
-        nxt = (status.join(dropped.withColumn("_d", F.lit(1)), "rep", "left")
-               .join(leaders.withColumn("_l", F.lit(1)), "rep", "left")
-               .select("rep", F.when(F.col("s") == 2, F.lit(1))
-                       .when((F.col("s") == 0) & F.col("_d").isNotNull(), F.lit(3))
-                       .when((F.col("s") == 0) & F.col("_l").isNotNull(), F.lit(2))
-                       .otherwise(F.col("s")).alias("s"))
-               .checkpoint())
-        status = nxt
+        und = status.where("s = 0").select("rep")
+        newk = status.where("s = 2").select("rep")
+        via_pairs = pairs.join(newk.withColumnRenamed("rep", "a"), "a").select(F.col("b").alias("rep"))
+        u, k = large_p.join(und, "rep").alias("u"), large_p.join(newk, "rep").alias("k")
+        cand_l = (u.join(k, (F.col("u.tok") == F.col("k.tok")) & (F.col("k.rep") < F.col("u.rep")) & _size_ok("u", "k", threshold))
+                  .select(F.col("k.rep").alias("a"), F.col("u.rep").alias("b")).distinct())
+        via_large = verify_pairs(cand_l, reps, threshold).select(F.col("b").alias("rep"))
+        dropped = via_pairs.unionByName(via_large).distinct().join(und, "rep")
+        still = und.join(dropped, "rep", "left_anti")
+        blocked_s = (pairs.join(still.withColumnRenamed("rep", "b"), "b").join(still.withColumnRenamed("rep", "a"), "a")
+                     .select(F.col("b").alias("rep")))
+        lp = large_p.join(still, "rep")
+        low = lp.groupBy("tok").agg(F.min("rep").alias("_low"))
+        blocked_l = lp.join(low, "tok").where(F.col("rep") != F.col("_low")).select("rep")
+        leaders = still.join(blocked_s.unionByName(blocked_l).distinct(), "rep", "left_anti")
+        status = (status.join(dropped.withColumn("_d", F.lit(1)), "rep", "left")
+                  .join(leaders.withColumn("_l", F.lit(1)), "rep", "left")
+                  .select("rep", F.when(F.col("s") == 2, F.lit(1))
+                          .when((F.col("s") == 0) & F.col("_d").isNotNull(), F.lit(3))
+                          .when((F.col("s") == 0) & F.col("_l").isNotNull(), F.lit(2))
+                          .otherwise(F.col("s")).alias("s"))
+                  .checkpoint())
         if status.where("s = 0").isEmpty():
             return status.where("s = 3").select(F.col("rep").alias("x"))
-    # Finish exactly: the remaining undecided sets and every kept set, by the pair method.
-    live = status.where("s <> 3")
-    live_reps = reps.join(live.select("rep"), "rep")
-    pairs = verify_pairs(prefix_candidates(live_reps, threshold), reps, threshold)
-    kept_before = status.where("s IN (1, 2)").select("rep")
-    # kept sets stay kept: only pairs whose lower end is kept or undecided can drop a set
-    dropped_rest = greedy_keep_first(pairs).join(kept_before.withColumnRenamed("rep", "x"), "x", "left_anti")
-    return status.where("s = 3").select(F.col("rep").alias("x")).unionByName(dropped_rest)
+    raise RuntimeError(f"keep-first did not settle within {max_rounds} rounds")
+
+
+def wave_keep_first(reps: DataFrame, threshold: float) -> DataFrame:
+    """The pure leader wave: no set is ever paired with another undecided set."""
+    return hybrid_keep_first(reps, threshold, group_limit=0)
 
 
 def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text=None, verify: bool = True,
-               greedy: str = "pairs") -> DataFrame:
+               greedy: str = "hybrid", group_limit: int = 1000) -> DataFrame:
     """Keep-first near-duplicate removal (D5): drop a row only when it is similar to an
     earlier *kept* row. Rows come back with their columns; order key is ``ord``.
 
-    ``mode="exact"`` (default) decides over the verified pair table (``greedy="pairs"``,
-    rounds over the pair graph) or with :func:`wave_keep_first` (``greedy="wave"``), which
-    never pairs undecided sets with each other and suits inputs with large clusters of near
-    copies; ``mode="lsh"`` uses band collisions.
+    ``mode="exact"`` decides with :func:`hybrid_keep_first` (default ``greedy="hybrid"``:
+    pairs inside prefix-token groups of at most ``group_limit`` sets, a leader wave in larger
+    groups), over the full verified pair table (``greedy="pairs"``) or as a pure wave
+    (``greedy="wave"``); ``mode="lsh"`` uses band collisions.
     """
     if not (0.0 < threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
     sets = token_sets(df, text)
-    if mode == "exact" and greedy == "wave":
+    if mode == "exact" and greedy in ("hybrid", "wave"):
         from chatloom.session import checkpoint_root
 
         checkpoint_root(sets.sparkSession)
         reps, members = collapse_identical_sets(sets, checkpoint=True)
         reps = reps.checkpoint()
-        dropped = wave_keep_first(reps, threshold)
+        dropped = hybrid_keep_first(reps, threshold, group_limit if greedy == "hybrid" else 0)
     else:
         pairs, reps, members = near_dup_pairs(sets, threshold, mode, verify)
         dropped = greedy_keep_first(pairs)

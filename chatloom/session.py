@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, app: str = "chatloom", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CHATLOOM_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.ui.retainedExecutions", "50")
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "100")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

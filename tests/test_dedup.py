@@ -65,14 +65,17 @@ def test_exact_dedup_hot_key(spark):
     assert kept == [0] + [i for i in range(300) if i % 3 != 0]
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.data())
 def test_exact_mode_equals_sequential(spark, data):
     vocab = [f"t{i}" for i in range(12)]
     n = data.draw(st.integers(3, 25))
     texts = [" ".join(data.draw(st.lists(st.sampled_from(vocab), min_size=0, max_size=8))) for _ in range(n)]
     t = data.draw(st.sampled_from([0.5, 0.7, 0.85, 1.0]))
-    assert _kept(spark, texts, t) == sequential_keep_first(texts, t)
+    limit = data.draw(st.sampled_from([0, 2, 1000]))
+    df = _texts(spark, texts)
+    got = sorted(r["ord"] for r in dedup.near_dedup(df, t, text=F.col("text"), greedy="hybrid", group_limit=limit).collect())
+    assert got == sequential_keep_first(texts, t)
 
 
 def test_pairs_equal_all_pairs(spark):
@@ -126,8 +129,9 @@ def test_wave_near_copy_cluster_and_fallback(spark):
     assert sorted(r["ord"] for r in dedup.near_dedup(df, 0.85, text=F.col("text"), greedy="wave").collect()) == want
     sets = dedup.token_sets(_texts(spark, texts), F.col("text"))
     reps, members = dedup.collapse_identical_sets(sets)
-    dropped = {r["x"] for r in dedup.wave_keep_first(reps, 0.85, max_rounds=1).collect()}
-    assert sorted(set(range(len(texts))) - dropped) == want
+    for limit in (0, 3, 10_000):
+        dropped = {r["x"] for r in dedup.hybrid_keep_first(reps, 0.85, group_limit=limit).collect()}
+        assert sorted(set(range(len(texts))) - dropped) == want, limit
 
 
 @settings(max_examples=8, deadline=None)
