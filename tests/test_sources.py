@@ -99,3 +99,16 @@ def test_trial_log_reader(spark, tmp_dir):
     rows = trial_log.read_trial_log(spark, tmp_dir).orderBy("trial_id").collect()
     assert [(r["run_id"], r["trial_id"]) for r in rows] == [("run-a", 0), ("run-a", 2)]
     assert all(r["eval_bpb"] == float("inf") for r in rows)
+
+
+def test_loop_checkpoints_strict_keys(spark, tmp_dir):
+    ok = {"current_trial": 3, "best_trial_id": 1, "best_bpb": None, "best_recipe_diff": {"lora_rank": 8},
+          "total_trials_run": 3}
+    _write(tmp_dir + "/run-a", "loop_checkpoint.json", json.dumps(ok, indent=2))
+    _write(tmp_dir + "/run-b", "loop_checkpoint.json", json.dumps(dict(ok, extra=1), indent=2))
+    missing = dict(ok)
+    del missing["total_trials_run"]
+    _write(tmp_dir + "/run-c", "loop_checkpoint.json", json.dumps(missing))
+    rows = trial_log.read_loop_checkpoints(spark, tmp_dir).collect()
+    assert [(r["run_id"], r["current_trial"], r["best_bpb"]) for r in rows] == [("run-a", 3, float("inf"))]
+    assert json.loads(rows[0]["best_recipe_diff"]) == {"lora_rank": 8}
