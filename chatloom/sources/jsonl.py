@@ -15,32 +15,55 @@ def _strict_json(text: Column) -> Column:
     return F.when(F.size(arr) == 1, F.get(arr, 0))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the text files with its 1-based line number: ``(file, line_no, value)``.
+
+    A line belongs to exactly one input split; its number is the count of lines in the
+    earlier splits of the same file (a table with one row per split) plus its index inside
+    the split. The tagged rows are checkpointed so the per-split ids stay fixed.
+    """
+    from pyspark.sql import Window
+
+    from chatloom.session import checkpoint_root
+
+    checkpoint_root(spark)
+    tagged = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_id"), "value").checkpoint()
+    splits = tagged.groupBy("file", "_blk").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "_blk", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return tagged.join(offsets, ["file", "_blk"]).select(
+        "file", (F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
+
+
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines → ``(file, line_ord, value VARIANT)``; ``value`` NULL = bad JSON."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_ord"),
-        ustrip(F.regexp_replace("value", "^\ufeff", "")).alias("line"))
-    return raw.where(F.col("line") != "").select("file", "line_ord", "line", _strict_json(F.col("line")).alias("value"))
+    """Non-blank lines → ``(file, line_no, line, value VARIANT)``; ``value`` NULL = bad JSON."""
+    lines = numbered_lines(spark, path)
+    raw = lines.select("file", "line_no", ustrip(F.regexp_replace("value", "^\ufeff", "")).alias("line"))
+    return raw.where(F.col("line") != "").select("file", "line_no", "line", _strict_json(F.col("line")).alias("value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """A1: golden samples from JSONL files → ``(samples, rejects)``.
 
-    ``samples``: ``(ord, file, id, messages)``. ``rejects``: ``(file, line_ord, reason,
-    snippet)`` for bad JSON and bad shape. ``strict=True`` raises on the first reject and
+    ``samples``: ``(ord, file, line_no, id, messages)`` with ``ord`` the position in (file,
+    line) order. ``rejects``: ``(file, line_no, reason, snippet)`` for bad JSON and bad shape. ``strict=True`` raises on the first reject and
     on an empty result (one small job each), as the single-file loader does.
     """
+    from chatloom.operators.positions import dense_positions_by
+
     lines = read_jsonl_lines(spark, path)
     parsed = lines.withColumn("s", F.when(F.col("value").isNotNull(), parse_sample(F.col("value"))))
     reason = F.when(F.col("value").isNull(), F.lit("invalid_json")).otherwise(F.col("s.reason"))
-    rejects = parsed.where(reason.isNotNull()).select("file", "line_ord", reason.alias("reason"),
+    rejects = parsed.where(reason.isNotNull()).select("file", "line_no", reason.alias("reason"),
                                                       F.substring("line", 1, 200).alias("snippet"))
-    samples = parsed.where(reason.isNull()).select(F.col("line_ord").alias("ord"), "file", F.col("s.id").alias("id"),
-                                                   F.col("s.messages").alias("messages"))
+    good = parsed.where(reason.isNull()).select("file", "line_no", F.col("s.id").alias("id"), F.col("s.messages").alias("messages"))
+    samples = dense_positions_by(good, ["file", "line_no"], "ord").select("ord", "file", "line_no", "id", "messages")
     if strict:
-        bad = rejects.first()
+        bad = rejects.orderBy("file", "line_no").first()
         if bad is not None:
-            raise ValueError(f"{bad['file']}: {bad['reason']}: {bad['snippet']!r}")
+            raise ValueError(f"{bad['file']}:{bad['line_no']}: {bad['reason']}: {bad['snippet']!r}")
         if samples.isEmpty():
             raise ValueError(f"Dataset is empty: {path}")
     return samples, rejects

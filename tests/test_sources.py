@@ -112,3 +112,27 @@ def test_loop_checkpoints_strict_keys(spark, tmp_dir):
     rows = trial_log.read_loop_checkpoints(spark, tmp_dir).collect()
     assert [(r["run_id"], r["current_trial"], r["best_bpb"]) for r in rows] == [("run-a", 3, float("inf"))]
     assert json.loads(rows[0]["best_recipe_diff"]) == {"lora_rank": 8}
+
+
+def test_jsonl_line_numbers(spark, tmp_dir):
+    lines = [json.dumps(GOLD)] * 5 + ["", "{broken"] + [json.dumps(GOLD)] * 3
+    _write(tmp_dir, "d.jsonl", "\n".join(lines) + "\n")
+    with pytest.raises(ValueError, match=r"d\.jsonl:7: invalid_json"):
+        jsonl.read_jsonl(spark, tmp_dir)
+    s, rej = jsonl.read_jsonl(spark, tmp_dir, strict=False)
+    assert [r["line_no"] for r in rej.collect()] == [7]
+    assert [(r["ord"], r["line_no"]) for r in s.orderBy("ord").collect()] == [(i, n) for i, n in enumerate([1, 2, 3, 4, 5, 8, 9, 10])]
+
+
+def test_jsonl_line_numbers_across_splits(spark, tmp_dir):
+    lines = [json.dumps(dict(GOLD, id=f"s{i}")) if i != 123 else "{broken" for i in range(400)]
+    _write(tmp_dir, "big.jsonl", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        s, rej = jsonl.read_jsonl(spark, tmp_dir, strict=False)
+        assert [r["line_no"] for r in rej.collect()] == [124]
+        got = [(r["line_no"], r["id"]) for r in s.orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i + 1, f"s{i}") for i in range(400) if i != 123]
