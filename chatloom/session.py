@@ -12,27 +12,30 @@ from pyspark.sql import SparkSession
 def get_spark(master: str | None = None, app: str = "chatloom", partitions: int | None = None) -> SparkSession:
     """Return a SparkSession tuned for the operators in this package.
 
-    On a cluster, pass ``master=None`` and let spark-submit decide; the settings below
-    only fill in what the cluster did not set.
+    On a cluster, pass ``master=None`` and let spark-submit decide: shuffle partitions and
+    memory then stay as the cluster sets them (AQE coalesces small partitions). Local runs
+    get one shuffle partition per core and a large driver heap.
     """
     builder = SparkSession.builder.appName(app)
+    local = bool(master) and master.startswith("local")
     if master:
         builder = builder.master(master)
-    cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CHATLOOM_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ui.retainedExecutions", "50")
         .config("spark.ui.retainedJobs", "100")
         .config("spark.ui.retainedStages", "100")
     )
+    if partitions or local:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions or os.environ.get("BENCH_CPUS", "8")))
+    if local:
+        builder = builder.config("spark.driver.memory", os.environ.get("CHATLOOM_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
