@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import license_scan, quality, toxicity
+from chatloom.llm import license_scan, piece_codec, quality, toxicity
 from chatloom.llm.util import documents
 
 
@@ -12,6 +12,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def piece_model() -> bytes:
+    """The public model that op3 and the pipeline encode with."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode_decode(documents(spark, sf_dir), piece_model()))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
@@ -26,6 +38,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_sentencepiece": op3_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
