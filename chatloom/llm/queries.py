@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatloom.llm import license_scan, piece_codec, quality, toxicity
+from chatloom.llm import license_scan, mixing, piece_codec, quality, toxicity
 from chatloom.llm.util import documents
 
 
@@ -24,6 +25,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_decode(documents(spark, sf_dir), piece_model()))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.per_row(mixing.mix(documents(spark, sf_dir)))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
@@ -39,6 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_mixing": op5_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
