@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import license_scan, mixing, piece_codec, quality, toxicity
+from chatloom.llm import license_scan, mixing, piece_codec, quality, toxicity, warc
 from chatloom.llm.util import documents
 
 
@@ -25,6 +25,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_decode(documents(spark, sf_dir), piece_model()))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    # pages carries no time: captures are a second apart from a fixed day on
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(10**9)))
+    index = warc.archive_and_index(pages, "page_id", "url", "html", ts)
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.per_row(mixing.mix(documents(spark, sf_dir)))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
@@ -45,10 +53,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
+        f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+        SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to,
+               array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)), '.')), ',')
+               || ')' || lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '#.*$', '')) AS url_key
+        FROM p LEFT JOIN f ON p.html = f.html""",
+}
