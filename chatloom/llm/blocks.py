@@ -30,7 +30,7 @@ from chatloom.session import ship_package
 ROWS = "block string, part int, blob binary"
 DOCS = -1
 #: Text bytes after which a block is closed; one longer text makes a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -91,11 +91,13 @@ def answer(packed: DataFrame, resolve: Callable[[list[tuple[str, pa.Table]]], It
 
 
 def finish(packed: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, list[pa.Table]], pa.Table], schema: str) -> DataFrame:
-    """`fn` gets a block's documents and all answers to it."""
+    """`fn` gets a block's documents and all answers to it, in the order of their parts."""
 
     def run(group: pa.Table) -> pa.Table:
-        tables = [(p, from_blob(x)) for p, x in zip(group["part"].to_pylist(), group["blob"].to_pylist())]
-        return fn(next(t for p, t in tables if p == DOCS), [t for p, t in tables if p != DOCS])
+        tables = sorted(zip(group["part"].to_pylist(), group["blob"].to_pylist()))
+        if tables[0][0] != DOCS or any(p == DOCS for p, _ in tables[1:]):
+            raise ValueError("a block needs its documents once")
+        return fn(from_blob(tables[0][1]), [from_blob(x) for _, x in tables[1:]])
 
     return packed.where(f"part = {DOCS}").unionByName(answers).groupBy("block").applyInArrow(run, schema)
 
@@ -105,3 +107,82 @@ def split_parts(hashes: np.ndarray, parts: int) -> list[np.ndarray]:
     part = (hashes % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
+
+
+def ask(packed: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Table]]]) -> DataFrame:
+    """Key rows that `make` derives from each block's documents, beside those that were packed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield rows((block, part, to_blob(t)) for part, t in make(from_blob(blob.as_buffer())))
+
+    return packed.where(f"part = {DOCS}").select("block", "blob").mapInArrow(run, ROWS)
+
+
+def deltas(keys: np.ndarray) -> pa.Array:
+    """Sorted distinct keys as differences, in 32 bits where they fit."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    return pa.array(d.astype(np.uint32) if not len(d) or d[1:].max(initial=0) < 1 << 32 and d[0] < 1 << 32 else d)
+
+
+def undelta(column: pa.ChunkedArray) -> np.ndarray:
+    return np.cumsum(column.to_numpy().astype(np.uint64), dtype=np.uint64)
+
+
+#: Bits of the keys that `shared_counts` sends; more than one hash may share a key.
+KEY_BITS = 48
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The upper bits of 64-bit hashes, which keep their order."""
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
+def by_range(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted short keys, for the parts that have any."""
+    part = (keys * np.uint64(parts)) >> np.uint64(KEY_BITS)
+    ends = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+    for p, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        if b > a:
+            yield p, a, b
+
+
+def shared_counts(packed: DataFrame, hashes: Callable[[pa.Table], list[np.ndarray]], parts: int) -> DataFrame:
+    """Answers to each block: its short keys that stand in two documents or more, and in how many.
+
+    `hashes` gives the distinct sorted 64-bit hashes of each document of a block.
+    """
+
+    def make(block: pa.Table):
+        found = [short(h) for h in hashes(block)]
+        key, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for p, a, b in by_range(key, parts):
+            yield p, pa.table({"key": deltas(key[a:b]), "count": pa.array(count[a:b], pa.int32())})
+
+    def resolve(asked):
+        keys = [undelta(t["key"]) for _, t in asked]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate([t["count"].to_numpy() for _, t in asked]), len(distinct)).astype(np.int64)
+        at = 0
+        for (block, _), k in zip(asked, keys):
+            n = total[place[at:at + len(k)]]
+            at += len(k)
+            if (several := n > 1).any():
+                yield block, pa.table({"key": deltas(k[several]), "n": pa.array(n[several])})
+
+    return answer(ask(packed, make), resolve)
+
+
+def joined_counts(answers: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of a block's answers and their numbers of documents."""
+    if not answers:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([undelta(t["key"]) for t in answers]), np.concatenate([t["n"].to_numpy() for t in answers])
+
+
+def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `wanted` in sorted `keys`, and which of them are there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)

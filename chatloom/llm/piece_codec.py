@@ -61,6 +61,11 @@ class Codec:
                 raise ValueError("the model's normalization does not keep whitespace")
 
 
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
 def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids array<int> and decoded string of every whole text."""
     Codec(model).check()
@@ -78,40 +83,39 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
         rank = np.empty(len(table), np.int32)
         rank[order] = np.arange(len(table), dtype=np.int32)
         lists = pa.LargeListArray.from_arrays(pa.array([0, *ends], pa.int64()), pa.array(rank[codes] if len(codes) else codes))
-        yield blocks.DOCS, pa.table({"doc_id": block["doc_id"], "codes": lists})
         keys = np.array(list(table), object)[order]
         hashes = np.fromiter((zlib.crc32(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
+        # the first document carries the part of each number; a part answers in the order of the numbers
+        part_of = pa.array([(hashes % np.uint64(parts)).astype(np.uint32)] + [None] * (len(block) - 1), pa.list_(pa.uint32()))
+        yield blocks.DOCS, pa.table({"doc_id": block["doc_id"], "codes": lists, "part_of": part_of})
         for part, at in enumerate(blocks.split_parts(hashes, parts)):
             if len(at):
-                yield part, pa.table({"slot": pa.array(at, pa.int32()), "chunk": pa.array(keys[at], pa.string())})
+                yield part, pa.table({"chunk": pa.array(keys[at], pa.string())})
 
     def resolve(asked):
         codec, known = Codec(shared.value), {}
         for _, t in asked:
             known.update(dict.fromkeys(t["chunk"].to_pylist()))
-        ids = codec.encode(list(known))
-        for k, i, d in zip(known, ids, codec.decode(ids)):
-            known[k] = (i, d)
+        known = dict(zip(known, codec.encode(list(known))))
+        kind = pa.list_(pa.int16() if codec.sp.vocab_size() <= 1 << 15 else pa.int32())
         for block, t in asked:
-            ids, texts = zip(*[known[c] for c in t["chunk"].to_pylist()])
-            yield block, pa.table({"slot": t["slot"], "ids": pa.array(ids, pa.list_(pa.int32())), "text": pa.array(texts, pa.string())})
+            yield block, pa.table({"ids": pa.array([known[c] for c in t["chunk"].to_pylist()], kind)})
 
     def join(block: pa.Table, answers: list[pa.Table]) -> pa.Table:
-        found = pa.concat_tables(answers).combine_chunks().sort_by("slot").combine_chunks() if answers else None
-        codes = block["codes"].combine_chunks()
-        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-        if found is None or not len(codes.values):
+        if not answers:
             return pa.table({"doc_id": block["doc_id"], "ids": pa.array([[]] * len(block), pa.list_(pa.int32())), "decoded": pa.array([""] * len(block))})
-        texts = np.array(found["text"].to_pylist(), object)
-        lists = found["ids"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.take(codes.values)  # the ids of every position
+        codes = _flat(block["codes"])
+        lists = _flat(pa.chunked_array([c for t in answers for c in t["ids"].chunks])).cast(pa.list_(pa.int32()))
+        by_part = np.argsort(np.asarray(block["part_of"][0].as_py()), kind="stable")
+        place = np.empty(len(by_part), np.int64)
+        place[by_part] = np.arange(len(by_part))
+        at = place[codes.values.to_numpy()]
+        flat = lists.take(pa.array(at))  # the ids of every position
         ends = np.append(0, np.cumsum(np.diff(flat.offsets.to_numpy())))
         places = codes.offsets.to_numpy()
-        at = places.tolist()
-        values = codes.values.to_numpy()
+        texts = np.array(Codec(shared.value).decode(lists.to_pylist()), object)
         ids = pa.ListArray.from_arrays(pa.array(ends[places], pa.int32()), flat.flatten())
-        decoded = ["".join(texts[values[a:b]])[1:] for a, b in zip(at, at[1:])]
+        decoded = ["".join(texts[at[i:j]])[1:] for i, j in zip(places.tolist(), places.tolist()[1:])]
         return pa.table({"doc_id": block["doc_id"], "ids": ids, "decoded": pa.array(decoded, pa.string())})
 
     packed = blocks.pack(only(docs, "doc_id", "text"), make, "text", "piece-blocks")

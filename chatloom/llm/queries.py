@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import license_scan, mixing, piece_codec, quality, toxicity, warc
+from chatloom.llm import license_scan, mixing, ngram_join, piece_codec, quality, substring, toxicity, warc
 from chatloom.llm.util import documents
 
 
@@ -13,6 +13,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(documents(spark, sf_dir))
+
+
 def piece_model() -> bytes:
     """The public model that op3 and the pipeline encode with."""
     import public_tokenizers
@@ -38,6 +42,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
@@ -52,9 +60,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_ngram_join": op2_ngram_join,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
