@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import license_scan, mixing, ngram_join, piece_codec, quality, substring, toxicity, warc
+from chatloom.llm import license_scan, mixing, ngram_join, nn_descent, piece_codec, ppm, quality, substring, toxicity, warc
 from chatloom.llm.util import documents
 
 
@@ -46,10 +46,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.passages(documents(spark, sf_dir)).drop("text_hash")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", toxicity.held_out(modulus=7))
+    scored = ppm.score(docs, ~F.col("held_out"))
+    return scored.withColumn("held_out", toxicity.held_out(modulus=7))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
@@ -65,7 +75,9 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 

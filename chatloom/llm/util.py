@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,34 @@ def only(df: DataFrame, *names: str) -> DataFrame:
         picked.append(same[0])
     renamed = df.toDF(*[f"_c{i}" for i in range(len(fields))])
     return renamed.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(picked, names)])
+
+
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """Apply ``fn`` to each group of equal (integer) keys; groups must be small.
+
+    Rows are dealt and sorted by the keys and streamed, so a task holds one batch and one group,
+    and many small groups cost little each.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ready(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+            cols = [table[k].to_numpy() for k in keys]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            ends = [0, *new.tolist(), *([table.num_rows] if last else [])]
+            out = [fn(table.slice(a, b - a)) for a, b in zip(ends, ends[1:])]
+            got = [b for t in out if t is not None for b in t.to_batches()]
+            whole = pa.Table.from_batches(got).combine_chunks().to_batches() if got else []
+            return whole, table.slice(ends[-1])
+
+        for batch in batches:
+            held.append(batch)
+            out, rest = ready(pa.Table.from_batches(held).combine_chunks(), False)
+            held = rest.to_batches()
+            yield from out
+        if sum(b.num_rows for b in held):
+            yield from ready(pa.Table.from_batches(held).combine_chunks(), True)[0]
+
+    ship_package(df.sparkSession)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
