@@ -16,12 +16,13 @@ documents of a block travel in the row with part -1.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from chatloom.llm.util import save
@@ -51,15 +52,19 @@ def rows(triples: Iterable[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["block", "part", "blob"])
 
 
-def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Table]]], text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of `docs` as saved rows. `make` gets a block's documents and yields (part, table)s."""
+def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Table]]], text: str, name: str | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of `docs` as rows, saved under `name`. `make` gets a block's documents and yields (part, table)s.
+
+    Blocks are numbered within their partition. Without a name nothing is saved; `docs` must then
+    read the same rows in the same partitions each time, as a scan of files does.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
+        waiting, held, partition, number = [], 0, TaskContext.get().partitionId(), count()
 
         def close() -> pa.RecordBatch:
-            block = uuid.uuid4().hex
+            block = f"{partition}-{next(number)}"
             return rows((block, part, to_blob(t)) for part, t in make(pa.Table.from_batches(waiting)))
 
         for batch in batches:
@@ -76,7 +81,8 @@ def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Tabl
             yield close()
 
     ship_package(docs.sparkSession)
-    return save(docs.mapInArrow(run, ROWS), name)
+    packed = docs.mapInArrow(run, ROWS)
+    return save(packed, name) if name else packed
 
 
 def answer(packed: DataFrame, resolve: Callable[[list[tuple[str, pa.Table]]], Iterable[tuple[str, pa.Table]]]) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import only, save
+from chatloom.llm.util import only, save, shelter
 
 #: Documents of a block on average; hashing bounds the largest block near it.
 BLOCK = 128
@@ -185,10 +185,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share source, id and size get their unit's mean number of copies, rounded by a hash of the row.
     """
+    docs, names = shelter(docs, "doc_id", "text", "source")
     chosen = save(mix(docs, **options), "mix-copies").select(
         F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_n"), (F.col("copies") / F.col("rows")).alias("_mean"))
     sized = docs.withColumn("_words", n_words())
     same = sized["source"].eqNullSafe(chosen["_s"]) & sized["doc_id"].eqNullSafe(chosen["_d"]) & (sized["_words"] == chosen["_n"])
     times = F.floor(F.col("_mean") + uniform(F.monotonically_increasing_id())).cast("int")
     return sized.join(chosen, same).withColumn("_times", times).where("_times > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns).toDF(*names)

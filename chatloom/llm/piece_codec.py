@@ -61,6 +61,11 @@ class Codec:
                 raise ValueError("the model's normalization does not keep whitespace")
 
 
+def one_list(values: pa.Array) -> pa.Array:
+    """A column of one row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     column = column.combine_chunks()
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
@@ -72,22 +77,30 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
     spark = docs.sparkSession
     shared, parts = spark.sparkContext.broadcast(model), parts_of(spark)
 
-    def make(block: pa.Table):
+    def numbered(block: pa.Table):
+        """The block's distinct chunks, frequent ones first, their parts, and the texts in numbers of chunks."""
         table: dict[str, int] = {}
-        codes, ends = [], []
+        codes, ends = [], [0]
         for text in block["text"].to_pylist():
             codes += [table.setdefault(c, len(table)) for c in chunks(text)]
             ends.append(len(codes))
         codes = np.array(codes, np.int32)
-        order = np.argsort(-np.bincount(codes, minlength=len(table)), kind="stable")  # frequent chunks get small numbers
+        order = np.argsort(-np.bincount(codes, minlength=len(table)), kind="stable")
         rank = np.empty(len(table), np.int32)
         rank[order] = np.arange(len(table), dtype=np.int32)
-        lists = pa.LargeListArray.from_arrays(pa.array([0, *ends], pa.int64()), pa.array(rank[codes] if len(codes) else codes))
         keys = np.array(list(table), object)[order]
         hashes = np.fromiter((zlib.crc32(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
+        return keys, hashes, rank[codes] if len(codes) else codes, ends
+
+    def texts(block: pa.Table):
+        _, hashes, codes, ends = numbered(block)
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(codes))
         # the first document carries the part of each number; a part answers in the order of the numbers
         part_of = pa.array([(hashes % np.uint64(parts)).astype(np.uint32)] + [None] * (len(block) - 1), pa.list_(pa.uint32()))
         yield blocks.DOCS, pa.table({"doc_id": block["doc_id"], "codes": lists, "part_of": part_of})
+
+    def distinct(block: pa.Table):
+        keys, hashes, _, _ = numbered(block)
         for part, at in enumerate(blocks.split_parts(hashes, parts)):
             if len(at):
                 yield part, pa.table({"chunk": pa.array(keys[at], pa.string())})
@@ -97,16 +110,21 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
         for _, t in asked:
             known.update(dict.fromkeys(t["chunk"].to_pylist()))
         known = dict(zip(known, codec.encode(list(known))))
-        kind = pa.list_(pa.int16() if codec.sp.vocab_size() <= 1 << 15 else pa.int32())
+        kind = pa.int16() if codec.sp.vocab_size() <= 1 << 15 else pa.int32()
         for block, t in asked:
-            yield block, pa.table({"ids": pa.array([known[c] for c in t["chunk"].to_pylist()], kind)})
+            ids = [known[c] for c in t["chunk"].to_pylist()]
+            flat = pa.array([i for x in ids for i in x], kind)
+            yield block, pa.table({"sizes": one_list(pa.array(map(len, ids), pa.uint32())), "ids": one_list(flat)})
 
     def join(block: pa.Table, answers: list[pa.Table]) -> pa.Table:
         if not answers:
             return pa.table({"doc_id": block["doc_id"], "ids": pa.array([[]] * len(block), pa.list_(pa.int32())), "decoded": pa.array([""] * len(block))})
         codes = _flat(block["codes"])
-        lists = _flat(pa.chunked_array([c for t in answers for c in t["ids"].chunks])).cast(pa.list_(pa.int32()))
+        sizes, every = (np.concatenate([_flat(t[c]).values.to_numpy() for t in answers]) for c in ("sizes", "ids"))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(every.astype(np.int32)))
         by_part = np.argsort(np.asarray(block["part_of"][0].as_py()), kind="stable")
+        if len(lists) != len(by_part):
+            raise ValueError("a block was answered for other chunks than it has")
         place = np.empty(len(by_part), np.int64)
         place[by_part] = np.arange(len(by_part))
         at = place[codes.values.to_numpy()]
@@ -118,9 +136,10 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
         decoded = ["".join(texts[at[i:j]])[1:] for i, j in zip(places.tolist(), places.tolist()[1:])]
         return pa.table({"doc_id": block["doc_id"], "ids": ids, "decoded": pa.array(decoded, pa.string())})
 
-    packed = blocks.pack(only(docs, "doc_id", "text"), make, "text", "piece-blocks")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return blocks.finish(packed, blocks.answer(packed, resolve), join, f"doc_id {kind}, ids array<int>, decoded string")
+    own, kind = only(docs, "doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
+    # texts are cut into chunks once for the table and once for the positions: cheaper than keeping both on disk
+    asked, packed = (blocks.pack(own, make, "text", None) for make in (distinct, texts))
+    return blocks.finish(packed, blocks.answer(asked, resolve), join, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

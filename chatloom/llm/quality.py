@@ -16,9 +16,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chatloom.llm.util import map_batches, only, space_words
+from chatloom.llm.util import map_batches, only, shelter, space_words
 
 _SYMBOLS = b"#*$%&|<>"
 _KEEP_ALL_BUT_SYMBOLS = bytes(range(256))
@@ -130,15 +129,16 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The kept documents with their failing lines removed; same columns, n_chars follows the text."""
-    at, names = docs.columns.index("text"), docs.columns
+    own, names = shelter(docs, "text", "n_chars")
+    inner = own.columns
+    at, size = (own.columns.index(c) if c in own.columns else None for c in ("text", "n_chars"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [judge(t, rules)[-2:] for t in batch.column(at).to_pylist()]
         cols = list(batch.columns)
         cols[at] = pa.array([c for _, c in rows], pa.string())
-        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([k for k, _ in rows], pa.bool_()))
+        if size is not None:
+            cols[size] = pa.array([len(c) for _, c in rows]).cast(cols[size].type)
+        return pa.RecordBatch.from_arrays(cols, names=inner).filter(pa.array([k for k, _ in rows], pa.bool_()))
 
-    out = map_batches(docs, run, docs.schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    return map_batches(own, run, own.schema).toDF(*names)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm import blocks
-from chatloom.llm.util import only, parts_of, save
+from chatloom.llm.util import only, parts_of, save, shelter
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -202,6 +202,7 @@ def block_name(block: pa.Table) -> str:
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
     """`docs` without their repeated passages; same columns. Documents that had words and keep none go."""
+    docs, names = shelter(docs, "doc_id", "text", "n_chars")
     found = save(passages(docs, **options).select("doc_id", "text_hash", "start", "end"), "passages").distinct().groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("_spans"))
     found = found.toDF("_d", "_h", "_spans")
@@ -211,4 +212,4 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     out = out.where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)

@@ -101,3 +101,17 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table |
 
     ship_package(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def shelter(docs: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """`docs` with the columns `own` under these names and all others under names that clash with nothing.
+
+    Returns it with the former names, for `.toDF(*names)` on a result with the same columns.
+    """
+    names = docs.columns
+    chosen = {}
+    for n in own:
+        same = [i for i, c in enumerate(names) if c == n] or [i for i, c in enumerate(names) if c.lower() == n.lower()]
+        if same:
+            chosen[same[0]] = n
+    return docs.toDF(*[chosen.get(i, f"_x{i}") for i in range(len(names))]), names

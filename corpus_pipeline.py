@@ -2,22 +2,57 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``. Its rows are written as Parquet and read
 back as the next stage's ``docs``; all stages but the last return the columns of ``documents``.
+
+1. quality_rules: failing lines go, and documents that fail the document rules or lose too much.
+2. near_duplicates: of each group of documents linked by 5-gram Jaccard, the one with the
+   smallest id stays (of rows that share it, one).
+3. substring_dedup: passages that repeat across documents stay in the first one only.
+4. mixing: each document as often as the mix takes it.
+5. sentencepiece: ids and decoded text of every document of the mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatloom.llm import quality
-from chatloom.llm.util import documents, save
+from chatloom.llm import mixing, ngram_join, piece_codec, quality, substring
+from chatloom.llm.queries import piece_model
+from chatloom.llm.util import documents, save, shelter
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.clean_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own, names = shelter(docs, "doc_id", "text")
+    first = ngram_join.similar_components(own).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    others = [c for c in own.columns if c != "doc_id"]
+    one = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*others), "text").alias("_row")).select("doc_id", "_row.*")
+    kept = one.join(first, "doc_id", "left_semi").select(*own.columns)
+    # rows without an id are told apart by their texts alone
+    return kept.unionByName(own.where("doc_id IS NULL").dropDuplicates(["text"])).toDF(*names)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.remove_passages(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode_decode(docs, piece_model()))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mix_sources),
+    ("sentencepiece", sentencepiece),
 ]
 
 #: Several stages cannot be said in SQL; the tests hold the pipeline against brute force.
