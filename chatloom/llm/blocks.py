@@ -71,7 +71,7 @@ def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Tabl
             start = 0
             sizes = pc.binary_length(batch.column(at)).fill_null(0)
             for i, size in enumerate(sizes.to_pylist()):
-                if held and held + size > block_bytes:
+                if held and held + size + 16 > block_bytes:
                     waiting.append(batch.slice(start, i - start))
                     yield close()
                     waiting, held, start = [], 0, i

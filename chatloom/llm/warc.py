@@ -109,10 +109,10 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
             held.extend(piece)
 
     while True:
-        try:
-            fill(1)
-        except ValueError:
-            return
+        while not held:
+            if (piece := next(pieces, None)) is None:
+                return
+            held.extend(piece)
         while (end := held.find(END.encode())) < 0:
             fill(len(held) + 1)
         lines = bytes(held[:end]).decode().split("\r\n")
