@@ -8,8 +8,9 @@
    prefix holds only n-grams of its own has no partner and leaves.
 3. Equal sets become one node, and nodes of equal prefix and size one *group*.
 4. Prefix keys join groups, with length and positional filters. First every group meets the
-   smallest group of each of its keys, and every member its group's smallest (stars: linear,
-   not all pairs); found links are verified on whole sets and give components. Then only pairs
+   most shared group of each of its keys, and every member its group's smallest (stars: linear,
+   not all pairs); found links are verified on whole sets and give components. A few rounds of
+   stars in random blocks of each key join what lay too far from the first centre. Then only pairs
    that lie in different components are left: group pairs of those are joined by key, filtered,
    expanded to members and verified. Every link between different components is found, so the
    components are exact, while large groups of near copies never meet pairwise.
@@ -111,8 +112,34 @@ def _may_link(x: str, y: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (after >= need)
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _stars(entry: DataFrame, turn: int, percent: int, block: int = 32) -> DataFrame:
+    """Pairs (a, b) of each entry of a key with one entry of another component.
+
+    That centre is the entry with the most n-grams in common with others, so the nearest to what
+    its copies came from: of the whole key on the first turn, then of blocks to which the entries
+    of a key are dealt by hash. Either way a key gives fewer pairs than it has entries.
+    """
+    if turn == 0:
+        dealt = entry.withColumn("block", F.lit(0).cast("long")).withColumn("draw", F.struct(-F.col("len"), "rep"))
+    else:
+        sizes = entry.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        dealt = entry.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("blocks"))).withColumn(
+                "draw", F.struct(-F.col("len"), F.xxhash64("rep", F.lit(-turn))))
+    centre = save(dealt.groupBy("key", "block").agg(F.min(F.struct("draw", "rep", "comp", "size", "rest")).alias("c"), F.count("*").alias("n")).where("n > 1").select(
+        "key", "block", "c.rep", "c.comp", "c.size", "c.rest"), "ngram-centres")
+    return dealt.alias("x").join(centre.alias("y"), ["key", "block"]).where("x.comp <> y.comp").where(_may_link("x", "y", percent)).select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
+
+    `rounds` of random stars follow the first ones while they find links; they change the cost, not the result.
+    """
     found = prefixes(docs, n, percent)
     alive = found.where("digest IS NOT NULL")
     ids = save(alive.groupBy("digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "ngram-ids")
@@ -125,30 +152,38 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     places = groups.select("g", "size", "head", F.size("prefix").alias("len"), F.posexplode("prefix").alias("pos", "key"))
     # the prefix ends at place size - required(size), so a key's rest is required(size) + len - 1 - pos
     need = F.ceil(percent * F.col("size") / 100.0 - 1e-9)
-    places = save(places.select("key", "g", "head", "size", (need + F.col("len") - 1 - F.col("pos")).alias("rest")), "ngram-places")
+    places = save(places.select("key", "g", "head", "size", "len", (need + F.col("len") - 1 - F.col("pos")).alias("rest")), "ngram-places")
 
-    first = places.groupBy("key").agg(F.min(F.struct("head", "size", "rest")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "f.*")
-    first = save(first, "ngram-first")
-    stars = places.alias("x").join(first.alias("y"), "key").where(F.col("x.head") != F.col("y.head")).where(_may_link("x", "y", percent)).select(
-        F.col("x.head").alias("a"), F.col("y.head").alias("b"))
     heads = members.join(groups.select("g", "size", "prefix", "head"), ["g", "size", "prefix"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    tried = save(stars.unionByName(heads).groupBy("a", "b").count().select("a", "b"), "ngram-stars")
-    links = save(_verify(tried, nodes, percent), "ngram-links")
-    label = save(connected_components(links), "ngram-components")
+    own = save(members.select("node", "g", "size").withColumn("comp", F.col("node")), "ngram-own")
+    entry = places.withColumn("rep", F.col("head")).withColumn("comp", F.col("head"))
+    links = tried = label = None
+    for turn in range(1 + rounds):
+        met = _stars(entry, turn, percent)
+        if turn == 0:
+            met = met.unionByName(heads)
+        else:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        met = save(_ordered(met).groupBy("a", "b").count().select("a", "b"), "ngram-stars")
+        new = save(_verify(met, nodes, percent), "ngram-links")
+        tried = met if tried is None else tried.unionByName(met)
+        if new.isEmpty() and turn:
+            break
+        links = new if links is None else links.unionByName(new)
+        label = save(connected_components(links), "ngram-components")
+        own = members.select("node", "g", "size").join(label, "node", "left").select("g", "size", "node", F.coalesce("component", "node").alias("comp"))
+        own = save(own, "ngram-own")
+        entry = save(places.join(own.groupBy("g", "comp").agg(F.min("node").alias("rep")), "g"), "ngram-entries")
+        open_keys = entry.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        entry = save(entry.join(open_keys, "key", "left_semi"), "ngram-open")
 
     # what is left: pairs of a key in different components
-    own = members.select("node", "g", "size").join(label, "node", "left").select("g", "size", "node", F.coalesce("component", "node").alias("comp"))
-    own = save(own, "ngram-own")
-    entry = save(places.join(own.groupBy("g", "comp").count().select("g", "comp"), "g"), "ngram-entries")
-    open_keys = entry.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    entry = save(entry.join(open_keys, "key", "left_semi"), "ngram-open")
     pairs = entry.alias("x").join(entry.alias("y"), "key").where("x.comp < y.comp").where(_may_link("x", "y", percent)).select(
         F.col("x.g").alias("gx"), F.col("x.comp").alias("cx"), F.col("y.g").alias("gy"), F.col("y.comp").alias("cy"))
     pairs = save(pairs.groupBy("gx", "cx", "gy", "cy").count().drop("count"), "ngram-group-pairs")
     one = own.select(F.col("g").alias("gx"), F.col("comp").alias("cx"), F.col("node").alias("a"))
     two = own.select(F.col("g").alias("gy"), F.col("comp").alias("cy"), F.col("node").alias("b"))
-    rest = pairs.join(one, ["gx", "cx"]).join(two, ["gy", "cy"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = _ordered(pairs.join(one, ["gx", "cx"]).join(two, ["gy", "cy"]).select("a", "b")).join(tried, ["a", "b"], "left_anti")
     more = save(_verify(rest, nodes, percent), "ngram-more")
     if not more.isEmpty():
         label = connected_components(links.unionByName(more))
