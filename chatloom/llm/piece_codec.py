@@ -25,6 +25,8 @@ from chatloom.llm import blocks
 from chatloom.llm.util import only, parts_of
 
 MARK = "▁"
+#: Larger blocks repeat fewer chunks.
+BLOCK_BYTES = 16 << 20
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -138,7 +140,7 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
 
     own, kind = only(docs, "doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
     # texts are cut into chunks once for the table and once for the positions: cheaper than keeping both on disk
-    asked, packed = (blocks.pack(own, make, "text", None) for make in (distinct, texts))
+    asked, packed = (blocks.pack(own, make, "text", None, BLOCK_BYTES) for make in (distinct, texts))
     return blocks.finish(packed, blocks.answer(asked, resolve), join, f"doc_id {kind}, ids array<int>, decoded string")
 
 
