@@ -3,7 +3,8 @@
 1. Equal vectors of a label become one node with a weight.
 2. Neighbour lists start from random hyperplane leaves (a few trees; leaves that are too large
    are split by hash). Each round every node introduces its neighbours, and those it is a
-   neighbour of, to each other (hubs are split into blocks), and each keeps its nearest.
+   neighbour of, to each other (hubs are split into blocks), and each keeps its nearest, until
+   a round finds no new link.
    Introductions also keep one link at least as near as the threshold per member and block, to
    the block's smallest id, so that a cluster larger than any list stays connected.
 3. Links give components. A list that is full of links is too short for its cluster; lists are
@@ -40,7 +41,6 @@ class Search:
     leaf: int = 64
     leaf_most: int = 256
     rounds: int = 8
-    settled: float = 0.002
     block: int = 64
     tile: int = 512
     audit: int = 256
@@ -132,6 +132,7 @@ def neighbour_lists(nodes: DataFrame, p: Search, threshold: float, seed: int) ->
     found = save(by_group(start, ["grp", "tree", "leaf", "split"], _introduce(p, threshold), _FOUND), "nn-found")
     links = found.where("link").select("node", "nbr")
     lists = save(_nearest(found.where("NOT link").drop("link"), p.k), "nn-lists")
+    near = lists.where(F.col("cos") >= threshold).count()
     for _ in range(p.rounds):
         full = lists.groupBy("node").agg(F.count("*").alias("n"), F.min("cos").alias("worst")).select(
             "node", F.when(F.col("n") >= p.k, F.col("worst")).otherwise(-2.0).alias("worst"))
@@ -143,10 +144,10 @@ def neighbour_lists(nodes: DataFrame, p: Search, threshold: float, seed: int) ->
         known = save(nodes.select("node", "vec").join(full, "node"), "nn-known")
         found = save(by_group(met.join(known, "node"), ["pivot", "part"], _introduce(p, threshold), _FOUND), "nn-found")
         links = links.unionByName(found.where("link").select("node", "nbr"))
-        better = _nearest(lists.unionByName(found.where("NOT link").drop("link")), p.k)
-        changed = better.join(lists.select("node", F.col("nbr")), ["node", "nbr"], "left_anti").count() if p.rounds > 1 else 0
-        lists = save(better, "nn-lists")
-        if changed <= p.settled * lists.count():
+        before = near
+        lists = save(_nearest(lists.unionByName(found.where("NOT link").drop("link")), p.k), "nn-lists")
+        near = lists.where(F.col("cos") >= threshold).count()
+        if near == before:  # a round without a new link; the audit sees what it missed
             break
     return lists, links.toDF("a", "b").unionByName(lists.where(F.col("cos") >= threshold).select(F.col("node").alias("a"), F.col("nbr").alias("b")))
 
