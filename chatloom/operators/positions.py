@@ -5,45 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.session import saved
 
-def _range_bucket(df: DataFrame, order_col: str, buckets: int) -> F.Column:
-    """Bucket id from approximate quantiles of ``order_col`` (a small driver-side list).
 
-    Buckets only balance the work; positions stay exact whatever the split points.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = df.approxQuantile(order_col, probs, 0.001) if buckets > 1 else []
-    splits = sorted(set(v for v in splits if v is not None))
-    if not splits:
-        return F.lit(0)
-    arr = F.array(*[F.lit(v) for v in splits])
-    return F.size(F.filter(arr, lambda s: s <= F.col(order_col).cast("double")))
+#: Keys of one range bucket, about.
+BUCKET_ROWS = 250_000
 
 
-def dense_positions(df: DataFrame, order_col: str = "ord", pos_col: str = "pos", buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order_col`` order (``order_col`` unique, numeric).
+def dense_positions_by(df: DataFrame, order_cols: list[str], pos_col: str = "ord", buckets: int | None = None) -> DataFrame:
+    """0-based positions in the order of several columns (any sortable types, unique together).
 
-    Plan: quantile buckets → per-bucket counts (tiny, broadcast) → exclusive running
-    offset → ``row_number`` inside each bucket. No step sees more than one bucket.
+    Only the keys are sorted and saved: they are range-partitioned into buckets of about
+    ``BUCKET_ROWS``, counted per bucket, and numbered inside their bucket; the rows then get
+    their position by a join on the keys. No step sees more than one bucket.
     """
-    spark = df.sparkSession
-    if buckets is None:
-        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    tagged = df.withColumn("_bkt", _range_bucket(df, order_col, buckets))
-    counts = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bkt",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    # offsets has one row per bucket: a bounded, broadcast-safe side.
-    w = Window.partitionBy("_bkt").orderBy(order_col)
-    return (
-        tagged.join(F.broadcast(offsets), "_bkt")
-        .withColumn(pos_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-        .drop("_bkt", "_off")
-    )
+    keys = saved(df.select(*order_cols), "position-keys")
+    n = buckets or max(1, -(-keys.count() // BUCKET_ROWS))
+    ranged = saved(keys.repartitionByRange(n, *order_cols).withColumn("_bkt", F.spark_partition_id()), "position-buckets")
+    counts = ranged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_bkt").orderBy(*order_cols))
+    placed = ranged.withColumn("_in", inside).join(offsets, "_bkt").select(
+        *order_cols, (F.col("_off") + F.col("_in") - 1).cast("bigint").alias("_pos"))
+    same = None
+    right = placed.toDF(*[f"_k{i}" for i in range(len(order_cols))], "_pos")
+    for i, c in enumerate(order_cols):
+        one = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        same = one if same is None else same & one
+    return df.join(right, same).select(*df.columns, F.col("_pos").alias(pos_col))
+
+
+def dense_positions(df: DataFrame, order_col: str = "ord", pos_col: str = "pos", buckets: int | None = None) -> DataFrame:
+    """0-based position of each row in ``order_col`` order (``order_col`` unique)."""
+    return dense_positions_by(df, [order_col], pos_col, buckets)
 
 
 def assign_ids(df: DataFrame, order_col: str = "ord", id_col: str = "id") -> DataFrame:
@@ -63,8 +58,8 @@ def train_eval_split(df: DataFrame, order_col: str = "ord", eval_fraction: float
     """
     if not (0.0 < eval_fraction < 1.0):
         raise ValueError(f"eval_fraction must be in (0, 1), got {eval_fraction!r}")
-    pos = dense_positions(df, order_col)
-    n = df.count()
+    pos = saved(dense_positions(df.select(order_col), order_col), "split-positions")
+    n = pos.count()
     n_train = int(n * train_fraction)
     n_eval = max(1, int(n * eval_fraction))
     is_train = F.col("pos") < F.lit(n_train)
@@ -74,28 +69,8 @@ def train_eval_split(df: DataFrame, order_col: str = "ord", eval_fraction: float
         is_eval = F.col("pos") >= F.lit(n - n_eval)
     else:
         raise ValueError(f"unknown split mode {mode!r}")
-    return pos.withColumn("is_train", is_train).withColumn("is_eval", is_eval)
-
-
-def dense_positions_by(df: DataFrame, order_cols: list[str], pos_col: str = "ord", buckets: int | None = None) -> DataFrame:
-    """0-based positions in the order of several columns (any sortable types).
-
-    Range partitioning gives contiguous buckets; the bucketed rows are checkpointed so the
-    bucket ids stay fixed while counts, offsets and in-bucket row numbers are computed.
-    """
-    from chatloom.session import checkpoint_root
-
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_bkt", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_bkt", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bkt").orderBy(*order_cols)
-    return (ranged.join(F.broadcast(offsets), "_bkt")
-            .withColumn(pos_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-            .drop("_bkt", "_off"))
+    flags = pos.withColumn("is_train", is_train).withColumn("is_eval", is_eval)
+    return df.join(flags, order_col)
 
 
 def group_positions(df: DataFrame, group_cols: list[str], order_cols: list[str], pos_col: str = "pos") -> DataFrame:

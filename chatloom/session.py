@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "chatloom", partitions: int | None = None) -> SparkSession:
@@ -23,6 +23,7 @@ def get_spark(master: str | None = None, app: str = "chatloom", partitions: int
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -44,13 +45,16 @@ def get_spark(master: str | None = None, app: str = "chatloom", partitions: int
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local runs, tests) is a private folder created.
+    Only a local session without one (tests, trials) gets a private folder: on a cluster
+    a folder of one machine would lose its parts, so that is an error.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="chatloom-ckpt-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -61,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/chatloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch table in the shared folder and read back (cuts its lineage)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
