@@ -38,6 +38,9 @@ DEFAULT_RECIPE = {
 }
 
 
+_INTEGER_KNOBS = ("lora_alpha", "warmup_steps", "num_epochs", "max_steps", "batch_size", "gradient_accumulation_steps")
+
+
 def bpb_key(bpb: Column) -> Column:
     """NULL and NaN → +inf, so comparisons behave like ``bpb < best`` with NaN false."""
     return F.nanvl(F.coalesce(bpb, F.lit(INF)), F.lit(INF))
@@ -59,15 +62,20 @@ def running_best(log: DataFrame, run: str = "run_id", trial: str = "trial_id", b
     return out.withColumn("is_best", F.col("_m") < F.col("best_before")).drop("_m", "_blk", "_inner", "_prefix")
 
 
+def _best(m: Column) -> Column:
+    """Aggregate: the row with the least finite ``m`` (ties by trial id), NULL without one."""
+    return F.min_by(F.struct("trial_id", "recipe_diff", m.alias("_m")), F.when(m < F.lit(INF), F.struct(m, "trial_id")))
+
+
+def _best_columns() -> list[Column]:
+    return [F.coalesce("_w.trial_id", F.lit(-1)).cast("int").alias("best_trial_id"), F.coalesce("_w._m", F.lit(INF)).alias("best_bpb"),
+            F.coalesce("_w.recipe_diff", F.lit("{}")).alias("best_recipe_diff")]
+
+
 def best_trial(log: DataFrame, run: str = "run_id") -> DataFrame:
     """First trial reaching the run's minimum finite bpb; ``-1`` and ``{}`` when none."""
     m = log.withColumn("_m", bpb_key(F.col("eval_bpb")))
-    finite = F.col("_m") < F.lit(INF)
-    g = m.groupBy(run).agg(
-        F.min_by(F.struct("trial_id", "recipe_diff", "_m"), F.when(finite, F.struct("_m", "trial_id"))).alias("_w"))
-    return g.select(run, F.coalesce("_w.trial_id", F.lit(-1)).cast("int").alias("best_trial_id"),
-                    F.coalesce("_w._m", F.lit(INF)).alias("best_bpb"),
-                    F.coalesce("_w.recipe_diff", F.lit("{}")).alias("best_recipe_diff"))
+    return m.groupBy(run).agg(_best(F.col("_m")).alias("_w")).select(run, *_best_columns())
 
 
 def top_k_trials(log: DataFrame, k: int = 3, run: str = "run_id") -> DataFrame:
@@ -79,13 +87,13 @@ def top_k_trials(log: DataFrame, k: int = 3, run: str = "run_id") -> DataFrame:
 def run_summary(log: DataFrame, run: str = "run_id") -> DataFrame:
     """Per run: best, counts, resume point (last trial + 1) and missing trial ids."""
     m = log.withColumn("_m", bpb_key(F.col("eval_bpb")))
-    agg = m.groupBy(run).agg(
+    out = m.groupBy(run).agg(
         F.count(F.lit(1)).alias("trials_logged"),
         F.count_if("kept").alias("kept_count"),
         F.count_if(F.col("_m") == F.lit(INF)).alias("failed_count"),
         (F.max("trial_id") + 1).cast("int").alias("next_trial"),
-    )
-    out = agg.join(best_trial(log, run), run)
+        _best(F.col("_m")).alias("_w"),
+    ).select(run, "trials_logged", "kept_count", "failed_count", "next_trial", *_best_columns())
     return out.withColumn("trial_gaps", (F.col("next_trial") - F.col("trials_logged")).cast("bigint")).withColumn(
         "failure_rate", F.col("failed_count") / F.col("trials_logged"))
 
@@ -104,7 +112,7 @@ def _json_type(v: Column, key: str) -> Column:
 
 def recipe_diff_audit(log: DataFrame, diff_col: str = "recipe_diff") -> DataFrame:
     """First failing rule per diff → ``status`` (ok/rejected), ``reason``, ``knob``, plus the
-    applied ``lora_rank``, ``learning_rate`` and ``scheduler`` (over the default recipe)."""
+    whole recipe after the diff as ``applied_*`` columns (NULL when rejected)."""
     v = F.try_parse_json(F.col(diff_col))
     keys = F.map_keys(F.from_json(F.col(diff_col), "map<string,string>"))
     allowed = F.array(*[F.lit(k) for k in ALLOWED_KNOBS])
@@ -140,6 +148,10 @@ def recipe_diff_audit(log: DataFrame, diff_col: str = "recipe_diff") -> DataFram
         applied("lora_rank", "bigint").alias("applied_lora_rank"),
         applied("learning_rate", "double").alias("applied_learning_rate"),
         applied("scheduler", "string").alias("applied_scheduler"),
+        *[applied(k, "bigint").alias(f"applied_{k}") for k in _INTEGER_KNOBS],
+        F.when(ok, F.when(tm_type == "STRING", F.split(F.try_variant_get(v, "$.target_modules", "string"), ""))
+               .otherwise(F.coalesce(F.try_variant_get(v, "$.target_modules", "array<string>"),
+                                     F.array(*[F.lit(m) for m in DEFAULT_RECIPE["target_modules"]])))).alias("applied_target_modules"),
     )
 
 

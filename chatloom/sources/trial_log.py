@@ -37,6 +37,7 @@ RUN_STATE_SCHEMA = T.StructType([
     T.StructField("gguf_path", T.StringType()),
     T.StructField("merged_path", T.StringType()),
 ])
+TRIALS_PER_FILE = 100_000
 CHECKPOINT_KEYS = ("current_trial", "best_trial_id", "best_bpb", "best_recipe_diff", "total_trials_run")
 
 
@@ -55,15 +56,21 @@ def log_lines(log: DataFrame) -> DataFrame:
 
 
 def write_trial_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    """Append trial rows as JSON lines, one directory per run."""
-    log_lines(log).write.mode(mode).partitionBy("run_id").text(path)
+    """Append trial rows as JSON lines, one directory per run.
 
+    Rows are dealt by run and by blocks of trial ids, so a small run is one file and a large one
+    is split over tasks.
+    """
+    dealt = log.repartition(F.col("run_id"), F.floor(F.col("trial_id") / F.lit(TRIALS_PER_FILE)))
+    log_lines(dealt).write.mode(mode).partitionBy("run_id").text(path)
 
-def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
-    """Blank, malformed and incomplete lines are skipped (key presence is checked, a
-    null value is fine), unknown fields are ignored, a null or missing bpb reads as +inf."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"))
+
+def parse_trial_lines(lines: DataFrame) -> DataFrame:
+    """``(value, _path)`` log lines → trial rows, batch or streaming.
+
+    Blank, malformed and incomplete lines are skipped (key presence is checked, a null value
+    is fine), unknown fields are ignored, a null or missing bpb reads as +inf.
+    """
     v = F.try_parse_json(F.col("value"))
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
@@ -83,6 +90,16 @@ def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
         typed("timestamp", "string").alias("timestamp")))
 
 
+def trial_lines(reader) -> DataFrame:
+    """Lines of a text ``load`` (batch or stream reader already bound to a path)."""
+    return reader.select("value", F.col("_metadata.file_path").alias("_path"))
+
+
+def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
+    """The trial rows of all log files below ``path``."""
+    return parse_trial_lines(trial_lines(spark.read.option("recursiveFileLookup", "true").text(path)))
+
+
 def write_run_states(states: DataFrame, path: str) -> None:
     """One JSON document per run directory (+inf best is written as null)."""
     bpb = F.when(F.col("best_bpb") == F.lit(float("inf")), F.lit(None)).otherwise(F.col("best_bpb"))

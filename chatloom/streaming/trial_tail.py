@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatloom.operators.trials import INF, bpb_key
-from chatloom.sources.trial_log import TRIAL_SCHEMA
+from chatloom.sources.trial_log import parse_trial_lines, trial_lines
 
 
 def tail_plan(log: DataFrame) -> DataFrame:
@@ -27,9 +27,8 @@ def tail_plan(log: DataFrame) -> DataFrame:
 
 def start_trial_tail(spark: SparkSession, log_dir: str, sink_dir: str, checkpoint_dir: str,
                      available_now: bool = True) -> StreamingQuery:
-    src = spark.readStream.schema(TRIAL_SCHEMA).option("recursiveFileLookup", "true").json(log_dir)
-    runs = src.select(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1), r"^run_id=", "")
-                      .alias("run_id"), F.col("trial_id").cast("int").alias("trial_id"), "eval_bpb")
+    """Start S2 over log files; lines are read by the rules of the batch reader."""
+    runs = parse_trial_lines(trial_lines(spark.readStream.option("recursiveFileLookup", "true").text(log_dir)))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("micro_batch", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
