@@ -1,58 +1,76 @@
-"""Paragraph chunking (E8), JVM-side: one ``aggregate`` fold per document, no Python."""
+"""Paragraph chunking (E8): paragraph lengths are packed by prefix sums, in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from chatloom.functions import ustrip
 from chatloom.schema import CHUNK_CHARS
+from chatloom.session import ship_package
 
 _PARA_SEP = "\n\n"
 
 
-def _slices(p: Column, size: int) -> Column:
-    n = F.ceil(F.length(p) / F.lit(size)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(p, k * size + 1, size))
-
+def chunks_of(text: str, limit: int = CHUNK_CHARS) -> list[str]:
+    """Chunks of one text.
 
-def chunk_column(text: Column, chunk_chars: int = CHUNK_CHARS) -> Column:
-    """Greedy paragraph packing → ``ARRAY<STRING>``.
-
-    Paragraphs are ``\\n\\n``-separated, stripped, blanks dropped. Paragraphs are packed
-    while their summed length (joiners not counted) stays ≤ ``chunk_chars``; an oversized
-    paragraph flushes the open chunk and is cut into ``chunk_chars`` slices. No paragraphs
-    → the first ``chunk_chars`` characters of the raw text.
+    Paragraphs are separated by blank lines, stripped, and dropped when blank. A chunk takes as
+    many paragraphs as have ``limit`` characters together (separators not counted); a longer
+    paragraph stands alone, cut every ``limit`` characters. Without paragraphs the chunk is the
+    head of the text. Each chunk's end is searched in the prefix sums of the lengths, so the
+    work is linear in the text.
     """
-    paras = F.filter(F.transform(F.split(text, _PARA_SEP, -1), lambda p: ustrip(p)), lambda p: p != "")
-    empty = F.array().cast("array<string>")
-    init = F.struct(empty.alias("chunks"), empty.alias("cur"), F.lit(0).cast("bigint").alias("len"))
-
-    def flush(acc):
-        return F.when(F.size(acc["cur"]) > 0, F.array(F.array_join(acc["cur"], _PARA_SEP))).otherwise(empty)
-
-    def step(acc, p):
-        n = F.length(p).cast("bigint")
-        big = F.struct(F.concat(acc["chunks"], flush(acc), _slices(p, chunk_chars)).alias("chunks"), empty.alias("cur"),
-                       F.lit(0).cast("bigint").alias("len"))
-        full = F.struct(F.concat(acc["chunks"], flush(acc)).alias("chunks"), F.array(p).alias("cur"), n.alias("len"))
-        add = F.struct(acc["chunks"].alias("chunks"), F.concat(acc["cur"], F.array(p)).alias("cur"), (acc["len"] + n).alias("len"))
-        return (F.when(n > chunk_chars, big)
-                .when((acc["len"] + n > chunk_chars) & (F.size(acc["cur"]) > 0), full)
-                .otherwise(add))
-
-    chunks = F.aggregate(paras, init, step, lambda acc: F.concat(acc["chunks"], flush(acc)))
-    return F.when(F.size(chunks) > 0, chunks).otherwise(F.array(F.substring(text, 1, chunk_chars)))
+    paras = [s for p in text.split(_PARA_SEP) if (s := p.strip())]
+    if not paras:
+        return [text[:limit]]
+    ends = np.cumsum([len(p) for p in paras])
+    long_ones = [*np.flatnonzero(np.diff(ends, prepend=0) > limit).tolist(), len(paras)]
+    out, at, nth = [], 0, 0
+    while at < len(paras):
+        if at == long_ones[nth]:
+            out += [paras[at][i:i + limit] for i in range(0, len(paras[at]), limit)]
+            nth, at = nth + 1, at + 1
+            continue
+        taken = ends[at - 1] if at else 0
+        stop = min(int(np.searchsorted(ends, taken + limit, side="right")), long_ones[nth])
+        out.append(_PARA_SEP.join(paras[at:stop]))
+        at = stop
+    return out
 
 
 def chunk_text(docs: DataFrame, text_col: str = "text", key: str = "doc_id", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``(key, chunk_idx, n_chunks, chunk)`` — one row per chunk, 0-based ``chunk_idx``."""
-    c = docs.select(key, chunk_column(F.col(text_col), chunk_chars).alias("_chunks"))
-    c = c.select(key, F.size("_chunks").alias("n_chunks"), F.posexplode_outer("_chunks").alias("chunk_idx", "chunk"))
-    return c.where(F.col("chunk_idx").isNotNull()).select(
-        key, F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("n_chunks").cast("int").alias("n_chunks"), "chunk")
-
-
-def blank_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Documents that cannot be structured (empty after strip)."""
-    return docs.where(F.col(text_col).isNull() | (ustrip(F.col(text_col)) == ""))
+    """``(key, chunk_idx, n_chunks, chunk)`` — one row per chunk, 0-based ``chunk_idx``; a null text has none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                if text is not None:
+                    cut = chunks_of(text, chunk_chars)
+                    n = len(cut)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name.as_py()] * n, batch.schema.field(0).type), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()),
+                         pa.array(cut, pa.string())], names=[key, "chunk_idx", "n_chunks", "chunk"])
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in run(batches):
+            held.append(b)
+            size += b.nbytes
+            if size > 4 << 20:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    ship_package(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text_col).mapInArrow(joined, f"{key} {kind}, chunk_idx int, n_chunks int, chunk string")
+
+
+def is_blank(text: Column) -> Column:
+    """Texts that cannot be structured: null, or empty after strip."""
+    return text.isNull() | (ustrip(text) == "")
