@@ -30,13 +30,40 @@ def tokens(col) -> Column:
 
 
 def py_repr(col) -> Column:
-    """``repr(str)`` for the common cases (quotes and backslashes)."""
-    c = _c(col)
-    esc = F.regexp_replace(c, r"\\", r"\\\\")
-    double = F.concat(F.lit('"'), esc, F.lit('"'))
-    single = F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'"))
-    use_double = (F.instr(c, "'") > 0) & (F.instr(c, '"') == 0)
-    return F.when(use_double, double).otherwise(single)
+    """``repr(str)``: quotes, backslashes, and escapes for characters that do not print."""
+    c = F.replace(_c(col), F.lit("\\"), F.lit("\\\\"))
+    for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(char), F.lit(code))
+
+    def one(ch: Column) -> Column:
+        point = F.ascii(ch)
+        code = (F.when(point < 0x100, F.format_string("\\x%02x", point)).when(point < 0x10000, F.format_string("\\u%04x", point))
+                .otherwise(F.format_string("\\U%08x", point)))
+        return F.when(ch.rlike(_UNPRINTED), code).otherwise(ch)
+
+    c = bind(c, lambda t: F.when(t.rlike(_UNPRINTED), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), one), "")).otherwise(t))
+    double = F.concat(F.lit('"'), c, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    raw = _c(col)
+    return F.when((F.instr(raw, "'") > 0) & (F.instr(raw, '"') == 0), double).otherwise(single)
+
+
+#: Characters that repr() escapes: controls, formats, unassigned ones, and all separators but the space.
+_UNPRINTED = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def fill(template: str, **cols) -> Column:
+    """Column-wise ``str.format``: every placeholder of ``template`` is a key of ``cols``."""
+    import string
+
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            v = cols[field]
+            parts.append(v.cast("string") if isinstance(v, Column) else F.lit(str(v)))
+    return F.concat(*parts)
 
 
 def bind(value: Column, fn) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.schema import SHAREGPT_ROLE_MAP
+from chatloom.schema import MESSAGE_TEXT, SHAREGPT_ROLE_MAP
 
 
 def nest_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
@@ -70,11 +70,16 @@ def _pair(user: F.Column, assistant: F.Column) -> F.Column:
                    F.struct(F.lit("assistant").alias("role"), assistant.alias("content")))
 
 
-def convert_records(records: DataFrame) -> DataFrame:
+def convert_records(records: DataFrame, max_samples: int | None = None) -> DataFrame:
     """Adds ``source_format`` and ``messages`` (NULL = unrecognized record), first match wins:
     messages → conversations → instruction+output (``\\n\\n`` + input when not blank) →
-    prompt+response → prompt+completion → question+answer. A NULL field counts as absent."""
+    prompt+response → prompt+completion → question+answer. A NULL field counts as absent.
+    ``max_samples`` takes the first records by ``ord``."""
     from chatloom.functions import ustrip
+    from chatloom.operators.positions import dense_positions
+
+    if max_samples is not None:
+        records = dense_positions(records, "ord", "_at").where(F.col("_at") < max_samples).drop("_at")
 
     has = lambda n: _has(records, n)
     col = lambda n: F.col(n) if n in records.columns else F.lit(None).cast("string")
@@ -111,6 +116,5 @@ def require_single_format(records: DataFrame) -> bool:
     """Raise on a mix of conversations-only and other records; True when all are conversations."""
     row = format_census(records).first()
     if row["mixed"]:
-        raise ValueError("Mixed dataset format: some records use 'conversations', others use 'messages'. "
-                         "All records must use the same format.")
+        raise ValueError(MESSAGE_TEXT["mixed_format"])
     return bool(row["all_conversations"])

@@ -11,14 +11,13 @@ from chatloom.functions import canonical_text
 def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
     """Keep the first sample (lowest ``ord``) per canonical text; order is kept by ``ord``.
 
-    A hash aggregate with partial (map-side) aggregation: a key that holds a third of all
-    rows collapses to one row per map task before the shuffle, so hot copies never land
-    in one task. The group key is SHA-256 of the canonical text.
+    A hash aggregate over ``(key, ord)`` alone, with partial (map-side) aggregation: a key
+    that holds a third of all rows collapses to one row per map task before the shuffle. The
+    texts join the winners by ``ord``. The group key is SHA-256 of the canonical text.
     """
     key = key if key is not None else F.sha2(canonical_text("messages"), 256)
-    cols = [c for c in samples.columns]
-    winner = F.min_by(F.struct(*cols), F.col("ord"))
-    return samples.groupBy(key.alias("_k")).agg(winner.alias("_w")).select("_w.*")
+    winners = samples.select(key.alias("_k"), "ord").groupBy("_k").agg(F.min("ord").alias("ord"))
+    return samples.join(winners.select("ord"), "ord", "left_semi")
 
 
 # ---------------------------------------------------------------------------

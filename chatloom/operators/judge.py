@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions import first_content, ustrip
+from chatloom.functions import fill, first_content, ustrip
+from chatloom.schema import MESSAGE_TEXT
 
 _NUMBER = r"\d+(?:\.\d+)?"
 _BOUNDED_NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"
@@ -13,8 +14,8 @@ EVAL_FIELD_CHARS = 300
 EVAL_SCALE = 10
 EVAL_DEFAULT_MEAN = 5.0
 
-EVAL_PROMPT = ("Score this model response from 1 (useless) to 10 (perfect).\n\nQuestion: {q}\n\n"
-               "Reference answer: {ref}\n\nModel response: {gen}\n\nReply with the number only.")
+EVAL_PROMPT = ("[question]\n{q}\n[known good answer]\n{ref}\n[answer under test]\n{gen}\n"
+               "[task] Compare the answer under test with the known good one and give it 1 to 10 points. Output one number.")
 
 
 def _clamp(x: Column, hi: float) -> Column:
@@ -35,17 +36,16 @@ def eval_score(reply: Column) -> Column:
 
 
 def quality_gate(samples: DataFrame, judge_replies: DataFrame, min_score: float = 3.0, scale: int = 5,
-                 index_col: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """Samples ⟕ judge replies on ``ord``; a missing/failed/unparseable reply scores the
+                 index_col: str = "ord", key: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """Samples ⟕ judge replies on ``key``; a missing/failed/unparseable reply scores the
     midpoint ``(scale+1)/2``; drop when score < ``min_score``. Returns (kept, drops)."""
     fallback = (scale + 1) / 2
-    r = judge_replies.select("ord", gate_score(F.col("reply"), scale).alias("_parsed"))
-    scored = samples.join(r, "ord", "left").withColumn("score", F.coalesce("_parsed", F.lit(float(fallback)))).drop("_parsed")
+    r = judge_replies.select(key, gate_score(F.col("reply"), scale).alias("_parsed"))
+    scored = samples.join(r, key, "left").withColumn("score", F.coalesce("_parsed", F.lit(float(fallback)))).drop("_parsed")
     kept = scored.where(F.col("score") >= F.lit(float(min_score)))
     drops = scored.where(F.col("score") < F.lit(float(min_score))).select(
         "ord", "score",
-        F.concat(F.lit("Sample "), F.col(index_col).cast("string"), F.lit(": dropped, quality score "),
-                 F.format_string("%.1f", F.col("score")), F.lit(f"/{scale} < {min_score}")).alias("message"))
+        fill(MESSAGE_TEXT["low_score"], n=F.col(index_col), score=F.format_string("%.1f", F.col("score")), scale=scale, least=min_score).alias("message"))
     return kept, drops
 
 
@@ -54,9 +54,7 @@ def eval_judge_requests(eval_samples: DataFrame, generations: DataFrame) -> Data
     qa = eval_samples.select("ord", first_content("user").alias("q"), first_content("assistant").alias("ref"))
     g = qa.join(generations, "ord").where(F.col("q") != "")
     cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, EVAL_FIELD_CHARS)
-    from chatloom.operators.prompts import _fill
-
-    return g.select("trial_id", "ord", _fill(EVAL_PROMPT, q=cut("q"), ref=cut("ref"), gen=cut("generated")).alias("prompt"))
+    return g.select("trial_id", "ord", fill(EVAL_PROMPT, q=cut("q"), ref=cut("ref"), gen=cut("generated")).alias("prompt"))
 
 
 def judge_mean(eval_samples: DataFrame, eval_replies: DataFrame, n_prompts: int = 20) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions import assistant_chars, normalize_role, py_repr, ustrip
-from chatloom.schema import DEFAULT_MIN_ASSISTANT_CHARS, VALID_ROLES
+from chatloom.functions import assistant_chars, fill, normalize_role, py_repr, ustrip
+from chatloom.schema import DEFAULT_MIN_ASSISTANT_CHARS, MESSAGE_TEXT, VALID_ROLES
 
 _WARN = "struct<msg_pos:int,code:string,detail:string>"
 
@@ -44,15 +44,9 @@ def _annotate(messages: Column) -> Column:
 
 def _message_warnings(ann: Column) -> Column:
     def one(m):
-        empty = _warn(m["pos"], "empty_content",
-                      F.concat(F.lit("Removed message with empty content (role="), py_repr(m["raw_role"]), F.lit(")")))
-        strip = _warn(m["pos"], "stripped_whitespace",
-                      F.concat(F.lit("Stripped whitespace from message content (role="), py_repr(m["raw_role"]), F.lit(")")))
-        unknown = _warn(m["pos"], "unknown_role",
-                        F.concat(F.lit("Removed message with unknown role "), py_repr(m["raw_role"]),
-                                 F.lit(" (normalized: "), py_repr(m["norm"]), F.lit(")")))
-        normed = _warn(m["pos"], "normalized_role",
-                       F.concat(F.lit("Normalized role "), py_repr(m["raw_role"]), F.lit(" -> "), py_repr(m["norm"])))
+        role, norm = py_repr(m["raw_role"]), py_repr(m["norm"])
+        empty, strip, unknown, normed = (_warn(m["pos"], code, fill(MESSAGE_TEXT[code], role=role, norm=norm))
+                                         for code in ("empty_content", "stripped_whitespace", "unknown_role", "normalized_role"))
         strip_part = F.when(m["stripped"] != m["raw"], F.array(strip)).otherwise(_no_warn())
         role_part = (F.when(~_valid(m["norm"]), F.array(unknown))
                      .when(m["norm"] != m["raw_role"], F.array(normed))
@@ -90,16 +84,11 @@ def _with_drop_reason(df: DataFrame, msgs: str = "repaired") -> DataFrame:
             .when(rep.isNotNull(), F.lit("consecutive_roles")))
     df = df.withColumn("drop_code", code)
     c = F.col("drop_code")
-    detail = (F.when(c == "no_messages", F.lit("Dropped sample: no messages remaining after cleanup."))
-              .when(c == "no_user", F.lit("Dropped sample: no 'user' turn after repair."))
-              .when(c == "no_assistant", F.lit("Dropped sample: no 'assistant' turn after repair."))
-              .when(c == "first_not_user",
-                    F.concat(F.lit("Dropped sample: first non-system turn is "), py_repr(first_role),
-                             F.lit(", expected 'user'.")))
-              .when(c == "consecutive_roles",
-                    F.concat(F.lit("Dropped sample: consecutive "), py_repr(F.get(ns, rep)["role"]),
-                             F.lit(" turns at positions "), (rep - 1).cast("string"), F.lit(","),
-                             rep.cast("string"), F.lit("."))))
+    last = F.when(c == "first_not_user", first_role).otherwise(F.get(ns, rep)["role"])
+    detail = None
+    for name in ("no_messages", "no_user", "no_assistant", "first_not_user", "consecutive_roles"):
+        text = fill(MESSAGE_TEXT[name], role=py_repr(last), i=rep - 1, j=rep)
+        detail = F.when(c == name, text) if detail is None else detail.when(c == name, text)
     return df.withColumn("drop_detail", detail).drop("_ns", "_rep", "_roles")
 
 
@@ -130,7 +119,7 @@ def repair_warnings(samples: DataFrame, index_col: str = "ord") -> DataFrame:
     r = r.select("ord", F.col(index_col).alias("_i"), F.posexplode_outer("warnings").alias("seq", "w"))
     return r.where(F.col("seq").isNotNull()).select(
         "ord", F.col("seq").cast("int").alias("seq"), F.coalesce(F.col("w.msg_pos"), F.lit(-1)).alias("msg_pos"), F.col("w.code").alias("code"),
-        F.concat(F.lit("Sample "), F.col("_i").cast("string"), F.lit(": "), F.col("w.detail")).alias("message"),
+        fill(MESSAGE_TEXT["sample_warning"], n=F.col("_i"), detail=F.col("w.detail")).alias("message"),
     )
 
 
@@ -148,28 +137,19 @@ def validate_strict(samples: DataFrame, index_col: str = "ord") -> DataFrame:
     """Errors without mutation: ``(ord, seq, msg_pos, code, message)``; no order check."""
     msgs = F.col("messages")
     norm_roles = F.transform(msgs, lambda m: normalize_role(m["role"]))
-    prefix = F.concat(F.lit("Sample "), F.col(index_col).cast("string"))
-    err = lambda pos, code, text: F.struct(pos.cast("int").alias("msg_pos"), F.lit(code).alias("code"), text.alias("message"))
-    sample_errs = F.concat(
-        F.when(~F.array_contains(norm_roles, "user"),
-               F.array(err(F.lit(None), "missing_user", F.concat(prefix, F.lit(": missing 'user' turn."))))).otherwise(
-            F.array().cast("array<struct<msg_pos:int,code:string,message:string>>")),
-        F.when(~F.array_contains(norm_roles, "assistant"),
-               F.array(err(F.lit(None), "missing_assistant", F.concat(prefix, F.lit(": missing 'assistant' turn."))))).otherwise(
-            F.array().cast("array<struct<msg_pos:int,code:string,message:string>>")),
-    )
+    none = F.array().cast("array<struct<msg_pos:int,code:string,message:string>>")
+
+    def err(fails, code: str, pos=None, **values):
+        text = fill(MESSAGE_TEXT[f"strict_{code}"], n=F.col(index_col), j=pos, **values)
+        place = F.lit(None).cast("int") if pos is None else pos.cast("int")
+        return F.when(fails, F.array(F.struct(place.alias("msg_pos"), F.lit(code).alias("code"), text.alias("message")))).otherwise(none)
 
     def per_msg(m, j):
-        at = F.concat(prefix, F.lit(", message "), j.cast("string"))
-        empty = F.when(ustrip(m["content"]) == "", F.array(err(j, "empty_content", F.concat(at, F.lit(": empty content."))))).otherwise(
-            F.array().cast("array<struct<msg_pos:int,code:string,message:string>>"))
-        unknown = F.when(~_valid(normalize_role(m["role"])),
-                         F.array(err(j, "unknown_role", F.concat(at, F.lit(": unknown role "), py_repr(m["role"]), F.lit("."))))).otherwise(
-            F.array().cast("array<struct<msg_pos:int,code:string,message:string>>"))
-        return F.concat(empty, unknown)
-
-    errors = F.when(F.size(msgs) == 0, F.array(err(F.lit(None), "no_messages", F.concat(prefix, F.lit(": has no messages."))))).otherwise(
-        F.concat(sample_errs, F.flatten(F.transform(msgs, per_msg))))
+        return F.concat(err(ustrip(m["content"]) == "", "empty_content", j),
+                        err(~_valid(normalize_role(m["role"])), "unknown_role", j, role=py_repr(m["role"])))
+
+    missing = [err(~F.array_contains(norm_roles, role), f"missing_{role}") for role in ("user", "assistant")]
+    errors = F.when(F.size(msgs) == 0, err(F.lit(True), "no_messages")).otherwise(F.concat(*missing, F.flatten(F.transform(msgs, per_msg))))
     out = samples.select("ord", F.posexplode_outer(errors).alias("seq", "e")).where(F.col("seq").isNotNull())
     return out.select(
         "ord", F.col("seq").cast("int").alias("seq"), F.coalesce(F.col("e.msg_pos"), F.lit(-1)).alias("msg_pos"), F.col("e.code").alias("code"),

@@ -1,21 +1,26 @@
 """The three dataset modes as compositions of operators (P1-P3), with stage counts.
 
 Each mode returns ``(dataset, funnel)``: the final samples with ids and a small
-``(stage_no, stage, n)`` table. ``require_nonempty`` is the final gate.
+``(stage_no, stage, n)`` table. Every stage is saved once in the shared folder; the next stage
+and the counts read it there, so no stage and no model call runs twice. An empty result is an
+error (``allow_empty=False``), and ``sink`` writes the golden JSONL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.operators import chunking, convert, dedup, inference, judge, positions, prompts, replies, validate
+from chatloom.schema import MESSAGE_TEXT
+from chatloom.session import saved
+from chatloom.sources.jsonl import write_jsonl
 
 
 def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """One ``count`` aggregate per stage, unioned into a tiny table."""
+    """One ``count`` aggregate per stage, unioned into a tiny table; stages should be saved tables."""
     out = None
     for i, (name, df) in enumerate(stages):
         part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "n")
@@ -26,56 +31,115 @@ def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
 def require_nonempty(dataset: DataFrame, funnel_df: DataFrame) -> None:
     if dataset.isEmpty():
         counts = ", ".join(f"{r['stage']}={r['n']}" for r in funnel_df.orderBy("stage_no").collect())
-        raise RuntimeError(f"Dataset is empty after dedup, quality gate and validation ({counts}).")
+        raise RuntimeError(f"{MESSAGE_TEXT['empty_dataset']} ({counts})")
 
 
-def _finish(samples: DataFrame, stages: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    repaired = validate.validate_and_repair(samples, keep_id=False)
+def _finish(samples: DataFrame, stages: list[tuple[str, DataFrame]], sink: str | None, allow_empty: bool) -> tuple[DataFrame, DataFrame]:
+    repaired = saved(validate.validate_and_repair(samples, keep_id=False), "mode-validated")
     final = positions.assign_ids(repaired).drop("pos")
-    return final, funnel(stages + [("validated", repaired)])
-
-
-def _gate(samples: DataFrame, judge_replies: DataFrame | None, min_score: float, scale: int) -> DataFrame:
-    if judge_replies is None:
-        return samples
-    kept, _ = judge.quality_gate(samples, judge_replies, min_score, scale)
-    return kept.drop("score")
-
-
-def _filter_dedup_gate(acquired: DataFrame, judge_replies, similarity, min_assistant_chars, min_score, scale):
-    filtered = validate.min_answer_filter(acquired, min_assistant_chars)
-    deduped = dedup.near_dedup(filtered, similarity)
-    gated = _gate(deduped, judge_replies, min_score, scale)
-    return _finish(gated, [("acquired", acquired), ("length_filter", filtered), ("dedup", deduped), ("quality_gate", gated)])
-
-
-def generate_mode(stored_replies: DataFrame, num_samples: int, judge_replies: DataFrame | None = None,
-                  similarity: float = 0.85, min_assistant_chars: int = 50, min_score: float = 3.0,
-                  scale: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Stored generation replies → parse/retry/quota → length filter + near dedup →
-    judge gate → repair → ids. A sample's ``ord`` is its rank in (batch, position) order."""
-    merged = replies.retry_merge(replies.parse_replies(stored_replies))
+    counts = funnel(stages + [("validated", repaired)])
+    if not allow_empty:
+        require_nonempty(repaired, counts)
+    if sink:
+        write_jsonl(final, sink)
+    return final, counts
+
+
+def _filter_dedup_gate(acquired: DataFrame, gate: Callable[[DataFrame], DataFrame], similarity: float, min_assistant_chars: int,
+                       sink: str | None, allow_empty: bool) -> tuple[DataFrame, DataFrame]:
+    acquired = saved(acquired, "mode-acquired")
+    filtered = saved(validate.min_answer_filter(acquired, min_assistant_chars), "mode-filtered")
+    deduped = saved(dedup.near_dedup(filtered, similarity), "mode-deduped")
+    gated = saved(gate(deduped), "mode-gated")
+    stages = [("acquired", acquired), ("length_filter", filtered), ("dedup", deduped), ("quality_gate", gated)]
+    return _finish(gated, stages, sink, allow_empty)
+
+
+def _judged(samples: DataFrame, requests: DataFrame, model: Callable[..., str], min_score: float, scale: int) -> DataFrame:
+    """Samples whose judge reply reaches the score; a failed or unreadable reply counts as the middle."""
+    answers = saved(inference.inference_hook(requests, model, ["ord"], system_col=None, temperature=0.0), "mode-judged")
+    return judge.quality_gate(samples, answers, min_score, scale)[0].drop("score")
+
+
+def generated_replies(topics: DataFrame, model: Callable[..., str], batch_size: int = 10) -> DataFrame:
+    """``(batch_id, attempt, reply)``: one call per batch of a topic, and a second one with the
+    failed reply where the first did not parse."""
+    requests = positions.dense_positions_by(prompts.generation_requests(topics, batch_size), ["topic", "call_idx"], "batch_id")
+    requests = saved(requests, "mode-requests")
+    first = saved(inference.inference_hook(requests, model, ["batch_id"], temperature=0.8, response_format="json").withColumn("attempt", F.lit(1)), "mode-replies")
+    status = replies.parse_replies(first).select("batch_id", "status").join(first.select("batch_id", "reply"), "batch_id")
+    again = prompts.retry_requests(requests, status)
+    second = inference.inference_hook(again, model, ["batch_id"], failed_reply_col="failed_reply", retry_prompt_col="retry_prompt",
+                                      temperature=0.5, response_format="json").withColumn("attempt", F.lit(2))
+    return saved(first.unionByName(second).select("batch_id", "attempt", "reply"), "mode-all-replies")
+
+
+def generate_mode(stored_replies: DataFrame, num_samples: int | None, judge_replies: DataFrame | None = None,
+                  judge_model: Callable[..., str] | None = None, similarity: float = 0.85, min_assistant_chars: int = 50,
+                  min_score: float = 3.0, scale: int = 5, sink: str | None = None, allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Generation replies (stored, or from :func:`generated_replies`) → parse/retry/quota →
+    length filter + near dedup → judge gate → repair → ids. A sample's ``ord`` is its rank in
+    (batch, position) order; ``num_samples=None`` takes all. The gate asks ``judge_model``, or
+    reads ``judge_replies`` (by ``ord``); without either, all pass."""
+    merged = saved(replies.retry_merge(replies.parse_replies(stored_replies)), "mode-merged")
     first = replies.first_n_samples(merged, num_samples)
     acquired = positions.dense_positions_by(first, ["batch_id", "pos"]).select("ord", "id", "messages")
-    return _filter_dedup_gate(acquired, judge_replies, similarity, min_assistant_chars, min_score, scale)
 
+    def gate(samples: DataFrame) -> DataFrame:
+        if judge_model is not None:
+            return _judged(samples, prompts.judge_requests(samples, scale), judge_model, min_score, scale)
+        return samples if judge_replies is None else judge.quality_gate(samples, judge_replies, min_score, scale)[0].drop("score")
 
-def structure_mode(raw_texts: DataFrame, model: Callable[..., str], num_samples: int = 50,
-                   judge_replies: DataFrame | None = None, similarity: float = 0.85, min_assistant_chars: int = 50,
-                   min_score: float = 3.0, scale: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Raw texts ``(doc_id, text)`` → chunks → extraction requests → model → parse →
-    first ``num_samples`` per text → length filter + near dedup → judge gate → repair."""
-    docs = raw_texts.join(chunking.blank_texts(raw_texts).select("doc_id"), "doc_id", "left_anti")
-    reqs = prompts.structure_requests(chunking.chunk_text(docs), num_samples)
-    out = inference.inference_hook(reqs, model, ["doc_id", "chunk_idx"], max_tokens_col="max_tokens")
-    samples, _ = inference.extraction_collect(out, num_samples)
-    acquired = positions.dense_positions_by(samples, ["doc_id", "chunk_idx", "pos"]).select("ord", "id", "messages")
-    return _filter_dedup_gate(acquired, judge_replies, similarity, min_assistant_chars, min_score, scale)
+    return _filter_dedup_gate(acquired, gate, similarity, min_assistant_chars, sink, allow_empty)
 
 
-def bring_your_own_mode(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def structure_mode(raw_texts: DataFrame, model: Callable[..., str], num_samples: int = 50, judge_replies: DataFrame | None = None,
+                   judge_model: Callable[..., str] | None = None, grounding: str = "chunk", similarity: float = 0.85,
+                   min_assistant_chars: int = 50, min_score: float = 3.0, scale: int = 5, sink: str | None = None,
+                   allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw texts ``(doc_id, text)`` → chunks → extraction requests → model → parse →
+    first ``num_samples`` per text → length filter + near dedup → judge gate → repair.
+
+    Blank texts are left out. The gate asks ``judge_model`` with each sample's chunk
+    (``grounding="chunk"``) or the head of its text (``"head"``), or reads ``judge_replies`` (by
+    ``doc_id``); without either, all pass.
+    """
+    docs = raw_texts.where(~chunking.is_blank(F.col("text")))
+    reqs = saved(prompts.structure_requests(chunking.chunk_text(docs), num_samples), "mode-requests")
+    out = inference.inference_hook(reqs, model, ["doc_id", "chunk_idx"], max_tokens_col="max_tokens", temperature=0.3, response_format="json")
+    samples, _ = inference.extraction_collect(out, num_samples)
+    acquired = saved(positions.dense_positions_by(samples, ["doc_id", "chunk_idx", "pos"]), "mode-samples")
+
+    def gate(kept: DataFrame) -> DataFrame:
+        origin = acquired.select("ord", "doc_id", "chunk_idx")
+        if judge_model is not None:
+            if grounding == "chunk":
+                sources = origin.join(reqs.select("doc_id", "chunk_idx", F.col("chunk").alias("text")), ["doc_id", "chunk_idx"])
+            else:
+                sources = origin.join(docs, "doc_id")
+            return _judged(kept, prompts.judge_requests(kept, scale, sources, grounding=grounding), judge_model, min_score, scale)
+        if judge_replies is None:
+            return kept
+        named = kept.join(origin.select("ord", "doc_id"), "ord")
+        return judge.quality_gate(named, judge_replies, min_score, scale, key="doc_id")[0].select("ord", "id", "messages")
+
+    return _filter_dedup_gate(acquired.select("ord", "id", "messages"), gate, similarity, min_assistant_chars, sink, allow_empty)
+
+
+def bring_your_own_mode(records: DataFrame, max_samples: int | None = None, sink: str | None = None,
+                        allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """Foreign records (with ``ord``) → golden messages → repair → ids; no dedup, no gate.
-    Unrecognized records are skipped (counted in the funnel)."""
-    conv = convert.convert_records(records)
+    Unrecognized records are skipped (the funnel counts both); records that give nothing are an error."""
+    conv = saved(convert.convert_records(records, max_samples), "mode-converted")
     acquired = conv.where(F.col("messages").isNotNull()).select("ord", F.lit("").alias("id"), "messages")
-    return _finish(acquired, [("records", records), ("converted", acquired)])
+    if not allow_empty and acquired.isEmpty():
+        raise RuntimeError(f"no record of {conv.count()} could be converted")
+    return _finish(acquired, [("records", conv), ("converted", acquired)], sink, allow_empty)
+
+
+def bring_your_own_files(spark: SparkSession, path: str, sink: str | None = None, allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """P3 from files: ``.jsonl`` or ``.json``, messages or conversations records."""
+    from chatloom.sources.jsonl import load_dataset
+
+    samples = saved(load_dataset(spark, path)[0], "mode-loaded")
+    return _finish(samples.select("ord", "id", "messages"), [("loaded", samples)], sink, allow_empty)

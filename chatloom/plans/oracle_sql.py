@@ -485,16 +485,23 @@ ORACLES["structure_requests"] = q(f"""
 WITH RECURSIVE {chunk_ctes(DOCS_RAW)}, {_structure_requests_sql()}
 SELECT doc_id, chunk_idx, per_chunk, max_tokens, md5(prompt) AS prompt_md5, length(prompt)::BIGINT AS prompt_len FROM sreq""")
 
+ECHO_OK = "length(chunk) % 7 <> 2 AND length(chunk) % 5 <> 3"
+ECHO_REPLY = ("""'[{"messages": [{"role": "user", "content": "What does this passage say?"}, {"role": "assistant", "content": ' """
+              """|| to_json(chunk)::VARCHAR || '}]}]'""")
+
 ORACLES["inference_hook"] = q(f"""
-WITH RECURSIVE {chunk_ctes(DOCS_RAW)}
-SELECT doc_id, chunk_idx, true AS replied FROM chunks""")
+WITH RECURSIVE {chunk_ctes(DOCS_RAW)},
+r AS (SELECT doc_id, chunk_idx, CASE WHEN length(chunk) % 7 = 2 THEN NULL WHEN length(chunk) % 5 = 3 THEN 'Sorry, no pairs for this passage.'
+                                     ELSE {ECHO_REPLY} END AS reply FROM chunks)
+SELECT doc_id, chunk_idx, coalesce(md5(reply), '') AS reply_md5, coalesce(length(reply), 0)::BIGINT AS reply_len,
+       CASE WHEN reply IS NULL THEN 'RuntimeError: model not reached' ELSE '' END AS error FROM r""")
 
 ORACLES["structure_collect"] = q(f"""
 WITH RECURSIVE {chunk_ctes(DOCS_RAW)},
 ok AS (SELECT doc_id, chunk_idx, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn
-       FROM chunks WHERE length(chunk) >= 200)
+       FROM chunks WHERE {ECHO_OK})
 SELECT doc_id, chunk_idx, 0 AS pos,
-  md5('user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || substr(chunk, 1, 200)) AS canon_md5
+  md5('user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || chunk) AS canon_md5
 FROM ok WHERE rn <= 50""")
 
 
@@ -662,9 +669,23 @@ SELECT run_id, trial_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END
   coalesce(reason, '') AS reason, coalesce(knob, '') AS knob,
   CASE WHEN reason IS NOT NULL THEN -1 WHEN event_type = 'view' AND k % 10 <> 0 THEN k ELSE 16 END::BIGINT AS applied_lora_rank,
   CASE WHEN reason IS NOT NULL THEN -1.0 WHEN event_type = 'click' THEN round(k / 10000.0, 6) ELSE 0.0002 END::DOUBLE AS applied_learning_rate,
-  CASE WHEN reason IS NOT NULL THEN '' WHEN event_type = 'purchase' THEN 'linear' ELSE 'cosine' END AS applied_scheduler
+  CASE WHEN reason IS NOT NULL THEN '' WHEN event_type = 'purchase' THEN 'linear' ELSE 'cosine' END AS applied_scheduler,
+  CASE WHEN reason IS NOT NULL THEN -1 WHEN event_type = 'purchase' THEN k * 11 ELSE 16 END::BIGINT AS applied_lora_alpha,
+  CASE WHEN reason IS NOT NULL THEN '' ELSE 'q_proj,v_proj' END AS applied_target_modules,
+  CASE WHEN reason IS NOT NULL THEN -1 ELSE 10 + 1 + 200 + 2 + 4 END::BIGINT AS applied_rest
 FROM au""")
 
+ORACLES["loop_checkpoints"] = q(f"""
+WITH {TRIAL_CTES},
+agg AS (SELECT run_id, count(*)::BIGINT AS n, max(trial_id)::INTEGER AS last FROM tl GROUP BY run_id)
+SELECT a.run_id, a.last AS current_trial, b.best_trial_id, round(b.best_bpb, 6) AS best_bpb, coalesce(b.best_recipe_diff ->> '$.scheduler', '') AS best_scheduler,
+       coalesce((b.best_recipe_diff ->> '$.lora_alpha')::INTEGER, -1) AS best_lora_alpha, a.n AS total_trials_run
+FROM agg a JOIN bt b ON b.run_id = a.run_id
+WHERE regexp_extract(a.run_id, '(\\d+)$', 1)::BIGINT % 11 <> 3 AND regexp_extract(a.run_id, '(\\d+)$', 1)::BIGINT % 7 <> 2""")
+
+ORACLES["read_raw_text"] = q("""
+SELECT doc_id, length(text || chr(10))::BIGINT AS n_chars, md5(text || chr(10)) AS text_md5 FROM documents""")
+
 ORACLES["bits_per_byte"] = q("""
 SELECT user_id AS trial_id, sum(event_id % 50)::BIGINT AS n_tokens,
   round(CASE WHEN sum(event_id % 50) > 0 THEN sum(value / 100 * (event_id % 50)) / sum(event_id % 50) / ln(2) / 3.8
@@ -710,7 +731,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 9 IN (3, 4, 5,
 
 ORACLES["read_jsonl"] = q(f"""
 WITH {ORIG}
-SELECT 'conv-' || c AS id, n AS n_messages, canon_md5 FROM orig""")
+SELECT CASE WHEN c % 4 = 2 THEN '' ELSE 'conv-' || c END AS id, n AS n_messages, canon_md5 FROM orig""")
 
 ORACLES["read_json_array"] = ORACLES["read_jsonl"]
 
@@ -817,9 +838,9 @@ SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, n
 
 ORACLES["stream_trial_tail"] = q(f"""
 WITH {TRIAL_CTES}
-SELECT b.run_id, round(b.best_bpb, 6) AS best_bpb, b.best_trial_id, a.n AS trials_logged, a.last_trial
-FROM bt b JOIN (SELECT run_id, count(*)::BIGINT AS n, max(trial_id)::INTEGER AS last_trial FROM tl GROUP BY run_id) a
-  ON a.run_id = b.run_id""")
+SELECT run_id, round(min(bpb), 6) AS best_bpb, coalesce(arg_min(trial_id, (bpb, trial_id)) FILTER (WHERE bpb < 'inf'::DOUBLE), -1)::INTEGER AS best_trial_id,
+       count(*)::BIGINT AS trials_logged, max(trial_id)::INTEGER AS last_trial
+FROM tl WHERE trial_id % 17 <> 5 AND trial_id % 19 <> 7 GROUP BY run_id""")
 
 ORACLES["stream_reply_ingest"] = q(f"""
 WITH {REPLY_CTES},
@@ -827,20 +848,39 @@ ok AS (SELECT i.* FROM items i JOIN astat s ON s.batch_id = i.batch_id AND s.att
        WHERE s.status IN ('ok', 'salvaged') AND i.valid)
 SELECT DISTINCT n_messages, canon_md5 FROM ok""")
 
+def _judge_ok(prompt: str) -> str:
+    """The stand-in judge's gate: 1 + length mod 5 reaches 3."""
+    return f"1 + length({prompt}) % 5 >= 3"
+
+
+def _mode_prompts() -> tuple[str, str]:
+    from chatloom.operators.prompts import JUDGE_GROUNDED, JUDGE_SELF
+
+    asked = "'What does this passage say?'"
+    return (fill_sql(JUDGE_GROUNDED, scale="'5'", source="a.ans", q=asked, a="a.ans"), fill_sql(JUDGE_SELF, scale="'5'", q="q", a="a"))
+
+
+GROUNDED_PROMPT, SELF_PROMPT = _mode_prompts()
+
 ORACLES["mode_structure"] = q(f"""
 WITH RECURSIVE {chunk_ctes(DOCS_RAW)},
 okc AS (SELECT doc_id, chunk_idx, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn
-        FROM chunks WHERE length(chunk) >= 200),
-acq AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS ord, substr(chunk, 1, 200) AS ans FROM okc WHERE rn <= 50),
-{token_ctes("SELECT ord, 'user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || ans AS text FROM acq")},
+        FROM chunks WHERE {ECHO_OK}),
+acq AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS ord, chunk AS ans FROM okc WHERE rn <= 50),
+{token_ctes("SELECT ord, 'user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || ans AS text FROM acq WHERE length(ans) >= 50")},
 {jaccard_pairs_cte()}, {greedy_ctes()},
-jr AS ({JUDGE_REPLIES}),
-gated AS (SELECT g.ord FROM gkept g LEFT JOIN jr ON jr.ord = g.ord WHERE coalesce(jr.parsed, 3.0) >= 3.0),
-fin AS (SELECT a.ord, {strip_sql('a.ans')} AS ans FROM acq a SEMI JOIN gated g ON g.ord = a.ord)
+fin AS (SELECT a.ord, {strip_sql('a.ans')} AS ans FROM acq a SEMI JOIN gkept g ON g.ord = a.ord
+        WHERE {_judge_ok(GROUNDED_PROMPT)})
 SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, 2::BIGINT AS n_messages,
        md5('user' || chr(1) || 'What does this passage say?' || chr(0) || 'assistant' || chr(1) || ans) AS canon_md5
 FROM fin""")
 
+ORACLES["mode_bring_your_own_files"] = q(f"""
+WITH fin AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, {strip_sql('text')} AS text, {strip_sql('source')} AS source FROM documents),
+kept AS (SELECT p AS ord, source, text FROM fin WHERE text <> '' AND source <> '')
+SELECT ord, printf('sample_%04d', row_number() OVER (ORDER BY ord) - 1) AS id, 2::BIGINT AS n_messages,
+       md5('user' || chr(1) || source || chr(0) || 'assistant' || chr(1) || text) AS canon_md5 FROM kept""")
+
 ORACLES["mode_generate"] = q(f"""
 WITH RECURSIVE {REPLY_CTES},
 used AS (SELECT a.batch_id FROM att a JOIN merged m ON m.batch_id = a.batch_id AND m.used_attempt = a.attempt
@@ -860,7 +900,10 @@ am AS (SELECT a.ord, i.mpos, i.role, i.content FROM acq a JOIN imsg i ON i.batch
 lenok AS (SELECT ord FROM am GROUP BY ord HAVING coalesce(sum(length(content)) FILTER (WHERE role = 'assistant'), 0) >= 50),
 {token_ctes("SELECT ord, string_agg(role || chr(1) || content, chr(0) ORDER BY mpos) AS text FROM am WHERE ord IN (SELECT ord FROM lenok) GROUP BY ord")},
 {jaccard_pairs_cte()}, {greedy_ctes()},
-{repair_ctes("SELECT ord, mpos AS turn, role, content FROM am WHERE ord IN (SELECT ord FROM gkept)")},
+qa AS (SELECT ord, coalesce(arg_min(content, mpos) FILTER (WHERE role = 'user'), '') AS q,
+              coalesce(arg_min(content, mpos) FILTER (WHERE role = 'assistant'), '') AS a FROM am GROUP BY ord),
+judged AS (SELECT g.ord FROM gkept g JOIN qa ON qa.ord = g.ord WHERE {_judge_ok(SELF_PROMPT)}),
+{repair_ctes("SELECT ord, mpos AS turn, role, content FROM am WHERE ord IN (SELECT ord FROM judged)")},
 keptids AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS p FROM reason WHERE code IS NULL)
 SELECT k.ord, printf('sample_%04d', any_value(ki.p)) AS id, count(*)::BIGINT AS n_messages,
        {canon_md5('k.role', 'k.content', 'k.pos')} AS canon_md5

@@ -178,10 +178,9 @@ def _item_digest(items: DataFrame, keys) -> DataFrame:
 
 @query("reply_clean")
 def q_reply_clean(spark, sf):
-    r = derived.replies(spark, sf)
-    _, repaired = rp.clean_reply(F.col("reply"))
+    r = rp.clean_replies(derived.replies(spark, sf))
     return r.select("batch_id", F.col("attempt").cast("int").alias("attempt"),
-                    F.md5(F.coalesce(repaired, F.lit(""))).alias("cleaned_md5"))
+                    F.md5(F.coalesce("_rep", F.lit(""))).alias("cleaned_md5"))
 
 
 @query("reply_parse")
@@ -268,8 +267,9 @@ def q_structure_requests(spark, sf):
 @query("inference_hook")
 def q_inference_hook(spark, sf):
     out = inference.inference_hook(_structure_requests(spark, sf), inference.passage_echo_model, ["doc_id", "chunk_idx"],
-                                   max_tokens_col="max_tokens")
-    return out.select("doc_id", "chunk_idx", (F.col("reply").isNotNull() & F.col("error").isNull()).alias("replied"))
+                                   max_tokens_col="max_tokens", retries=1)
+    return out.select("doc_id", "chunk_idx", F.coalesce(F.md5("reply"), F.lit("")).alias("reply_md5"),
+                      F.coalesce(F.length("reply"), F.lit(0)).cast("bigint").alias("reply_len"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("structure_collect")
@@ -396,7 +396,11 @@ def q_recipe_diff_audit(spark, sf):
                     F.coalesce("knob", F.lit("")).alias("knob"),
                     F.coalesce("applied_lora_rank", F.lit(-1)).cast("bigint").alias("applied_lora_rank"),
                     F.coalesce(F.round("applied_learning_rate", 6), F.lit(-1.0)).alias("applied_learning_rate"),
-                    F.coalesce("applied_scheduler", F.lit("")).alias("applied_scheduler"))
+                    F.coalesce("applied_scheduler", F.lit("")).alias("applied_scheduler"),
+                    F.coalesce("applied_lora_alpha", F.lit(-1)).cast("bigint").alias("applied_lora_alpha"),
+                    F.coalesce(F.array_join("applied_target_modules", ","), F.lit("")).alias("applied_target_modules"),
+                    F.coalesce(F.col("applied_warmup_steps") + F.col("applied_num_epochs") + F.col("applied_max_steps") + F.col("applied_batch_size")
+                               + F.col("applied_gradient_accumulation_steps"), F.lit(-1)).cast("bigint").alias("applied_rest"))
 
 
 @query("bits_per_byte")
@@ -416,10 +420,8 @@ def q_trial_log_roundtrip(spark, sf):
     return _roundtrip_cols(tlog.read_trial_log(spark, path))
 
 
-@query("trial_log_read")
-def q_trial_log_read(spark, sf):
-    """Reads a log with damaged lines: truncated, missing a required key, blank, unknown key."""
-    path = scratch_path(spark, "trial-log-damaged")
+def _write_damaged_log(spark, sf, path):
+    """A log with damaged lines: truncated, missing a required key, blank, unknown key."""
     log = _log(spark, sf)
     bpb = F.when(F.col("eval_bpb") == F.lit(float("inf")), F.lit(None)).otherwise(F.col("eval_bpb"))
     full = F.to_json(F.struct("trial_id", F.parse_json("recipe_diff").alias("recipe_diff"), bpb.alias("eval_bpb"),
@@ -431,10 +433,36 @@ def q_trial_log_read(spark, sf):
     line = (F.when(t % 17 == 5, full.substr(F.lit(1), F.length(full) - 5))
             .when(t % 19 == 7, no_steps).otherwise(full))
     lines = F.when(t % 23 == 11, F.array(line, F.lit(""))).otherwise(F.array(line))
-    log.select("run_id", F.explode(lines).alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+    log.select("run_id", F.explode(lines).alias("value")).repartition("run_id").write.mode("overwrite").partitionBy("run_id").text(path)
+
+
+@query("trial_log_read")
+def q_trial_log_read(spark, sf):
+    path = scratch_path(spark, "trial-log-damaged")
+    _write_damaged_log(spark, sf, path)
     return _roundtrip_cols(tlog.read_trial_log(spark, path))
 
 
+@query("loop_checkpoints")
+def q_loop_checkpoints(spark, sf):
+    """One checkpoint document per run; every seventh has an unknown key, every eleventh lacks one."""
+    s = trials.run_summary(_log(spark, sf))
+    n = F.regexp_extract("run_id", r"(\d+)$", 1).cast("long")
+    doc = F.concat(
+        F.lit('{"current_trial": '), (F.col("next_trial") - 1).cast("string"), F.lit(', "best_trial_id": '), F.col("best_trial_id").cast("string"),
+        F.lit(', "best_bpb": '), F.when(F.col("best_bpb") == F.lit(float("inf")), F.lit("null")).otherwise(F.col("best_bpb").cast("string")),
+        F.lit(', "best_recipe_diff": '), F.col("best_recipe_diff"),
+        F.when(n % 11 == 3, F.lit("")).otherwise(F.concat(F.lit(', "total_trials_run": '), F.col("trials_logged").cast("string"))),
+        F.when(n % 7 == 2, F.lit(', "note": 1}')).otherwise(F.lit("}")))
+    path = scratch_path(spark, "loop-checkpoints")
+    s.select("run_id", doc.alias("value")).repartition("run_id").write.partitionBy("run_id").text(path)
+    c = tlog.read_loop_checkpoints(spark, path)
+    return c.select("run_id", F.col("current_trial").cast("int").alias("current_trial"), "best_trial_id", F.round("best_bpb", 6).alias("best_bpb"),
+                    F.coalesce(F.get_json_object("best_recipe_diff", "$.scheduler"), F.lit("")).alias("best_scheduler"),
+                    F.coalesce(F.get_json_object("best_recipe_diff", "$.lora_alpha").cast("int"), F.lit(-1)).alias("best_lora_alpha"),
+                    F.col("total_trials_run").cast("bigint").alias("total_trials_run"))
+
+
 @query("run_states")
 def q_run_states(spark, sf):
     s = trials.run_summary(_log(spark, sf))
@@ -486,10 +514,20 @@ def _clean_lines(spark, sf):
     return s.select("ord", line.alias("line"))
 
 
+def _mixed_lines(spark, sf):
+    """Lines of both record shapes: every fourth conversation as ``conversations`` turns."""
+    s = derived.samples(spark, sf)
+    name = F.create_map(*[F.lit(x) for x in ("user", "Human", "assistant", "gpt", "system", "system")])
+    turns = F.transform("messages", lambda m: F.struct(name[m["role"]].alias("from"), m["content"].alias("value")))
+    other = F.to_json(F.struct(turns.alias("conversations")))
+    return _clean_lines(spark, sf).join(s.select("ord", other.alias("other")), "ord").select(
+        "ord", F.when(F.col("ord") % 4 == 2, F.col("other")).otherwise(F.col("line")).alias("line"))
+
+
 @query("read_jsonl")
 def q_read_jsonl(spark, sf):
     path = scratch_path(spark, "golden-jsonl")
-    lines = _clean_lines(spark, sf)
+    lines = _mixed_lines(spark, sf)
     with_noise = F.when(F.col("ord") == 0, F.array(F.concat(F.lit("﻿"), F.col("line")))).when(
         F.col("ord") % 10 == 3, F.array(F.col("line"), F.lit(""), F.lit("   "))).otherwise(F.array(F.col("line")))
     lines.select(F.explode(with_noise).alias("value")).write.mode("overwrite").text(path)
@@ -500,7 +538,7 @@ def q_read_jsonl(spark, sf):
 @query("read_json_array")
 def q_read_json_array(spark, sf):
     path = scratch_path(spark, "golden-json-array")
-    lines = _clean_lines(spark, sf).withColumn("file_no", (F.col("ord") / 25).cast("long"))
+    lines = _mixed_lines(spark, sf).withColumn("file_no", (F.col("ord") / 25).cast("long"))
     arrays = lines.groupBy("file_no").agg(
         F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), ",\n"),
                  F.lit("]")).alias("value"))
@@ -523,6 +561,17 @@ def q_write_jsonl_roundtrip(spark, sf):
     return digest.join(line_md5, "id")
 
 
+@query("read_raw_text")
+def q_read_raw_text(spark, sf):
+    """Every document as a file of its own folder, read back whole."""
+    path = scratch_path(spark, "raw-text")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("value"))
+    docs.repartition("doc_id").write.option("lineSep", "\n").partitionBy("doc_id").text(path)
+    back = jsonl.read_raw_text(spark, path)
+    return back.select(F.regexp_extract("doc_id", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"),
+                       F.md5("text").alias("text_md5"))
+
+
 def _records(spark, sf):
     return convert.convert_records(derived.records(spark, sf))
 
@@ -594,7 +643,7 @@ def _final_digest(ds):
 
 @query("mode_generate")
 def q_mode_generate(spark, sf):
-    ds, _ = dataset_modes.generate_mode(derived.replies(spark, sf), num_samples=10_000_000)
+    ds, _ = dataset_modes.generate_mode(derived.replies(spark, sf), num_samples=None, judge_model=inference.length_judge_model)
     return _final_digest(ds)
 
 
@@ -602,7 +651,7 @@ def q_mode_generate(spark, sf):
 def q_mode_structure(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     ds, _ = dataset_modes.structure_mode(docs, inference.passage_echo_model, num_samples=50,
-                                         judge_replies=derived.judge_replies(spark, sf))
+                                         judge_model=inference.length_judge_model)
     return _final_digest(ds)
 
 
@@ -612,6 +661,17 @@ def q_mode_bring_your_own(spark, sf):
     return _final_digest(ds)
 
 
+@query("mode_bring_your_own_files")
+def q_mode_bring_your_own_files(spark, sf):
+    """Documents as ``conversations`` lines of a ``.jsonl`` folder, through the file mode."""
+    path = scratch_path(spark, "own-files") + ".jsonl"
+    d = derived.document_samples(spark, sf)
+    turns = F.transform("messages", lambda m: F.struct(F.when(m["role"] == "user", F.lit("human")).otherwise(F.lit("gpt")).alias("from"), m["content"].alias("value")))
+    d.repartitionByRange(4, "ord").sortWithinPartitions("ord").select(F.to_json(F.struct(turns.alias("conversations"))).alias("value")).write.text(path)
+    ds, _ = dataset_modes.bring_your_own_files(spark, path)
+    return _final_digest(ds)
+
+
 @query("warning_summary")
 def q_warning_summary(spark, sf):
     return validate.warning_summary(derived.dirty_samples(spark, sf)).select("code", F.col("n").cast("bigint").alias("n"))
@@ -641,7 +701,7 @@ def q_stream_reply_ingest(spark, sf):
 @query("stream_trial_tail")
 def q_stream_trial_tail(spark, sf):
     logdir = scratch_path(spark, "s2-log")
-    tlog.write_trial_log(_log(spark, sf), logdir)
+    _write_damaged_log(spark, sf, logdir)
     sink, ckpt = scratch_path(spark, "s2-sink"), scratch_path(spark, "s2-checkpoint")
     trial_tail.start_trial_tail(spark, logdir, sink, ckpt).awaitTermination()
     v = trial_tail.current_view(spark, sink)

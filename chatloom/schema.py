@@ -55,6 +55,29 @@ CHAT_TURN_CLOSE = "<|im_end|>"
 CANON_MSG_SEP = "\x00"
 CANON_ROLE_SEP = "\x01"
 
+# Texts of warnings and errors. Users match on them in logs, so they must stay as they are.
+MESSAGE_TEXT = {
+    "empty_content": "Removed message with empty content (role={role})",
+    "stripped_whitespace": "Stripped whitespace from message content (role={role})",
+    "unknown_role": "Removed message with unknown role {role} (normalized: {norm})",
+    "normalized_role": "Normalized role {role} -> {norm}",
+    "no_messages": "Dropped sample: no messages remaining after cleanup.",
+    "no_user": "Dropped sample: no 'user' turn after repair.",
+    "no_assistant": "Dropped sample: no 'assistant' turn after repair.",
+    "first_not_user": "Dropped sample: first non-system turn is {role}, expected 'user'.",
+    "consecutive_roles": "Dropped sample: consecutive {role} turns at positions {i},{j}.",
+    "sample_warning": "Sample {n}: {detail}",
+    "strict_missing_user": "Sample {n}: missing 'user' turn.",
+    "strict_missing_assistant": "Sample {n}: missing 'assistant' turn.",
+    "strict_no_messages": "Sample {n}: has no messages.",
+    "strict_empty_content": "Sample {n}, message {j}: empty content.",
+    "strict_unknown_role": "Sample {n}, message {j}: unknown role {role}.",
+    "low_score": "Sample {n}: dropped, quality score {score}/{scale} < {least}",
+    "mixed_format": ("Mixed dataset format: some records use 'conversations', others use 'messages'. "
+                     "All records must use the same format."),
+    "empty_dataset": "Dataset is empty after dedup, quality gate, and validation.",
+}
+
 DEFAULT_SIMILARITY = 0.85
 DEFAULT_MIN_ASSISTANT_CHARS = 50
 DEFAULT_NUM_PERM = 128

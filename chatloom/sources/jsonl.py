@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.functions import ustrip
+from chatloom.functions import bind, ustrip
+from chatloom.operators.convert import sharegpt_messages
 from chatloom.operators.replies import parse_sample
+from chatloom.schema import MESSAGE_TEXT
+from chatloom.session import saved
 
 
 def _strict_json(text: Column) -> Column:
-    """Exactly one JSON value (no trailing data) → VARIANT, else NULL."""
+    """Exactly one JSON value (no trailing data) → VARIANT, else NULL.
+
+    The parser ignores what follows a value, so the text is parsed inside brackets and inside
+    an object: a remainder would have to go on with ``]`` for the one and ``}`` for the other,
+    or with a comma, which gives the array a second element.
+    """
     arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
-    return F.when(F.size(arr) == 1, F.get(arr, 0))
+    obj = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(arr) == 1) & obj.isNotNull(), F.get(arr, 0))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,17 +31,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A line belongs to exactly one input split; its number is the count of lines in the
     earlier splits of the same file (a table with one row per split) plus its index inside
-    the split. The tagged rows are checkpointed so the per-split ids stay fixed.
+    the split. Only ids are saved, not lines: a scan of files reads the same splits each time.
     """
     from pyspark.sql import Window
 
-    from chatloom.session import checkpoint_root
-
-    checkpoint_root(spark)
     tagged = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_id"), "value").checkpoint()
-    splits = tagged.groupBy("file", "_blk").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        F.monotonically_increasing_id().alias("_id"), "value")
+    splits = saved(tagged.select("file", "_blk", "_id"), "line-ids").groupBy("file", "_blk").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file", "_blk", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return tagged.join(offsets, ["file", "_blk"]).select(
@@ -44,8 +52,47 @@ def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col("line") != "").select("file", "line_no", "line", _strict_json(F.col("line")).alias("value"))
 
 
-def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A1: golden samples from JSONL files → ``(samples, rejects)``.
+def is_conversations(v: Column) -> Column:
+    """A record with ``conversations`` and without ``messages``."""
+    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
+    return has("conversations") & ~has("messages")
+
+
+def parse_record(v: Column) -> Column:
+    """:func:`parse_sample` of a record, whose ``conversations`` turns are read as messages first.
+
+    A conversations list without a list, or with a turn that lacks ``from`` or ``value``, is bad.
+    """
+    turns = F.try_variant_get(v, "$.conversations", "array<variant>")
+
+    def text(t, key):  # of another type: bad, like an absent one
+        is_text = F.schema_of_variant(F.try_variant_get(t, f"$.{key}", "variant")) == "STRING"
+        return F.when(is_text, F.try_variant_get(t, f"$.{key}", "string"))
+
+    mapped = sharegpt_messages(F.transform(turns, lambda t: F.struct(text(t, "from").alias("from"), text(t, "value").alias("value"))))
+    as_messages = F.try_parse_json(F.to_json(F.struct(mapped.alias("messages"))))
+    return bind(F.when(is_conversations(v), as_messages).otherwise(v), parse_sample)
+
+
+def require_one_format(values: DataFrame) -> None:
+    """Raise when some records hold conversations and others messages."""
+    row = values.agg(F.count_if(is_conversations(F.col("value"))).alias("c"), F.count("*").alias("n")).first()
+    if 0 < row["c"] < row["n"]:
+        raise ValueError(MESSAGE_TEXT["mixed_format"])
+
+
+def load_dataset(spark: SparkSession, path: str, one_format: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Samples of ``.jsonl`` or ``.json`` files by the suffix of the path; another suffix is an error."""
+    suffix = re.search(r"(\.[^./*]*)?/*$", path).group(1) or ""
+    if suffix.lower() == ".jsonl":
+        return read_jsonl(spark, path, one_format=one_format)
+    if suffix.lower() == ".json":
+        return read_json_array(spark, path, one_format=one_format)
+    raise ValueError(f"cannot tell the format of {path!r} by {suffix!r}: .jsonl and .json are known")
+
+
+def read_jsonl(spark: SparkSession, path: str, strict: bool = True, one_format: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A1: golden samples from JSONL files (messages or conversations records) → ``(samples, rejects)``.
 
     ``samples``: ``(ord, file, line_no, id, messages)`` with ``ord`` the position in (file,
     line) order. ``rejects``: ``(file, line_no, reason, snippet)`` for bad JSON and bad shape. ``strict=True`` raises on the first reject and
@@ -54,7 +101,9 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> tuple[Dat
     from chatloom.operators.positions import dense_positions_by
 
     lines = read_jsonl_lines(spark, path)
-    parsed = lines.withColumn("s", F.when(F.col("value").isNotNull(), parse_sample(F.col("value"))))
+    parsed = lines.withColumn("s", F.when(F.col("value").isNotNull(), parse_record(F.col("value"))))
+    if one_format:
+        require_one_format(parsed.where(F.col("value").isNotNull()).select("value"))
     reason = F.when(F.col("value").isNull(), F.lit("invalid_json")).otherwise(F.col("s.reason"))
     rejects = parsed.where(reason.isNotNull()).select("file", "line_no", reason.alias("reason"),
                                                       F.substring("line", 1, 200).alias("snippet"))
@@ -69,12 +118,14 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> tuple[Dat
     return samples, rejects
 
 
-def read_json_array(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A2: each file is one JSON array of sample objects → ``(samples, rejects)``.
+def read_json_array(spark: SparkSession, path: str, strict: bool = True, one_format: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A2: each file is one JSON array of records → ``(samples, rejects)``; ``ord`` is the position in (file, item) order.
 
     A file is one row (``wholetext``), so one file is parsed by one task; many files
     spread over the cluster.
     """
+    from chatloom.operators.positions import dense_positions_by
+
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), ustrip(F.regexp_replace("value", "^\ufeff", "")).alias("text"))
     v = _strict_json(F.col("text"))
@@ -84,11 +135,14 @@ def read_json_array(spark: SparkSession, path: str, strict: bool = True) -> tupl
         "file", F.lit(-1).cast("long").alias("pos"),
         F.when(F.col("v").isNull(), F.lit("invalid_json")).otherwise(F.lit("not_array")).alias("reason"))
     items = (staged.where(F.col("arr").isNotNull()).select("file", F.posexplode_outer("arr").alias("pos", "item"))
-             .where(F.col("pos").isNotNull()).withColumn("s", parse_sample(F.col("item"))))
+             .where(F.col("pos").isNotNull()).withColumn("s", parse_record(F.col("item"))))
+    if one_format:
+        require_one_format(items.select(F.col("item").alias("value")))
     item_rejects = items.where(F.col("s.reason").isNotNull()).select("file", F.col("pos").cast("long"), F.col("s.reason").alias("reason"))
     rejects = file_rejects.unionByName(item_rejects)
     samples = items.where(F.col("s.reason").isNull()).select(
         "file", F.col("pos").cast("long").alias("pos"), F.col("s.id").alias("id"), F.col("s.messages").alias("messages"))
+    samples = dense_positions_by(samples, ["file", "pos"], "ord")
     if strict:
         bad = rejects.first()
         if bad is not None:
@@ -119,10 +173,13 @@ def golden_line(id_col: Column, messages: Column) -> Column:
                     F.array_join(F.transform(messages, msg), ", "), F.lit("]}"))
 
 
+LINES_PER_FILE = 200_000
+
+
 def write_jsonl(samples: DataFrame, path: str, partitions: int | None = None) -> None:
     """One object per line in ``ord`` order across part files (range partitioned),
     LF line ends. Blank ids must be assigned first (``positions.assign_ids``)."""
-    n = partitions or max(1, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or max(1, -(-samples.count() // LINES_PER_FILE))
     out = samples.repartitionByRange(n, "ord").sortWithinPartitions("ord").select(
         golden_line(F.col("id"), F.col("messages")).alias("value"))
     out.write.mode("overwrite").option("lineSep", "\n").text(path)

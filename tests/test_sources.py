@@ -136,3 +136,79 @@ def test_jsonl_line_numbers_across_splits(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(i + 1, f"s{i}") for i in range(400) if i != 123]
+
+
+def _lines(spark, path, rows):
+    spark.createDataFrame([(x,) for x in rows], "value string").coalesce(1).write.text(path)
+
+
+def test_strict_json_has_no_tail(spark):
+    from chatloom.sources.jsonl import _strict_json
+
+    good = ['{"a": 1}', " [1, 2] ", '"x"', "3"]
+    bad = ['{"a": 1}] x', '{"a": 1},{', '{"a": 1} ]', '{"a": 1}} x', '{"a": 1}, 2', "1 2", "{", "", '[1]]', '{"a":1}],"b":[2', '1},"w":{"x":2']
+    df = spark.createDataFrame([(x,) for x in good + bad], "t string")
+    got = [r.ok for r in df.select(_strict_json(F.col("t")).isNotNull().alias("ok")).collect()]
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
+def test_conversations_files(spark, tmp_dir):
+    from chatloom.sources import jsonl
+
+    conv = '{"conversations": [{"from": "Human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": "lost"}'
+    gold = '{"id": "g", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'
+    _lines(spark, tmp_dir + "/c.jsonl", [conv, conv])
+    _lines(spark, tmp_dir + "/m.jsonl", [conv, gold])
+    _lines(spark, tmp_dir + "/b.jsonl", ['{"conversations": [{"from": "human"}]}', '{"conversations": [{"from": "human", "value": 5}]}', '{"conversations": 3}', conv])
+    _lines(spark, tmp_dir + "/a.json", [f"[{conv}, {conv}]"])
+    for path in ("/c.jsonl", "/a.json"):
+        rows = jsonl.load_dataset(spark, tmp_dir + path)[0].orderBy("ord").collect()
+        assert [(r.ord, r.id, [tuple(m) for m in r.messages]) for r in rows] == [(i, "", [("user", "q"), ("assistant", "a")]) for i in (0, 1)]
+    with pytest.raises(ValueError, match="Mixed dataset format"):
+        jsonl.load_dataset(spark, tmp_dir + "/m.jsonl")
+    assert jsonl.read_jsonl(spark, tmp_dir + "/m.jsonl")[0].count() == 2
+    samples, rejects = jsonl.read_jsonl(spark, tmp_dir + "/b.jsonl", strict=False)
+    assert samples.count() == 1 and [r.reason for r in rejects.collect()] == ["messages_not_list"] * 3
+    for path in ("/x.csv", "/plain", "/dir.d/plain"):
+        with pytest.raises(ValueError, match="known"):
+            jsonl.load_dataset(spark, tmp_dir + path)
+
+
+def test_raw_text_files(spark, tmp_dir):
+    from chatloom.sources import jsonl
+
+    _lines(spark, tmp_dir + "/raw", ["first line", "", "third é"])
+    assert [r.text for r in jsonl.read_raw_text(spark, tmp_dir + "/raw").collect()] == ["first line\n\nthird é\n"]
+
+
+def test_own_files_mode(spark, tmp_dir):
+    from chatloom.plans import dataset_modes
+
+    conv = '{"conversations": [{"from": "human", "value": " q "}, {"from": "gpt", "value": "a"}]}'
+    _lines(spark, tmp_dir + "/own.jsonl", [conv, conv])
+    ds, counts = dataset_modes.bring_your_own_files(spark, tmp_dir + "/own.jsonl", sink=tmp_dir + "/out")
+    assert [(r.id, [m.content for m in r.messages]) for r in ds.orderBy("ord").collect()] == [("sample_0000", ["q", "a"]), ("sample_0001", ["q", "a"])]
+    assert spark.read.text(tmp_dir + "/out").count() == 2 and [r.n for r in counts.orderBy("stage_no").collect()] == [2, 2]
+    _lines(spark, tmp_dir + "/blank.jsonl", [conv.replace(" q ", " ")])
+    with pytest.raises(RuntimeError, match="loaded=1, validated=0"):
+        dataset_modes.bring_your_own_files(spark, tmp_dir + "/blank.jsonl")
+
+
+def test_record_limits_and_nothing_converted(spark):
+    from chatloom.operators.convert import convert_records
+    from chatloom.plans import dataset_modes
+
+    rows = spark.createDataFrame([(5 * i, f"q{i}", "a") for i in range(6)], "ord long, question string, answer string")
+    assert sorted(r.ord for r in convert_records(rows, max_samples=2).collect()) == [0, 5]
+    with pytest.raises(RuntimeError, match="no record of 6"):
+        dataset_modes.bring_your_own_mode(rows.withColumnRenamed("answer", "reply"))
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from chatloom.session import checkpoint_root
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))

@@ -62,3 +62,11 @@ def test_min_answer_filter(spark):
             (2, [("user", "q"), ("gpt", "z" * 80)])]
     kept = sorted(r["ord"] for r in validate.min_answer_filter(samples_df(spark, rows)).collect())
     assert kept == [1]  # role must be exactly 'assistant'
+
+
+def test_repr_of_characters_that_do_not_print(spark):
+    from chatloom.functions import py_repr
+
+    texts = ["user", "it's", 'say "x"', """both ' and " """, "a\\b", "new\nline\r\t", "\x00\x1f\x7f", "\x85\xa0\xad", "\u2028\u3000\ufeff", "é日😀", "\U000e0001", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.r for r in df.select(py_repr("t").alias("r")).collect()] == [repr(t) for t in texts]
