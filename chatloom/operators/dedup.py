@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import canonical_text
+from chatloom.operators.components import connected_components
+from chatloom.session import saved
 
 
 def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
@@ -35,85 +37,92 @@ def token_sets(df: DataFrame, text=None) -> DataFrame:
     return df.select("ord", tokens(src).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
-def collapse_identical_sets(sets: DataFrame, checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
+def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group identical non-empty token sets; the lowest ``ord`` represents each group.
 
     Returns ``(reps(rep, tokens, n_tokens), members(ord, rep))``. Copies of a set always
     lose to its first member under keep-first, so only representatives take part in the
-    similarity join. Partial aggregation keeps a hot group of copies from reaching a
-    single task. Empty sets are never duplicates and stay their own representatives.
-    ``checkpoint=True`` tokenizes once: the keyed sets are written to the shared
-    checkpoint folder and both outputs read them.
+    similarity join. The group key and ``ord`` alone are aggregated (a hash aggregate, partial
+    where rows are read); token arrays join the winners. Empty sets are never duplicates and
+    stay their own representatives.
     """
     key = F.when(F.col("n_tokens") > 0, F.sha2(F.array_join(F.array_sort("tokens"), "\x00"), 256)).otherwise(
         F.concat(F.lit("empty:"), F.col("ord").cast("string")))
-    keyed = sets.select("ord", "tokens", "n_tokens", key.alias("_k"))
-    if checkpoint:
-        from chatloom.session import checkpoint_root
+    keyed = sets.select("ord", key.alias("_k"))
+    first = saved(keyed.groupBy("_k").agg(F.min("ord").alias("rep")), "identical-sets")
+    reps = sets.join(first.select(F.col("rep").alias("ord")), "ord").select(F.col("ord").alias("rep"), "tokens", "n_tokens")
+    return reps, keyed.join(first, "_k").select("ord", "rep")
 
-        checkpoint_root(sets.sparkSession)
-        keyed = keyed.checkpoint()
-    reps = keyed.groupBy("_k").agg(
-        F.min("ord").alias("rep"), F.min_by("tokens", "ord").alias("tokens"), F.min_by("n_tokens", "ord").alias("n_tokens"))
-    members = keyed.select("ord", "_k").join(reps.select("_k", "rep"), "_k").select("ord", "rep")
-    return reps.drop("_k"), members
 
+def _hashed(reps: DataFrame) -> DataFrame:
+    """``(rep, n, toks)`` of non-empty sets: tokens as sorted 64-bit hashes."""
+    return reps.where("n_tokens > 0").select("rep", F.col("n_tokens").alias("n"), F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("toks"))
 
-def _prefix_len(n: F.Column, threshold: float) -> F.Column:
-    # prefix of n - ceil(t*n) + 1 tokens; the epsilon guards float error at exact products
-    return n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1
 
+def _need(n, threshold: float) -> F.Column:
+    """Tokens that a set of ``n`` shares with any partner; the epsilon guards float error at exact products."""
+    return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
-def prefix_rows(reps: DataFrame, threshold: float) -> DataFrame:
-    """``(rep, n_tokens, tok)``: each set's prefix under the global (frequency, token) order."""
-    occ = reps.where(F.col("n_tokens") > 0).select("rep", "n_tokens", F.explode("tokens").alias("tok"))
-    freq = occ.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
-    w = Window.partitionBy("rep").orderBy("freq", "tok")
-    return (occ.join(freq, "tok").withColumn("_i", F.row_number().over(w))
-            .where(F.col("_i") <= _prefix_len(F.col("n_tokens"), threshold))
-            .select("rep", "n_tokens", "tok"))
 
+def prefix_places(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Prefix-filter postings ``(key, rep, n, rest, pos)`` and ``ranked(rep, shared, lead)``, both saved.
 
-def _size_ok(a: str, b: str, threshold: float) -> F.Column:
-    # J ≥ t needs min(na, nb) ≥ t · max(na, nb)
-    return F.least(f"{a}.n_tokens", f"{b}.n_tokens") >= F.lit(threshold) * F.greatest(f"{a}.n_tokens", f"{b}.n_tokens") - F.lit(1e-9)
-
+    Tokens are ordered by (number of sets, hash). Tokens of one set only come first in that
+    order, match nothing, and fill prefix places: only shared ones travel back to their set, and
+    a set whose prefix has no shared token has no partner. ``rest`` is the number of tokens
+    from the key on, which bounds the overlap of two sets whose first common token it is.
+    """
+    need = _need(F.col("n"), threshold)
+    tokens = sets.select("rep", "n", F.explode("toks").alias("tok"))
+    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ranked = tokens.join(shared, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"))
+    ranked = ranked.select("rep", "n", F.transform("_s", lambda x: x["tok"]).alias("shared"), (F.size("_s") - need + 1).cast("int").alias("lead"))
+    ranked = saved(ranked.where("lead > 0"), "near-ranked")
+    places = ranked.select("rep", "n", "lead", F.posexplode(F.slice("shared", F.lit(1), F.col("lead"))).alias("pos", "key"))
+    return saved(places.select("key", "rep", "n", (need + F.col("lead") - 1 - F.col("pos")).alias("rest"), "pos"), "near-places"), ranked
 
-def prefix_candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, from the prefix filter over global token frequency.
 
-    Every pair with Jaccard ≥ t shares a token among the first ``n - ceil(t n) + 1`` tokens
-    of both sets when tokens are ordered by (frequency, token). Frequent tokens sit at the
-    end of that order, so they enter prefixes only of sets made of frequent tokens.
-    """
-    prefix = prefix_rows(reps, threshold)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cond = [F.col("a.tok") == F.col("b.tok"), F.col("a.rep") < F.col("b.rep"), _size_ok("a", "b", threshold)]
-    return a.join(b, cond).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+def _may_be_similar(x: str, y: str, threshold: float) -> F.Column:
+    """Length filter, and the positional filter of a common key."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    overlap = F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - F.lit(1e-9)) & (F.least(f"{x}.rest", f"{y}.rest") >= overlap)
 
 
-def verify_pairs(cands: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def verify_pairs(cands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Exact Jaccard of candidate pairs; keeps those ≥ ``threshold`` → ``(a, b, jaccard)``."""
-    ta = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    tb = reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
+    ta = sets.select(F.col("rep").alias("a"), F.col("toks").alias("ta"))
+    tb = sets.select(F.col("rep").alias("b"), F.col("toks").alias("tb"))
     j = cands.join(ta, "a").join(tb, "b")
     inter = F.size(F.array_intersect("ta", "tb"))
     jac = inter / (F.size("ta") + F.size("tb") - inter)
     return j.select("a", "b", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(threshold))
 
 
-def lsh_candidates(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` whose MinHash signatures agree on at least one whole band (D3/D4 lsh)."""
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], cond: F.Column) -> DataFrame:
+    """Distinct ``(a, b)``, a < b, of rows ``x`` and ``y`` that agree on ``on``."""
+    met = x.alias("x").join(y.alias("y"), on).where(cond).select(
+        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return met.groupBy("a", "b").count().select("a", "b")
+
+
+def band_places(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
+    """``(key, rep)``: the band slices of each MinHash signature, hashed with their band number (D3)."""
     from chatloom.operators.minhash import lsh_params, minhash_udf, token_hashes
 
     b, r = bands or lsh_params(threshold, num_perm)
     sig = reps.select("rep", minhash_udf(num_perm)(token_hashes(F.col("tokens"), F.col("rep"))).alias("sig"))
-    band_rows = sig.select(
-        "rep",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.slice("sig", i * r + 1, r))).alias("band", "key"))
-    x, y = band_rows.alias("x"), band_rows.alias("y")
-    return (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    slices = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, r)))
+    return sig.select("rep", F.explode(slices).alias("key")).select("key", "rep")
+
+
+def lsh_candidates(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` whose MinHash signatures agree on at least one whole band (D4 lsh).
+
+    As large as its answer; :func:`bucket_keep_first` decides without pairs.
+    """
+    places = saved(band_places(reps, threshold, num_perm, bands), "lsh-places")
+    return _pairs(places, places, ["key"], F.col("x.rep") < F.col("y.rep"))
 
 
 def minhash_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
@@ -122,151 +131,187 @@ def minhash_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
     return sets.select("ord", minhash_udf(num_perm)(token_hashes(F.col("tokens"), F.col("ord"))).alias("signature"))
 
 
-def near_dup_pairs(sets: DataFrame, threshold: float = 0.85, mode: str = "exact", verify: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Similar pairs over representatives → ``(pairs(a, b, jaccard), reps, members)``.
+def near_dup_pairs(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All similar pairs of representatives → ``(pairs(a, b, jaccard), reps, members)``.
 
-    The representatives are checkpointed once (reliable checkpoint in the shared folder):
-    candidate generation and verification both read them, and tokenizing whole texts is
-    the most expensive step of the plan.
+    Pairs between copies follow from ``members`` and are not written out. The pair table is as
+    large as its answer; the keep-first decision (:func:`near_dedup`) does not need it.
     """
-    from chatloom.session import checkpoint_root
-
-    checkpoint_root(sets.sparkSession)
-    reps, members = collapse_identical_sets(sets, checkpoint=True)
-    reps = reps.checkpoint()
-    if mode == "exact":
-        pairs = verify_pairs(prefix_candidates(reps, threshold), reps, threshold)
-    elif mode == "lsh":
-        cands = lsh_candidates(reps, threshold)
-        pairs = verify_pairs(cands, reps, threshold) if verify else cands.withColumn("jaccard", F.lit(None).cast("double"))
-    else:
-        raise ValueError(f"unknown near-dup mode {mode!r}")
-    return pairs, reps, members
+    reps, members = collapse_identical_sets(saved(sets, "near-sets"))
+    hashed = saved(_hashed(reps), "near-reps")
+    places, _ = prefix_places(hashed, threshold)
+    cands = _pairs(places, places, ["key"], (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", threshold))
+    return verify_pairs(cands, hashed, threshold), reps, members
 
 
-def greedy_keep_first(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def greedy_keep_first(pairs: DataFrame) -> DataFrame:
     """Nodes of the pair graph dropped by sequential keep-first → ``(x)``.
 
     A node is dropped iff some *kept* lower neighbour exists. Rounds: a node whose lower
     neighbours are all decided and none kept is kept; a node with a kept lower neighbour
     is dropped. This equals the sequential scan because a node's fate depends only on
-    lower nodes. Each round is checkpointed (reliable, in the shared checkpoint folder).
+    lower nodes. Rounds read the narrow pair table alone and follow the longest chain of
+    open neighbours; a round that decides nothing would be a bug and is an error.
     """
-    from chatloom.session import checkpoint_root
-
-    spark = pairs.sparkSession
-    checkpoint_root(spark)
-    edges = pairs.select("a", "b").checkpoint()
+    edges = saved(pairs.select("a", "b"), "greedy-edges")
     nodes = edges.select(F.col("a").alias("x")).union(edges.select(F.col("b").alias("x"))).distinct()
     # status: 0 undecided, 1 kept, 2 dropped
-    status = nodes.withColumn("s", F.lit(0)).checkpoint()
-    for _ in range(max_rounds):
+    status = saved(nodes.withColumn("s", F.lit(0)), "greedy-status")
+    open_nodes = status.count()
+    while open_nodes:
         low = (edges.join(status.withColumnRenamed("x", "a"), "a")
                .groupBy(F.col("b").alias("x"))
                .agg(F.max((F.col("s") == 1).cast("int")).alias("any_kept"),
                     F.max((F.col("s") == 0).cast("int")).alias("any_open")))
-        nxt = (status.join(low, "x", "left")
-               .select("x", F.when(F.col("s") != 0, F.col("s"))
-                       .when(F.coalesce("any_kept", F.lit(0)) == 1, F.lit(2))
-                       .when(F.coalesce("any_open", F.lit(0)) == 0, F.lit(1))
-                       .otherwise(F.lit(0)).alias("s"))
-               .checkpoint())
-        status = nxt
-        if status.where(F.col("s") == 0).isEmpty():
-            return status.where(F.col("s") == 2).select("x")
-    raise RuntimeError(f"greedy keep-first did not settle within {max_rounds} rounds")
-
-
-def hybrid_keep_first(reps: DataFrame, threshold: float, group_limit: int = 1000, max_rounds: int = 100_000) -> DataFrame:
-    """Keep-first over representatives → dropped reps ``(x)``, without pairing the members
-    of large prefix-token groups with each other.
-
-    Prefix-token groups of at most ``group_limit`` sets are joined once into verified
-    similar pairs ``S`` (cost bounded by the limit). Larger groups — where clusters of
-    near copies land — use a leader rule instead. Each round:
-
-    1. drop undecided sets with a similar lower set kept in the last round: via ``S``, and
-       in large groups by checking undecided × newly kept members only;
-    2. keep every undecided set that has no undecided lower ``S`` neighbour and is the
-       lowest undecided member of each of its large groups. Similar pairs always share a
-       prefix token, so no undecided lower set can be similar to it.
-
-    The lowest undecided set always qualifies, so every round decides at least one set.
-    ``group_limit=0`` is a pure leader wave; a very large limit is the pair method.
+        status = saved(status.join(low, "x", "left").select(
+            "x", F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("any_kept", F.lit(0)) == 1, F.lit(2))
+            .when(F.coalesce("any_open", F.lit(0)) == 0, F.lit(1)).otherwise(F.lit(0)).alias("s")), "greedy-status")
+        before, open_nodes = open_nodes, status.where("s = 0").count()
+        if open_nodes == before:
+            raise RuntimeError("a round of keep-first decided nothing")
+    return status.where("s = 2").select("x")
+
+
+def _star_pairs(entry: DataFrame, turn: int, cond: F.Column, block: int = 32) -> DataFrame:
+    """Pairs of each entry of a key with one of another component: the key's lowest on the first
+    turn, later the lowest by hash of a block of about ``block`` entries. Linear in the entries."""
+    if turn == 0:
+        dealt = entry.withColumn("block", F.lit(0).cast("long")).withColumn("draw", F.col("rep"))
+    else:
+        sizes = entry.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        dealt = entry.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("blocks"))).withColumn(
+            "draw", F.xxhash64("rep", F.lit(-turn)))
+    centre = saved(dealt.groupBy("key", "block").agg(F.min(F.struct("draw", "rep", "comp", "n", "rest")).alias("c"), F.count(F.lit(1)).alias("m"))
+                   .where("m > 1").select("key", "block", "c.rep", "c.comp", "c.n", "c.rest"), "near-centres")
+    return _pairs(dealt, centre, ["key", "block"], (F.col("x.comp") != F.col("y.comp")) & cond)
+
+
+def _longer_keys(entry: DataFrame, ranked: DataFrame, threshold: float, level: int, hot: int = 64) -> DataFrame:
+    """Postings with every key of more than ``hot`` entries lengthened by one more token.
+
+    Two sets that share ``level`` tokens share their first ``level`` common ones within a prefix
+    that is ``level - 1`` longer, so similar sets still meet; sets that may be similar with fewer
+    common tokens keep their key among themselves.
     """
-    from chatloom.session import checkpoint_root
-
-    spark = reps.sparkSession
-    checkpoint_root(spark)
-    prefix = prefix_rows(reps, threshold).checkpoint()
-    gsize = prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("_gn"))
-    small_p = prefix.join(gsize.where(F.col("_gn") <= group_limit).select("tok"), "tok")
-    large_p = prefix.join(gsize.where(F.col("_gn") > group_limit).select("tok"), "tok").checkpoint()
-    a, b = small_p.alias("a"), small_p.alias("b")
-    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.rep") < F.col("b.rep")) & _size_ok("a", "b", threshold))
-            .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
-    pairs = verify_pairs(cand, reps, threshold).select("a", "b").checkpoint()
-    # status: 0 undecided, 1 kept earlier, 2 kept in the last round, 3 dropped
-    status = reps.select("rep", F.when(F.col("n_tokens") == 0, F.lit(1)).otherwise(F.lit(0)).alias("s")).checkpoint()
-    for _ in range(max_rounds):
-        und = status.where("s = 0").select("rep")
-        newk = status.where("s = 2").select("rep")
-        via_pairs = pairs.join(newk.withColumnRenamed("rep", "a"), "a").select(F.col("b").alias("rep"))
-        u, k = large_p.join(und, "rep").alias("u"), large_p.join(newk, "rep").alias("k")
-        cand_l = (u.join(k, (F.col("u.tok") == F.col("k.tok")) & (F.col("k.rep") < F.col("u.rep")) & _size_ok("u", "k", threshold))
-                  .select(F.col("k.rep").alias("a"), F.col("u.rep").alias("b")).distinct())
-        via_large = verify_pairs(cand_l, reps, threshold).select(F.col("b").alias("rep"))
-        dropped = via_pairs.unionByName(via_large).distinct().join(und, "rep")
-        still = und.join(dropped, "rep", "left_anti")
-        blocked_s = (pairs.join(still.withColumnRenamed("rep", "b"), "b").join(still.withColumnRenamed("rep", "a"), "a")
-                     .select(F.col("b").alias("rep")))
-        lp = large_p.join(still, "rep")
-        low = lp.groupBy("tok").agg(F.min("rep").alias("_low"))
-        blocked_l = lp.join(low, "tok").where(F.col("rep") != F.col("_low")).select("rep")
-        leaders = still.join(blocked_s.unionByName(blocked_l).distinct(), "rep", "left_anti")
-        status = (status.join(dropped.withColumn("_d", F.lit(1)), "rep", "left")
-                  .join(leaders.withColumn("_l", F.lit(1)), "rep", "left")
-                  .select("rep", F.when(F.col("s") == 2, F.lit(1))
-                          .when((F.col("s") == 0) & F.col("_d").isNotNull(), F.lit(3))
-                          .when((F.col("s") == 0) & F.col("_l").isNotNull(), F.lit(2))
-                          .otherwise(F.col("s")).alias("s"))
-                  .checkpoint())
-        if status.where("s = 0").isEmpty():
-            return status.where("s = 3").select(F.col("rep").alias("x"))
-    raise RuntimeError(f"keep-first did not settle within {max_rounds} rounds")
-
-
-def wave_keep_first(reps: DataFrame, threshold: float) -> DataFrame:
-    """The pure leader wave: no set is ever paired with another undecided set."""
-    return hybrid_keep_first(reps, threshold, group_limit=0)
-
-
-def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text=None, verify: bool = True,
-               greedy: str = "hybrid", group_limit: int = 1000) -> DataFrame:
+    hot_keys = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
+    hot_rows = entry.join(hot_keys, "key", "left_semi")
+    grown = hot_rows.join(ranked.select("rep", "shared", "lead"), "rep")
+    last = F.least(F.col("lead") + level - 2, F.size("shared") - 1)
+    grown = grown.where(F.col("pos") < last).withColumn("pos2", F.explode(F.sequence(F.col("pos") + 1, last)))
+    grown = grown.select(F.xxhash64("key", F.get("shared", F.col("pos2"))).alias("key"), "rep", "n", "rest", F.col("pos2").alias("pos"), "comp")
+    short = hot_rows.where(_need(F.col("n"), threshold) < level).withColumn("key", F.xxhash64("key", F.lit(f"short-{level}"))).select(grown.columns)
+    return entry.join(hot_keys, "key", "left_anti").select(grown.columns).unionByName(grown).unionByName(short)
+
+
+def similar_components(places: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, rounds: int = 3, level: int = 4) -> DataFrame:
+    """``(rep, comp)`` of every posted set: its component of similar sets that share a key.
+
+    Stars join each key's entries to single centres, and their verified links give components; a
+    few rounds of random blocks follow. Only entries of keys that still hold several components
+    then meet pairwise, their hot keys made longer first. No similar pair lies between two
+    components in the end; a cluster of near copies costs about as much as it has members.
+    """
+    may = _may_be_similar("x", "y", threshold)
+    nodes = saved(places.select("rep").distinct(), "near-nodes")
+    entry, label, links = places.withColumn("comp", F.col("rep")), nodes.withColumn("comp", F.col("rep")), None
+    for turn in range(rounds):
+        new = saved(verify_pairs(_star_pairs(entry, turn, may), sets, threshold).select("a", "b"), "near-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        label, entry = _relabelled(nodes, places, links)
+    for k in range(2, level + 1) if ranked is not None else ():
+        entry = saved(_longer_keys(_open(entry), ranked, threshold, k), "near-longer")
+    entry = saved(_open(entry), "near-open")
+    rest = _pairs(entry, entry, ["key"], (F.col("x.comp") < F.col("y.comp")) & may)
+    more = saved(verify_pairs(rest, sets, threshold).select("a", "b"), "near-links")
+    if not more.isEmpty():
+        label, _ = _relabelled(nodes, places, more if links is None else links.unionByName(more))
+    return label
+
+
+def _relabelled(nodes: DataFrame, places: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    label = saved(nodes.join(found, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "near-label")
+    return label, saved(_open(places.join(label, "rep")), "near-entries")
+
+
+def _open(entry: DataFrame) -> DataFrame:
+    """Entries of keys that hold several components."""
+    several = entry.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return entry.join(several, "key", "left_semi")
+
+
+def keep_first(places: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, waves: int = 3) -> DataFrame:
+    """Sets dropped by sequential keep-first → ``(x)``; sets are similar when they share a key and verify.
+
+    In each of a few waves the lowest open set of a component is kept, as nothing lower can be
+    similar to it, and drops what is similar to it. What is still open is paired within its
+    component, verified once, and decided on the pair table.
+    """
+    label = similar_components(places, sets, threshold, ranked)
+    open_sets = saved(label.join(label.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("comp"), "comp"), "near-undecided")
+    dropped = None
+    for _ in range(waves):
+        lowest = saved(open_sets.groupBy("comp").agg(F.min("rep").alias("rep")), "near-lowest")
+        met = _pairs(places.join(open_sets, "rep"), places.join(lowest, "rep"), ["comp", "key"], F.col("x.rep") != F.col("y.rep"))
+        gone = saved(verify_pairs(met, sets, threshold).select(F.col("b").alias("x")), "near-gone")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        decided = gone.unionByName(lowest.select(F.col("rep").alias("x")))
+        open_sets = saved(open_sets.join(decided.withColumnRenamed("x", "rep"), "rep", "left_anti"), "near-undecided")
+    entry = places.join(open_sets, "rep")
+    rest = _pairs(entry, entry, ["comp", "key"], (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", threshold))
+    return dropped.unionByName(greedy_keep_first(verify_pairs(rest, sets, threshold)))
+
+
+def bucket_keep_first(places: DataFrame) -> DataFrame:
+    """Sets dropped by sequential keep-first when sharing a key is similarity itself → ``(x)``.
+
+    Each round keeps the sets that are the lowest open one of all their keys and drops the other
+    members of these keys; it reads the open postings once and writes no pairs.
+    """
+    places, dropped = saved(places.select("key", "rep"), "bucket-places"), None
+    left = places.count()
+    while left:
+        low = places.groupBy("key").agg(F.min("rep").alias("low"))
+        marked = saved(places.join(low, "key"), "bucket-marked")
+        kept = saved(marked.groupBy("rep").agg(F.max((F.col("rep") != F.col("low")).cast("int")).alias("blocked")).where("blocked = 0").select("rep"), "bucket-kept")
+        gone = saved(marked.join(kept.withColumnRenamed("rep", "low"), "low", "left_semi").where("rep <> low").select("rep").distinct(), "bucket-gone")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        places = saved(places.join(kept.unionByName(gone), "rep", "left_anti"), "bucket-places")
+        before, left = left, places.count()
+        if left == before:
+            raise RuntimeError("a round of keep-first decided nothing")
+    return (dropped if dropped is not None else places.select("rep")).withColumnRenamed("rep", "x")
+
+
+def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text=None, verify: bool = True) -> DataFrame:
     """Keep-first near-duplicate removal (D5): drop a row only when it is similar to an
     earlier *kept* row. Rows come back with their columns; order key is ``ord``.
 
-    ``mode="exact"`` decides with :func:`hybrid_keep_first` (default ``greedy="hybrid"``:
-    pairs inside prefix-token groups of at most ``group_limit`` sets, a leader wave in larger
-    groups), over the full verified pair table (``greedy="pairs"``) or as a pure wave
-    (``greedy="wave"``); ``mode="lsh"`` uses band collisions.
+    ``mode="exact"`` finds every similar pair by the prefix filter; ``mode="lsh"`` takes sets
+    that share a MinHash band, verified by their Jaccard similarity or not.
     """
     if not (0.0 < threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
-    sets = token_sets(df, text)
-    if mode == "exact" and greedy in ("hybrid", "wave"):
-        from chatloom.session import checkpoint_root
-
-        checkpoint_root(sets.sparkSession)
-        reps, members = collapse_identical_sets(sets, checkpoint=True)
-        reps = reps.checkpoint()
-        dropped = hybrid_keep_first(reps, threshold, group_limit if greedy == "hybrid" else 0)
+    reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
+    reps = saved(reps, "near-reps")
+    if mode == "exact":
+        sets = saved(_hashed(reps), "near-hashed")
+        places, ranked = prefix_places(sets, threshold)
+        dropped = keep_first(places, sets, threshold, ranked)
+    elif mode == "lsh":
+        bands = band_places(reps, threshold)
+        if verify:
+            sets = saved(_hashed(reps), "near-hashed")
+            places = bands.join(sets.select("rep", "n"), "rep").select("key", "rep", "n", F.col("n").alias("rest"), F.lit(0).alias("pos"))
+            dropped = keep_first(saved(places, "near-places"), sets, threshold)
+        else:
+            dropped = bucket_keep_first(bands)
     else:
-        pairs, reps, members = near_dup_pairs(sets, threshold, mode, verify)
-        dropped = greedy_keep_first(pairs)
-    kept_reps = reps.select("rep").join(dropped.withColumnRenamed("x", "rep"), "rep", "left_anti")
-    kept_ords = members.where(F.col("ord") == F.col("rep")).join(kept_reps, "rep").select("ord")
-    return df.join(kept_ords, "ord", "left_semi")
+        raise ValueError(f"unknown near-dup mode {mode!r}")
+    kept = reps.select(F.col("rep").alias("ord")).join(dropped.withColumnRenamed("x", "ord"), "ord", "left_anti")
+    return df.join(kept, "ord", "left_semi")
 
 
 def dedup_and_filter(samples: DataFrame, similarity_threshold: float = 0.85, min_assistant_chars: int = 50,

@@ -134,7 +134,7 @@ def q_minhash_signatures(spark, sf):
 
 @query("near_dup_pairs")
 def q_near_dup_pairs(spark, sf):
-    pairs, _, _ = dedup.near_dup_pairs(_doc_sets(spark, sf), 0.85, "exact")
+    pairs, _, _ = dedup.near_dup_pairs(_doc_sets(spark, sf), 0.85)
     return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
