@@ -9,10 +9,10 @@
 3. Equal sets become one node, and nodes of equal prefix and size one *group*.
 4. Prefix keys join groups, with length and positional filters. First every group meets the
    most shared group of each of its keys, and every member its group's smallest (stars: linear,
-   not all pairs); found links are verified on whole sets and give components. A few rounds of
-   stars in random blocks of each key join what lay too far from the first centre. Then only pairs
-   that lie in different components are left: group pairs of those are joined by key, filtered,
-   expanded to members and verified. Every link between different components is found, so the
+   not all pairs); found links are verified on whole sets and give labels of connected nodes.
+   Stars in random blocks of each key join what lay too far from the first centre. Then only pairs
+   that differ in their label are left: group pairs of those are joined by key, filtered,
+   expanded to members and verified. Every link between different labels is found, so the
    components are exact, while large groups of near copies never meet pairwise.
 
 Keys of step 1 are the upper 48 bits of a 64-bit hash: a collision makes a count larger, which
@@ -112,6 +112,20 @@ def _may_link(x: str, y: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (after >= need)
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, component): a smaller node that links lead to within a few steps.
+
+    Two nodes of a label are connected; the whole component may have several labels. That is
+    enough to leave most pairs out, and costs a few joins.
+    """
+    ends = links.toDF("node", "other").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    label = save(ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "ngram-labels")
+    for _ in range(2):
+        far = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        label = label.join(far, "component").select("node", F.col("further").alias("component"))
+    return save(label, "ngram-labels")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
@@ -135,10 +149,10 @@ def _stars(entry: DataFrame, turn: int, percent: int, block: int = 32) -> DataFr
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
 
-    `rounds` of random stars follow the first ones while they find links; they change the cost, not the result.
+    `rounds` of random stars follow the first ones; they change the cost, not the result.
     """
     found = prefixes(docs, n, percent)
     alive = found.where("digest IS NOT NULL")
@@ -167,10 +181,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
         met = save(_ordered(met).groupBy("a", "b").count().select("a", "b"), "ngram-stars")
         new = save(_verify(met, nodes, percent), "ngram-links")
         tried = met if tried is None else tried.unionByName(met)
-        if new.isEmpty() and turn:
-            break
         links = new if links is None else links.unionByName(new)
-        label = save(connected_components(links), "ngram-components")
+        label = _near_labels(links)
         own = members.select("node", "g", "size").join(label, "node", "left").select("g", "size", "node", F.coalesce("component", "node").alias("comp"))
         own = save(own, "ngram-own")
         entry = save(places.join(own.groupBy("g", "comp").agg(F.min("node").alias("rep")), "g"), "ngram-entries")
@@ -185,9 +197,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     two = own.select(F.col("g").alias("gy"), F.col("comp").alias("cy"), F.col("node").alias("b"))
     rest = _ordered(pairs.join(one, ["gx", "cx"]).join(two, ["gy", "cy"]).select("a", "b")).join(tried, ["a", "b"], "left_anti")
     more = save(_verify(rest, nodes, percent), "ngram-more")
-    if not more.isEmpty():
-        label = connected_components(links.unionByName(more))
-
+    label = connected_components(links.unionByName(more))
     named = ids.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     named = save(named, "ngram-named")
     # documents without a partner get keys of their own, so that they spread
