@@ -842,11 +842,27 @@ SELECT run_id, round(min(bpb), 6) AS best_bpb, coalesce(arg_min(trial_id, (bpb,
        count(*)::BIGINT AS trials_logged, max(trial_id)::INTEGER AS last_trial
 FROM tl WHERE trial_id % 17 <> 5 AND trial_id % 19 <> 7 GROUP BY run_id""")
 
+#: Messages of the samples of all used batches.
+IMSG = """imsg AS (
+  SELECT t.c AS batch_id, 0 AS pos, t.turn AS mpos, t.role,
+         CASE WHEN t.c % 8 = 7 THEN '\\p' || t.text ELSE t.text END AS content
+  FROM rt t WHERE t.c IN (SELECT batch_id FROM used) AND t.c % 8 <> 4
+  UNION ALL
+  SELECT w.c, w.pos, 0, f.role, f.text FROM wrapped w JOIN fl f ON f.c = w.c AND f.turn = w.start
+  WHERE w.c IN (SELECT batch_id FROM used)
+  UNION ALL
+  SELECT w.c, w.pos, 1, f.nxt, f.ntext FROM wrapped w JOIN fl f ON f.c = w.c AND f.turn = w.start
+  WHERE w.c IN (SELECT batch_id FROM used) AND w.n_messages = 2)"""
+
 ORACLES["stream_reply_ingest"] = q(f"""
 WITH {REPLY_CTES},
-ok AS (SELECT i.* FROM items i JOIN astat s ON s.batch_id = i.batch_id AND s.attempt = i.attempt
-       WHERE s.status IN ('ok', 'salvaged') AND i.valid)
-SELECT DISTINCT n_messages, canon_md5 FROM ok""")
+used AS (SELECT batch_id FROM att WHERE kind = 'damaged'),
+{IMSG},
+am AS (SELECT batch_id * 1000 + pos AS ord, mpos, role, content FROM imsg),
+{repair_ctes("SELECT ord, mpos AS turn, role, content FROM am")},
+fin AS (SELECT k.ord, count(*)::BIGINT AS n_messages, {canon_md5('k.role', 'k.content', 'k.pos')} AS canon_md5
+        FROM k JOIN reason r ON r.ord = k.ord WHERE r.code IS NULL GROUP BY k.ord)
+SELECT DISTINCT n_messages, canon_md5 FROM fin""")
 
 def _judge_ok(prompt: str) -> str:
     """The stand-in judge's gate: 1 + length mod 5 reaches 3."""
@@ -885,16 +901,7 @@ ORACLES["mode_generate"] = q(f"""
 WITH RECURSIVE {REPLY_CTES},
 used AS (SELECT a.batch_id FROM att a JOIN merged m ON m.batch_id = a.batch_id AND m.used_attempt = a.attempt
          WHERE a.kind = 'damaged'),
-imsg AS (
-  SELECT t.c AS batch_id, 0 AS pos, t.turn AS mpos, t.role,
-         CASE WHEN t.c % 8 = 7 THEN '\\p' || t.text ELSE t.text END AS content
-  FROM rt t WHERE t.c IN (SELECT batch_id FROM used) AND t.c % 8 <> 4
-  UNION ALL
-  SELECT w.c, w.pos, 0, f.role, f.text FROM wrapped w JOIN fl f ON f.c = w.c AND f.turn = w.start
-  WHERE w.c IN (SELECT batch_id FROM used)
-  UNION ALL
-  SELECT w.c, w.pos, 1, f.nxt, f.ntext FROM wrapped w JOIN fl f ON f.c = w.c AND f.turn = w.start
-  WHERE w.c IN (SELECT batch_id FROM used) AND w.n_messages = 2),
+{IMSG},
 acq AS (SELECT batch_id, pos, row_number() OVER (ORDER BY batch_id, pos) - 1 AS ord FROM (SELECT DISTINCT batch_id, pos FROM imsg)),
 am AS (SELECT a.ord, i.mpos, i.role, i.content FROM acq a JOIN imsg i ON i.batch_id = a.batch_id AND i.pos = a.pos),
 lenok AS (SELECT ord FROM am GROUP BY ord HAVING coalesce(sum(length(content)) FILTER (WHERE role = 'assistant'), 0) >= 50),

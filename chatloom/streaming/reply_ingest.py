@@ -1,5 +1,7 @@
-"""New reply files → clean → parse → golden check → golden lines, exact dedup within a
-watermark. Stateless apart from the dedup state, which the watermark bounds."""
+"""New reply files → clean → parse → golden check → repair → golden lines, exact dedup
+within a watermark. Stateless apart from the dedup state, which the watermark bounds.
+
+A second attempt counts as it comes: it is only made where the first did not parse."""
 
 from __future__ import annotations
 
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatloom.functions import canonical_text
 from chatloom.operators.replies import explode_items, parse_replies
+from chatloom.operators.validate import repair
 from chatloom.sources.jsonl import golden_line
 
 REPLY_RECORD_SCHEMA = "batch_id BIGINT, attempt INT, reply STRING, ts TIMESTAMP"
@@ -18,7 +21,8 @@ def ingest_plan(replies: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """The streaming (or batch) plan: valid samples with their golden line and key."""
     parsed = parse_replies(replies, keys=("batch_id", "attempt", "ts"))
     items = explode_items(parsed.where(F.col("status").isin("ok", "salvaged")), keys=("batch_id", "attempt", "ts"))
-    valid = items.where("valid").withColumn("canon_sha", F.sha2(canonical_text("messages"), 256))
+    valid = repair(items.where("valid")).where(F.col("drop_code").isNull()).withColumn("messages", F.col("repaired"))
+    valid = valid.drop("repaired", "drop_code", "drop_detail", "warnings").withColumn("canon_sha", F.sha2(canonical_text("messages"), 256))
     if replies.isStreaming:
         valid = valid.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["canon_sha"])
     else:

@@ -10,8 +10,9 @@ def test_stream_equals_batch(spark, tmp_dir):
     s = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}
     recs = [{"batch_id": i, "attempt": 1, "reply": json.dumps([s] if i % 2 else [dict(s, id=str(i))]),
              "ts": f"2024-01-01T00:00:{i:02d}"} for i in range(6)]
-    recs.append({"batch_id": 9, "attempt": 1, "reply": "```json\n" + json.dumps([{"messages": [{"role": "user", "content": "z"}]}]) + "\n```",
+    recs.append({"batch_id": 9, "attempt": 1, "reply": "```json\n" + json.dumps([{"messages": [{"role": "user", "content": "z"}, {"role": "gpt", "content": " y "}]}]) + "\n```",
                  "ts": "2024-01-01T00:01:00"})
+    recs.append({"batch_id": 10, "attempt": 1, "reply": json.dumps([{"messages": [{"role": "user", "content": "no answer"}]}]), "ts": "2024-01-01T00:01:01"})
     src = tmp_dir + "/src"
     spark.createDataFrame([json.dumps(r) for r in recs], "string").write.text(src)
     sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
