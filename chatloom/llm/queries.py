@@ -83,6 +83,29 @@ QUERIES = {
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        e0 AS (SELECT doc_id, unnest(s) AS g FROM s),
+        e AS (SELECT doc_id, g FROM e0 SEMI JOIN (SELECT g FROM e0 GROUP BY g HAVING count(*) > 1) t USING (g)),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+        m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM n JOIN m ON m.a = n.doc_id""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+        m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN m ON m.a = v.vec_id""",
     "op4_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
         f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
