@@ -74,73 +74,70 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
 
 
 def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, ids array<int> and decoded string of every whole text."""
+    """doc_id, ids array<int> and decoded string of every whole text.
+
+    `docs` is read twice and must give the same rows in the same partitions, as a table does.
+    """
     Codec(model).check()
     spark = docs.sparkSession
     shared, parts = spark.sparkContext.broadcast(model), parts_of(spark)
 
-    def numbered(block: pa.Table):
-        """The block's distinct chunks, frequent ones first, their parts, and the texts in numbers of chunks."""
+    def numbered(block: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The block's distinct chunks and the parts they belong to; its texts in numbers of chunks, and where each ends."""
         table: dict[str, int] = {}
         codes, ends = [], [0]
         for text in block["text"].to_pylist():
             codes += [table.setdefault(c, len(table)) for c in chunks(text)]
             ends.append(len(codes))
-        codes = np.array(codes, np.int32)
-        order = np.argsort(-np.bincount(codes, minlength=len(table)), kind="stable")
-        rank = np.empty(len(table), np.int32)
-        rank[order] = np.arange(len(table), dtype=np.int32)
-        keys = np.array(list(table), object)[order]
-        hashes = np.fromiter((zlib.crc32(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
-        return keys, hashes, rank[codes] if len(codes) else codes, ends
-
-    def texts(block: pa.Table):
-        _, hashes, codes, ends = numbered(block)
-        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(codes))
-        # the first document carries the part of each number; a part answers in the order of the numbers
-        part_of = pa.array([(hashes % np.uint64(parts)).astype(np.uint32)] + [None] * (len(block) - 1), pa.list_(pa.uint32()))
-        yield blocks.DOCS, pa.table({"doc_id": block["doc_id"], "codes": lists, "part_of": part_of})
+        hashes = np.fromiter((zlib.crc32(k.encode("utf-8", "surrogatepass")) for k in table), np.uint64, len(table))
+        return list(table), hashes, np.array(codes, np.int64), np.array(ends)
 
     def distinct(block: pa.Table):
         keys, hashes, _, _ = numbered(block)
+        keys = np.array(keys, object)
         for part, at in enumerate(blocks.split_parts(hashes, parts)):
             if len(at):
                 yield part, pa.table({"chunk": pa.array(keys[at], pa.string())})
 
     def resolve(asked):
-        codec, known = Codec(shared.value), {}
-        for _, t in asked:
-            known.update(dict.fromkeys(t["chunk"].to_pylist()))
+        """Ids of each chunk, in the order asked, and the surface of those that do not decode to themselves."""
+        codec = Codec(shared.value)
+        known = dict.fromkeys(c for _, t in asked for c in t["chunk"].to_pylist())
         known = dict(zip(known, codec.encode(list(known))))
+        odd = {c: d for c, d in zip(known, codec.decode(list(known.values()))) if d != " " + c}
         kind = pa.int16() if codec.sp.vocab_size() <= 1 << 15 else pa.int32()
         for block, t in asked:
-            ids = [known[c] for c in t["chunk"].to_pylist()]
-            flat = pa.array([i for x in ids for i in x], kind)
-            yield block, pa.table({"sizes": one_list(pa.array(map(len, ids), pa.uint32())), "ids": one_list(flat)})
+            texts = t["chunk"].to_pylist()
+            ids = [known[c] for c in texts]
+            strange = [(i, odd[c]) for i, c in enumerate(texts) if c in odd] if odd else []
+            yield block, pa.table({"sizes": one_list(pa.array(map(len, ids), pa.uint32())), "ids": one_list(pa.array([i for x in ids for i in x], kind)),
+                                   "odd_at": one_list(pa.array([i for i, _ in strange], pa.int32())), "odd": one_list(pa.array([d for _, d in strange], pa.string()))})
 
     def join(block: pa.Table, answers: list[pa.Table]) -> pa.Table:
-        if not answers:
+        keys, hashes, codes, ends = numbered(block)
+        if not keys:
             return pa.table({"doc_id": block["doc_id"], "ids": pa.array([[]] * len(block), pa.list_(pa.int32())), "decoded": pa.array([""] * len(block))})
-        codes = _flat(block["codes"])
         sizes, every = (np.concatenate([_flat(t[c]).values.to_numpy() for t in answers]) for c in ("sizes", "ids"))
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(every.astype(np.int32)))
-        by_part = np.argsort(np.asarray(block["part_of"][0].as_py()), kind="stable")
-        if len(lists) != len(by_part):
+        split = [at for at in blocks.split_parts(hashes, parts) if len(at)]  # a part answers in this order
+        if [len(at) for at in split] != [len(_flat(t["sizes"]).values) for t in answers]:
             raise ValueError("a block was answered for other chunks than it has")
-        place = np.empty(len(by_part), np.int64)
-        place[by_part] = np.arange(len(by_part))
-        at = place[codes.values.to_numpy()]
-        flat = lists.take(pa.array(at))  # the ids of every position
-        ends = np.append(0, np.cumsum(np.diff(flat.offsets.to_numpy())))
-        places = codes.offsets.to_numpy()
-        texts = np.array(Codec(shared.value).decode(lists.to_pylist()), object)
-        ids = pa.ListArray.from_arrays(pa.array(ends[places], pa.int32()), flat.flatten())
-        decoded = ["".join(texts[at[i:j]])[1:] for i, j in zip(places.tolist(), places.tolist()[1:])]
+        place = np.empty(len(keys), np.int64)
+        place[np.concatenate(split)] = np.arange(len(keys))
+        flat = lists.take(pa.array(place[codes]))  # the ids of every position
+        to = np.append(0, np.cumsum(np.diff(flat.offsets.to_numpy())))[ends]
+        ids = pa.ListArray.from_arrays(pa.array(to, pa.int32()), flat.flatten())
+        strange = {int(at[i]): d for at, t in zip(split, answers) for i, d in zip(_flat(t["odd_at"]).values.to_pylist(), _flat(t["odd"]).values.to_pylist())}
+        if strange:
+            surface = np.array([strange.get(i, " " + k) for i, k in enumerate(keys)], object)
+            decoded = ["".join(surface[codes[i:j]])[1:] for i, j in zip(ends.tolist(), ends.tolist()[1:])]
+        else:  # every chunk of the block decodes to itself
+            decoded = [(t or "").replace(MARK, " ") for t in block["text"].to_pylist()]
         return pa.table({"doc_id": block["doc_id"], "ids": ids, "decoded": pa.array(decoded, pa.string())})
 
     own, kind = only(docs, "doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
-    # texts are cut into chunks once for the table and once for the positions: cheaper than keeping both on disk
-    asked, packed = (blocks.pack(own, make, "text", None, BLOCK_BYTES) for make in (distinct, texts))
+    # the input is read once for the table and once for the positions: cheaper than keeping both on disk
+    asked, packed = (blocks.pack(own, make, "text", None, BLOCK_BYTES) for make in (distinct, lambda block: [(blocks.DOCS, block)]))
     return blocks.finish(packed, blocks.answer(asked, resolve), join, f"doc_id {kind}, ids array<int>, decoded string")
 
 
