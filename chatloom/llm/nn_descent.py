@@ -42,7 +42,7 @@ class Search:
     leaf_most: int = 256
     rounds: int = 8
     block: int = 64
-    tile: int = 512
+    tile: int = 128
     audit: int = 256
     restarts: int = 4
 
