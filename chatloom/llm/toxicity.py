@@ -28,14 +28,14 @@ from chatloom.llm.util import map_batches, only, plain_words, save
 class Ftrl:
     """Rates (alpha, beta), penalties (l1, l2), feature space, epochs, and the bound of the sample."""
 
-    alpha: float = 20.0
+    alpha: float = 50.0
     beta: float = 1.0
-    l1: float = 0.2
+    l1: float = 0.3
     l2: float = 0.0
     bits: int = 20
-    epochs: int = 8
-    shard_rows: int = 8192
-    max_rows: int = 16384
+    epochs: int = 10
+    shard_rows: int = 16384
+    max_rows: int = 32768
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
