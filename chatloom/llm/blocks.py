@@ -33,7 +33,7 @@ DOCS = -1
 #: Text bytes after which a block is closed; one longer text makes a block of its own.
 BLOCK_BYTES = 8 << 20
 
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
 def to_blob(table: pa.Table) -> bytes:

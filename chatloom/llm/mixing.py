@@ -191,5 +191,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     sized = docs.withColumn("_words", n_words())
     same = sized["source"].eqNullSafe(chosen["_s"]) & sized["doc_id"].eqNullSafe(chosen["_d"]) & (sized["_words"] == chosen["_n"])
     times = F.floor(F.col("_mean") + uniform(F.monotonically_increasing_id())).cast("int")
-    return sized.join(chosen, same).withColumn("_times", times).where("_times > 0").withColumn(
+    # the copies grow with the documents: they are joined by a merge at every size
+    return sized.join(chosen.hint("merge"), same).withColumn("_times", times).where("_times > 0").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns).toDF(*names)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import blocks
 from chatloom.llm.components import connected_components
-from chatloom.llm.util import only, parts_of, save, space_words
+from chatloom.llm.util import only, parts_of, release, save, space_words
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +93,9 @@ def prefixes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     counts = blocks.shared_counts(packed, lambda block: [ngram_set(t, n) for t in block["text"].to_pylist()], parts)
     found = blocks.finish(packed, counts, rank, f"doc_id {kind}, size long, digest binary, shared array<long>, prefix array<long>")
-    return save(found, "ngram-prefixes")
+    found = save(found, "ngram-prefixes")
+    release(packed)
+    return found
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -202,5 +204,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, rounds: i
     named = save(named, "ngram-named")
     # documents without a partner get keys of their own, so that they spread
     key = F.coalesce(F.col("digest"), F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("size").cast("string")).cast("binary"))
-    return found.select("doc_id", "size", key.alias("digest")).join(named, "digest", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = save(found.select("doc_id", "size", key.alias("digest")).join(named, "digest", "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "ngram-result")
+    release(found, nodes, members, places, ids, named)
+    return out

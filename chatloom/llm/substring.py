@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm import blocks
-from chatloom.llm.util import only, parts_of, save, shelter
+from chatloom.llm.util import only, parts_of, release, save, shelter
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -141,6 +141,7 @@ def passages(docs: DataFrame, min_words: int = 45, window: int = 8, margin: int
         return pa.Table.from_batches([blocks.rows([(block_name(block), blocks.DOCS, blocks.to_blob(table))])])
 
     found = save(blocks.finish(packed, blocks.shared_counts(packed, digests, parts), regions, blocks.ROWS), "chunk-regions")
+    release(packed)
 
     def window_keys(block: pa.Table):
         """Each distinct window of the block with its smallest id, and whether the block has another."""
@@ -192,7 +193,9 @@ def passages(docs: DataFrame, min_words: int = 45, window: int = 8, margin: int
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
 
     answers = blocks.answer(blocks.ask(found, window_keys), owners)
-    return blocks.finish(found, answers, spans, "doc_id long, text_hash long, start long, end long, n_words long, first_doc_id long, passage string")
+    out = save(blocks.finish(found, answers, spans, "doc_id long, text_hash long, start long, end long, n_words long, first_doc_id long, passage string"), "passages")
+    release(found)
+    return out
 
 
 def block_name(block: pa.Table) -> str:
@@ -203,12 +206,13 @@ def block_name(block: pa.Table) -> str:
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
     """`docs` without their repeated passages; same columns. Documents that had words and keep none go."""
     docs, names = shelter(docs, "doc_id", "text", "n_chars")
-    found = save(passages(docs, **options).select("doc_id", "text_hash", "start", "end"), "passages").distinct().groupBy("doc_id", "text_hash").agg(
+    found = passages(docs, **options).select("doc_id", "text_hash", "start", "end").distinct().groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("_spans"))
     found = found.toDF("_d", "_h", "_spans")
     cut = F.aggregate("_spans", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.substring(t, s["end"].cast("int") + 1, F.length(t))))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    out = docs.join(found, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut))
+    # the passages grow with the documents: they are joined by a merge at every size
+    out = docs.join(found.hint("merge"), same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut))
     out = out.where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

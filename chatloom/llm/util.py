@@ -45,9 +45,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage in storage that all executors share, so a lost executor costs no
     recomputation of what was saved.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more; the disk they take is then free for later steps."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
