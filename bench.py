@@ -22,7 +22,7 @@ HEADLINE = ["validate_and_repair", "exact_dedup", "near_dedup", "near_dedup_lsh"
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from chatloom.session import get_spark
+    from chatloom.session import clear_scratch, get_spark
     from chatloom.plans.registry import QUERIES
 
     spark = get_spark(f"local[{cpus}]", app="chatloom-bench", partitions=int(cpus))
@@ -35,6 +35,7 @@ def main() -> None:
             t0 = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             bucket[name] = round(time.time() - t0, 3)
+            clear_scratch(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_warm", "value": round(sum(warm.values()), 3), "unit": "sec",
                       "queries": warm, "cold": cold, "cold_total": round(sum(cold.values()), 3),

@@ -27,14 +27,6 @@ def nest_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role
     )
 
 
-def unnest_samples(samples: DataFrame) -> DataFrame:
-    """Inverse of :func:`nest_turns`: ``(ord, msg_pos, role, content)``."""
-    out = samples.select("ord", F.posexplode_outer("messages").alias("msg_pos", "m")).where(F.col("msg_pos").isNotNull())
-    return out.select(
-        "ord", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content")
-    )
-
-
 def sharegpt_messages(conversations_col="conversations") -> F.Column:
     """``[{from, value}]`` → ``[{role, content}]``; unknown ``from`` kept as written.
 

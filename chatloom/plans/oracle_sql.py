@@ -581,6 +581,19 @@ SELECT trial_id::INTEGER AS trial_id, ord,
   CASE WHEN k IN (0, 3) THEN -1.0 WHEN k = 4 THEN least(10.0, greatest(1.0, s + 0.5))
        ELSE least(10.0, greatest(1.0, s * 1.0)) END::DOUBLE AS score FROM er""")
 
+def _eval_prompt() -> str:
+    from chatloom.operators.judge import EVAL_PROMPT
+
+    return fill_sql(EVAL_PROMPT, q="substr(source, 1, 300)", ref="substr(text, 1, 300)", gen="substr(generated, 1, 300)")
+
+
+ORACLES["eval_judge_requests"] = q(f"""
+WITH g AS (SELECT d.doc_id, d.source, d.text, t.trial_id,
+             CASE WHEN (d.doc_id + t.trial_id) % 7 = 3 THEN '' ELSE 'trial ' || t.trial_id || ': ' || d.text END AS generated
+           FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id CROSS JOIN (SELECT unnest([0, 1, 2]) AS trial_id) t WHERE d.source <> ''),
+p AS (SELECT trial_id, doc_id, {_eval_prompt()} AS prompt FROM g)
+SELECT trial_id::INTEGER AS trial_id, doc_id AS ord, md5(prompt) AS prompt_md5, length(prompt)::BIGINT AS prompt_len FROM p""")
+
 ORACLES["judge_mean"] = q(f"""
 WITH er AS ({EVAL_REPLIES}),
 lastn AS (SELECT d.doc_id AS ord FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id WHERE d.source <> ''
@@ -800,7 +813,8 @@ p AS (SELECT source, string_split(source, '/') AS parts FROM src)
 SELECT source,
   coalesce(nullif(list_last(string_split(regexp_replace(split_part(source, '?', 1), '/+$', ''), '/')), ''), 'dataset.jsonl') AS cache_name,
   CASE WHEN len(parts) = 3 THEN parts[1] || '/' || parts[2] ELSE source END AS repo_id,
-  CASE WHEN len(parts) = 3 THEN parts[3] ELSE 'train' END AS split
+  CASE WHEN len(parts) = 3 THEN parts[3] ELSE 'train' END AS split,
+  replace(source, '/', '__') || '_' || CASE WHEN len(parts) = 3 THEN parts[3] ELSE 'train' END || '.jsonl' AS staged_name
 FROM p""")
 
 ORACLES["warning_summary"] = q(f"""

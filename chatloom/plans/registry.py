@@ -341,6 +341,12 @@ def q_eval_scores(spark, sf):
     return r.select("trial_id", "ord", F.coalesce(judge.eval_score(F.col("reply")), F.lit(-1.0)).alias("score"))
 
 
+@query("eval_judge_requests")
+def q_eval_judge_requests(spark, sf):
+    r = judge.eval_judge_requests(derived.eval_samples(spark, sf), derived.generations(spark, sf))
+    return r.select("trial_id", "ord", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("prompt_len"))
+
+
 @query("judge_mean")
 def q_judge_mean(spark, sf):
     return judge.judge_mean(derived.eval_samples(spark, sf), derived.eval_replies(spark, sf), n_prompts=20)
@@ -612,7 +618,7 @@ def q_source_cache_name(spark, sf):
     s = derived.sources_manifest(spark, sf)
     repo, split = manifest.hub_repo_and_split(F.col("source"))
     return s.select("source", manifest.cache_name(F.col("source")).alias("cache_name"), repo.alias("repo_id"),
-                    split.alias("split"))
+                    split.alias("split"), manifest.staged_name(F.col("source"), split).alias("staged_name"))
 
 
 # --- dataset modes and the stage funnel (P1-P3, G4) -------------------------------

@@ -69,9 +69,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a scratch table in the shared folder and read back (cuts its lineage)."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that :func:`saved` wrote so far; call it when their results are no
+    longer read (between jobs of a long session). Returns how many were deleted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -122,6 +122,13 @@ def eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_samples(spark, sf_dir).join(lab, "ord", "left_semi")
 
 
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated answers ``(trial_id, ord, generated)`` of three trials: the text behind its trial's number, none for one in seven."""
+    s = eval_samples(spark, sf_dir).select("ord", F.get("messages", 1)["content"].alias("text"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("trial_id"))
+    text = F.when((F.col("ord") + F.col("trial_id")) % 7 == 3, F.lit(None)).otherwise(F.concat(F.lit("trial "), F.col("trial_id").cast("string"), F.lit(": "), F.col("text")))
+    return s.select(F.col("trial_id").cast("int").alias("trial_id"), "ord", text.alias("generated"))
+
+
 def eval_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eval judge replies ``(trial_id, ord, reply)``: three trials per labelled document."""
     lab = table(spark, sf_dir, "labels")

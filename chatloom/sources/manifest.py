@@ -38,4 +38,5 @@ def hub_repo_and_split(source: Column) -> tuple[Column, Column]:
 
 
 def staged_name(source: Column, split: Column) -> Column:
+    """File name under which a hub source's records are staged."""
     return F.concat(F.replace(source, F.lit("/"), F.lit("__")), F.lit("_"), split, F.lit(".jsonl"))

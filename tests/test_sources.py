@@ -204,6 +204,15 @@ def test_record_limits_and_nothing_converted(spark):
         dataset_modes.bring_your_own_mode(rows.withColumnRenamed("answer", "reply"))
 
 
+def test_scratch_can_be_cleared(spark):
+    from chatloom.session import clear_scratch, saved
+
+    clear_scratch(spark)
+    df = saved(spark.range(5).toDF("n"), "to-clear")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and clear_scratch(spark) == 1 and not os.path.isdir(path) and clear_scratch(spark) == 0
+
+
 def test_cluster_needs_a_shared_folder(monkeypatch):
     from types import SimpleNamespace
 
