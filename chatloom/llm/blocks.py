@@ -47,6 +47,12 @@ def from_blob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def lean(table: pa.Table, size: int = 256) -> pa.Table:
+    """`table` in small batches, so that the JVM receives little at a time; memory that Arrow holds for reuse is given back."""
+    pa.default_memory_pool().release_unused()
+    return pa.concat_tables([table.slice(i, size) for i in range(0, len(table), size)] or [table])
+
+
 def rows(triples: Iterable[tuple[str, int, bytes]]) -> pa.RecordBatch:
     block, part, blob = zip(*triples) if (triples := list(triples)) else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["block", "part", "blob"])
@@ -75,6 +81,7 @@ def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Tabl
                     waiting.append(batch.slice(start, i - start))
                     yield close()
                     waiting, held, start = [], 0, i
+                    pa.default_memory_pool().release_unused()
                 held += size + 16
             waiting.append(batch.slice(start))
         if any(b.num_rows for b in waiting):
@@ -91,7 +98,7 @@ def answer(packed: DataFrame, resolve: Callable[[list[tuple[str, pa.Table]]], It
     def run(key: tuple, group: pa.Table) -> pa.Table:
         asked = [(b, from_blob(x)) for b, x in zip(group["block"].to_pylist(), group["blob"].to_pylist())]
         part = key[0].as_py()
-        return pa.Table.from_batches([rows((b, part, to_blob(t)) for b, t in resolve(asked))])
+        return lean(pa.Table.from_batches([rows((b, part, to_blob(t)) for b, t in resolve(asked))]))
 
     return packed.where(f"part <> {DOCS}").groupBy("part").applyInArrow(run, ROWS)
 
@@ -103,7 +110,7 @@ def finish(packed: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, list[p
         tables = sorted(zip(group["part"].to_pylist(), group["blob"].to_pylist()))
         if tables[0][0] != DOCS or any(p == DOCS for p, _ in tables[1:]):
             raise ValueError("a block needs its documents once")
-        return fn(from_blob(tables[0][1]), [from_blob(x) for _, x in tables[1:]])
+        return lean(fn(from_blob(tables[0][1]), [from_blob(x) for _, x in tables[1:]]))
 
     return packed.where(f"part = {DOCS}").unionByName(answers).groupBy("block").applyInArrow(run, schema)
 
@@ -122,6 +129,7 @@ def ask(packed: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Tab
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield rows((block, part, to_blob(t)) for part, t in make(from_blob(blob.as_buffer())))
+                pa.default_memory_pool().release_unused()
 
     return packed.where(f"part = {DOCS}").select("block", "blob").mapInArrow(run, ROWS)
 

@@ -26,7 +26,7 @@ from chatloom.llm.util import only, parts_of
 
 MARK = "▁"
 #: Larger blocks repeat fewer chunks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 _CHUNK = re.compile(" +[^ ]*")
 
 

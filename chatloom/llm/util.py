@@ -27,13 +27,14 @@ def space_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = 1000) -> DataFrame:
+    """Apply ``fn`` to the rows of ``df`` in Arrow batches of at most ``size``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for start in range(0, batch.num_rows, size):
+                yield fn(batch.slice(start, size))
+            pa.default_memory_pool().release_unused()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
