@@ -186,14 +186,16 @@ def _star_pairs(entry: DataFrame, turn: int, cond: F.Column, block: int = 32) ->
     return _pairs(dealt, centre, ["key", "block"], (F.col("x.comp") != F.col("y.comp")) & cond)
 
 
-def _longer_keys(entry: DataFrame, ranked: DataFrame, threshold: float, level: int, hot: int = 64) -> DataFrame:
-    """Postings with every key of more than ``hot`` entries lengthened by one more token.
+def _longer_keys(entry: DataFrame, ranked: DataFrame, threshold: float, level: int, hot: int = 64) -> DataFrame | None:
+    """Postings with every key of more than ``hot`` entries lengthened by one more token; None without such a key.
 
     Two sets that share ``level`` tokens share their first ``level`` common ones within a prefix
     that is ``level - 1`` longer, so similar sets still meet; sets that may be similar with fewer
     common tokens keep their key among themselves.
     """
     hot_keys = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
+    if hot_keys.isEmpty():
+        return None
     hot_rows = entry.join(hot_keys, "key", "left_semi")
     grown = hot_rows.join(ranked.select("rep", "shared", "lead"), "rep")
     last = F.least(F.col("lead") + level - 2, F.size("shared") - 1)
@@ -203,7 +205,7 @@ def _longer_keys(entry: DataFrame, ranked: DataFrame, threshold: float, level: i
     return entry.join(hot_keys, "key", "left_anti").select(grown.columns).unionByName(grown).unionByName(short)
 
 
-def similar_components(places: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, rounds: int = 3, level: int = 4) -> DataFrame:
+def similar_components(places: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, rounds: int = 2, level: int = 4) -> DataFrame:
     """``(rep, comp)`` of every posted set: its component of similar sets that share a key.
 
     Stars join each key's entries to single centres, and their verified links give components; a
@@ -220,9 +222,12 @@ def similar_components(places: DataFrame, sets: DataFrame, threshold: float, ran
             break
         links = new if links is None else links.unionByName(new)
         label, entry = _relabelled(nodes, places, links)
-    for k in range(2, level + 1) if ranked is not None else ():
-        entry = saved(_longer_keys(_open(entry), ranked, threshold, k), "near-longer")
     entry = saved(_open(entry), "near-open")
+    for k in range(2, level + 1) if ranked is not None else ():
+        longer = _longer_keys(entry, ranked, threshold, k)
+        if longer is None:
+            break
+        entry = saved(_open(longer), "near-open")
     rest = _pairs(entry, entry, ["key"], (F.col("x.comp") < F.col("y.comp")) & may)
     more = saved(verify_pairs(rest, sets, threshold).select("a", "b"), "near-links")
     if not more.isEmpty():
