@@ -300,7 +300,6 @@ def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text
     if not (0.0 < threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
     reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
-    reps = saved(reps, "near-reps")
     if mode == "exact":
         sets = saved(_hashed(reps), "near-hashed")
         places, ranked = prefix_places(sets, threshold)
