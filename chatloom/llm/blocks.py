@@ -33,12 +33,10 @@ DOCS = -1
 #: Text bytes after which a block is closed; one longer text makes a block of its own.
 BLOCK_BYTES = 8 << 20
 
-_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-
-
-def to_blob(table: pa.Table) -> bytes:
+def to_blob(table: pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_ZSTD) as out:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -58,7 +56,7 @@ def rows(triples: Iterable[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["block", "part", "blob"])
 
 
-def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Table]]], text: str, name: str | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Table]]], text: str, name: str | None, block_bytes: int = BLOCK_BYTES, level: int = 3) -> DataFrame:
     """Blocks of `docs` as rows, saved under `name`. `make` gets a block's documents and yields (part, table)s.
 
     Blocks are numbered within their partition. Without a name nothing is saved; `docs` must then
@@ -71,7 +69,7 @@ def pack(docs: DataFrame, make: Callable[[pa.Table], Iterable[tuple[int, pa.Tabl
 
         def close() -> pa.RecordBatch:
             block = f"{partition}-{next(number)}"
-            return rows((block, part, to_blob(t)) for part, t in make(pa.Table.from_batches(waiting)))
+            return rows((block, part, to_blob(t, level)) for part, t in make(pa.Table.from_batches(waiting)))
 
         for batch in batches:
             start = 0

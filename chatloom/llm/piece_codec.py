@@ -26,7 +26,7 @@ from chatloom.llm.util import only, parts_of
 
 MARK = "▁"
 #: Larger blocks repeat fewer chunks.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -137,7 +137,7 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
 
     own, kind = only(docs, "doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
     # the input is read once for the table and once for the positions: cheaper than keeping both on disk
-    asked, packed = (blocks.pack(own, make, "text", None, BLOCK_BYTES) for make in (distinct, lambda block: [(blocks.DOCS, block)]))
+    asked, packed = (blocks.pack(own, make, "text", None, BLOCK_BYTES, level=9) for make in (distinct, lambda block: [(blocks.DOCS, block)]))
     return blocks.finish(packed, blocks.answer(asked, resolve), join, f"doc_id {kind}, ids array<int>, decoded string")
 
 
