@@ -26,6 +26,8 @@ _BOILERPLATE = re.compile(
     rb"\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|click here|read more|"
     rb"sign (?:in|up)|log ?in|subscribe|enable javascript|accept (?:all )?cookies|skip to content|share on|lorem ipsum)\b")
 _SEPARATORS = frozenset((b"|", b"\xc2\xbb", b">", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2", b"/", b"-", b"*"))
+#: Separators that also stand in prose.
+_PROSE_MARKS = frozenset((b">", b"/", b"-", b"*"))
 
 
 @dataclass(frozen=True)
@@ -36,9 +38,13 @@ class Rules:
     max_repeat_percent: int = 50
     #: An unpunctuated line of at most so many words fails when it is not the only line of the text.
     short_line_words: int = 4
-    #: A line fails as navigation with so many separators, or a share of so many percent of its words.
+    #: A line fails as navigation with so many separators that part it into fields of few words, or a share of so many percent of its words.
     nav_separators: int = 3
     nav_percent: int = 25
+    #: Words of a field on average, at most.
+    nav_field_words: int = 4
+    #: In a line of more words, the separators that also stand in prose part no fields.
+    nav_line_words: int = 20
     #: A line fails with more symbols than this percentage of its words.
     max_symbol_percent: int = 30
     #: A boilerplate phrase fails a line of at most so many words.
@@ -71,8 +77,12 @@ def line_fault(line: bytes, words: list[bytes], lone: bool, rules: Rules) -> str
     """The rule that a line with words fails, or None."""
     n = len(words)
     separators = sum(w in _SEPARATORS for w in words)
-    if separators >= rules.nav_separators or 100 * separators > rules.nav_percent * n:
+    if 100 * separators > rules.nav_percent * n:
         return "navigation"
+    if separators >= rules.nav_separators:
+        parting = separators if n <= rules.nav_line_words else sum(w in _SEPARATORS and w not in _PROSE_MARKS for w in words)
+        if parting >= rules.nav_separators and n - separators <= rules.nav_field_words * (parting + 1):
+            return "navigation"
     if n <= rules.boilerplate_words and _BOILERPLATE.search(line.lower()):
         return "boilerplate"
     if 100 * n_symbols(line) > rules.max_symbol_percent * n and n_symbols(line) > 2:

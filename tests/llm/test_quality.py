@@ -44,6 +44,18 @@ def test_lines_go_and_clean_texts_stay(spark):
     assert got[1].digest == "d" and got[1].Text2 == "t"
 
 
+@pytest.mark.parametrize("mark", ["-", "/", "*", ">", "|", "·"])
+def test_separators_in_long_lines_are_no_navigation(spark, mark):
+    words = [f"word{i}" for i in range(79)]
+    for at in (60, 45, 30, 15):
+        words.insert(at, mark)
+    line = " ".join(words) + "."
+    paragraphs = "\n".join(line.replace("word", f"w{k}x") for k in range(3))
+    rows = [(1, line), (2, paragraphs), (3, "\n".join([line, f"Home {mark} Latest news {mark} All about us {mark} Contact", f" {mark} ".join("abcdefghijklmnop")]))]
+    got = {r.doc_id: r.text for r in quality.clean_documents(docs(spark, rows)).collect()}
+    assert got == {1: line, 2: paragraphs, 3: line}
+
+
 @pytest.mark.parametrize("rows", [[], HARD])
 def test_empty_and_hard_tables(spark, rows):
     table = docs(spark, rows)
