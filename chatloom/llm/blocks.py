@@ -101,14 +101,15 @@ def answer(packed: DataFrame, resolve: Callable[[list[tuple[str, pa.Table]]], It
     return packed.where(f"part <> {DOCS}").groupBy("part").applyInArrow(run, ROWS)
 
 
-def finish(packed: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, list[pa.Table]], pa.Table], schema: str) -> DataFrame:
-    """`fn` gets a block's documents and all answers to it, in the order of their parts."""
+def finish(packed: DataFrame, answers: DataFrame, fn: Callable[..., pa.Table], schema: str, named: bool = False) -> DataFrame:
+    """`fn` gets a block's documents and all answers to it, in the order of their parts; if `named`, the block's name before them."""
 
     def run(group: pa.Table) -> pa.Table:
         tables = sorted(zip(group["part"].to_pylist(), group["blob"].to_pylist()))
         if tables[0][0] != DOCS or any(p == DOCS for p, _ in tables[1:]):
             raise ValueError("a block needs its documents once")
-        return lean(fn(from_blob(tables[0][1]), [from_blob(x) for _, x in tables[1:]]))
+        name = [group["block"][0].as_py()] if named else []
+        return lean(fn(*name, from_blob(tables[0][1]), [from_blob(x) for _, x in tables[1:]]))
 
     return packed.where(f"part = {DOCS}").unionByName(answers).groupBy("block").applyInArrow(run, schema)
 

@@ -10,7 +10,7 @@
 
 Every passage stays in its first document. Blocks of documents and ranges of digests exchange
 packed rows (see `blocks`), so a passage in a third of all documents reaches its part once per
-block.
+block. The regions of a block keep its name, so blocks of equal rows stay apart.
 
 Defined cases: null and empty texts have no passages; repeats inside one document (or one id)
 stay; a null id comes after all others; an empty table gives an empty table; extra columns stay
@@ -119,7 +119,7 @@ def passages(docs: DataFrame, min_words: int = 45, window: int = 8, margin: int
     def digests(block: pa.Table) -> list[np.ndarray]:
         return [np.unique(chain_digests(_raw(t))[0]) for t in block["text"].to_pylist()]
 
-    def regions(block: pa.Table, answers: list[pa.Table]) -> pa.Table:
+    def regions(name: str, block: pa.Table, answers: list[pa.Table]) -> pa.Table:
         keys, _ = blocks.joined_counts(answers)
         doc, hashes, starts, texts = [], [], [], []
         for doc_id, text, text_hash in zip(*(block[c].to_pylist() for c in ("doc_id", "text", "text_hash"))):
@@ -138,9 +138,9 @@ def passages(docs: DataFrame, min_words: int = 45, window: int = 8, margin: int
         if not doc:
             return pa.Table.from_batches([blocks.rows([])])
         table = pa.table({"doc_id": pa.array(doc, pa.int64()), "text_hash": pa.array(hashes, pa.int64()), "start": pa.array(starts, pa.int64()), "text": pa.array(texts, pa.string())})
-        return pa.Table.from_batches([blocks.rows([(block_name(block), blocks.DOCS, blocks.to_blob(table))])])
+        return pa.Table.from_batches([blocks.rows([(name, blocks.DOCS, blocks.to_blob(table))])])
 
-    found = save(blocks.finish(packed, blocks.shared_counts(packed, digests, parts), regions, blocks.ROWS), "chunk-regions")
+    found = save(blocks.finish(packed, blocks.shared_counts(packed, digests, parts), regions, blocks.ROWS, named=True), "chunk-regions")
     release(packed)
 
     def window_keys(block: pa.Table):
@@ -198,11 +198,6 @@ def passages(docs: DataFrame, min_words: int = 45, window: int = 8, margin: int
     return out
 
 
-def block_name(block: pa.Table) -> str:
-    """A name for a block's regions, fixed by its documents."""
-    return xxhash.xxh3_128_hexdigest(blocks.to_blob(block.select(["doc_id", "text_hash"])))
-
-
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
     """`docs` without their repeated passages; same columns. Documents that had words and keep none go."""
     docs, names = shelter(docs, "doc_id", "text", "n_chars")

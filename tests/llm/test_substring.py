@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from cases import HARD, docs
 
-from chatloom.llm import substring
+from chatloom.llm import blocks, substring
 
 
 def brute(rows, min_words, window=8):
@@ -90,6 +90,27 @@ def test_cuts_follow_the_bytes(spark):
     assert np.diff(substring.cuts(b"a" * 1000)).max() <= 128
 
 
+def test_blocks_of_equal_rows(spark, tmp_dir):
+    """A file that stands twice in the table, and a repeated text that fills a block of its own."""
+    rows, _, _ = planted(11)
+    docs(spark, rows).coalesce(1).write.parquet(f"{tmp_dir}/file")
+    file = spark.read.parquet(f"{tmp_dir}/file")
+    got = substring.passages(file.union(file)).collect()
+    want = brute(rows, 45)
+    assert want and sorted((r.doc_id, r.start, r.end, r.n_words) for r in got) == sorted([*want, *want])
+    once = {r.doc_id: r.text for r in substring.remove_passages(file).collect()}
+    twice = substring.remove_passages(file.union(file)).collect()
+    assert len(twice) == 2 * len(once) and all(once[r.doc_id] == r.text for r in twice)
+
+    rng = random.Random(12)
+    long = " ".join("%09d" % rng.randrange(10**9) for _ in range(900_000))
+    assert len(long) > blocks.BLOCK_BYTES
+    table = docs(spark, [(1, long), (2, long), (2, long), (None, long), (None, long)])
+    got = substring.passages(table).collect()
+    assert sorted((r.doc_id or 0, r.start, r.end, r.n_words, r.first_doc_id) for r in got) == [(i, 0, len(long), 900_000, 1) for i in (0, 0, 2, 2)]
+    assert [r.doc_id for r in substring.remove_passages(table).collect()] == [1]
+
+
 def test_empty_table(spark):
     assert substring.passages(docs(spark, [])).count() == 0
     assert substring.remove_passages(docs(spark, [])).count() == 0
