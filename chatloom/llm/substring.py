@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-1. Texts are cut where a gear hash of the last 16 bytes has its upper bits zero, so cuts depend
-   on the bytes around them alone and an insertion shifts only the cuts it touches. Digests of
-   three chunks in a row are counted over the corpus; where one stands in two documents, its
-   bytes and a margin around them become a *region*.
+1. Texts are cut where a gear hash of the last 16 bytes is the smallest among its neighbours, so
+   cuts depend on the bytes around them alone and an insertion shifts only the cuts it touches.
+   Digests of the bytes around each cut are counted over the corpus; where one stands in two
+   documents, its bytes and a margin around them become a *region*. Words are joined by single
+   spaces for this. Neighbourhood and digest are together as long as the shortest passage of
+   `min_words` words, so every such passage holds a digest that all its places share.
 2. Regions alone are cut to words. A digest of each `window` words names its first document (the
    smallest id); in all other documents, words under such windows are repeats. A run of
    `min_words` of them or more is a repeated passage, with exact ends.
@@ -33,49 +35,73 @@ from chatloom.llm.util import only, parts_of, release, save, shelter
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _NO_ID = np.iinfo(np.int64).max
-#: Chunks under one digest.
-_CHAIN = 3
+#: Bytes under the gear hash.
+_HASHED = 16
 
 
-def cuts(raw: bytes, cut_bits: int = 4, least: int = 8, most: int = 128) -> np.ndarray:
-    """Chunk borders of the bytes, 0 and their length included; never inside a character."""
+def lengths(min_words: int) -> tuple[int, int]:
+    """Bytes under a digest, and borders of a neighbourhood: a passage of so many one-byte words just holds both."""
+    reach = 2 * min_words - 1
+    piece = min(reach, max(_HASHED, (reach + 7) // 16 * 8))
+    return piece, reach - piece + 1
+
+
+def _extreme(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """`of` (minimum or maximum) of every n values in a row."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = of(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def cuts(raw: bytes, min_words: int = 45) -> np.ndarray:
+    """Chunk borders of the bytes, 0 and their length included; never inside a character.
+
+    A border is cut where its hash is the smallest of any neighbourhood, ties included.
+    """
+    piece, near = lengths(min_words)
+    hashed = min(_HASHED, piece)
+    ahead = piece - hashed  # bytes of a digest behind its border
     b = np.frombuffer(raw, np.uint8)
+    ends = [0, len(b)] if len(b) else [0]
+    if len(b) < piece + near - 1:
+        return np.array(ends)
     h = _GEAR[b]
     for shift in (1, 2, 4, 8):  # after the last step: 16 bytes, the oldest shifted by 15
         older = h[:-shift] << np.uint16(shift)
         h = h.copy()
         h[shift:] += older
-    here = (h >> np.uint16(16 - cut_bits)) == 0
-    starts = (b & 0xC0) != 0x80
-    found = np.flatnonzero(here[:-1] & starts[1:]) + 1 if len(b) > 1 else np.empty(0, np.int64)
-    out, last = [0], 0
-    for c in found.tolist():
-        if c - last < least:
-            continue
-        while c - last > most:
-            last += most
-            while not starts[last]:
-                last -= 1
-            out.append(last)
-        out.append(c)
-        last = c
-    while len(b) - last > most:
-        last += most
-        while not starts[last]:
-            last -= 1
-        out.append(last)
-    if len(b) > last:
-        out.append(len(b))
-    return np.array(out)
-
-
-def chain_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, start, end) of every three chunks in a row."""
-    c = cuts(raw)
-    a, e = c[:-_CHAIN], c[_CHAIN:]
-    view = memoryview(raw)
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(a.tolist(), e.tolist())), np.uint64, len(a))
-    return digest, a, e
+    # borders `hashed` to len(b) - ahead, whose digests lie inside
+    starts = np.append((b & 0xC0) != 0x80, True)[hashed:len(b) - ahead + 1]
+    h = np.where(starts, h[hashed - 1:len(b) - ahead], np.uint16(0xFFFF))
+    least = _extreme(h, near, np.minimum)
+    pad = np.zeros(near - 1, np.uint16)
+    chosen = (_extreme(np.concatenate([pad, least, pad]), near, np.maximum) == h) & starts
+    return np.unique(np.concatenate([np.flatnonzero(chosen) + hashed, ends]))
+
+
+def digests_at_cuts(raw: bytes, min_words: int = 45, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, start, end) of the bytes around every cut; `most` at a time."""
+    piece, _ = lengths(min_words)
+    at = cuts(raw, min_words) - min(_HASHED, piece)
+    at = at[(at >= 0) & (at + piece <= len(raw))]
+    digest = np.empty(len(at), np.uint64)
+    if len(at):
+        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), piece)
+        for i in range(0, len(at), most):
+            taken = view[at[i:i + most]]
+            wide = np.zeros((len(taken), -(-piece // 8) * 8), np.uint8)
+            wide[:, :piece] = taken
+            h = np.zeros(len(taken), np.uint64)
+            for column in wide.view(np.uint64).T:
+                h = (h ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+            digest[i:i + most] = h
+    return digest, at, at + piece
 
 
 def _raw(text: str | None) -> bytes:
@@ -117,24 +143,33 @@ def passages(docs: DataFrame, min_words: int = 45, window: int = 8, margin: int
     packed = blocks.pack(known, lambda block: [(blocks.DOCS, block)], "text", "chunk-blocks")
 
     def digests(block: pa.Table) -> list[np.ndarray]:
-        return [np.unique(chain_digests(_raw(t))[0]) for t in block["text"].to_pylist()]
+        return [np.unique(digests_at_cuts(b" ".join(_raw(t).split()), min_words)[0]) for t in block["text"].to_pylist()]
 
     def regions(name: str, block: pa.Table, answers: list[pa.Table]) -> pa.Table:
         keys, _ = blocks.joined_counts(answers)
         doc, hashes, starts, texts = [], [], [], []
         for doc_id, text, text_hash in zip(*(block[c].to_pylist() for c in ("doc_id", "text", "text_hash"))):
             raw = _raw(text)
-            digest, a, e = chain_digests(raw)
+            words = raw.split()
+            digest, a, e = digests_at_cuts(b" ".join(words), min_words)
             _, there = blocks.lookup(keys, blocks.short(digest))
-            for x, y in merged(np.maximum(a[there] - margin, 0), np.minimum(e[there] + margin, len(raw))):
-                while x and raw[x - 1] > 0x20:  # whole words
-                    x -= 1
-                while y < len(raw) and raw[y] > 0x20:
-                    y += 1
+            if not there.any():
+                continue
+            place = [m.span() for m in _WORD.finditer(raw)]
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            begin = np.cumsum(size) - size  # of each word in the joined words
+            first = np.searchsorted(begin, np.maximum(a[there] - margin, 0), "right") - 1
+            last = np.searchsorted(begin, e[there] + margin, "left")
+            done = chars = 0
+            for i, j in merged(first, last):
+                x, y = place[i][0], place[j - 1][1]
+                chars += len(raw[done:x].decode("utf-8", "surrogatepass"))
+                body = raw[x:y].decode("utf-8", "surrogatepass")
                 doc.append(doc_id)
                 hashes.append(text_hash)
-                starts.append(len(raw[:x].decode("utf-8", "surrogatepass")))
-                texts.append(raw[x:y].decode("utf-8", "surrogatepass"))
+                starts.append(chars)
+                texts.append(body)
+                done, chars = y, chars + len(body)
         if not doc:
             return pa.Table.from_batches([blocks.rows([])])
         table = pa.table({"doc_id": pa.array(doc, pa.int64()), "text_hash": pa.array(hashes, pa.int64()), "start": pa.array(starts, pa.int64()), "text": pa.array(texts, pa.string())})

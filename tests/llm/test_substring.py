@@ -90,6 +90,44 @@ def test_cuts_follow_the_bytes(spark):
     assert np.diff(substring.cuts(b"a" * 1000)).max() <= 128
 
 
+WORDS = {
+    "short": lambda rng: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 3))),
+    "numbers": lambda rng: str(rng.randrange(100)),
+    "letters": lambda rng: rng.choice("abcdefghijklmnopqrstuvwxyz"),
+    "wide": lambda rng: "".join(rng.choice("日本語éa") for _ in range(rng.randint(1, 3))),
+}
+
+
+@pytest.mark.parametrize("kind", WORDS)
+def test_every_passage_of_short_words_is_found(spark, kind):
+    """Passages of exactly 45 words between different surroundings, their words parted otherwise in the copy."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for i in range(400):
+        passage = [WORDS[kind](rng) for _ in range(45)]
+        for doc_id in (i, 1000 + i):
+            before, after = ([f"{side}{doc_id}x{rng.randrange(10**6)}" for _ in range(rng.randint(1, 30))] for side in "ba")
+            body = " ".join(passage) if doc_id < 1000 else "".join(w + rng.choice([" ", "\n", "  "]) for w in passage).strip()
+            rows.append((doc_id, " ".join(before) + " " + body + " " + " ".join(after)))
+            if doc_id >= 1000:
+                start = len(" ".join(before)) + 1
+                want.add((doc_id, start, start + len(body), 45, i))
+    got = substring.passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in got} == want
+
+
+@pytest.mark.parametrize("min_words", [8, 9, 20, 45, 60])
+def test_passages_share_a_digest(min_words):
+    rng = random.Random(min_words)
+    for _ in range(1500):
+        words = " ".join(WORDS[rng.choice(["letters", "numbers", "short", "wide"])](rng) for _ in range(min_words)).encode()
+        found = []
+        for _ in range(2):
+            before, after = (" ".join(str(rng.random()) for _ in range(rng.randint(0, 4))) for _ in range(2))
+            found.append(set(substring.digests_at_cuts(" ".join([before, words.decode(), after]).strip().encode(), min_words)[0].tolist()))
+        assert found[0] & found[1]
+
+
 def test_blocks_of_equal_rows(spark, tmp_dir):
     """A file that stands twice in the table, and a repeated text that fills a block of its own."""
     rows, _, _ = planted(11)
