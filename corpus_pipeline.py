@@ -29,7 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own, names = shelter(docs, "doc_id", "text")
     first = ngram_join.similar_components(own).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     others = [c for c in own.columns if c != "doc_id"]
-    one = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*others), "text").alias("_row")).select("doc_id", "_row.*")
+    # min_by ignores rows whose order is null, a struct never is
+    order = F.struct(F.col("text").isNull().alias("none"), "text")
+    one = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*others), order).alias("_row")).select("doc_id", "_row.*")
     kept = one.join(first.hint("merge"), "doc_id", "left_semi").select(*own.columns)
     # rows without an id are told apart by their texts alone
     return kept.unionByName(own.where("doc_id IS NULL").dropDuplicates(["text"])).toDF(*names)

@@ -93,3 +93,10 @@ def test_rows_without_an_id(spark):
     text = " ".join(f"w{i}" for i in range(80))
     out = cp.near_duplicates(spark, docs(spark, [(None, text), (None, text), (None, "other " + text[::-1]), (5, text), (5, text)]), "")
     assert Counter(r.doc_id for r in out.collect()) == {None: 2, 5: 1}
+
+
+def test_rows_without_a_text_stay_whole(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    out = cp.near_duplicates(spark, docs(spark, [(1, None, "a"), (2, None, "b"), (2, text, "c"), (3, "other " + text[::-1], "d")]), "").collect()
+    assert all(r.source and r.lang == "en" and r.digest == "d" for r in out)
+    assert {(2, "c"), (3, "d")} <= {(r.doc_id, r.source) for r in out} and 1 in {r.doc_id for r in out}
