@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import license_scan, mixing, ngram_join, nn_descent, piece_codec, ppm, quality, substring, toxicity, warc
+from chatloom.llm import collocations, language_id, license_scan, merkle, mixing, ngram_join, nn_descent, piece_codec, ppm, quality, substring, toxicity, warc
 from chatloom.llm.util import documents
 
 
@@ -68,6 +68,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.verify(merkle.prove(merkle.leaves(documents(spark, sf_dir), tampered)))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs.where(~toxicity.held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_join": op2_ngram_join,
@@ -79,6 +95,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_id": op13_language_id,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
@@ -115,4 +134,66 @@ ORACLES: dict[str, str] = {
                array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)), '.')), ',')
                || ')' || lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '#.*$', '')) AS url_key
         FROM p LEFT JOIN f ON p.html = f.html""",
+    "op11_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) ks WHERE len(w) >= k) x),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+        cover AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+                  FROM (SELECT lang, k, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS m) ms WHERE m < k) y GROUP BY ALL),
+        cuts AS (SELECT c.lang, c.phrase, c.a, t.n, x.a AS l, y.a AS r, q.i,
+                   (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+                 FROM c JOIN t USING (lang) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS i) q
+                 JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:q.i], ' ')
+                 JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[q.i + 1:], ' ')
+                 WHERE q.i < c.k),
+        best AS (SELECT lang, phrase, a, n, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(s := score, i := i)) AS b FROM cuts GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN cover USING (lang, phrase) WHERE cover.most IS NULL OR 100 * cover.most < 100 * best.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, b.l AS l, b.r AS r, n, b.score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    # crc32 is taken bit by bit over the digits of the id; `t` numbers the trees, -1 is the tree over the sources
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE
+        d0 AS (SELECT *, row_number() OVER () AS rid, list_reduce(
+                 list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+                 lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                   lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS crc FROM documents),
+        d AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 5 = 0
+                THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other_text FROM d0),
+        e AS (SELECT rid, doc_id, source, text, other_text,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d),
+        f AS (SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                sha256(head || coalesce(strlen(other_text) || ':' || other_text, '-')) AS other FROM e),
+        lf AS (SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS t,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM f),
+        lv(t, l, i, m, h) AS (
+          SELECT t, 0, i, m, leaf FROM lf
+          UNION ALL
+          SELECT t, l + 1, i // 16, any_value((m + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE m > 1 GROUP BY t, l, i // 16),
+        sub AS (SELECT t, h FROM lv WHERE m = 1),
+        tv(l, i, m, h) AS (
+          SELECT 0, t, count(*) OVER (), h FROM sub
+          UNION ALL
+          SELECT l + 1, i // 16, any_value((m + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM tv WHERE m > 1 GROUP BY l, i // 16),
+        nodes AS (SELECT t, l, i, m, h FROM lv WHERE m > 1 UNION ALL SELECT -1, l, i, m, h FROM tv WHERE m > 1),
+        depth AS (SELECT t, max(l) + 1 AS n FROM nodes GROUP BY t),
+        place AS (SELECT lf.rid, n.t, n.l, lf.i // (16 ** n.l)::BIGINT AS i, n.l AS s FROM lf JOIN (SELECT DISTINCT t, l FROM nodes) n USING (t)
+                  UNION ALL
+                  SELECT lf.rid, -1, n.l, lf.t // (16 ** n.l)::BIGINT, coalesce(depth.n, 0) + n.l
+                  FROM lf LEFT JOIN depth USING (t) CROSS JOIN (SELECT DISTINCT l FROM nodes WHERE t = -1) n),
+        steps AS (SELECT p.rid, p.s, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < p.i), '') AS lo,
+                    coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > p.i), '') AS hi
+                  FROM place p JOIN nodes n ON n.t = p.t AND n.l = p.l AND n.i // 16 = p.i // 16 GROUP BY p.rid, p.s),
+        way AS (SELECT rid, string_agg(lo || hi, '' ORDER BY s) AS w FROM steps GROUP BY rid),
+        up(rid, s, h) AS (SELECT rid, 0, other FROM lf
+                          UNION ALL SELECT up.rid, up.s + 1, sha256(lo || h || hi) FROM up JOIN steps USING (rid, s)),
+        folded AS (SELECT rid, max_by(h, s) AS h FROM up GROUP BY rid)
+        SELECT lf.doc_id, leaf, sub.h AS subroot, (SELECT h FROM tv WHERE m = 1) AS root, sha256(coalesce(w, '')) AS proof_sha256,
+               folded.h AS folded_root, folded.h = (SELECT h FROM tv WHERE m = 1) AS verified
+        FROM lf JOIN sub USING (t) JOIN folded USING (rid) LEFT JOIN way USING (rid)""",
 }
