@@ -26,9 +26,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if ends.groupBy("u").agg(F.sum("points").alias("p")).where("p NOT IN (1, 1000)").isEmpty():
             break
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = saved(_star(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "cc-large")
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         table = saved(_star(small.unionByName(least.toDF("u", "v"))), "cc-edges")
     roots = table.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import canonical_text
 from chatloom.operators.components import connected_components
+from chatloom.operators.keep_first import stream_bucket_keep_first, stream_keep_first
 from chatloom.session import saved
 
 
@@ -64,56 +65,99 @@ def _need(n, threshold: float) -> F.Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
 
-def prefix_places(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Prefix-filter postings ``(key, rep, n, rest, pos)`` and ``ranked(rep, shared, lead)``, both saved.
+#: 64-bit words of a set's sketch.
+SKETCH_WORDS = 4
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
-    Tokens are ordered by (number of sets, hash). Tokens of one set only come first in that
-    order, match nothing, and fill prefix places: only shared ones travel back to their set, and
-    a set whose prefix has no shared token has no partner. ``rest`` is the number of tokens
-    from the key on, which bounds the overlap of two sets whose first common token it is.
+
+def prefix_sets(hashed: DataFrame, threshold: float) -> DataFrame:
+    """Sets that may have a partner → ``(rep, n, toks, lead, s0, ...)``, saved.
+
+    ``toks`` are the tokens that stand in two sets or more, by (number of sets, hash). Tokens of one
+    set only come first in that order, match nothing and fill prefix places, so the prefix has
+    ``lead`` places left for shared ones; a set with none left has no partner. The sketch holds the
+    parity of the shared tokens per bit: two sets differ in at least as many tokens as bits.
     """
-    need = _need(F.col("n"), threshold)
-    tokens = sets.select("rep", "n", F.explode("toks").alias("tok"))
+    tokens = hashed.select("rep", "n", F.explode("toks").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    ranked = tokens.join(shared, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"))
-    ranked = ranked.select("rep", "n", F.transform("_s", lambda x: x["tok"]).alias("shared"), (F.size("_s") - need + 1).cast("int").alias("lead"))
-    ranked = saved(ranked.where("lead > 0"), "near-ranked")
-    places = ranked.select("rep", "n", "lead", F.posexplode(F.slice("shared", F.lit(1), F.col("lead"))).alias("pos", "key"))
-    return saved(places.select("key", "rep", "n", (need + F.col("lead") - 1 - F.col("pos")).alias("rest"), "pos"), "near-places"), ranked
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(tok, {SKETCH_WORDS.bit_length() - 1}) & 63 AS INT))")
+    words = [F.coalesce(F.bit_xor(F.when(F.col("tok").bitwiseAND(SKETCH_WORDS - 1) == i, bit)), F.lit(0)).alias(w) for i, w in enumerate(_SKETCH)]
+    ranked = tokens.join(shared, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"), *words)
+    lead = (F.size("_s") - _need(F.col("n"), threshold) + 1).cast("int")
+    ranked = ranked.select("rep", "n", F.transform("_s", lambda x: x["tok"]).alias("toks"), lead.alias("lead"), *_SKETCH)
+    return saved(ranked.where("lead > 0"), "near-ranked")
+
 
+def prefix_postings(sets: DataFrame) -> DataFrame:
+    """Postings ``(key, rep, n, size, rest, pos, s0, ...)`` of the prefix tokens of :func:`prefix_sets`.
+
+    ``rest``, the number of shared tokens from the key on, bounds the overlap of two sets whose
+    first common token it is.
+    """
+    places = sets.select("rep", "n", F.size("toks").alias("size"), *_SKETCH, F.posexplode(F.slice("toks", F.lit(1), F.col("lead"))).alias("pos", "key"))
+    return places.select("key", "rep", "n", "size", (F.col("size") - F.col("pos")).alias("rest"), "pos", *_SKETCH)
 
-def _may_be_similar(x: str, y: str, threshold: float) -> F.Column:
-    """Length filter, and the positional filter of a common key."""
+
+def _may_be_similar(x: str, y: str, threshold: float, sketched: bool = True) -> F.Column:
+    """Length filter, positional filter of a common key, and the sketches' bound on the overlap."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     overlap = F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - F.lit(1e-9)) & (F.least(f"{x}.rest", f"{y}.rest") >= overlap)
+    may = (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - F.lit(1e-9)) & (F.least(f"{x}.rest", f"{y}.rest") >= overlap)
+    if not sketched:
+        return may
+    differ = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in _SKETCH), F.lit(0))
+    return may & (F.col(f"{x}.size") + F.col(f"{y}.size") - differ >= overlap * 2)
 
 
 def verify_pairs(cands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact Jaccard of candidate pairs; keeps those ≥ ``threshold`` → ``(a, b, jaccard)``."""
-    ta = sets.select(F.col("rep").alias("a"), F.col("toks").alias("ta"))
-    tb = sets.select(F.col("rep").alias("b"), F.col("toks").alias("tb"))
+    """Exact Jaccard of candidate pairs of ``sets(rep, n, toks)``; keeps those ≥ ``threshold`` → ``(a, b, jaccard)``.
+
+    ``toks`` may leave out tokens that no other set has.
+    """
+    ta = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
+    tb = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     j = cands.join(ta, "a").join(tb, "b")
     inter = F.size(F.array_intersect("ta", "tb"))
-    jac = inter / (F.size("ta") + F.size("tb") - inter)
+    jac = inter / (F.col("na") + F.col("nb") - inter)
     return j.select("a", "b", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(threshold))
 
 
+def _ordered(met: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)``, a < b, of joined rows ``x`` and ``y``."""
+    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return pairs.groupBy("a", "b").count().select("a", "b")
+
+
 def _pairs(x: DataFrame, y: DataFrame, on: list[str], cond: F.Column) -> DataFrame:
     """Distinct ``(a, b)``, a < b, of rows ``x`` and ``y`` that agree on ``on``."""
-    met = x.alias("x").join(y.alias("y"), on).where(cond).select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    return met.groupBy("a", "b").count().select("a", "b")
+    return _ordered(x.alias("x").join(y.alias("y"), on).where(cond))
+
+
+#: Postings of a key that meet in one piece of a join.
+KEY_BLOCK = 256
+
 
+def _key_pairs(entry: DataFrame, cond: F.Column, block: int | None = None) -> DataFrame:
+    """Distinct ``(a, b)`` of entries that share a key, each pair of entries looked at once per key.
 
-def band_places(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
-    """``(key, rep)``: the band slices of each MinHash signature, hashed with their band number (D3)."""
+    The entries of a key are salted into blocks of about ``block`` and every two blocks meet on their
+    own, so a key with any number of entries is spread over tasks of at most twice that many rows.
+    """
+    sizes = entry.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (block or KEY_BLOCK)).alias("_blocks"))
+    dealt = entry.join(sizes, "key").withColumn("_mine", F.pmod(F.xxhash64("rep", "key"), F.col("_blocks")))
+    x = dealt.withColumn("_i", F.col("_mine")).withColumn("_j", F.explode(F.sequence(F.col("_mine"), F.col("_blocks") - 1)))
+    y = dealt.withColumn("_j", F.col("_mine")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mine"))))
+    once = (F.col("_i") < F.col("_j")) | (F.col("x.rep") < F.col("y.rep"))
+    return _ordered(x.alias("x").join(y.alias("y"), ["key", "_i", "_j"]).where(once & cond))
+
+
+def band_keys(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
+    """``(rep, keys)``: the band slices of each MinHash signature, hashed with their band number (D3)."""
     from chatloom.operators.minhash import lsh_params, minhash_udf, token_hashes
 
     b, r = bands or lsh_params(threshold, num_perm)
     sig = reps.select("rep", minhash_udf(num_perm)(token_hashes(F.col("tokens"), F.col("rep"))).alias("sig"))
-    slices = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, r)))
-    return sig.select("rep", F.explode(slices).alias("key")).select("key", "rep")
+    return sig.select("rep", F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, r))).alias("keys"))
 
 
 def lsh_candidates(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
@@ -121,8 +165,8 @@ def lsh_candidates(reps: DataFrame, threshold: float, num_perm: int = 128, bands
 
     As large as its answer; :func:`bucket_keep_first` decides without pairs.
     """
-    places = saved(band_places(reps, threshold, num_perm, bands), "lsh-places")
-    return _pairs(places, places, ["key"], F.col("x.rep") < F.col("y.rep"))
+    keys = saved(band_keys(reps, threshold, num_perm, bands), "lsh-keys")
+    return _key_pairs(keys.select("rep", F.explode("keys").alias("key")), F.lit(True))
 
 
 def minhash_signatures(sets: DataFrame, num_perm: int = 128) -> DataFrame:
@@ -138,10 +182,8 @@ def near_dup_pairs(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame,
     large as its answer; the keep-first decision (:func:`near_dedup`) does not need it.
     """
     reps, members = collapse_identical_sets(saved(sets, "near-sets"))
-    hashed = saved(_hashed(reps), "near-reps")
-    places, _ = prefix_places(hashed, threshold)
-    cands = _pairs(places, places, ["key"], (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", threshold))
-    return verify_pairs(cands, hashed, threshold), reps, members
+    ranked = prefix_sets(saved(_hashed(reps), "near-hashed"), threshold)
+    return verify_pairs(_key_pairs(prefix_postings(ranked), _may_be_similar("x", "y", threshold)), ranked, threshold), reps, members
 
 
 def greedy_keep_first(pairs: DataFrame) -> DataFrame:
@@ -172,21 +214,31 @@ def greedy_keep_first(pairs: DataFrame) -> DataFrame:
     return status.where("s = 2").select("x")
 
 
-def _star_pairs(entry: DataFrame, turn: int, cond: F.Column, block: int = 32) -> DataFrame:
-    """Pairs of each entry of a key with one of another component: the key's lowest on the first
-    turn, later the lowest by hash of a block of about ``block`` entries. Linear in the entries."""
-    if turn == 0:
-        dealt = entry.withColumn("block", F.lit(0).cast("long")).withColumn("draw", F.col("rep"))
-    else:
-        sizes = entry.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-        dealt = entry.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("blocks"))).withColumn(
-            "draw", F.xxhash64("rep", F.lit(-turn)))
-    centre = saved(dealt.groupBy("key", "block").agg(F.min(F.struct("draw", "rep", "comp", "n", "rest")).alias("c"), F.count(F.lit(1)).alias("m"))
-                   .where("m > 1").select("key", "block", "c.rep", "c.comp", "c.n", "c.rest"), "near-centres")
-    return _pairs(dealt, centre, ["key", "block"], (F.col("x.comp") != F.col("y.comp")) & cond)
+def _star_pairs(entry: DataFrame, cond: F.Column, block: int = 64) -> DataFrame:
+    """Pairs of each entry of a key with the key's lowest and with one drawn from its block; linear in the entries."""
+    row = F.struct(*[c for c in entry.columns if c != "key"])
+    lowest = entry.groupBy("key").agg(F.min(F.struct("rep", row.alias("row"))).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    first = entry.alias("x").join(lowest.select("key", "c.row.*").alias("y"), "key").where((F.col("x.rep") != F.col("y.rep")) & cond)
+    # a key of few entries has its lowest; in a larger one the lowest may lie in another cluster
+    many = lowest.where("m > 8").select("key", F.ceil(F.col("m") / block).alias("blocks"))
+    dealt = entry.join(many, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks"))).drop("blocks")
+    drawn = dealt.groupBy("key", "block").agg(F.min(F.struct(F.xxhash64("rep").alias("draw"), row.alias("row"))).alias("c")).select("key", "block", "c.row.*")
+    second = dealt.alias("x").join(drawn.alias("y"), ["key", "block"]).where((F.col("x.rep") != F.col("y.rep")) & cond)
+    ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    return first.select(*ends).unionByName(second.select(*ends)).groupBy("a", "b").count().select("a", "b")
 
 
-def _longer_keys(entry: DataFrame, ranked: DataFrame, threshold: float, level: int, hot: int = 64) -> DataFrame | None:
+def _labels(links: DataFrame) -> DataFrame:
+    """``(rep, label)`` of every linked set: the least one within a few links; saved. Equal labels imply one component."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near-least")
+    next_ = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m2"))
+    two = saved(near.join(next_, "u").select("u", F.least("m", "m2").alias("m")), "near-least")
+    jump = two.select(F.col("u").alias("m"), F.col("m").alias("m3"))
+    return saved(two.join(jump, "m").select(F.col("u").alias("rep"), F.col("m3").alias("label")), "near-label")
+
+
+def _longer_keys(entry: DataFrame, sets: DataFrame, threshold: float, level: int, hot: int) -> DataFrame | None:
     """Postings with every key of more than ``hot`` entries lengthened by one more token; None without such a key.
 
     Two sets that share ``level`` tokens share their first ``level`` common ones within a prefix
@@ -197,80 +249,118 @@ def _longer_keys(entry: DataFrame, ranked: DataFrame, threshold: float, level: i
     if hot_keys.isEmpty():
         return None
     hot_rows = entry.join(hot_keys, "key", "left_semi")
-    grown = hot_rows.join(ranked.select("rep", "shared", "lead"), "rep")
-    last = F.least(F.col("lead") + level - 2, F.size("shared") - 1)
+    grown = hot_rows.join(sets.select("rep", "toks", "lead"), "rep")
+    last = F.least(F.col("lead") + level - 2, F.size("toks") - 1)
     grown = grown.where(F.col("pos") < last).withColumn("pos2", F.explode(F.sequence(F.col("pos") + 1, last)))
-    grown = grown.select(F.xxhash64("key", F.get("shared", F.col("pos2"))).alias("key"), "rep", "n", "rest", F.col("pos2").alias("pos"), "comp")
-    short = hot_rows.where(_need(F.col("n"), threshold) < level).withColumn("key", F.xxhash64("key", F.lit(f"short-{level}"))).select(grown.columns)
-    return entry.join(hot_keys, "key", "left_anti").select(grown.columns).unionByName(grown).unionByName(short)
+    grown = grown.withColumn("key", F.xxhash64("key", F.get("toks", F.col("pos2")))).withColumn("pos", F.col("pos2")).select(entry.columns)
+    short = hot_rows.where(_need(F.col("n"), threshold) < level).withColumn("key", F.xxhash64("key", F.lit(f"short-{level}"))).select(entry.columns)
+    return entry.join(hot_keys, "key", "left_anti").select(entry.columns).unionByName(grown).unionByName(short)
+
 
+def _open(entry: DataFrame) -> DataFrame:
+    """Entries of keys that hold several labels."""
+    several = entry.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return entry.join(several, "key", "left_semi")
 
-def similar_components(places: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, rounds: int = 2, level: int = 4) -> DataFrame:
-    """``(rep, comp)`` of every posted set: its component of similar sets that share a key.
 
-    Stars join each key's entries to single centres, and their verified links give components; a
-    few rounds of random blocks follow. Only entries of keys that still hold several components
-    then meet pairwise, their hot keys made longer first. No similar pair lies between two
+def similar_components(entry: DataFrame, sets: DataFrame, threshold: float, prefixed: bool = True, hot: int = 64, level: int = 4) -> DataFrame:
+    """``(rep, comp)`` of every set that is similar to another one with which it shares a key; saved.
+
+    Stars join each key's entries to a few single centres, and what is verified labels sets by the
+    least one within a few links. Only entries of keys that still hold several labels then meet,
+    block by block, the hot keys of prefix tokens made longer first. No similar pair lies between two
     components in the end; a cluster of near copies costs about as much as it has members.
     """
-    may = _may_be_similar("x", "y", threshold)
-    nodes = saved(places.select("rep").distinct(), "near-nodes")
-    entry, label, links = places.withColumn("comp", F.col("rep")), nodes.withColumn("comp", F.col("rep")), None
-    for turn in range(rounds):
-        new = saved(verify_pairs(_star_pairs(entry, turn, may), sets, threshold).select("a", "b"), "near-links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        label, entry = _relabelled(nodes, places, links)
-    entry = saved(_open(entry), "near-open")
-    for k in range(2, level + 1) if ranked is not None else ():
-        longer = _longer_keys(entry, ranked, threshold, k)
+    may = _may_be_similar("x", "y", threshold, sketched=prefixed)
+    links = saved(verify_pairs(_star_pairs(entry, may), sets, threshold).select("a", "b"), "near-links")
+    label = _labels(links)
+    marked = entry.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select(*entry.columns, "label")
+    left = saved(_open(marked), "near-open")
+    for k in range(2, level + 1) if prefixed else ():
+        longer = _longer_keys(left, sets, threshold, k, hot)
         if longer is None:
             break
-        entry = saved(_open(longer), "near-open")
-    rest = _pairs(entry, entry, ["key"], (F.col("x.comp") < F.col("y.comp")) & may)
-    more = saved(verify_pairs(rest, sets, threshold).select("a", "b"), "near-links")
-    if not more.isEmpty():
-        label, _ = _relabelled(nodes, places, more if links is None else links.unionByName(more))
-    return label
+        left = saved(_open(longer), "near-open")
+    more = saved(verify_pairs(_key_pairs(left, (F.col("x.label") != F.col("y.label")) & may), sets, threshold).select("a", "b"), "near-links")
+    links = links.unionByName(more)
+    # what is left to connect are labels
+    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
+    met = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    edges = met.unionByName(label.toDF("a", "b"))
+    found = connected_components(edges).toDF("label", "comp")
+    nodes = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).distinct().join(label, "rep", "left")
+    nodes = nodes.select("rep", F.coalesce("label", "rep").alias("label")).join(found, "label", "left")
+    return saved(nodes.select("rep", F.coalesce("comp", "label").alias("comp")), "near-components")
 
 
-def _relabelled(nodes: DataFrame, places: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    label = saved(nodes.join(found, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "near-label")
-    return label, saved(_open(places.join(label, "rep")), "near-entries")
+#: Tokens (or keys) of a component that one task decides as a stream; larger ones are decided by joins.
+STREAM_TOKENS = 4 << 20
 
 
-def _open(entry: DataFrame) -> DataFrame:
-    """Entries of keys that hold several components."""
-    several = entry.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return entry.join(several, "key", "left_semi")
+def _split_by_size(members: DataFrame, sized: DataFrame, bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """``members(rep, comp)`` of components of at most ``bound`` in ``sized(rep, w)``, and of larger ones (None: there are none)."""
+    large = saved(members.join(sized, "rep").groupBy("comp").agg(F.sum("w").alias("w")).where(F.col("w") > bound).select("comp"), "near-large")
+    if large.isEmpty():
+        return members, None
+    return members.join(large, "comp", "left_anti"), members.join(large, "comp", "left_semi")
 
 
-def keep_first(places: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, waves: int = 3) -> DataFrame:
+def keep_first(entry: DataFrame, sets: DataFrame, threshold: float, prefixed: bool = True, bound: int | None = None) -> DataFrame:
     """Sets dropped by sequential keep-first → ``(x)``; sets are similar when they share a key and verify.
 
+    A component's sets come sorted to one task, which keeps sketches and tokens of the sets it has
+    kept, and drops what is similar to one of them: one pass, however long chains are. Components
+    of more than ``bound`` tokens are decided by joins (:func:`_keep_first_wide`).
+    """
+    bound = STREAM_TOKENS if bound is None else bound
+    members = similar_components(entry, sets, threshold, prefixed)
+    small, large = _split_by_size(members, sets.select("rep", F.col("n").alias("w")), bound)
+    columns = ["comp", "rep", "n", "toks"] + ([] if prefixed else ["keys"])
+    dropped = stream_keep_first(small.join(sets, "rep").select(*columns), threshold)
+    return dropped if large is None else dropped.unionByName(_keep_first_wide(saved(large, "near-large"), entry, sets, threshold, prefixed))
+
+
+def _keep_first_wide(open_sets: DataFrame, entry: DataFrame, sets: DataFrame, threshold: float, sketched: bool, waves: int = 3) -> DataFrame:
+    """:func:`keep_first` of large components ``open_sets(rep, comp)`` by joins.
+
     In each of a few waves the lowest open set of a component is kept, as nothing lower can be
     similar to it, and drops what is similar to it. What is still open is paired within its
     component, verified once, and decided on the pair table.
     """
-    label = similar_components(places, sets, threshold, ranked)
-    open_sets = saved(label.join(label.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("comp"), "comp"), "near-undecided")
     dropped = None
     for _ in range(waves):
         lowest = saved(open_sets.groupBy("comp").agg(F.min("rep").alias("rep")), "near-lowest")
-        met = _pairs(places.join(open_sets, "rep"), places.join(lowest, "rep"), ["comp", "key"], F.col("x.rep") != F.col("y.rep"))
+        met = _pairs(entry.join(open_sets, "rep"), entry.join(lowest, "rep"), ["comp", "key"], F.col("x.rep") != F.col("y.rep"))
         gone = saved(verify_pairs(met, sets, threshold).select(F.col("b").alias("x")), "near-gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         decided = gone.unionByName(lowest.select(F.col("rep").alias("x")))
         open_sets = saved(open_sets.join(decided.withColumnRenamed("x", "rep"), "rep", "left_anti"), "near-undecided")
-    entry = places.join(open_sets, "rep")
-    rest = _pairs(entry, entry, ["comp", "key"], (F.col("x.rep") < F.col("y.rep")) & _may_be_similar("x", "y", threshold))
+        if open_sets.isEmpty():
+            return dropped
+    left = entry.join(open_sets, "rep").withColumn("key", F.xxhash64("comp", "key"))
+    rest = _key_pairs(left, (F.col("x.comp") == F.col("y.comp")) & _may_be_similar("x", "y", threshold, sketched))
     return dropped.unionByName(greedy_keep_first(verify_pairs(rest, sets, threshold)))
 
 
-def bucket_keep_first(places: DataFrame) -> DataFrame:
-    """Sets dropped by sequential keep-first when sharing a key is similarity itself → ``(x)``.
+def bucket_keep_first(keyed: DataFrame, bound: int | None = None) -> DataFrame:
+    """Sets of ``keyed(rep, keys)`` dropped by sequential keep-first when sharing a key is similarity itself → ``(x)``.
+
+    Sets that share keys make components (each key's entries point at its lowest); a component comes
+    sorted to one task, which holds the keys of the sets it has kept. Components of more than
+    ``bound`` keys are decided in rounds over their postings.
+    """
+    bound = STREAM_TOKENS if bound is None else bound
+    keyed = saved(keyed.select("rep", "keys"), "bucket-keys")
+    places = keyed.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    low = places.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "low")
+    members = saved(connected_components(places.join(low, "key"), "rep", "low").toDF("rep", "comp"), "bucket-components")
+    small, large = _split_by_size(members, keyed.select("rep", F.size("keys").alias("w")), bound)
+    dropped = stream_bucket_keep_first(small.join(keyed, "rep").select("comp", "rep", "keys"))
+    return dropped if large is None else dropped.unionByName(_bucket_rounds(places.join(large.select("rep"), "rep")))
+
+
+def _bucket_rounds(places: DataFrame) -> DataFrame:
+    """:func:`bucket_keep_first` of postings ``(rep, key)`` by joins.
 
     Each round keeps the sets that are the lowest open one of all their keys and drops the other
     members of these keys; it reads the open postings once and writes no pairs.
@@ -301,15 +391,14 @@ def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
     reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
     if mode == "exact":
-        sets = saved(_hashed(reps), "near-hashed")
-        places, ranked = prefix_places(sets, threshold)
-        dropped = keep_first(places, sets, threshold, ranked)
+        sets = prefix_sets(saved(_hashed(reps), "near-hashed"), threshold)
+        dropped = keep_first(prefix_postings(sets), sets, threshold)
     elif mode == "lsh":
-        bands = band_places(reps, threshold)
+        bands = band_keys(reps, threshold)
         if verify:
-            sets = saved(_hashed(reps), "near-hashed")
-            places = bands.join(sets.select("rep", "n"), "rep").select("key", "rep", "n", F.col("n").alias("rest"), F.lit(0).alias("pos"))
-            dropped = keep_first(saved(places, "near-places"), sets, threshold)
+            sets = saved(_hashed(reps).join(bands, "rep"), "near-hashed")
+            postings = sets.select(F.explode("keys").alias("key"), "rep", "n", F.col("n").alias("size"), F.col("n").alias("rest"))
+            dropped = keep_first(postings, sets, threshold, prefixed=False)
         else:
             dropped = bucket_keep_first(bands)
     else:

@@ -136,41 +136,120 @@ def test_pair_greedy_equals_sequential(spark, data):
     assert sorted({r["rep"] for r in reps.collect()} - dropped) == sequential_keep_first(texts, 0.7)
 
 
-def test_dissimilar_sets_that_share_a_token(spark, monkeypatch):
-    """One token in every prefix: no serial rounds, few candidates."""
-    rnd = random.Random(5)
-    texts = [" ".join(["shared"] + [f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(9, 19))]) for _ in range(2000)]
-    seen = []
-    verify = dedup.verify_pairs
+def _verified(monkeypatch):
+    """Candidate pairs of every verification, as they are asked for."""
+    seen, verify = [], dedup.verify_pairs
     monkeypatch.setattr(dedup, "verify_pairs", lambda c, s, t: seen.append(c) or verify(c, s, t))
+    return seen
+
+
+def _near_copies(n, words, seed=6):
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    for i in range(n):
+        t = list(base)
+        t[rnd.randrange(words)] = f"u{i}"
+        yield " ".join(t)
+
+
+def test_dissimilar_sets_that_share_tokens(spark, monkeypatch):
+    """Two tokens in every set, and few others that are rare: few candidates are compared."""
+    rnd = random.Random(5)
+    texts = [" ".join(["shared", "common"] + [f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(8, 18))]) for _ in range(2000)]
+    seen = _verified(monkeypatch)
+    assert _kept(spark, texts) == sequential_keep_first(texts, 0.85)
+    assert sum(c.count() for c in seen) < 2_000
+
+
+def test_small_vocabulary(spark, monkeypatch):
+    """Every token is in a large share of all sets, so all keys are hot."""
+    rnd = random.Random(15)
+    texts = [" ".join(rnd.sample([f"w{i}" for i in range(60)], 20)) for _ in range(1200)]
+    texts += [" ".join(rnd.sample(texts[i].split(), 19) + ["w0"]) for i in range(0, 300, 7)]
+    monkeypatch.setattr(dedup, "KEY_BLOCK", 50)
+    seen = _verified(monkeypatch)
     assert _kept(spark, texts) == sequential_keep_first(texts, 0.85)
-    assert len(seen) < 12 and sum(c.count() for c in seen) < 60_000
+    assert sum(c.count() for c in seen) < 10 * len(texts)
 
 
 def test_many_near_copies_stay_linear(spark, monkeypatch):
-    rnd = random.Random(6)
-    base = [f"b{i}" for i in range(80)]
+    texts = list(_near_copies(2000, 80))
+    seen = _verified(monkeypatch)
+    assert _kept(spark, texts) == [0]
+    assert sum(c.count() for c in seen) < 10 * len(texts)
+
+
+def test_near_matches_whose_centre_comes_late(spark, monkeypatch):
+    """Each is similar to a base set in the middle, but few are to each other."""
+    rnd = random.Random(16)
+    base = [f"b{i}" for i in range(40)]
     texts = []
-    for i in range(2000):
-        t = list(base)
-        t[rnd.randrange(80)] = f"u{i}"
+    for i in range(600):
+        t = rnd.sample(base, 37) + [f"u{i}a", f"u{i}b"]
         texts.append(" ".join(t))
-    seen = []
-    verify = dedup.verify_pairs
-    monkeypatch.setattr(dedup, "verify_pairs", lambda c, s, t: seen.append(c) or verify(c, s, t))
-    assert _kept(spark, texts) == [0]
-    assert sum(c.count() for c in seen) < 20_000
+    texts.insert(300, " ".join(base))
+    seen = _verified(monkeypatch)
+    assert _kept(spark, texts) == sequential_keep_first(texts, 0.85)
+    assert sum(c.count() for c in seen) < 10 * len(texts)
+
+
+def test_a_long_chain_is_one_pass(spark, monkeypatch):
+    """Each set is similar to the next two only; streamed, nothing is decided by joins."""
+    texts = [" ".join(f"t{i + k}" for k in range(25)) for i in range(1500)]
+    monkeypatch.setattr(dedup, "greedy_keep_first", None)
+    monkeypatch.setattr(dedup, "_keep_first_wide", None)
+    got = _kept(spark, texts)
+    assert got == sequential_keep_first(texts, 0.85) and len(got) == 500
+
+
+def test_large_components_are_decided_by_joins(spark, monkeypatch):
+    rnd = random.Random(17)
+    monkeypatch.setattr(dedup, "STREAM_TOKENS", 150)
+    texts = [" ".join(f"t{i + k}" for k in range(25)) for i in range(40)] + list(_near_copies(30, 40))
+    texts += [" ".join(rnd.sample([f"v{i}" for i in range(12)], rnd.randint(6, 10))) for _ in range(60)]
+    rnd.shuffle(texts)
+    for t in (0.7, 0.85):
+        assert _kept(spark, texts, t) == sequential_keep_first(texts, t)
+
+
+def test_lsh_modes_equal_their_scan(spark, monkeypatch):
+    rnd = random.Random(18)
+    texts = list(_near_copies(25, 30)) + [" ".join(rnd.sample([f"v{i}" for i in range(14)], rnd.randint(5, 12))) for _ in range(60)] + ["", " "]
+    rnd.shuffle(texts)
+    reps, _ = dedup.collapse_identical_sets(dedup.token_sets(_texts(spark, texts), F.col("text")))
+    keys = {r["rep"]: set(r["keys"]) for r in dedup.band_keys(reps, 0.7).collect()}
+    sets = {i: set(texts[i].split()) for i in keys}
+    for verify in (True, False):
+        kept = []
+        for i in sorted(keys):
+            if not any(keys[i] & keys[k] and (not verify or sets[i] and _jac(sets[i], sets[k]) >= 0.7) for k in kept):
+                kept.append(i)
+        assert _kept(spark, texts, 0.7, "lsh", verify) == kept
+        with monkeypatch.context() as m:
+            m.setattr(dedup, "STREAM_TOKENS", 20)
+            assert _kept(spark, texts, 0.7, "lsh", verify) == kept
+
+
+def test_key_pairs_are_dealt_in_blocks(spark):
+    rnd = random.Random(19)
+    rows = sorted({(rnd.choice([1, 1, 1, 2, 3]), rnd.randrange(200)) for _ in range(300)})
+    entry = spark.createDataFrame(rows, "key long, rep long")
+    want = {(a, b) for k, a in rows for k2, b in rows if k == k2 and a < b}
+    for block in (7, 1000):
+        got = [tuple(r) for r in dedup._key_pairs(entry, F.lit(True), block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_buckets_equal_the_pair_graph(spark):
     rnd = random.Random(8)
     for _ in range(3):
         rows = [(rnd.randrange(12), r) for r in range(40) for _ in range(rnd.randint(0, 2))]
-        places = spark.createDataFrame(rows, "key long, rep long")
+        places = spark.createDataFrame(rows, "key long, rep long").groupBy("rep").agg(F.collect_list("key").alias("keys"))
         share = {(a, b) for k, a in rows for k2, b in rows if k == k2 and a < b}
         kept = []
         for x in sorted({r for _, r in rows}):
             if not any((k, x) in share for k in kept):
                 kept.append(x)
-        dropped = {r["x"] for r in dedup.bucket_keep_first(places).collect()}
-        assert dropped == {r for _, r in rows} - set(kept)
+        for bound in (None, 5):
+            dropped = {r["x"] for r in dedup.bucket_keep_first(places, bound).collect()}
+            assert dropped == {r for _, r in rows} - set(kept)
