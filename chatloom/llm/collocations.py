@@ -58,7 +58,7 @@ class Mining:
     longest: int = 5
     top: int = 2000
     percent: int = 100
-    block_bytes: int = 12 << 20
+    block_bytes: int = 10 << 20
 
 
 def words_of(texts: Iterable[str | None]) -> tuple[pa.Array, np.ndarray]:
@@ -91,17 +91,34 @@ def whole(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64)
 
 
-def dealt(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Order of the keys by part, each key's place in that order, and where each part starts."""
-    order = np.argsort(part, kind="stable")
+def dealt(part: np.ndarray, parts: int, *inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order of the keys by part (and then by `inner`), each key's place in that order, and where each part starts."""
+    order = np.lexsort((*inner[::-1], part))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return order, place, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
 
 
-def relation(position: np.ndarray, code: np.ndarray) -> pa.Table:
-    """Occurrences in the order of their positions."""
-    return pa.table({"step": narrow(np.diff(position, prepend=0)), "code": narrow(code)})
+def relation(position: np.ndarray, code: np.ndarray, place: np.ndarray) -> pa.Table:
+    """Occurrences in the order of their positions, in one row of lists.
+
+    Codes are numbered by their frequency and split into bytes, which compress to about what they say;
+    `place` brings them back.
+    """
+    often = np.argsort(-np.bincount(code, minlength=len(place)), kind="stable")
+    rank = np.empty(len(place), np.int64)
+    rank[often] = np.arange(len(place))
+    code = rank[code]
+    lists = {"step": narrow(np.diff(position, prepend=0)), "place": narrow(place[often])}
+    lists |= {f"code{i}": pa.array(((code >> (8 * i)) & 255).astype(np.uint8)) for i in range(4)}
+    return pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in lists.items()})
+
+
+def occurrences(held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, codes) of a relation."""
+    lists = {name: held[name].combine_chunks().flatten().to_numpy().astype(np.int64) for name in held.column_names}
+    code = sum(lists[f"code{i}"] << (8 * i) for i in range(4))
+    return np.cumsum(lists["step"]), lists["place"][code]
 
 
 def keyed(starts: list[int], columns: dict[str, object]) -> Iterator[tuple[int, pa.Table]]:
@@ -137,7 +154,7 @@ def first_keys(block: pa.Table, parts: int) -> Iterator[tuple[int, pa.Table]]:
     word = pa.concat_arrays(words)
     part = np.array([zlib.crc32(w, zlib.crc32(o.encode("utf-8", "surrogatepass"))) % parts for w, o in zip(word.to_pylist(), owner)])
     order, place, starts = dealt(part, parts)
-    yield blocks.DOCS, relation(np.concatenate(positions), place[np.concatenate(codes)])
+    yield blocks.DOCS, relation(np.concatenate(positions), np.concatenate(codes), place)
     lang = pa.array(owner, pa.string()).take(pa.array(order)).dictionary_encode()
     yield from keyed(starts, {"lang": lang, "word": word.take(pa.array(order)), "n": narrow(np.concatenate(counts)[order])})
 
@@ -184,12 +201,12 @@ def next_keys(held: pa.Table, replies: list[pa.Table], parts: int) -> Iterator[t
         return
     code = np.concatenate([whole(t["code"]) for t in replies])
     ident = np.concatenate([whole(t["id"]) for t in replies])
-    own = whole(held["code"])
+    position, own = occurrences(held)
     dense = np.full(max(int(own.max(initial=0)), int(code.max())) + 1, -1, np.int64)
     dense[code] = np.arange(len(code))
     own = dense[own]
     kept = np.flatnonzero(own >= 0)
-    position, own = np.cumsum(whole(held["step"]))[kept], own[kept]
+    position, own = position[kept], own[kept]
     met = np.flatnonzero(position[1:] == position[:-1] + 1)
     if not len(met):
         return
@@ -197,8 +214,8 @@ def next_keys(held: pa.Table, replies: list[pa.Table], parts: int) -> Iterator[t
     first, rest = ident[pair // len(code)], ident[pair % len(code)]
     mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (rest.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     part = ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
-    order, place, starts = dealt(part, parts)
-    yield blocks.DOCS, relation(position[met], place[inverse])
+    order, place, starts = dealt(part, parts, first, rest)
+    yield blocks.DOCS, relation(position[met], inverse, place)
     yield from keyed(starts, {"first": narrow(first[order]), "rest": narrow(rest[order]), "n": narrow(count[order])})
 
 
