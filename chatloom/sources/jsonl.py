@@ -26,57 +26,75 @@ def _strict_json(text: Column) -> Column:
     return F.when((F.size(arr) == 1) & obj.isNotNull(), F.get(arr, 0))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of the text files with its 1-based line number: ``(file, line_no, value)``.
+def is_conversations(v: Column) -> Column:
+    """A record with ``conversations`` and without ``messages``."""
+    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
+    return has("conversations") & ~has("messages")
 
-    A line belongs to exactly one input split; its number is the count of lines in the
-    earlier splits of the same file (a table with one row per split) plus its index inside
-    the split. Only ids are saved, not lines: a scan of files reads the same splits each time.
-    """
-    from pyspark.sql import Window
 
-    tagged = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_id"), "value")
-    splits = saved(tagged.select("file", "_blk", "_id"), "line-ids").groupBy("file", "_blk").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("file", "_blk", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return tagged.join(offsets, ["file", "_blk"]).select(
-        "file", (F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
+def _has(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
-def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines → ``(file, line_no, line, value VARIANT)``; ``value`` NULL = bad JSON."""
-    lines = numbered_lines(spark, path)
-    raw = lines.select("file", "line_no", ustrip(F.regexp_replace("value", "^\ufeff", "")).alias("line"))
-    return raw.where(F.col("line") != "").select("file", "line_no", "line", _strict_json(F.col("line")).alias("value"))
+def _text(v: Column, key: str) -> Column:
+    """A text field; NULL where it is absent or of another type."""
+    is_text = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING"
+    return F.when(is_text, F.try_variant_get(v, f"$.{key}", "string"))
 
 
-def is_conversations(v: Column) -> Column:
-    """A record with ``conversations`` and without ``messages``."""
-    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
-    return has("conversations") & ~has("messages")
+def _flat_messages(v: Column) -> Column:
+    """Messages of a record of text fields (instruction, prompt or question records); NULL for others."""
+    extra = _text(v, "input")
+    instruction = F.when(ustrip(extra) != "", F.concat(_text(v, "instruction"), F.lit("\n\n"), extra)).otherwise(_text(v, "instruction"))
+    pairs = [("instruction", "output", instruction)] + [(a, b, _text(v, a)) for a, b in (("prompt", "response"), ("prompt", "completion"), ("question", "answer"))]
+    found = None
+    for asked, answer, user in pairs:
+        messages = F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), _text(v, answer).alias("content")))
+        here = _has(v, asked) & _has(v, answer)
+        found = F.when(here, messages) if found is None else found.when(here, messages)
+    return found
 
 
 def parse_record(v: Column) -> Column:
-    """:func:`parse_sample` of a record, whose ``conversations`` turns are read as messages first.
+    """:func:`parse_sample` of a record of any known shape (B3), read as messages first.
 
-    A conversations list without a list, or with a turn that lacks ``from`` or ``value``, is bad.
+    ``messages`` and ``conversations`` go before the flat shapes, which are told by their two fields in
+    the order instruction and output (with input, where not blank), prompt and response, prompt and
+    completion, question and answer. A conversations list without a list, or with a turn that lacks
+    ``from`` or ``value``, and a field that is no text, make a record bad.
     """
     turns = F.try_variant_get(v, "$.conversations", "array<variant>")
+    mapped = sharegpt_messages(F.transform(turns, lambda t: F.struct(_text(t, "from").alias("from"), _text(t, "value").alias("value"))))
+    listed = F.try_variant_get(v, "$.messages", "variant").try_cast("array<variant>").isNotNull()
+
+    def as_messages(messages):
+        return F.try_parse_json(F.to_json(F.struct(messages.alias("messages"))))
+
+    def shaped(flat):
+        shape = F.when(is_conversations(v), as_messages(mapped)).when(~listed & flat.isNotNull(), as_messages(flat)).otherwise(v)
+        return bind(shape, parse_sample)
 
-    def text(t, key):  # of another type: bad, like an absent one
-        is_text = F.schema_of_variant(F.try_variant_get(t, f"$.{key}", "variant")) == "STRING"
-        return F.when(is_text, F.try_variant_get(t, f"$.{key}", "string"))
+    return bind(_flat_messages(v), shaped)
 
-    mapped = sharegpt_messages(F.transform(turns, lambda t: F.struct(text(t, "from").alias("from"), text(t, "value").alias("value"))))
-    as_messages = F.try_parse_json(F.to_json(F.struct(mapped.alias("messages"))))
-    return bind(F.when(is_conversations(v), as_messages).otherwise(v), parse_sample)
 
+def _parsed(rows: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
+    """``keys`` and ``(blank, is_json, other, reason, id, messages, snippet)`` of texts, each parsed once; saved.
 
-def require_one_format(values: DataFrame) -> None:
-    """Raise when some records hold conversations and others messages."""
-    row = values.agg(F.count_if(is_conversations(F.col("value"))).alias("c"), F.count("*").alias("n")).first()
+    ``other``: a conversations record; ``reason`` is NULL for a good record.
+    """
+    staged = rows.select(*keys, F.col(text).alias("_t")).withColumn("_v", F.when(F.col("_t") != "", _strict_json(F.col("_t"))))
+    staged = staged.withColumn("_s", F.when(F.col("_v").isNotNull(), parse_record(F.col("_v"))))
+    is_json = F.col("_v").isNotNull()
+    bad = ~is_json | F.col("_s.reason").isNotNull()
+    return saved(staged.select(
+        *keys, (F.col("_t") == "").alias("blank"), is_json.alias("is_json"), F.coalesce(is_conversations(F.col("_v")), F.lit(False)).alias("other"),
+        F.when(~is_json, F.lit("invalid_json")).otherwise(F.col("_s.reason")).alias("reason"), F.col("_s.id").alias("id"),
+        F.col("_s.messages").alias("messages"), F.when(bad, F.substring("_t", 1, 200)).alias("snippet")), name)
+
+
+def require_one_format(parsed: DataFrame) -> None:
+    """Raise when some parsed records hold conversations and others do not."""
+    row = parsed.where("is_json").agg(F.count_if("other").alias("c"), F.count("*").alias("n")).first()
     if 0 < row["c"] < row["n"]:
         raise ValueError(MESSAGE_TEXT["mixed_format"])
 
@@ -92,28 +110,37 @@ def load_dataset(spark: SparkSession, path: str, one_format: bool = True) -> tup
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True, one_format: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A1: golden samples from JSONL files (messages or conversations records) → ``(samples, rejects)``.
+    """A1: golden samples from JSONL files (records of any shape of :func:`parse_record`) → ``(samples, rejects)``.
 
     ``samples``: ``(ord, file, line_no, id, messages)`` with ``ord`` the position in (file,
     line) order. ``rejects``: ``(file, line_no, reason, snippet)`` for bad JSON and bad shape. ``strict=True`` raises on the first reject and
     on an empty result (one small job each), as the single-file loader does.
+
+    Files are read and parsed once. A line belongs to one input split; its number is the count of
+    lines in the earlier splits of its file (a table with one row per split) plus its index inside the split.
     """
+    from pyspark.sql import Window
+
     from chatloom.operators.positions import dense_positions_by
 
-    lines = read_jsonl_lines(spark, path)
-    parsed = lines.withColumn("s", F.when(F.col("value").isNotNull(), parse_record(F.col("value"))))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_id"), ustrip(F.regexp_replace("value", "^\ufeff", "")).alias("line"))
+    parsed = _parsed(lines, ["file", "_blk", "_id"], "line", "jsonl-parsed")
+    splits = parsed.groupBy("file", "_blk").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "_blk", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    records = parsed.where("NOT blank").join(offsets, ["file", "_blk"]).withColumn("line_no", F.col("_off") + F.col("_id") - F.col("_first") + 1)
     if one_format:
-        require_one_format(parsed.where(F.col("value").isNotNull()).select("value"))
-    reason = F.when(F.col("value").isNull(), F.lit("invalid_json")).otherwise(F.col("s.reason"))
-    rejects = parsed.where(reason.isNotNull()).select("file", "line_no", reason.alias("reason"),
-                                                      F.substring("line", 1, 200).alias("snippet"))
-    good = parsed.where(reason.isNull()).select("file", "line_no", F.col("s.id").alias("id"), F.col("s.messages").alias("messages"))
+        require_one_format(parsed.where("NOT blank"))
+    rejects = records.where("reason IS NOT NULL").select("file", "line_no", "reason", "snippet")
+    good = records.where("reason IS NULL").select("file", "line_no", "id", "messages")
     samples = dense_positions_by(good, ["file", "line_no"], "ord").select("ord", "file", "line_no", "id", "messages")
     if strict:
         bad = rejects.orderBy("file", "line_no").first()
         if bad is not None:
             raise ValueError(f"{bad['file']}:{bad['line_no']}: {bad['reason']}: {bad['snippet']!r}")
-        if samples.isEmpty():
+        if parsed.where("NOT blank").isEmpty():
             raise ValueError(f"Dataset is empty: {path}")
     return samples, rejects
 
@@ -121,33 +148,30 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = True, one_format:
 def read_json_array(spark: SparkSession, path: str, strict: bool = True, one_format: bool = False) -> tuple[DataFrame, DataFrame]:
     """A2: each file is one JSON array of records → ``(samples, rejects)``; ``ord`` is the position in (file, item) order.
 
-    A file is one row (``wholetext``), so one file is parsed by one task; many files
-    spread over the cluster.
+    A file is cut into its items by as many tasks as it has input splits
+    (:func:`~chatloom.sources.json_items.array_items`), and every item is parsed once. A file is
+    rejected whole (position -1) when it is no array or when one of its items is no JSON.
     """
     from chatloom.operators.positions import dense_positions_by
-
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), ustrip(F.regexp_replace("value", "^\ufeff", "")).alias("text"))
-    v = _strict_json(F.col("text"))
-    arr = v.try_cast("array<variant>")
-    staged = files.select("file", v.alias("v"), arr.alias("arr"))
-    file_rejects = staged.where(F.col("arr").isNull()).select(
-        "file", F.lit(-1).cast("long").alias("pos"),
-        F.when(F.col("v").isNull(), F.lit("invalid_json")).otherwise(F.lit("not_array")).alias("reason"))
-    items = (staged.where(F.col("arr").isNotNull()).select("file", F.posexplode_outer("arr").alias("pos", "item"))
-             .where(F.col("pos").isNotNull()).withColumn("s", parse_record(F.col("item"))))
+    from chatloom.sources.json_items import array_items
+
+    items, broken = array_items(spark, path)
+    parsed = _parsed(items.withColumn("text", F.trim("text")), ["file", "pos", "is_array"], "text", "json-parsed")
+    bad = parsed.where("NOT is_json").select("file").unionByName(broken).distinct().withColumn("reason", F.lit("invalid_json"))
+    others = parsed.where("is_json AND NOT is_array").select("file", F.lit("not_array").alias("reason"))
+    bad_files = saved(bad.unionByName(others), "json-bad-files")
+    whole = parsed.join(bad_files.select("file").distinct(), "file", "left_anti")
     if one_format:
-        require_one_format(items.select(F.col("item").alias("value")))
-    item_rejects = items.where(F.col("s.reason").isNotNull()).select("file", F.col("pos").cast("long"), F.col("s.reason").alias("reason"))
-    rejects = file_rejects.unionByName(item_rejects)
-    samples = items.where(F.col("s.reason").isNull()).select(
-        "file", F.col("pos").cast("long").alias("pos"), F.col("s.id").alias("id"), F.col("s.messages").alias("messages"))
-    samples = dense_positions_by(samples, ["file", "pos"], "ord")
+        require_one_format(whole)
+    reason = F.when(F.array_contains("r", "invalid_json"), F.lit("invalid_json")).otherwise(F.lit("not_array"))
+    file_rejects = bad_files.groupBy("file").agg(F.collect_set("reason").alias("r")).select("file", F.lit(-1).cast("long").alias("pos"), reason.alias("reason"))
+    rejects = file_rejects.unionByName(whole.where("reason IS NOT NULL").select("file", "pos", "reason"))
+    samples = dense_positions_by(whole.where("reason IS NULL").select("file", "pos", "id", "messages"), ["file", "pos"], "ord")
     if strict:
-        bad = rejects.first()
+        bad = rejects.orderBy("file", "pos").first()
         if bad is not None:
             raise ValueError(f"{bad['file']}: {bad['reason']} (item {bad['pos']})")
-        if samples.isEmpty():
+        if parsed.isEmpty():
             raise ValueError(f"Dataset is empty: {path}")
     return samples, rejects
 
