@@ -180,17 +180,47 @@ def per_row(units: DataFrame) -> DataFrame:
     return row.withColumn("copies", F.floor(F.col("copies") / F.col("rows")) + (F.col("row") <= F.col("copies") % F.col("rows")).cast("long")).drop("row", "rows")
 
 
+#: Rows of a unit that are numbered in one piece, about.
+UNIT_BUCKET = 65_536
+
+
+def _shares(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` of units with several rows, once per different row, with `_times`, the copies of all its repeats.
+
+    The rows of a unit stand in the order of a hash of all their columns, in buckets; the unit's copies are
+    dealt over these places as by :func:`per_row`, so they depend on nothing but the rows.
+    """
+    unit = ["_s", "_d", "_n"]
+    once = rows.groupBy(*columns, *unit, "_copies", "_rows").agg(F.count(F.lit(1)).alias("_c"))
+    once = once.withColumn("_h", F.xxhash64(*columns)).withColumn("_b", F.pmod(F.xxhash64("_h"), F.ceil(F.col("_rows") / UNIT_BUCKET)))
+    once = save(once, "mix-repeats")
+    buckets = once.groupBy(*unit, "_b").agg(F.sum("_c").alias("_size"))
+    before = Window.partitionBy(*unit).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = buckets.select(*[F.col(c).alias(f"{c}2") for c in (*unit, "_b")], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*unit, "_b").orderBy("_h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = once.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in (*unit, "_b")]
+    placed = placed.join(offsets, reduce(lambda x, y: x & y, same)).withColumn("_at", F.col("_off") + F.col("_in"))
+    more = F.least(F.col("_at") + F.col("_c"), F.col("_copies") % F.col("_rows")) - F.col("_at")
+    times = F.col("_c") * F.floor(F.col("_copies") / F.col("_rows")) + F.greatest(F.lit(0), more)
+    return placed.select(*columns, times.cast("int").alias("_times"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as it is taken; same columns.
 
-    Rows that share source, id and size get their unit's mean number of copies, rounded by a hash of the row.
+    Rows that share source, id and size share their unit's copies in the order of a hash of the row;
+    nothing depends on how the rows are partitioned.
     """
     docs, names = shelter(docs, "doc_id", "text", "source")
     chosen = save(mix(docs, **options), "mix-copies").select(
-        F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_n"), (F.col("copies") / F.col("rows")).alias("_mean"))
+        F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_n"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
     sized = docs.withColumn("_words", n_words())
     same = sized["source"].eqNullSafe(chosen["_s"]) & sized["doc_id"].eqNullSafe(chosen["_d"]) & (sized["_words"] == chosen["_n"])
-    times = F.floor(F.col("_mean") + uniform(F.monotonically_increasing_id())).cast("int")
     # the copies grow with the documents: they are joined by a merge at every size
-    return sized.join(chosen.hint("merge"), same).withColumn("_times", times).where("_times > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns).toDF(*names)
+    met = sized.join(chosen.hint("merge"), same)
+    if chosen.where("_rows > 1").isEmpty():
+        taken = met.select(*docs.columns, F.col("_copies").cast("int").alias("_times"))
+    else:
+        taken = met.where("_rows = 1").select(*docs.columns, F.col("_copies").cast("int").alias("_times")).unionByName(_shares(met.where("_rows > 1"), docs.columns))
+    return taken.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns).toDF(*names)

@@ -95,3 +95,21 @@ def test_small_tables(spark, rows):
     assert mixing.mix_documents(frame).columns == frame.columns
     if rows[:1] == [(1, "x y", "a")]:
         assert sum(r.copies for r in got) in (10, 11)
+
+
+def test_mixed_documents_depend_on_the_rows_alone(spark, monkeypatch):
+    """Rows without an id and of equal size share their unit's copies, however they are partitioned."""
+    rows = [(None, f"word{i % 90} one two", "a") for i in range(400)] + [(i, "some other words", "b") for i in range(50)]
+    table = docs(spark, rows)
+    want = Counter()
+    for r in mixing.per_row(mixing.mix(table)).collect():
+        want[r.doc_id] += r.copies
+    seen = []
+    for parts, bucket in ((1, 1 << 16), (3, 1 << 16), (7, 1 << 16), (3, 20)):
+        monkeypatch.setattr(mixing, "UNIT_BUCKET", bucket)
+        seen.append(Counter((r.doc_id, r.text) for r in mixing.mix_documents(table.repartition(parts)).collect()))
+        got = Counter()
+        for (doc_id, _), n in seen[-1].items():
+            got[doc_id] += n
+        assert got == +want
+    assert seen[0] == seen[1] == seen[2]

@@ -92,7 +92,7 @@ def test_little_to_keep(spark, tmp_dir, rows):
 def test_rows_without_an_id(spark):
     text = " ".join(f"w{i}" for i in range(80))
     out = cp.near_duplicates(spark, docs(spark, [(None, text), (None, text), (None, "other " + text[::-1]), (5, text), (5, text)]), "")
-    assert Counter(r.doc_id for r in out.collect()) == {None: 2, 5: 1}
+    assert Counter(r.doc_id for r in out.collect()) == {None: 1, 5: 1}
 
 
 def test_rows_without_a_text_stay_whole(spark):
@@ -100,3 +100,13 @@ def test_rows_without_a_text_stay_whole(spark):
     out = cp.near_duplicates(spark, docs(spark, [(1, None, "a"), (2, None, "b"), (2, text, "c"), (3, "other " + text[::-1], "d")]), "").collect()
     assert all(r.source and r.lang == "en" and r.digest == "d" for r in out)
     assert {(2, "c"), (3, "d")} <= {(r.doc_id, r.source) for r in out} and 1 in {r.doc_id for r in out}
+
+
+def test_unlike_rows_of_one_id_stay_and_like_rows_without_one_go(spark):
+    words = [f"w{i}" for i in range(81)]
+    near = " ".join(words[:80] + ["x"])
+    rows = [(1, " ".join(f"a{i}" for i in range(80))), (1, " ".join(f"b{i}" for i in range(80))), (None, " ".join(words)), (None, near),
+            (7, ""), (7, ""), (8, None), (8, None), (None, "")]
+    out = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs(spark, rows), "").collect())
+    like = {(None, " ".join(words)), (None, near)}
+    assert sum(out[k] for k in like) == 1 and out - Counter(like) == Counter(r for r in rows if r not in like)
