@@ -4,8 +4,8 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame``. Its rows are written as Pa
 back as the next stage's ``docs``; all stages but the last return the columns of ``documents``.
 
 1. quality_rules: failing lines go, and documents that fail the document rules or lose too much.
-2. near_duplicates: of each group of documents linked by 5-gram Jaccard, the one with the
-   smallest id stays (of rows that share it, one).
+2. near_duplicates: of each group of rows linked by 5-gram Jaccard, the one with the smallest
+   id stays (rows without an id come last); unlike rows of one id all stay.
 3. substring_dedup: passages that repeat across documents stay in the first one only.
 4. mixing: each document as often as the mix takes it.
 5. sentencepiece: ids and decoded text of every document of the mix.
@@ -27,14 +27,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, names = shelter(docs, "doc_id", "text")
-    first = ngram_join.similar_components(own).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    others = [c for c in own.columns if c != "doc_id"]
-    # min_by ignores rows whose order is null, a struct never is
-    order = F.struct(F.col("text").isNull().alias("none"), "text")
-    one = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*others), order).alias("_row")).select("doc_id", "_row.*")
-    kept = one.join(first.hint("merge"), "doc_id", "left_semi").select(*own.columns)
-    # rows without an id are told apart by their texts alone
-    return kept.unionByName(own.where("doc_id IS NULL").dropDuplicates(["text"])).toDF(*names)
+    # every (id, text) is a document of its own: rows that share an id, or have none, are linked by their texts alone
+    keyed = own.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = ngram_join.similar_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    group = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"), F.max("n_shingles").alias("_n"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"))
+    member = ids.join(group.hint("merge"), "_key")
+    first = member.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_n")).alias("_f"))
+    kept = keyed.join(first.select("_f._key", "_f._n").hint("merge"), "_key")
+    # repeats of a kept row go, but for rows without words, which are linked with nothing
+    kept = kept.withColumn("_own", F.when(F.col("_n") == 0, F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_key", "doc_id", "text", "_own"]).select(*own.columns).toDF(*names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
