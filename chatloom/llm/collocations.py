@@ -5,10 +5,11 @@ position in blocks of documents; a document lies in one block, so a piece does t
 a piece ends. One turn of the mining
 
 1. merge-joins the relation with itself at adjacent positions of a piece, which gives the candidate
-   occurrences of k + 1 words (both halves of k words are frequent), and saves them sorted;
+   occurrences of k + 1 words (both halves of k words are frequent);
 2. group-counts the candidates: distinct ones of a block are counted there, their sums are taken in the key
    range that their hash names, and each frequent one gets a number;
-3. semi-joins the occurrences with the numbers that came back before the next turn extends them.
+3. semi-joins the candidate occurrences with the numbers that came back and saves them sorted, before the
+   next turn extends them.
 
 Words are told apart by their bytes and phrases by the numbers of their two halves, so nothing rests on a
 hash. Counts of all prefixes and suffixes then follow by joins of the narrow phrase tables, and scores in
@@ -99,26 +100,24 @@ def dealt(part: np.ndarray, parts: int, *inner: np.ndarray) -> tuple[np.ndarray,
     return order, place, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
 
 
-def relation(position: np.ndarray, code: np.ndarray, place: np.ndarray) -> pa.Table:
-    """Occurrences in the order of their positions, in one row of lists.
+def relation(position: np.ndarray, code: np.ndarray, ident: np.ndarray) -> pa.Table:
+    """Occurrences in the order of their positions and what their codes stand for, in one row of lists.
 
-    Codes are numbered by their frequency and split into bytes, which compress to about what they say;
-    `place` brings them back.
+    Codes are numbered by their frequency and split into bytes, which compress to about what they say.
     """
-    often = np.argsort(-np.bincount(code, minlength=len(place)), kind="stable")
-    rank = np.empty(len(place), np.int64)
-    rank[often] = np.arange(len(place))
+    often = np.argsort(-np.bincount(code, minlength=len(ident)), kind="stable")
+    rank = np.empty(len(ident), np.int64)
+    rank[often] = np.arange(len(ident))
     code = rank[code]
-    lists = {"step": narrow(np.diff(position, prepend=0)), "place": narrow(place[often])}
+    lists = {"step": narrow(np.diff(position, prepend=0)), "ident": narrow(ident[often])}
     lists |= {f"code{i}": pa.array(((code >> (8 * i)) & 255).astype(np.uint8)) for i in range(4)}
     return pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in lists.items()})
 
 
-def occurrences(held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, codes) of a relation."""
+def occurrences(held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, codes, what each code stands for) of a relation."""
     lists = {name: held[name].combine_chunks().flatten().to_numpy().astype(np.int64) for name in held.column_names}
-    code = sum(lists[f"code{i}"] << (8 * i) for i in range(4))
-    return np.cumsum(lists["step"]), lists["place"][code]
+    return np.cumsum(lists["step"]), sum(lists[f"code{i}"] << (8 * i) for i in range(4)), lists["ident"]
 
 
 def keyed(starts: list[int], columns: dict[str, object]) -> Iterator[tuple[int, pa.Table]]:
@@ -195,28 +194,41 @@ def first_counts(asked: list[tuple[str, pa.Table]], p: Mining, part: int, parts:
         yield block, part, table
 
 
-def next_keys(held: pa.Table, replies: list[pa.Table], parts: int) -> Iterator[tuple[int, pa.Table]]:
-    """Semi-join of a block's occurrences with the frequent phrases, then the merge-join of adjacent ones: candidates of one word more, and the distinct ones by part."""
-    if not replies:
-        return
-    code = np.concatenate([whole(t["code"]) for t in replies])
-    ident = np.concatenate([whole(t["id"]) for t in replies])
-    position, own = occurrences(held)
-    dense = np.full(max(int(own.max(initial=0)), int(code.max())) + 1, -1, np.int64)
-    dense[code] = np.arange(len(code))
-    own = dense[own]
-    kept = np.flatnonzero(own >= 0)
-    position, own = position[kept], own[kept]
+def candidates(held: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, list[int], dict[str, pa.Array]]:
+    """Merge-join of a block's occurrences at adjacent positions: candidates of one word more.
+
+    Their positions and codes, and the distinct ones (the codes' order) as key columns with the start of each part.
+    """
+    position, own, ident = occurrences(held)
     met = np.flatnonzero(position[1:] == position[:-1] + 1)
-    if not len(met):
-        return
-    pair, inverse, count = np.unique(own[met] * len(code) + own[met + 1], return_inverse=True, return_counts=True)
-    first, rest = ident[pair // len(code)], ident[pair % len(code)]
+    pair, inverse, count = np.unique(own[met] * len(ident) + own[met + 1], return_inverse=True, return_counts=True)
+    first, rest = ident[pair // len(ident)], ident[pair % len(ident)]
     mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (rest.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     part = ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
     order, place, starts = dealt(part, parts, first, rest)
-    yield blocks.DOCS, relation(position[met], inverse, place)
-    yield from keyed(starts, {"first": narrow(first[order]), "rest": narrow(rest[order]), "n": narrow(count[order])})
+    return position[met], place[inverse], starts, {"first": narrow(first[order]), "rest": narrow(rest[order]), "n": narrow(count[order])}
+
+
+def next_keys(held: pa.Table, parts: int) -> Iterator[tuple[int, pa.Table]]:
+    """The distinct candidates of a block by part."""
+    _, _, starts, columns = candidates(held, parts)
+    yield from keyed(starts, columns)
+
+
+def frequent(position: np.ndarray, code: np.ndarray, replies: list[pa.Table]) -> pa.Table | None:
+    """Semi-join of a block's occurrences with the frequent phrases; those with one next to them, None without any."""
+    if not replies:
+        return None
+    known = np.concatenate([whole(t["code"]) for t in replies])
+    ident = np.concatenate([whole(t["id"]) for t in replies])
+    dense = np.full(max(int(code.max(initial=0)), int(known.max())) + 1, -1, np.int64)
+    dense[known] = np.arange(len(known))
+    own = dense[code]
+    kept = np.flatnonzero(own >= 0)
+    position, own = position[kept], own[kept]
+    after = np.diff(position) == 1
+    near = np.append(after, False) | np.append(False, after) if len(own) else np.zeros(0, bool)
+    return relation(position[near], own[near], ident) if near.any() else None
 
 
 def next_counts(asked: list[tuple[str, pa.Table]], p: Mining, part: int, parts: int):
@@ -267,13 +279,22 @@ def frequent_phrases(docs: DataFrame, p: Mining = Mining()) -> tuple[DataFrame,
     text = F.col("word").cast("string")
     levels = [words.where("id IS NOT NULL").select("id", "lang", text.alias("phrase"), text.alias("last"), "a", F.array("a").alias("pre"), F.array("a").alias("suf"))]
 
-    def extend(block: str, held: pa.Table, replies: list[pa.Table]) -> pa.Table:
-        return pa.Table.from_batches([blocks.rows((block, part, blocks.to_blob(t)) for part, t in next_keys(held, replies, parts))])
+    def extend(words: int):
+        def run(block: str, held: pa.Table, replies: list[pa.Table]) -> pa.Table:
+            if words > 1:
+                position, code, _, _ = candidates(held, parts)
+            else:  # words are named by their place among the block's keys
+                position, rank, place = occurrences(held)
+                code = place[rank]
+            kept = frequent(position, code, replies)
+            return pa.Table.from_batches([blocks.rows([] if kept is None else [(block, blocks.DOCS, blocks.to_blob(kept))])])
+
+        return run
 
     for k in range(2, p.longest + 1):
-        longer = save(blocks.finish(packed, answers.where(F.col("part") != FOUND), extend, blocks.ROWS, named=True), f"setm-{k}")
+        longer = save(blocks.finish(packed, answers.where(F.col("part") != FOUND), extend(k - 1), blocks.ROWS, named=True), f"setm-{k}")
         release(packed, answers)
-        packed, answers = longer, _count(longer, next_counts, p, parts, f"setm-count-{k}")
+        packed, answers = longer, _count(blocks.ask(longer, lambda held: next_keys(held, parts)), next_counts, p, parts, f"setm-count-{k}")
         found = _found(answers, "id long, first long, rest long, a long")
         before = levels[-1]
         head = before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("head"), "pre")
