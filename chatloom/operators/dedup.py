@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chatloom.functions import canonical_text
 from chatloom.operators.components import connected_components
 from chatloom.operators.keep_first import stream_bucket_keep_first, stream_keep_first
-from chatloom.session import saved
+from chatloom.session import saved, saved_counted
 
 
 def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
@@ -408,13 +408,19 @@ def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text
 
 
 def dedup_and_filter(samples: DataFrame, similarity_threshold: float = 0.85, min_assistant_chars: int = 50,
-                     mode: str = "exact") -> DataFrame:
-    """Length filter, then near-duplicate removal (``mode='exact_text'`` = exact dedup only)."""
+                     mode: str = "exact") -> tuple[DataFrame, dict[str, int]]:
+    """Length filter, then near-duplicate removal (``mode='exact_text'`` = exact dedup only), both saved.
+
+    Returns the samples and the counts ``before``, ``filtered`` and ``after``, observed as the stages
+    are written; the input is evaluated once.
+    """
     from chatloom.operators.validate import min_answer_filter
 
     if not (0.0 < similarity_threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {similarity_threshold!r}")
-    filtered = min_answer_filter(samples, min_assistant_chars)
-    if mode == "exact_text":
-        return exact_dedup(filtered)
-    return near_dedup(filtered, similarity_threshold, mode)
+    seen = Observation()
+    observed = samples.observe(seen, F.count(F.lit(1)).alias("n"))
+    filtered, n_filtered = saved_counted(min_answer_filter(observed, min_assistant_chars), "filtered")
+    kept = exact_dedup(filtered) if mode == "exact_text" else near_dedup(filtered, similarity_threshold, mode)
+    kept, n_kept = saved_counted(kept, "deduped")
+    return kept, {"before": int(seen.get["n"]), "filtered": n_filtered, "after": n_kept}

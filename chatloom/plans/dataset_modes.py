@@ -2,7 +2,7 @@
 
 Each mode returns ``(dataset, funnel)``: the final samples with ids and a small
 ``(stage_no, stage, n)`` table. Every stage is saved once in the shared folder; the next stage
-and the counts read it there, so no stage and no model call runs twice. An empty result is an
+reads it there, and its rows are counted as they are written, so no stage and no model call runs twice. An empty result is an
 error (``allow_empty=False``), and ``sink`` writes the golden JSONL.
 """
 
@@ -15,43 +15,33 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import chunking, convert, dedup, inference, judge, positions, prompts, replies, validate
 from chatloom.schema import MESSAGE_TEXT
-from chatloom.session import saved
+from chatloom.session import saved, saved_counted
 from chatloom.sources.jsonl import write_jsonl
 
 
-def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """One ``count`` aggregate per stage, unioned into a tiny table; stages should be saved tables."""
-    out = None
-    for i, (name, df) in enumerate(stages):
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+def funnel(spark: SparkSession, stages: list[tuple[str, int]]) -> DataFrame:
+    """The stages' counts as a small table; they were observed as the stages were written."""
+    return spark.createDataFrame([(i, name, n) for i, (name, n) in enumerate(stages)], "stage_no int, stage string, n long")
 
 
-def require_nonempty(dataset: DataFrame, funnel_df: DataFrame) -> None:
-    if dataset.isEmpty():
-        counts = ", ".join(f"{r['stage']}={r['n']}" for r in funnel_df.orderBy("stage_no").collect())
-        raise RuntimeError(f"{MESSAGE_TEXT['empty_dataset']} ({counts})")
-
-
-def _finish(samples: DataFrame, stages: list[tuple[str, DataFrame]], sink: str | None, allow_empty: bool) -> tuple[DataFrame, DataFrame]:
-    repaired = saved(validate.validate_and_repair(samples, keep_id=False), "mode-validated")
+def _finish(samples: DataFrame, stages: list[tuple[str, int]], sink: str | None, allow_empty: bool) -> tuple[DataFrame, DataFrame]:
+    repaired, n = saved_counted(validate.validate_and_repair(samples, keep_id=False), "mode-validated")
+    stages = stages + [("validated", n)]
+    if not n and not allow_empty:
+        raise RuntimeError(f"{MESSAGE_TEXT['empty_dataset']} ({', '.join(f'{stage}={count}' for stage, count in stages)})")
     final = positions.assign_ids(repaired).drop("pos")
-    counts = funnel(stages + [("validated", repaired)])
-    if not allow_empty:
-        require_nonempty(repaired, counts)
     if sink:
         write_jsonl(final, sink)
-    return final, counts
+    return final, funnel(samples.sparkSession, stages)
 
 
-def _filter_dedup_gate(acquired: DataFrame, gate: Callable[[DataFrame], DataFrame], similarity: float, min_assistant_chars: int,
-                       sink: str | None, allow_empty: bool) -> tuple[DataFrame, DataFrame]:
-    acquired = saved(acquired, "mode-acquired")
-    filtered = saved(validate.min_answer_filter(acquired, min_assistant_chars), "mode-filtered")
-    deduped = saved(dedup.near_dedup(filtered, similarity), "mode-deduped")
-    gated = saved(gate(deduped), "mode-gated")
-    stages = [("acquired", acquired), ("length_filter", filtered), ("dedup", deduped), ("quality_gate", gated)]
+def filter_dedup_gate(acquired: DataFrame, gate: Callable[[DataFrame], DataFrame], similarity: float = 0.85, min_assistant_chars: int = 50,
+                      sink: str | None = None, allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Length filter, near dedup, ``gate`` and repair of acquired samples; each stage runs once and is counted as it is written."""
+    acquired, n_acquired = saved_counted(acquired, "mode-acquired")
+    deduped, counts = dedup.dedup_and_filter(acquired, similarity, min_assistant_chars)
+    gated, n_gated = saved_counted(gate(deduped), "mode-gated")
+    stages = [("acquired", n_acquired), ("length_filter", counts["filtered"]), ("dedup", counts["after"]), ("quality_gate", n_gated)]
     return _finish(gated, stages, sink, allow_empty)
 
 
@@ -90,7 +80,7 @@ def generate_mode(stored_replies: DataFrame, num_samples: int | None, judge_repl
             return _judged(samples, prompts.judge_requests(samples, scale), judge_model, min_score, scale)
         return samples if judge_replies is None else judge.quality_gate(samples, judge_replies, min_score, scale)[0].drop("score")
 
-    return _filter_dedup_gate(acquired, gate, similarity, min_assistant_chars, sink, allow_empty)
+    return filter_dedup_gate(acquired, gate, similarity, min_assistant_chars, sink, allow_empty)
 
 
 def structure_mode(raw_texts: DataFrame, model: Callable[..., str], num_samples: int = 50, judge_replies: DataFrame | None = None,
@@ -123,23 +113,23 @@ def structure_mode(raw_texts: DataFrame, model: Callable[..., str], num_samples:
         named = kept.join(origin.select("ord", "doc_id"), "ord")
         return judge.quality_gate(named, judge_replies, min_score, scale, key="doc_id")[0].select("ord", "id", "messages")
 
-    return _filter_dedup_gate(acquired.select("ord", "id", "messages"), gate, similarity, min_assistant_chars, sink, allow_empty)
+    return filter_dedup_gate(acquired.select("ord", "id", "messages"), gate, similarity, min_assistant_chars, sink, allow_empty)
 
 
 def bring_your_own_mode(records: DataFrame, max_samples: int | None = None, sink: str | None = None,
                         allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """Foreign records (with ``ord``) → golden messages → repair → ids; no dedup, no gate.
     Unrecognized records are skipped (the funnel counts both); records that give nothing are an error."""
-    conv = saved(convert.convert_records(records, max_samples), "mode-converted")
+    conv, n = saved_counted(convert.convert_records(records, max_samples), "mode-converted", converted=F.count("messages"))
+    if not allow_empty and not n["converted"]:
+        raise RuntimeError(f"no record of {n['n']} could be converted")
     acquired = conv.where(F.col("messages").isNotNull()).select("ord", F.lit("").alias("id"), "messages")
-    if not allow_empty and acquired.isEmpty():
-        raise RuntimeError(f"no record of {conv.count()} could be converted")
-    return _finish(acquired, [("records", conv), ("converted", acquired)], sink, allow_empty)
+    return _finish(acquired, [("records", n["n"]), ("converted", n["converted"])], sink, allow_empty)
 
 
 def bring_your_own_files(spark: SparkSession, path: str, sink: str | None = None, allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """P3 from files: ``.jsonl`` or ``.json``, messages or conversations records."""
+    """P3 from files: ``.jsonl`` or ``.json``, records of any known shape."""
     from chatloom.sources.jsonl import load_dataset
 
-    samples = saved(load_dataset(spark, path)[0], "mode-loaded")
-    return _finish(samples.select("ord", "id", "messages"), [("loaded", samples)], sink, allow_empty)
+    samples, n = saved_counted(load_dataset(spark, path)[0], "mode-loaded")
+    return _finish(samples.select("ord", "id", "messages"), [("loaded", n)], sink, allow_empty)

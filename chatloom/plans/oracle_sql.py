@@ -743,8 +743,9 @@ SELECT CASE conv_id % 9 WHEN 5 THEN 'messages_not_list' WHEN 6 THEN 'messages_em
 FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 9 IN (3, 4, 5, 6) GROUP BY 1""")
 
 ORACLES["read_jsonl"] = q(f"""
-WITH {ORIG}
-SELECT CASE WHEN c % 4 = 2 THEN '' ELSE 'conv-' || c END AS id, n AS n_messages, canon_md5 FROM orig""")
+WITH {ORIG},
+flat AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) = 2 AND arg_min(role, turn) = 'user' AND arg_max(role, turn) = 'assistant' AND conv_id % 3 <> 0)
+SELECT CASE WHEN c % 4 = 2 OR c IN (SELECT conv_id FROM flat) THEN '' ELSE 'conv-' || c END AS id, n AS n_messages, canon_md5 FROM orig""")
 
 ORACLES["read_json_array"] = ORACLES["read_jsonl"]
 

@@ -158,7 +158,7 @@ def q_near_dedup_lsh(spark, sf):
 
 @query("dedup_and_filter")
 def q_dedup_and_filter(spark, sf):
-    return dedup.dedup_and_filter(derived.document_samples(spark, sf)).select("ord")
+    return dedup.dedup_and_filter(derived.document_samples(spark, sf))[0].select("ord")
 
 
 # --- replies (E1-E7) -----------------------------------------------------------
@@ -521,13 +521,20 @@ def _clean_lines(spark, sf):
 
 
 def _mixed_lines(spark, sf):
-    """Lines of both record shapes: every fourth conversation as ``conversations`` turns."""
+    """Lines of all record shapes: some conversations as ``conversations`` turns, some of one question and answer as flat fields."""
     s = derived.samples(spark, sf)
     name = F.create_map(*[F.lit(x) for x in ("user", "Human", "assistant", "gpt", "system", "system")])
     turns = F.transform("messages", lambda m: F.struct(name[m["role"]].alias("from"), m["content"].alias("value")))
     other = F.to_json(F.struct(turns.alias("conversations")))
-    return _clean_lines(spark, sf).join(s.select("ord", other.alias("other")), "ord").select(
-        "ord", F.when(F.col("ord") % 4 == 2, F.col("other")).otherwise(F.col("line")).alias("line"))
+    pair = (F.size("messages") == 2) & (F.get("messages", 0)["role"] == "user") & (F.get("messages", 1)["role"] == "assistant")
+
+    def flat(ask: str, answer: str):
+        return F.to_json(F.struct(F.get("messages", 0)["content"].alias(ask), F.get("messages", 1)["content"].alias(answer)))
+
+    fields = [("instruction", "output"), ("prompt", "response"), ("prompt", "completion"), ("question", "answer")]
+    shapes = F.element_at(F.array(*[flat(*f) for f in fields]), (F.col("ord") % 4 + 1).cast("int"))
+    return _clean_lines(spark, sf).join(s.select("ord", other.alias("other"), F.when(pair, shapes).alias("flat")), "ord").select(
+        "ord", F.when(F.col("flat").isNotNull() & (F.col("ord") % 3 != 0), F.col("flat")).when(F.col("ord") % 4 == 2, F.col("other")).otherwise(F.col("line")).alias("line"))
 
 
 @query("read_jsonl")
@@ -633,13 +640,9 @@ def _funnel_out(f):
 @query("stage_funnel")
 def q_stage_funnel(spark, sf):
     """Document samples through length filter, near dedup, judge gate and repair."""
-    s = derived.document_samples(spark, sf)
-    filtered = validate.min_answer_filter(s)
-    deduped = dedup.near_dedup(filtered, 0.85)
-    gated, _ = judge.quality_gate(deduped, derived.judge_replies(spark, sf))
-    repaired = validate.validate_and_repair(gated.drop("score"))
-    return _funnel_out(dataset_modes.funnel([("acquired", s), ("length_filter", filtered), ("dedup", deduped),
-                                             ("quality_gate", gated), ("validated", repaired)]))
+    judged = derived.judge_replies(spark, sf)
+    _, counts = dataset_modes.filter_dedup_gate(derived.document_samples(spark, sf), lambda s: judge.quality_gate(s, judged)[0].drop("score"), allow_empty=True)
+    return _funnel_out(counts)
 
 
 def _final_digest(ds):

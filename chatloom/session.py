@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, app: str = "chatloom", partitions: int | None = None) -> SparkSession:
@@ -73,6 +74,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_counted(df: DataFrame, name: str, **also: Column) -> tuple[DataFrame, int] | tuple[DataFrame, dict[str, int]]:
+    """:func:`saved`, with the number of rows observed while they are written: no job counts them.
+
+    With further aggregates in ``also``, all numbers come as a dictionary (the rows' is ``n``).
+    """
+    seen = Observation()
+    table = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in also.items()]), name)
+    found = {k: int(v) for k, v in seen.get.items()}
+    return (table, found) if also else (table, found["n"])
+
+
 _SCRATCH: list[str] = []
 
 

@@ -253,3 +253,13 @@ def test_buckets_equal_the_pair_graph(spark):
         for bound in (None, 5):
             dropped = {r["x"] for r in dedup.bucket_keep_first(places, bound).collect()}
             assert dropped == {r for _, r in rows} - set(kept)
+
+
+def test_counts_are_observed(spark):
+    long = "word " * 20
+    rows = [(0, [("user", "q"), ("assistant", long)]), (1, [("user", "q"), ("assistant", long)]), (2, [("user", "q"), ("assistant", "short")]),
+            (3, [("user", "other"), ("assistant", " ".join(f"x{i}" for i in range(30)))])]
+    for mode in ("exact", "exact_text"):
+        kept, counts = dedup.dedup_and_filter(samples_df(spark, rows), mode=mode)
+        assert sorted(r["ord"] for r in kept.collect()) == [0, 3] and counts == {"before": 4, "filtered": 3, "after": 2}
+    assert dedup.dedup_and_filter(samples_df(spark, rows[2:3]))[1] == {"before": 1, "filtered": 0, "after": 0}
