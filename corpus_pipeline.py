@@ -27,8 +27,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, names = shelter(docs, "doc_id", "text")
-    # every (id, text) is a document of its own: rows that share an id, or have none, are linked by their texts alone
-    keyed = own.withColumn("_key", F.xxhash64("doc_id", "text"))
+    # an id names a document where all its rows have one text; other rows, and those without an id, are told
+    # apart by a hash of id and text, above all usual ids
+    texts = own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_lo"), F.max(F.xxhash64("text")).alias("_hi"))
+    unlike = save(texts.where("_lo <> _hi AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_shared")), "pipeline-unlike")
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = own.join(unlike, own["doc_id"] == unlike["_shared"], "left").withColumn(
+        "_key", F.when(F.col("_shared").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(hashed)).drop("_shared")
     found = ngram_join.similar_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
     group = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"), F.max("n_shingles").alias("_n"))
     ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"))
