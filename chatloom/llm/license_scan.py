@@ -9,6 +9,9 @@ tokens at all (length filter), and so must the surroundings of that place (posit
 Only what is left is counted, so every matching block is found and most texts end at the
 prefix test. The templates travel with the tasks; documents are never shuffled.
 
+A notice names the words without which no block is an instance of it (`mit`, `nc`), so that the
+word that tells two licenses apart is never the one that may be missing.
+
 Base phrases are templates whose words must all stand, consecutively.
 
 Defined cases: null and empty texts have no words and no matches; repeated rows are scanned
@@ -28,38 +31,40 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.util import map_batches, only, plain_words
 
-# Phrases of the scan's contract, and wordings of public license notices.
+# Phrases of the scan's contract, and wordings of public license notices (label, text, words that must stand).
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 NOTICES = (
-    ("mit", "Released under the MIT License"),
+    ("mit", "Released under the MIT License", "mit"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files, to deal in the Software without restriction, including without limitation the rights to use, "
-            "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
+            "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "sublicense"),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache"),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-               "http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+               "http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3", "gnu general public"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
             "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-            "later version"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+            "later version", "gnu general public"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", "cc by sa"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "commons sharealike"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-            "following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+            "following conditions are met", "redistribution"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
 )
 
 
 @dataclass(frozen=True)
 class Template:
-    """tokens: distinct, rarest first. need: tokens that a block must hold. width: words of a block."""
+    """tokens: distinct, rarest first. need: how many a block must hold. width: words of a block. must: tokens that every block holds."""
 
     label: str
     tokens: tuple[bytes, ...]
     need: int
     width: int
     phrase: tuple[bytes, ...] = ()
+    must: frozenset[bytes] = frozenset()
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -82,10 +87,12 @@ def token_counts(docs: DataFrame, tokens: frozenset[bytes]) -> dict[bytes, int]:
 def order_templates(notices, phrases, threshold: float, counts: dict[bytes, int]) -> list[Template]:
     rarest = lambda ws: tuple(sorted(set(ws), key=lambda w: (counts.get(w, 0), w)))
     out = []
-    for label, text in notices:
-        words = plain_words(text)
+    for label, text, *named in notices:
+        words, must = plain_words(text), frozenset(plain_words(" ".join(named)))
+        if not must.issubset(words):
+            raise ValueError(f"words that must stand are not in the notice {text!r}")
         tokens = rarest(words)
-        out.append(Template(label, tokens, math.ceil(threshold * len(tokens) - 1e-9), math.ceil(1.25 * len(words))))
+        out.append(Template(label, tokens, math.ceil(threshold * len(tokens) - 1e-9), math.ceil(1.25 * len(words)), must=must))
     for text, label in phrases:
         words = tuple(plain_words(text))
         tokens = rarest(words)
@@ -99,7 +106,7 @@ def find_blocks(words: list[bytes], templates: list[Template], prefixes: frozens
         return []
     active = [(k, t) for k, t in enumerate(templates) if not hits.isdisjoint(t.prefix)]
     present = set(words)
-    active = [(k, t) for k, t in active if sum(w in present for w in t.tokens) >= t.need]
+    active = [(k, t) for k, t in active if t.must <= present and sum(w in present for w in t.tokens) >= t.need]
     if not active:
         return []
     wanted = {w for _, t in active for w in t.tokens}
@@ -133,7 +140,7 @@ def find_blocks(words: list[bytes], templates: list[Template], prefixes: frozens
                     if not inside[w]:
                         del inside[w]
                     left += 1
-                if len(inside) >= t.need and right > done:
+                if len(inside) >= t.need and right > done and t.must <= inside.keys():
                     share = len(inside) / len(t.tokens)
                     if spans and index[left] <= spans[-1][1]:
                         spans[-1][1], spans[-1][2] = index[right], max(spans[-1][2], share)
@@ -147,12 +154,13 @@ def find_blocks(words: list[bytes], templates: list[Template], prefixes: frozens
 def license_scan(docs: DataFrame, notices=NOTICES, phrases=BASE_PHRASES, threshold: float = 0.8) -> DataFrame:
     """Per document: words, base phrase places, labels, best containment and the matching blocks.
 
+    notices: (label, text) or (label, text, words of it that every match must hold).
     `base_labels` and `labels` are empty strings where nothing matches; `score` is the best
     containment of a match, 1 for a base phrase and 0 without a match.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    tokens = frozenset(w for text in [t for _, t in notices] + [t for t, _ in phrases] for w in plain_words(text))
+    tokens = frozenset(w for text in [n[1] for n in notices] + [t for t, _ in phrases] for w in plain_words(text))
     templates = order_templates(notices, phrases, threshold, token_counts(docs, tokens))
     prefixes = frozenset(w for t in templates for w in t.prefix)
     first_phrase = len(templates) - len(phrases)

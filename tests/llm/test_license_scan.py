@@ -23,16 +23,16 @@ def brute_blocks(words, templates):
             at = [i for i in range(len(words)) if tuple(words[i:i + len(t.phrase)]) == t.phrase]
             places += at
             labels |= {t.label} if at else set()
-        elif any(len(set(words[i:i + t.width]) & set(t.tokens)) >= t.need for i in range(max(1, len(words) - t.width + 1))):
+        elif any(t.must <= set(words[i:i + t.width]) and len(set(words[i:i + t.width]) & set(t.tokens)) >= t.need for i in range(max(1, len(words) - t.width + 1))):
             labels.add(t.label)
     return sorted(labels), sorted(places)
 
 
 def test_filters_lose_no_block(spark):
     rng = random.Random(2)
-    notices = [plain_words(t) for _, t in ls.NOTICES] + [plain_words(t) for t, _ in ls.BASE_PHRASES]
+    notices = [plain_words(n[1]) for n in ls.NOTICES] + [plain_words(t) for t, _ in ls.BASE_PHRASES]
     rows = list(HARD)
-    for i in range(150):
+    for i in range(300):
         words = [b"filler%d" % rng.randint(0, 50) for _ in range(rng.randint(0, 40))]
         for _ in range(rng.randint(0, 2)):
             piece = [w for w in rng.choice(notices) if rng.random() > rng.choice([0, 0.1, 0.25, 0.5])]
@@ -62,6 +62,22 @@ def test_templates_need_the_rounded_up_share():
         assert t.need == (len(t.tokens) if t.phrase else math.ceil(0.8 * len(t.tokens) - 1e-9))
 
 
+def test_the_word_that_names_a_license_must_stand(spark):
+    want = {"Released under the Apache License": "apache", "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY 4.0": "",
+            "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc,cc-by-sa",
+            "the license was released by the committee under rain": "", "Released under MIT License": "mit", "released under an MIT-style license, the usual": "mit",
+            "This work is licensed under a Creative Commons Attribution 4.0 International License": "",
+            "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0": ""}
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.labels for r in ls.license_scan(docs(spark, rows)).collect()}
+    assert {t: got[i] for i, t in rows} == want
+
+
+def test_words_that_must_stand_are_of_the_notice(spark):
+    with pytest.raises(ValueError):
+        ls.license_scan(docs(spark, []), notices=[("x", "some notice", "other")])
+
+
 @pytest.mark.parametrize("threshold", [0, 1.5])
 def test_threshold_is_checked(spark, threshold):
     with pytest.raises(ValueError):
