@@ -4,6 +4,9 @@ Every line of a text is judged on its own (punctuation, navigation, boilerplate)
 are removed, and a document that loses too large a share of its words, or that fails the
 document rules, is rejected. A document is judged alone, so there is no shuffle.
 
+Short lines without an end mark are navigation only in a run of their kind: a heading, a line of
+program text or a list item (a line that starts with a list mark) stands for itself.
+
 Defined cases: a null or empty text has no words and is rejected; repeated rows are judged
 each; an empty table gives an empty table; extra columns pass through `clean_documents`.
 """
@@ -21,13 +24,15 @@ from chatloom.llm.util import map_batches, only, shelter, space_words
 
 _SYMBOLS = b"#*$%&|<>"
 _KEEP_ALL_BUT_SYMBOLS = bytes(range(256))
-_ENDS = tuple(b".!?:;\"')]") + tuple("…。！？”»".encode())
+_ENDS = tuple(c.encode() for c in ".!?:;\"')]…。！？”»")
 _BOILERPLATE = re.compile(
     rb"\b(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|click here|read more|"
     rb"sign (?:in|up)|log ?in|subscribe|enable javascript|accept (?:all )?cookies|skip to content|share on|lorem ipsum)\b")
 _SEPARATORS = frozenset((b"|", b"\xc2\xbb", b">", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2", b"/", b"-", b"*"))
 #: Separators that also stand in prose.
 _PROSE_MARKS = frozenset((b">", b"/", b"-", b"*"))
+#: First words of a list item.
+_LIST_MARK = re.compile(rb"(?:[-*+>]|\xc2\xb7|\xe2\x80[\x93\x94\xa2]|\(?(?:[0-9]{1,3}|[A-Za-z])[.)])\Z")
 
 
 @dataclass(frozen=True)
@@ -36,8 +41,9 @@ class Rules:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: An unpunctuated line of at most so many words fails when it is not the only line of the text.
+    #: Unpunctuated lines of at most so many words fail when `short_line_run` of them or more follow one another, blank lines aside.
     short_line_words: int = 4
+    short_line_run: int = 3
     #: A line fails as navigation with so many separators that part it into fields of few words, or a share of so many percent of its words.
     nav_separators: int = 3
     nav_percent: int = 25
@@ -49,7 +55,7 @@ class Rules:
     max_symbol_percent: int = 30
     #: A boilerplate phrase fails a line of at most so many words.
     boilerplate_words: int = 20
-    #: Copies of an earlier line of the same text go.
+    #: Copies of an earlier line of the same text go, if longer than a short line.
     drop_repeated_lines: bool = True
     #: A document loses at most this percentage of its words.
     max_removed_percent: int = 40
@@ -73,8 +79,23 @@ def repeat_words(words: list[bytes]) -> int:
     return total
 
 
-def line_fault(line: bytes, words: list[bytes], lone: bool, rules: Rules) -> str | None:
-    """The rule that a line with words fails, or None."""
+def bare_runs(split: list[list[bytes]], rules: Rules) -> set[int]:
+    """Lines (by index) in runs of short lines that neither end in an end mark nor start with a list mark."""
+    out, run = set(), []
+    for i, ws in enumerate(split):
+        if ws and (len(ws) > rules.short_line_words or ws[-1].endswith(_ENDS) or _LIST_MARK.match(ws[0])):
+            run = []
+        elif ws:
+            run.append(i)
+            if len(run) >= rules.short_line_run:
+                out.update(run if len(run) == rules.short_line_run else (i,))
+    return out
+
+
+def line_fault(line: bytes, words: list[bytes], bare: bool, rules: Rules) -> str | None:
+    """The rule that a line with words fails, or None; `bare`: it stands in a run of short lines."""
+    if len(words) > 1 and _LIST_MARK.match(words[0]):
+        words = words[1:]
     n = len(words)
     separators = sum(w in _SEPARATORS for w in words)
     if 100 * separators > rules.nav_percent * n:
@@ -87,7 +108,7 @@ def line_fault(line: bytes, words: list[bytes], lone: bool, rules: Rules) -> str
         return "boilerplate"
     if 100 * n_symbols(line) > rules.max_symbol_percent * n and n_symbols(line) > 2:
         return "punctuation"
-    if not lone and n <= rules.short_line_words and words[-1][-1] not in _ENDS:
+    if bare:
         return "punctuation"
     return None
 
@@ -100,14 +121,15 @@ def judge(text: str | None, rules: Rules) -> tuple:
     split = [ln.split() for ln in lines]
     words = [w for ws in split for w in ws]
     n, dup, removed, gone = len(words), 0, 0, 0
-    lone = sum(map(bool, split)) == 1
-    for line, ws in zip(lines, split):
+    bare = bare_runs(split, rules)
+    for i, (line, ws) in enumerate(zip(lines, split)):
         fault = None
         if ws:
             again = line in seen
             seen.add(line)
             dup += again
-            fault = "repeated" if again and rules.drop_repeated_lines else line_fault(line, ws, lone, rules)
+            copy = again and rules.drop_repeated_lines and len(ws) > rules.short_line_words
+            fault = "repeated" if copy else line_fault(line, ws, i in bare, rules)
         if fault:
             removed += len(ws)
             gone += 1

@@ -56,6 +56,23 @@ def test_separators_in_long_lines_are_no_navigation(spark, mark):
     assert got == {1: line, 2: paragraphs, 3: line}
 
 
+def test_lists_headings_and_program_text_stay(spark):
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(8)) + "." for i in range(3))
+    shopping = prose + "\n" + "\n".join(f"- buy milk{i}" for i in range(30)) + "\n" + "\n".join(f"{i}. wash dish{i}" for i in range(9))
+    heads = "\n\n".join(f"Chapter number {i}\n" + prose.replace("word", f"w{i}y") for i in range(5))
+    code = "\n".join(f"def area{i}(width, height, depth, unit{i}):\n    total{i} = width{i} * height{i} + depth{i} - unit{i}\n    return total" for i in range(8))
+    rows = [(1, shopping), (2, heads), (3, code)]
+    assert {r.doc_id: r.text for r in quality.clean_documents(docs(spark, rows)).collect()} == dict(rows)
+
+
+@pytest.mark.parametrize("menu", [["Главное меню", "Новый лист", "Новый дом", "О нас"], ["Menü", "Über uns", "Menü zu", "Startseite neu"], ["Home", "About us", "Contact"]])
+def test_runs_of_short_lines_go_in_any_script(spark, menu):
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(8)) + "." for i in range(12))
+    ends = "Ende…\n终。\n«да»\n”"
+    got = quality.clean_documents(docs(spark, [(1, prose + "\n" + "\n\n".join(menu)), (2, prose + "\n" + ends), (3, prose + "\n" + "\n".join(menu[:2]))])).collect()
+    assert {r.doc_id: r.text.rstrip() for r in got} == {1: prose, 2: prose + "\n" + ends, 3: prose + "\n" + "\n".join(menu[:2])}
+
+
 @pytest.mark.parametrize("rows", [[], HARD])
 def test_empty_and_hard_tables(spark, rows):
     table = docs(spark, rows)
