@@ -11,12 +11,15 @@
    enlarged to the whole component, whose pairs are counted tile by tile, exactly and without
    writing them out.
 4. A bounded sample is compared with all rows of its labels. While it shows a missing link, the
-   search goes on from new trees.
+   search goes on from new trees; labels that still miss one after the last restart are compared
+   in full, tile by tile, so no result comes back that its audit refutes.
+
+Components stay float or are taken as double. Every row with an id is a vector of its own, also
+where rows repeat an id: equal rows are linked, unlike rows of one id only if their vectors are.
 
 Defined cases: a null label or a vector that is null, empty, zero or holds null or non-finite
-components links with nothing; vectors of unequal length are not compared; of rows that repeat
-an id, the greatest (vector, label) holds and one row comes back; rows with a null id come back
-each, unlinked; an empty table gives an empty table; extra columns are ignored.
+components links with nothing; vectors of unequal length are not compared; rows with a null id come
+back each, unlinked; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,15 +56,21 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """Distinct usable vectors per label: node (the smallest id), weight, group (label and length), vec."""
+    """Distinct usable vectors per label: node, its smallest id, weight (rows), group (label and length), vec.
+
+    A node is named by its smallest id, or by a hash above all usual ids where other vectors have that id too.
+    """
     usable = vectors.where("h2 IS NOT NULL")
-    return usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("vec")).select(
-        "h1", "h2", "node", "weight", F.xxhash64("label", F.size("vec")).alias("grp"), "vec")
+    own = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("vec"))
+    shared = usable.groupBy("vec_id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select(F.col("vec_id").alias("low"), F.lit(True).alias("shared"))
+    hashed = F.shiftrightunsigned(F.xxhash64("h2", "h1"), 2).bitwiseOR(F.lit(1 << 62))
+    return own.join(shared, "low", "left").select(
+        "h1", "h2", F.when(F.col("shared"), hashed).otherwise(F.col("low").cast("long")).alias("node"), "low", "weight", F.xxhash64("label", F.size("vec")).alias("grp"), "vec")
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
-    """One row per id with a 128-bit key of (label, vector), whose second half is null where it cannot link."""
-    one = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.max(F.struct("embedding", "label")).alias("r")).select("vec_id", "r.embedding", "r.label")
+    """The rows with an id and a 128-bit key of (label, vector), whose second half is null where it cannot link."""
+    one = vectors.where("vec_id IS NOT NULL")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     return one.withColumn("h1", F.when(usable, F.xxhash64(F.lit(1), "label", "embedding")).otherwise(F.xxhash64("vec_id"))).withColumn(
@@ -120,7 +129,8 @@ def _leaves(nodes: DataFrame, p: Search, seed: int) -> DataFrame:
                 out.append(t.append_column("tree", pa.array(np.full(len(at), tree))).append_column("leaf", pa.array(leaf)))
         return pa.concat_tables(out).combine_chunks().to_batches()[0]
 
-    placed = map_batches(nodes.join(depth, "grp").select("node", "grp", "vec", "depth"), run, "node long, grp long, vec array<float>, tree long, leaf long")
+    kind = nodes.schema["vec"].dataType.simpleString()
+    placed = map_batches(nodes.join(depth, "grp").select("node", "grp", "vec", "depth"), run, f"node long, grp long, vec {kind}, tree long, leaf long")
     sizes = placed.groupBy("grp", "tree", "leaf").count().where(F.col("count") > p.leaf_most)
     split = F.coalesce(F.pmod(F.xxhash64("node", "tree", F.lit(seed)), F.ceil(F.col("count") / p.leaf_most)), F.lit(0)).cast("long")
     return placed.join(sizes, ["grp", "tree", "leaf"], "left").withColumn("split", split).drop("count")
@@ -152,14 +162,39 @@ def neighbour_lists(nodes: DataFrame, p: Search, threshold: float, seed: int) ->
     return lists, links.toDF("a", "b").unionByName(lists.where(F.col("cos") >= threshold).select(F.col("node").alias("a"), F.col("nbr").alias("b")))
 
 
-def count_links(nodes: DataFrame, label: DataFrame, p: Search, threshold: float) -> DataFrame:
-    """(node, links): the weight of all other nodes of its component that are as near as the threshold."""
+def _tile_pairs(nodes: DataFrame, label: DataFrame, p: Search) -> DataFrame:
+    """The nodes of each component once for every pair of tiles that they take part in."""
     sizes = label.groupBy("component").agg(F.ceil(F.count("*") / p.tile).cast("long").alias("tiles"))
     placed = nodes.select("node", "weight", "vec").join(label, "node").join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    pairs = placed.withColumn("other", other).select(
+    return placed.withColumn("other", other).select(
         "component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "weight", "vec")
 
+
+def exact_links(nodes: DataFrame, groups: list[int], p: Search, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all near nodes of `groups`: every pair is compared, each pair of tiles names the smallest of what it connects."""
+
+    def run(group: pa.Table) -> pa.Table | None:
+        node, x = group["node"].to_numpy(), _unit(group["vec"])
+        near = (x @ x.T) >= threshold
+        np.fill_diagonal(near, True)
+        low = node
+        while True:
+            lower = np.where(near, low, np.iinfo(np.int64).max).min(axis=1)
+            if (lower == low).all():
+                break
+            low = lower
+        at = np.flatnonzero(low < node)
+        return pa.table({"a": node[at], "b": low[at]}) if len(at) else None
+
+    whole = nodes.where(F.col("grp").isin(groups)).select("node", F.col("grp").alias("component"))
+    return by_group(_tile_pairs(nodes, whole, p), ["component", "lo", "hi"], run, "a long, b long")
+
+
+def count_links(nodes: DataFrame, label: DataFrame, p: Search, threshold: float) -> DataFrame:
+    """(node, links): the weight of all other nodes of its component that are as near as the threshold."""
+    pairs = _tile_pairs(nodes, label, p)
+
     def run(group: pa.Table) -> pa.Table | None:
         tile, node, weight = (group[c].to_numpy() for c in ("tile", "node", "weight"))
         x = _unit(group["vec"])
@@ -177,11 +212,11 @@ def count_links(nodes: DataFrame, label: DataFrame, p: Search, threshold: float)
     return by_group(pairs, ["component", "lo", "hi"], run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, p: Search, threshold: float) -> tuple[int, int]:
-    """Links of a bounded sample (`audit` nodes by hash) that exist, and that were counted."""
+def audit(nodes: DataFrame, counted: DataFrame, p: Search, threshold: float) -> tuple[int, int, list[int]]:
+    """Links of a bounded sample (`audit` nodes by hash) that exist, and that were counted; groups with a missing link."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(p.audit).select("node", "grp", "vec").collect()
     if not sample:
-        return 0, 0
+        return 0, 0, []
     by_grp: dict[int, list] = {}
     for r in sample:
         by_grp.setdefault(r["grp"], []).append(r)
@@ -198,26 +233,35 @@ def audit(nodes: DataFrame, counted: DataFrame, p: Search, threshold: float) ->
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["node", "n"])
 
     true = map_batches(nodes.select("grp", "node", "weight", "vec"), run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    row = true.join(counted, "node", "left").agg(F.sum("n"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    got = {r["node"]: (r["n"], r["links"]) for r in true.join(counted, "node", "left").select("node", "n", F.coalesce("links", F.lit(0)).alias("links")).collect()}
+    missed = sorted({r["grp"] for r in sample if got[r["node"]][1] < got[r["node"]][0]})
+    return sum(n for n, _ in got.values()), sum(n for _, n in got.values()), missed
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, p: Search = Search(), seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector of (vec_id, embedding, label)."""
-    own = only(vectors, "vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    own = only(vectors, "vec_id", "embedding", "label")
+    if own.schema["embedding"].dataType.simpleString() != "array<float>":
+        own = own.withColumn("embedding", F.col("embedding").cast("array<double>"))
     keyed = save(_keyed(own), "nn-vectors")
     nodes = save(nodes_of(keyed), "nn-nodes")
     links = None
-    for restart in range(1 + p.restarts):
-        _, more = neighbour_lists(nodes, p, threshold, seed + restart)
+    missed: list[int] = []
+    for restart in range(2 + p.restarts):
+        more = exact_links(nodes, missed, p, threshold) if restart > p.restarts else neighbour_lists(nodes, p, threshold, seed + restart)[1]
         links = save(more if links is None else links.unionByName(more), "nn-links")
         label = save(connected_components(links), "nn-components")
         counted = save(count_links(nodes, label, p, threshold), "nn-counts")
-        true, got = audit(nodes, counted, p, threshold)
-        if got >= true:
+        _, _, missed = audit(nodes, counted, p, threshold)
+        if not missed:
             break
-    named = nodes.select("h1", "h2", "node", "weight").join(label, "node", "left").join(counted, "node", "left")
-    named = save(named.select("h1", "h2", F.coalesce("component", "node").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-named")
+    if missed:
+        raise RuntimeError("the audit misses links after a full comparison")
+    # components are named by nodes; those with hashed nodes take the smallest id behind them
+    named = save(nodes.select("h1", "h2", "node", "low", "weight").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "nn-placed")
+    lows = named.where("node <> low").groupBy("component").agg(F.min("low").alias("behind"))
+    named = named.join(lows, "component", "left").join(counted, "node", "left")
+    named = save(named.select("h1", "h2", F.least("component", "behind").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-named")
     out = keyed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     lost = own.where("vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
