@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chatloom.functions import canonical_text
 from chatloom.operators.components import connected_components
 from chatloom.operators.keep_first import stream_bucket_keep_first, stream_keep_first
-from chatloom.session import saved, saved_counted
+from chatloom.session import saved, saved_counted, ship_package
 
 
 def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
@@ -38,6 +42,11 @@ def token_sets(df: DataFrame, text=None) -> DataFrame:
     return df.select("ord", tokens(src).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
+def _set_key() -> F.Column:
+    return F.when(F.col("n_tokens") > 0, F.sha2(F.array_join(F.array_sort("tokens"), "\x00"), 256)).otherwise(
+        F.concat(F.lit("empty:"), F.col("ord").cast("string")))
+
+
 def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group identical non-empty token sets; the lowest ``ord`` represents each group.
 
@@ -47,9 +56,7 @@ def collapse_identical_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     where rows are read); token arrays join the winners. Empty sets are never duplicates and
     stay their own representatives.
     """
-    key = F.when(F.col("n_tokens") > 0, F.sha2(F.array_join(F.array_sort("tokens"), "\x00"), 256)).otherwise(
-        F.concat(F.lit("empty:"), F.col("ord").cast("string")))
-    keyed = sets.select("ord", key.alias("_k"))
+    keyed = sets.select("ord", _set_key().alias("_k"))
     first = saved(keyed.groupBy("_k").agg(F.min("ord").alias("rep")), "identical-sets")
     reps = sets.join(first.select(F.col("rep").alias("ord")), "ord").select(F.col("ord").alias("rep"), "tokens", "n_tokens")
     return reps, keyed.join(first, "_k").select("ord", "rep")
@@ -65,37 +72,95 @@ def _need(n, threshold: float) -> F.Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
 
+def _collapsed_hashes(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`collapse_identical_sets` with the sets as hashes → ``(hashed(rep, n, toks), reps(rep), members(ord, rep))``.
+
+    The strings of the tokens are not written: a row is saved with the key of its set and the hashes.
+    """
+    hashes = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
+    keyed = saved(sets.select("ord", _set_key().alias("_k"), F.col("n_tokens").alias("n"), hashes.alias("toks")), "near-keyed")
+    first = saved(keyed.groupBy("_k").agg(F.min("ord").alias("rep")), "identical-sets")
+    hashed = keyed.where("n > 0").join(first.select(F.col("rep").alias("ord")), "ord", "left_semi").select(F.col("ord").alias("rep"), "n", "toks")
+    return saved(hashed, "near-hashed"), first.select("rep"), keyed.select("ord", "_k").join(first, "_k").select("ord", "rep")
+
+
 #: 64-bit words of a set's sketch.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: The most frequent tokens, whose counts every task holds: those in more than 1 / FREQUENT of all places, so fewer than FREQUENT.
+FREQUENT = 1 << 16
+#: Tokens behind the prefix by which keys can be made longer.
+LONGER = 3
+
+
+def _marked(hashed: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """``(rep, n, rare, known, s0, ...)`` of sets: tokens that are not frequent, and the least frequent ones of the others where the former do not fill the prefix."""
+    by_count = np.lexsort(frequent)
+    rank = np.empty(len(by_count), np.int64)
+    rank[by_count] = np.arange(len(by_count))
+    order = np.argsort(frequent[0])
+    names, rank = frequent[0][order], rank[order]
+    bits = 64 * SKETCH_WORDS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            toks = batch.column(2).flatten().to_numpy()
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(names, toks), max(len(names) - 1, 0))
+            often = names[at] == toks if len(names) else np.zeros(len(toks), bool)
+            rare = np.bincount(of[~often], minlength=len(n))
+            lack = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1 + LONGER - rare
+            pick = np.flatnonzero(often & (lack[of] > 0))
+            pick = pick[np.lexsort((rank[at[pick]], of[pick]))]
+            many = np.bincount(of[pick], minlength=len(n))
+            place = np.arange(len(pick)) - np.repeat(np.cumsum(many) - many, many)
+            pick = pick[place < lack[of[pick]]]
+            many = np.bincount(of[pick], minlength=len(n))
+            odd = np.bincount(of * bits + (toks & (bits - 1)), minlength=len(n) * bits).astype(np.uint8) & 1
+            words = np.packbits(odd).view(np.int64).reshape(len(n), SKETCH_WORDS)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(values, pa.int64()))
+                     for size, values in ((rare, toks[~often]), (many, toks[pick]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, *(pa.array(words[:, i], pa.int64()) for i in range(SKETCH_WORDS))],
+                                             names=["rep", "n", "rare", "known", *_SKETCH])
+
+    ship_package(hashed.sparkSession)
+    return hashed.select("rep", "n", "toks").mapInArrow(run, "rep long, n long, rare array<long>, known array<long>, " + ", ".join(f"{w} long" for w in _SKETCH))
 
 
 def prefix_sets(hashed: DataFrame, threshold: float) -> DataFrame:
-    """Sets that may have a partner → ``(rep, n, toks, lead, s0, ...)``, saved.
+    """Sets that may have a partner → ``(rep, n, size, toks, lead, s0, ...)``, saved.
+
+    ``toks`` are the first ``lead + LONGER`` of the ``size`` tokens that stand in two sets or more, by (number of
+    sets, hash). Tokens of one set only come first in that order, match nothing and fill prefix places, so the
+    prefix has ``lead`` places left for shared ones; a set with none left has no partner. The sketch holds the
+    parity of the set's tokens per bit: two sets differ in at least as many tokens as bits.
 
-    ``toks`` are the tokens that stand in two sets or more, by (number of sets, hash). Tokens of one
-    set only come first in that order, match nothing and fill prefix places, so the prefix has
-    ``lead`` places left for shared ones; a set with none left has no partner. The sketch holds the
-    parity of the shared tokens per bit: two sets differ in at least as many tokens as bits.
+    The counts of frequent tokens, a bounded number, are held by every task, so these tokens move only
+    where a prefix needs them; the others meet their counts in a join.
     """
-    tokens = hashed.select("rep", "n", F.explode("toks").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    bit = F.expr(f"shiftleft(1L, cast(shiftright(tok, {SKETCH_WORDS.bit_length() - 1}) & 63 AS INT))")
-    words = [F.coalesce(F.bit_xor(F.when(F.col("tok").bitwiseAND(SKETCH_WORDS - 1) == i, bit)), F.lit(0)).alias(w) for i, w in enumerate(_SKETCH)]
-    ranked = tokens.join(shared, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"), *words)
-    lead = (F.size("_s") - _need(F.col("n"), threshold) + 1).cast("int")
-    ranked = ranked.select("rep", "n", F.transform("_s", lambda x: x["tok"]).alias("toks"), lead.alias("lead"), *_SKETCH)
-    return saved(ranked.where("lead > 0"), "near-ranked")
+    shared = saved(hashed.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "near-counts")
+    least = (hashed.agg(F.sum("n")).first()[0] or 0) // FREQUENT
+    often = shared.where(F.col("sets") > least).toPandas()
+    marked = _marked(hashed, (often["tok"].to_numpy(np.int64), often["sets"].to_numpy(np.int64)), threshold)
+    rare = marked.select("rep", F.explode("rare").alias("tok")).join(shared.where(F.col("sets") <= least), "tok")
+    rare = rare.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"))
+    heads = marked.select("rep", "n", F.size("rare").alias("_rare"), "known", *_SKETCH)
+    ranked = heads.join(rare, "rep", "left").withColumn("_s", F.coalesce(F.transform("_s", lambda x: x["tok"]), F.array().cast("array<long>")))
+    size = F.col("n") - F.col("_rare") + F.size("_s")
+    ranked = ranked.select("rep", "n", size.cast("int").alias("size"), F.concat("_s", "known").alias("toks"),
+                           (size - _need(F.col("n"), threshold) + 1).cast("int").alias("lead"), *_SKETCH).where("lead > 0")
+    return saved(ranked.withColumn("toks", F.slice("toks", F.lit(1), F.col("lead") + LONGER)), "near-ranked")
 
 
 def prefix_postings(sets: DataFrame) -> DataFrame:
-    """Postings ``(key, rep, n, size, rest, pos, s0, ...)`` of the prefix tokens of :func:`prefix_sets`.
+    """Postings ``(key, rep, n, rest, pos, s0, ...)`` of the prefix tokens of :func:`prefix_sets`.
 
     ``rest``, the number of shared tokens from the key on, bounds the overlap of two sets whose
     first common token it is.
     """
-    places = sets.select("rep", "n", F.size("toks").alias("size"), *_SKETCH, F.posexplode(F.slice("toks", F.lit(1), F.col("lead"))).alias("pos", "key"))
-    return places.select("key", "rep", "n", "size", (F.col("size") - F.col("pos")).alias("rest"), "pos", *_SKETCH)
+    places = sets.select("rep", "n", "size", *_SKETCH, F.posexplode(F.slice("toks", F.lit(1), F.col("lead"))).alias("pos", "key"))
+    return places.select("key", "rep", F.col("n").cast("int").alias("n"), (F.col("size") - F.col("pos")).alias("rest"), "pos", *_SKETCH)
 
 
 def _may_be_similar(x: str, y: str, threshold: float, sketched: bool = True) -> F.Column:
@@ -106,7 +171,7 @@ def _may_be_similar(x: str, y: str, threshold: float, sketched: bool = True) ->
     if not sketched:
         return may
     differ = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in _SKETCH), F.lit(0))
-    return may & (F.col(f"{x}.size") + F.col(f"{y}.size") - differ >= overlap * 2)
+    return may & (nx + ny - differ >= overlap * 2)
 
 
 def verify_pairs(cands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -134,7 +199,7 @@ def _pairs(x: DataFrame, y: DataFrame, on: list[str], cond: F.Column) -> DataFra
 
 
 #: Postings of a key that meet in one piece of a join.
-KEY_BLOCK = 256
+KEY_BLOCK = 2048
 
 
 def _key_pairs(entry: DataFrame, cond: F.Column, block: int | None = None) -> DataFrame:
@@ -143,12 +208,20 @@ def _key_pairs(entry: DataFrame, cond: F.Column, block: int | None = None) -> Da
     The entries of a key are salted into blocks of about ``block`` and every two blocks meet on their
     own, so a key with any number of entries is spread over tasks of at most twice that many rows.
     """
-    sizes = entry.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (block or KEY_BLOCK)).alias("_blocks"))
-    dealt = entry.join(sizes, "key").withColumn("_mine", F.pmod(F.xxhash64("rep", "key"), F.col("_blocks")))
+    block = block or KEY_BLOCK
+    large = entry.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+    large = saved(large.select("key", F.ceil(F.col("m") / block).alias("_blocks")), "near-large-keys")
+    # both sides are one exchange
+    own = entry.join(large, "key", "left_anti") if not large.isEmpty() else entry
+    met = own.alias("x").join(own.alias("y"), "key").where((F.col("x.rep") < F.col("y.rep")) & cond).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    if large.isEmpty():
+        return met.groupBy("a", "b").count().select("a", "b")
+    dealt = entry.join(large, "key").withColumn("_mine", F.pmod(F.xxhash64("rep", "key"), F.col("_blocks")))
     x = dealt.withColumn("_i", F.col("_mine")).withColumn("_j", F.explode(F.sequence(F.col("_mine"), F.col("_blocks") - 1)))
     y = dealt.withColumn("_j", F.col("_mine")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mine"))))
     once = (F.col("_i") < F.col("_j")) | (F.col("x.rep") < F.col("y.rep"))
-    return _ordered(x.alias("x").join(y.alias("y"), ["key", "_i", "_j"]).where(once & cond))
+    far = x.alias("x").join(y.alias("y"), ["key", "_i", "_j"]).where(once & cond).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return met.unionByName(far).groupBy("a", "b").count().select("a", "b")
 
 
 def band_keys(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
@@ -181,9 +254,10 @@ def near_dup_pairs(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame,
     Pairs between copies follow from ``members`` and are not written out. The pair table is as
     large as its answer; the keep-first decision (:func:`near_dedup`) does not need it.
     """
-    reps, members = collapse_identical_sets(saved(sets, "near-sets"))
-    ranked = prefix_sets(saved(_hashed(reps), "near-hashed"), threshold)
-    return verify_pairs(_key_pairs(prefix_postings(ranked), _may_be_similar("x", "y", threshold)), ranked, threshold), reps, members
+    hashed, reps, members = _collapsed_hashes(sets)
+    entry = prefix_postings(prefix_sets(hashed, threshold))
+    pairs = verify_pairs(_key_pairs(entry, _may_be_similar("x", "y", threshold)), hashed, threshold)
+    return pairs, sets.withColumnRenamed("ord", "rep").join(reps, "rep").select("rep", "tokens", "n_tokens"), members
 
 
 def greedy_keep_first(pairs: DataFrame) -> DataFrame:
@@ -263,21 +337,33 @@ def _open(entry: DataFrame) -> DataFrame:
     return entry.join(several, "key", "left_semi")
 
 
-def similar_components(entry: DataFrame, sets: DataFrame, threshold: float, prefixed: bool = True, hot: int = 64, level: int = 4) -> DataFrame:
+#: Keys of more entries have stars first.
+STAR_KEYS = 256
+#: Keys of more entries are made longer.
+HOT_KEYS = 1 << 16
+
+
+def similar_components(entry: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None) -> DataFrame:
     """``(rep, comp)`` of every set that is similar to another one with which it shares a key; saved.
 
-    Stars join each key's entries to a few single centres, and what is verified labels sets by the
-    least one within a few links. Only entries of keys that still hold several labels then meet,
-    block by block, the hot keys of prefix tokens made longer first. No similar pair lies between two
-    components in the end; a cluster of near copies costs about as much as it has members.
+    In keys of more than ``STAR_KEYS`` entries stars join the entries to a few single centres, and what is
+    verified labels sets by the least one within a few links. Entries of different labels then meet,
+    block by block, those of very hot prefix tokens (``ranked`` has the prefixes) made longer first. No similar pair lies
+    between two components in the end; a cluster of near copies costs about as much as it has members.
     """
-    may = _may_be_similar("x", "y", threshold, sketched=prefixed)
-    links = saved(verify_pairs(_star_pairs(entry, may), sets, threshold).select("a", "b"), "near-links")
+    may = _may_be_similar("x", "y", threshold, sketched=ranked is not None)
+    crowded = saved(entry.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > STAR_KEYS), "near-crowded")
+    if crowded.isEmpty():
+        links = saved(verify_pairs(_key_pairs(entry, may), sets, threshold).select("a", "b"), "near-links")
+        found = connected_components(links).toDF("rep", "comp")
+        return saved(found, "near-components")
+    stars = _star_pairs(entry.join(crowded.select("key"), "key", "left_semi"), may)
+    links = saved(verify_pairs(stars, sets, threshold).select("a", "b"), "near-links")
     label = _labels(links)
     marked = entry.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select(*entry.columns, "label")
-    left = saved(_open(marked), "near-open")
-    for k in range(2, level + 1) if prefixed else ():
-        longer = _longer_keys(left, sets, threshold, k, hot)
+    left = saved(_open(marked), "near-open") if ranked is not None and not crowded.where(F.col("m") > HOT_KEYS).isEmpty() else marked
+    for k in range(2, LONGER + 2) if left is not marked else ():
+        longer = _longer_keys(left, ranked, threshold, k, HOT_KEYS)
         if longer is None:
             break
         left = saved(_open(longer), "near-open")
@@ -305,7 +391,7 @@ def _split_by_size(members: DataFrame, sized: DataFrame, bound: int) -> tuple[Da
     return members.join(large, "comp", "left_anti"), members.join(large, "comp", "left_semi")
 
 
-def keep_first(entry: DataFrame, sets: DataFrame, threshold: float, prefixed: bool = True, bound: int | None = None) -> DataFrame:
+def keep_first(entry: DataFrame, sets: DataFrame, threshold: float, ranked: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """Sets dropped by sequential keep-first → ``(x)``; sets are similar when they share a key and verify.
 
     A component's sets come sorted to one task, which keeps sketches and tokens of the sets it has
@@ -313,7 +399,8 @@ def keep_first(entry: DataFrame, sets: DataFrame, threshold: float, prefixed: bo
     of more than ``bound`` tokens are decided by joins (:func:`_keep_first_wide`).
     """
     bound = STREAM_TOKENS if bound is None else bound
-    members = similar_components(entry, sets, threshold, prefixed)
+    members = similar_components(entry, sets, threshold, ranked)
+    prefixed = ranked is not None
     small, large = _split_by_size(members, sets.select("rep", F.col("n").alias("w")), bound)
     columns = ["comp", "rep", "n", "toks"] + ([] if prefixed else ["keys"])
     dropped = stream_keep_first(small.join(sets, "rep").select(*columns), threshold)
@@ -389,16 +476,17 @@ def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text
     """
     if not (0.0 < threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
-    reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
     if mode == "exact":
-        sets = prefix_sets(saved(_hashed(reps), "near-hashed"), threshold)
-        dropped = keep_first(prefix_postings(sets), sets, threshold)
+        sets, reps, _ = _collapsed_hashes(token_sets(df, text))
+        ranked = prefix_sets(sets, threshold)
+        dropped = keep_first(prefix_postings(ranked), sets, threshold, ranked)
     elif mode == "lsh":
+        reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
         bands = band_keys(reps, threshold)
         if verify:
             sets = saved(_hashed(reps).join(bands, "rep"), "near-hashed")
-            postings = sets.select(F.explode("keys").alias("key"), "rep", "n", F.col("n").alias("size"), F.col("n").alias("rest"))
-            dropped = keep_first(postings, sets, threshold, prefixed=False)
+            postings = sets.select(F.explode("keys").alias("key"), "rep", "n", F.col("n").alias("rest"))
+            dropped = keep_first(postings, sets, threshold)
         else:
             dropped = bucket_keep_first(bands)
     else:

@@ -263,3 +263,27 @@ def test_counts_are_observed(spark):
         kept, counts = dedup.dedup_and_filter(samples_df(spark, rows), mode=mode)
         assert sorted(r["ord"] for r in kept.collect()) == [0, 3] and counts == {"before": 4, "filtered": 3, "after": 2}
     assert dedup.dedup_and_filter(samples_df(spark, rows[2:3]))[1] == {"before": 1, "filtered": 0, "after": 0}
+
+
+def test_counts_of_frequent_tokens_are_held_by_the_tasks(spark, monkeypatch):
+    """Few, some and all tokens are frequent; stars, blocks and longer keys come early."""
+    rnd = random.Random(20)
+    texts = list(_near_copies(30, 40)) + [" ".join(rnd.sample([f"v{i}" for i in range(14)], rnd.randint(3, 12))) for _ in range(80)] + ["", " "]
+    texts += [" ".join(["v1", "v2"] + [f"w{rnd.randrange(90)}" for _ in range(20)]) for _ in range(40)]
+    rnd.shuffle(texts)
+    for frequent, stars, hot, t in ((1, 2, 4, 0.6), (40, 10, 1 << 16, 0.85)):
+        monkeypatch.setattr(dedup, "FREQUENT", frequent)
+        monkeypatch.setattr(dedup, "STAR_KEYS", stars)
+        monkeypatch.setattr(dedup, "HOT_KEYS", hot)
+        assert _kept(spark, texts, t) == sequential_keep_first(texts, t)
+
+
+def test_keys_of_some_hundred_entries_are_not_made_longer(spark, monkeypatch):
+    """Longer keys multiply the postings; strings of tokens are not written."""
+    rnd = random.Random(21)
+    texts = [" ".join(rnd.sample([f"v{i}" for i in range(40)], 20)) for _ in range(300)]
+    names, save = [], dedup.saved
+    monkeypatch.setattr(dedup, "_longer_keys", None)
+    monkeypatch.setattr(dedup, "saved", lambda df, name: names.append((name, df.dtypes)) or save(df, name))
+    assert _kept(spark, texts) == sequential_keep_first(texts, 0.85)
+    assert not [name for name, types in names if ("tokens", "array<string>") in types]
