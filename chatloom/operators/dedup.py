@@ -80,7 +80,10 @@ def _collapsed_hashes(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     hashes = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
     keyed = saved(sets.select("ord", _set_key().alias("_k"), F.col("n_tokens").alias("n"), hashes.alias("toks")), "near-keyed")
     first = saved(keyed.groupBy("_k").agg(F.min("ord").alias("rep")), "identical-sets")
-    hashed = keyed.where("n > 0").join(first.select(F.col("rep").alias("ord")), "ord", "left_semi").select(F.col("ord").alias("rep"), "n", "toks")
+    hashed = keyed.where("n > 0").join(first.select(F.col("rep").alias("ord")), "ord", "left_semi")
+    if not keyed.groupBy("ord").agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty():
+        hashed = hashed.dropDuplicates(["ord", "_k"])  # rows that repeat an id and its set are one set
+    hashed = hashed.select(F.col("ord").alias("rep"), "n", "toks")
     return saved(hashed, "near-hashed"), first.select("rep"), keyed.select("ord", "_k").join(first, "_k").select("ord", "rep")
 
 

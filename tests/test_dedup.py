@@ -287,3 +287,10 @@ def test_keys_of_some_hundred_entries_are_not_made_longer(spark, monkeypatch):
     monkeypatch.setattr(dedup, "saved", lambda df, name: names.append((name, df.dtypes)) or save(df, name))
     assert _kept(spark, texts) == sequential_keep_first(texts, 0.85)
     assert not [name for name, types in names if ("tokens", "array<string>") in types]
+
+
+def test_rows_that_repeat_an_id_stay_together(spark):
+    rows = [(0, " ".join(f"a{i}" for i in range(20)))] * 2 + [(1, " ".join(f"a{i}" for i in range(1, 21)))] + [(2, "other words here")] * 2
+    df = spark.createDataFrame(rows, "ord long, text string")
+    assert sorted(r["ord"] for r in dedup.near_dedup(df, 0.85, text=F.col("text")).collect()) == [0, 0, 2, 2]
+    assert [(r["a"], r["b"]) for r in dedup.near_dup_pairs(dedup.token_sets(df, F.col("text")))[0].collect()] == [(0, 1)]
