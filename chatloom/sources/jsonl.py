@@ -12,6 +12,7 @@ from chatloom.operators.convert import sharegpt_messages
 from chatloom.operators.replies import parse_sample
 from chatloom.schema import MESSAGE_TEXT
 from chatloom.session import saved
+from chatloom.sources.bundles import is_bundle, unpack
 
 
 def _strict_json(text: Column) -> Column:
@@ -177,7 +178,9 @@ def read_json_array(spark: SparkSession, path: str, strict: bool = True, one_for
 
 
 def read_raw_text(spark: SparkSession, path: str) -> DataFrame:
-    """A5: one row per file: ``(doc_id = file path, text)``."""
+    """A5: one row per file, or per file of a bundle: ``(doc_id = file path, text)``."""
+    if is_bundle(path):
+        return unpack(spark.read.text(path)).select(F.col("_path").alias("doc_id"), F.col("value").alias("text"))
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 

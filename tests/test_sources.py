@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -233,3 +234,17 @@ def test_files_of_the_file_mode_grow_with_the_rows(spark, tmp_path, monkeypatch)
     got = registry.QUERIES["mode_bring_your_own_files"](spark, str(tmp_path)).orderBy("ord").collect()
     assert [r["ord"] for r in got] == list(range(200)) and got[7]["id"] == "sample_0007"
     assert len(list((tmp_path / "own-files.jsonl").glob("part-*.txt"))) == 10
+
+
+def test_raw_text_bundle(spark, tmp_path, monkeypatch):
+    from chatloom.plans import registry
+
+    texts = {1: "first line\n\nthird é\r\n", 2: None, 3: "", 4: 'a "quoted" \\   line'}
+    spark.createDataFrame([*texts.items(), (4, "again")], "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(registry, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = {r.doc_id: (r.n_chars, r.text_md5) for r in registry.QUERIES["read_raw_text"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[4][0] == len(texts[4]) + len("again") + 2
+    for i in (1, 2, 3):
+        whole = (texts[i] or "") + "\n"
+        assert got[i] == (len(whole), hashlib.md5(whole.encode()).hexdigest())
+    assert not list(tmp_path.rglob("doc_id=*"))
