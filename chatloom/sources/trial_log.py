@@ -1,7 +1,8 @@
 """Trial-log files (A8, A9) and run snapshots (A10).
 
 Logs are JSON lines, one file per run directory; the run id is the directory name
-(``run_id=<id>`` when written partitioned by Spark, or any plain directory name).
+(``run_id=<id>`` when written partitioned by Spark, or any plain directory name). Where the path is
+a bundle (:mod:`~chatloom.sources.bundles`), the files of many runs are kept in one.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatloom.sources.bundles import file_of, is_bundle, unpack, write_bundle
+
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial_id", T.LongType()),
     T.StructField("recipe_diff", T.StringType()),
@@ -55,14 +58,25 @@ def log_lines(log: DataFrame) -> DataFrame:
     return log.select("run_id", F.to_json(rec, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_by_run(rows: DataFrame, path: str, mode: str) -> None:
+    """``(run_id, value)`` rows as text files, one directory per run, or into a bundle."""
+    if is_bundle(path):
+        write_bundle(rows.select(file_of("run_id").alias("path"), "value"), path, mode)
+    else:
+        rows.write.mode(mode).partitionBy("run_id").text(path)
+
+
 def write_trial_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    """Append trial rows as JSON lines, one directory per run.
+    """Append trial rows as JSON lines, one directory per run, or into a bundle.
 
-    Rows are dealt by run and by blocks of trial ids, so a small run is one file and a large one
-    is split over tasks.
+    Rows for directories are dealt by run and by blocks of trial ids, so a small run is one file
+    and a large one is split over tasks.
     """
+    if is_bundle(path):
+        write_by_run(log_lines(log), path, mode)
+        return
     dealt = log.repartition(F.col("run_id"), F.floor(F.col("trial_id") / F.lit(TRIALS_PER_FILE)))
-    log_lines(dealt).write.mode(mode).partitionBy("run_id").text(path)
+    write_by_run(log_lines(dealt), path, mode)
 
 
 def parse_trial_lines(lines: DataFrame) -> DataFrame:
@@ -90,37 +104,49 @@ def parse_trial_lines(lines: DataFrame) -> DataFrame:
         typed("timestamp", "string").alias("timestamp")))
 
 
-def trial_lines(reader) -> DataFrame:
-    """Lines of a text ``load`` (batch or stream reader already bound to a path)."""
-    return reader.select("value", F.col("_metadata.file_path").alias("_path"))
+def trial_lines(reader, path: str) -> DataFrame:
+    """``(value, _path)`` lines of the log files below ``path`` (batch or stream reader), or of a bundle."""
+    lines = reader.option("recursiveFileLookup", "true").text(path)
+    return unpack(lines) if is_bundle(path) else lines.select("value", F.col("_metadata.file_path").alias("_path"))
 
 
 def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
     """The trial rows of all log files below ``path``."""
-    return parse_trial_lines(trial_lines(spark.read.option("recursiveFileLookup", "true").text(path)))
+    return parse_trial_lines(trial_lines(spark.read, path))
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, _path)``: every file below ``path`` whole, or every file of a bundle."""
+    if is_bundle(path):
+        return unpack(spark.read.text(path))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("_path"))
 
 
 def write_run_states(states: DataFrame, path: str) -> None:
-    """One JSON document per run directory (+inf best is written as null)."""
+    """One JSON document per run, in a directory of its own or in a bundle (+inf best is written as null)."""
     bpb = F.when(F.col("best_bpb") == F.lit(float("inf")), F.lit(None)).otherwise(F.col("best_bpb"))
     cols = [F.col(f.name) if f.name != "best_bpb" else bpb.alias("best_bpb") for f in RUN_STATE_SCHEMA.fields]
     doc = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    states.select("run_id", doc.alias("value")).repartition("run_id").write.mode("overwrite").partitionBy("run_id").text(path)
+    docs = states.select("run_id", doc.alias("value"))
+    write_by_run(docs if is_bundle(path) else docs.repartition("run_id"), path, "overwrite")
 
 
 def read_run_states(spark: SparkSession, path: str) -> DataFrame:
     """A10: one multi-line JSON document per file; unknown keys dropped; null best → +inf."""
-    df = (spark.read.schema(RUN_STATE_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
-          .json(path))
-    return df.select(_run_from_path(F.col("_metadata.file_path")).alias("run_id"), *[
+    if is_bundle(path):
+        df = _documents(spark, path).select("_path", F.from_json("value", RUN_STATE_SCHEMA).alias("_d")).select("_path", "_d.*")
+    else:
+        df = (spark.read.schema(RUN_STATE_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
+              .json(path)).select("*", F.col("_metadata.file_path").alias("_path"))
+    return df.select(_run_from_path(F.col("_path")).alias("run_id"), *[
         F.coalesce("best_bpb", F.lit(float("inf"))).alias("best_bpb") if f.name == "best_bpb" else F.col(f.name)
         for f in RUN_STATE_SCHEMA.fields])
 
 
 def read_loop_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """A10 (checkpoint): the whole document is rejected when a key is unknown or missing."""
-    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("_path"))
+    docs = _documents(spark, path)
     v = F.try_parse_json("value")
     keys = F.map_keys(F.from_json(F.col("value"), "map<string,string>"))
     exact = F.array_sort(keys) == F.array_sort(F.array(*[F.lit(k) for k in CHECKPOINT_KEYS]))

@@ -27,8 +27,8 @@ def tail_plan(log: DataFrame) -> DataFrame:
 
 def start_trial_tail(spark: SparkSession, log_dir: str, sink_dir: str, checkpoint_dir: str,
                      available_now: bool = True) -> StreamingQuery:
-    """Start S2 over log files; lines are read by the rules of the batch reader."""
-    runs = parse_trial_lines(trial_lines(spark.readStream.option("recursiveFileLookup", "true").text(log_dir)))
+    """Start S2 over log files or a bundle of them; lines are read by the rules of the batch reader."""
+    runs = parse_trial_lines(trial_lines(spark.readStream, log_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("micro_batch", F.lit(batch_id)).write.mode("append").parquet(sink_dir)

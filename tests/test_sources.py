@@ -1,9 +1,11 @@
 import hashlib
 import json
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.operators import convert
 from chatloom.sources import jsonl, manifest, trial_log
@@ -248,3 +250,34 @@ def test_raw_text_bundle(spark, tmp_path, monkeypatch):
         whole = (texts[i] or "") + "\n"
         assert got[i] == (len(whole), hashlib.md5(whole.encode()).hexdigest())
     assert not list(tmp_path.rglob("doc_id=*"))
+
+
+def test_run_files_in_a_bundle_read_as_in_directories(spark, tmp_dir):
+    state = {f.name: None for f in trial_log.RUN_STATE_SCHEMA.fields}
+    rows = [("run-1", state | {"phase": "final", "best_bpb": 2.5, "total_trials": 3}), ("run-2", state | {"phase": "tune", "best_bpb": float("inf")}), ("a b", state)]
+    states = spark.createDataFrame([(r, *s.values()) for r, s in rows], T.StructType([T.StructField("run_id", T.StringType()), *trial_log.RUN_STATE_SCHEMA.fields]))
+    for where in ("/states", "/states.bundle"):
+        trial_log.write_run_states(states, tmp_dir + where)
+    key = lambda r: (r.phase or "", r.run_id)
+    plain, packed = (sorted(trial_log.read_run_states(spark, tmp_dir + w).collect(), key=key) for w in ("/states", "/states.bundle"))
+    assert packed[1:] == plain[1:] and packed[0].run_id == "a b" and packed[0][1:] == plain[0][1:] and packed[2].best_bpb == float("inf")
+    assert not list(pathlib.Path(tmp_dir, "states.bundle").glob("run_id=*"))
+    ok = {"current_trial": 3, "best_trial_id": 1, "best_bpb": None, "best_recipe_diff": {"lora_rank": 8}, "total_trials_run": 3}
+    docs = [("run-a", json.dumps(ok, indent=2)), ("run-b", json.dumps(ok | {"extra": 1})), ("run-c", None), (None, json.dumps(ok))]
+    trial_log.write_by_run(spark.createDataFrame(docs, "run_id string, value string"), tmp_dir + "/c.bundle", "errorifexists")
+    got = trial_log.read_loop_checkpoints(spark, tmp_dir + "/c.bundle").collect()
+    assert sorted((r.run_id, r.current_trial, r.best_bpb) for r in got) == [("__HIVE_DEFAULT_PARTITION__", 3, float("inf")), ("run-a", 3, float("inf"))]
+
+
+@pytest.mark.parametrize("name", ["run_states", "loop_checkpoints", "stream_trial_tail", "trial_log_read", "trial_log_roundtrip"])
+def test_queries_on_runs_write_no_file_per_run(spark, tmp_path, monkeypatch, name):
+    from datetime import datetime
+
+    from chatloom.plans import registry
+
+    rows = [(i, datetime(2024, 1, 1, 0, 0, i % 60), i % 40, "view", 1.0 + i, '{"k": 3}') for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(registry, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len({r.run_id for r in got}) == (40 if name != "loop_checkpoints" else 40 - len([n for n in range(40) if n % 11 == 3 or n % 7 == 2]))
+    assert not list(tmp_path.rglob("run_id=*"))
