@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import canonical_text
 from chatloom.operators.components import connected_components
 from chatloom.operators.keep_first import stream_bucket_keep_first, stream_keep_first
-from chatloom.session import saved, saved_counted, ship_package
+from chatloom.session import HASHES, TEXTS, saved, saved_counted, saved_parts, scratch_block, share, shares, ship_package
 
 
 def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
@@ -72,19 +73,38 @@ def _need(n, threshold: float) -> F.Column:
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9))
 
 
+#: Tokens and postings that move in one exchange, about: more of them move in shares, so many at most, and the files of one go before the next.
+SHARE_TOKENS, TOKEN_SHARES = 1 << 22, 4
+SHARE_POSTINGS, POSTING_SHARES = 1 << 20, 8
+
+
+def _token_shares(sets: DataFrame) -> int:
+    return shares(sets.agg(F.sum("n")).first()[0], SHARE_TOKENS, TOKEN_SHARES)
+
+
 def _collapsed_hashes(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """:func:`collapse_identical_sets` with the sets as hashes → ``(hashed(rep, n, toks), reps(rep), members(ord, rep))``.
 
-    The strings of the tokens are not written: a row is saved with the key of its set and the hashes.
+    The strings of the tokens are not written: a row is saved with the key of its set and the hashes, until
+    the sets that are left are.
     """
     hashes = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
-    keyed = saved(sets.select("ord", _set_key().alias("_k"), F.col("n_tokens").alias("n"), hashes.alias("toks")), "near-keyed")
-    first = saved(keyed.groupBy("_k").agg(F.min("ord").alias("rep")), "identical-sets")
-    hashed = keyed.where("n > 0").join(first.select(F.col("rep").alias("ord")), "ord", "left_semi")
-    if not keyed.groupBy("ord").agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty():
-        hashed = hashed.dropDuplicates(["ord", "_k"])  # rows that repeat an id and its set are one set
-    hashed = hashed.select(F.col("ord").alias("rep"), "n", "toks")
-    return saved(hashed, "near-hashed"), first.select("rep"), keyed.select("ord", "_k").join(first, "_k").select("ord", "rep")
+    with scratch_block(sets.sparkSession) as keep:
+        own = sets.select("ord", _set_key().alias("_k"), F.col("n_tokens").alias("n"), hashes.alias("toks"))
+        keyed = saved_parts(sets.sparkSession, [lambda: own], "near-keyed", HASHES)
+        names = keep(saved(keyed.select("ord", "_k"), "near-names"))
+        first = keep(saved(names.groupBy("_k").agg(F.min("ord").alias("rep")), "identical-sets"))
+        repeated = not names.groupBy("ord").agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty()
+        of = _token_shares(keyed)
+
+        def part(i: int) -> DataFrame:
+            reps = share(first.select(F.col("rep").alias("ord")), "ord", i, of)
+            own = share(keyed.where("n > 0"), "ord", i, of).join(reps, "ord", "left_semi")
+            own = own.dropDuplicates(["ord", "_k"]) if repeated else own  # rows that repeat an id and its set are one set
+            return own.select(F.col("ord").alias("rep"), "n", "toks")
+
+        hashed = keep(saved_parts(sets.sparkSession, [partial(part, i) for i in range(of)], "near-hashed", HASHES))
+    return hashed, first.select("rep"), names.join(first, "_k").select("ord", "rep")
 
 
 #: 64-bit words of a set's sketch.
@@ -143,17 +163,23 @@ def prefix_sets(hashed: DataFrame, threshold: float) -> DataFrame:
     where a prefix needs them; the others meet their counts in a join.
     """
     shared = saved(hashed.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "near-counts")
-    least = (hashed.agg(F.sum("n")).first()[0] or 0) // FREQUENT
+    places = hashed.agg(F.sum("n")).first()[0] or 0
+    least, of = places // FREQUENT, shares(places, SHARE_TOKENS, TOKEN_SHARES)
     often = shared.where(F.col("sets") > least).toPandas()
-    marked = _marked(hashed, (often["tok"].to_numpy(np.int64), often["sets"].to_numpy(np.int64)), threshold)
-    rare = marked.select("rep", F.explode("rare").alias("tok")).join(shared.where(F.col("sets") <= least), "tok")
-    rare = rare.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"))
-    heads = marked.select("rep", "n", F.size("rare").alias("_rare"), "known", *_SKETCH)
-    ranked = heads.join(rare, "rep", "left").withColumn("_s", F.coalesce(F.transform("_s", lambda x: x["tok"]), F.array().cast("array<long>")))
-    size = F.col("n") - F.col("_rare") + F.size("_s")
-    ranked = ranked.select("rep", "n", size.cast("int").alias("size"), F.concat("_s", "known").alias("toks"),
-                           (size - _need(F.col("n"), threshold) + 1).cast("int").alias("lead"), *_SKETCH).where("lead > 0")
-    return saved(ranked.withColumn("toks", F.slice("toks", F.lit(1), F.col("lead") + LONGER)), "near-ranked")
+    often = often["tok"].to_numpy(np.int64), often["sets"].to_numpy(np.int64)
+
+    def part(i: int) -> DataFrame:
+        marked = _marked(share(hashed, "rep", i, of), often, threshold)
+        rare = marked.select("rep", F.explode("rare").alias("tok")).join(shared.where(F.col("sets") <= least), "tok")
+        rare = rare.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "tok"))).alias("_s"))
+        heads = marked.select("rep", "n", F.size("rare").alias("_rare"), "known", *_SKETCH)
+        ranked = heads.join(rare, "rep", "left").withColumn("_s", F.coalesce(F.transform("_s", lambda x: x["tok"]), F.array().cast("array<long>")))
+        size = F.col("n") - F.col("_rare") + F.size("_s")
+        ranked = ranked.select("rep", "n", size.cast("int").alias("size"), F.concat("_s", "known").alias("toks"),
+                               (size - _need(F.col("n"), threshold) + 1).cast("int").alias("lead"), *_SKETCH).where("lead > 0")
+        return ranked.withColumn("toks", F.slice("toks", F.lit(1), F.col("lead") + LONGER))
+
+    return saved_parts(hashed.sparkSession, [partial(part, i) for i in range(of)], "near-ranked")
 
 
 def prefix_postings(sets: DataFrame) -> DataFrame:
@@ -185,11 +211,32 @@ def verify_pairs(cands: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     ta = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     tb = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     j = cands.join(ta, "a").join(tb, "b")
+    return _similar(j, threshold)
+
+
+def _similar(j: DataFrame, threshold: float) -> DataFrame:
     inter = F.size(F.array_intersect("ta", "tb"))
     jac = inter / (F.col("na") + F.col("nb") - inter)
     return j.select("a", "b", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(threshold))
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame, on: str, i: int, of: int) -> DataFrame:
+    """A share of ``rows`` joined with their sets ``(rep, n, toks)``, named by ``on``."""
+    return share(rows, on, i, of).join(share(sets.withColumnRenamed("rep", on), on, i, of), on)
+
+
+def _verified(cands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """:func:`verify_pairs`, saved; the tokens of many sets move in shares, once to the lower and once to the higher ends."""
+    spark, of = sets.sparkSession, _token_shares(sets)
+    if of == 1:
+        return saved(verify_pairs(cands, sets, threshold), "near-links")
+    a = sets.select("rep", F.col("n").alias("na"), F.col("toks").alias("ta"))
+    b = sets.select("rep", F.col("n").alias("nb"), F.col("toks").alias("tb"))
+    with scratch_block(spark) as keep:
+        lower = saved_parts(spark, [partial(_with_sets, cands, a, "a", i, of) for i in range(of)], "near-lower", HASHES)
+        return keep(saved_parts(spark, [lambda i=i: _similar(_with_sets(lower, b, "b", i, of), threshold) for i in range(of)], "near-links"))
+
+
 def _ordered(met: DataFrame) -> DataFrame:
     """Distinct ``(a, b)``, a < b, of joined rows ``x`` and ``y``."""
     pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
@@ -227,6 +274,14 @@ def _key_pairs(entry: DataFrame, cond: F.Column, block: int | None = None) -> Da
     return met.unionByName(far).groupBy("a", "b").count().select("a", "b")
 
 
+def _met_by_shares(entry: DataFrame, met: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Distinct ``(a, b)`` that ``met`` finds among entries, a share of the keys at a time; saved."""
+    of = shares(entry.count(), SHARE_POSTINGS, POSTING_SHARES)
+    with scratch_block(entry.sparkSession) as keep:
+        found = saved_parts(entry.sparkSession, [lambda i=i: met(share(entry, "key", i, of)) for i in range(of)], "near-met")
+        return keep(found if of == 1 else saved(found.groupBy("a", "b").count().select("a", "b"), "near-met"))
+
+
 def band_keys(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:
     """``(rep, keys)``: the band slices of each MinHash signature, hashed with their band number (D3)."""
     from chatloom.operators.minhash import lsh_params, minhash_udf, token_hashes
@@ -259,7 +314,8 @@ def near_dup_pairs(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame,
     """
     hashed, reps, members = _collapsed_hashes(sets)
     entry = prefix_postings(prefix_sets(hashed, threshold))
-    pairs = verify_pairs(_key_pairs(entry, _may_be_similar("x", "y", threshold)), hashed, threshold)
+    may = _may_be_similar("x", "y", threshold)
+    pairs = _verified(_met_by_shares(entry, lambda own: _key_pairs(own, may)), hashed, threshold)
     return pairs, sets.withColumnRenamed("ord", "rep").join(reps, "rep").select("rep", "tokens", "n_tokens"), members
 
 
@@ -357,20 +413,26 @@ def similar_components(entry: DataFrame, sets: DataFrame, threshold: float, rank
     may = _may_be_similar("x", "y", threshold, sketched=ranked is not None)
     crowded = saved(entry.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > STAR_KEYS), "near-crowded")
     if crowded.isEmpty():
-        links = saved(verify_pairs(_key_pairs(entry, may), sets, threshold).select("a", "b"), "near-links")
+        met = _met_by_shares(entry, lambda own: _key_pairs(own, may))
+        links = _verified(met, sets, threshold).select("a", "b")
         found = connected_components(links).toDF("rep", "comp")
         return saved(found, "near-components")
-    stars = _star_pairs(entry.join(crowded.select("key"), "key", "left_semi"), may)
-    links = saved(verify_pairs(stars, sets, threshold).select("a", "b"), "near-links")
+    stars = _met_by_shares(entry, lambda own: _star_pairs(own.join(crowded.select("key"), "key", "left_semi"), may))
+    links = _verified(stars, sets, threshold).select("a", "b")
     label = _labels(links)
-    marked = entry.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select(*entry.columns, "label")
-    left = saved(_open(marked), "near-open") if ranked is not None and not crowded.where(F.col("m") > HOT_KEYS).isEmpty() else marked
-    for k in range(2, LONGER + 2) if left is not marked else ():
-        longer = _longer_keys(left, ranked, threshold, k, HOT_KEYS)
-        if longer is None:
-            break
-        left = saved(_open(longer), "near-open")
-    more = saved(verify_pairs(_key_pairs(left, (F.col("x.label") != F.col("y.label")) & may), sets, threshold).select("a", "b"), "near-links")
+    hot = ranked is not None and not crowded.where(F.col("m") > HOT_KEYS).isEmpty()
+
+    def across(own: DataFrame) -> DataFrame:
+        marked = own.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).select(*entry.columns, "label")
+        left = saved(_open(marked), "near-open") if hot else marked
+        for k in range(2, LONGER + 2) if hot else ():
+            longer = _longer_keys(left, ranked, threshold, k, HOT_KEYS)
+            if longer is None:
+                break
+            left = saved(_open(longer), "near-open")
+        return _key_pairs(left, (F.col("x.label") != F.col("y.label")) & may)
+
+    more = _verified(_met_by_shares(entry, across), sets, threshold).select("a", "b")
     links = links.unionByName(more)
     # what is left to connect are labels
     la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
@@ -406,10 +468,16 @@ def keep_first(entry: DataFrame, sets: DataFrame, threshold: float, ranked: Data
     prefixed = ranked is not None
     small, large = _split_by_size(members, sets.select("rep", F.col("n").alias("w")), bound)
     columns = ["comp", "rep", "n", "toks"] + ([] if prefixed else ["keys"])
-    dropped = stream_keep_first(small.join(sets, "rep").select(*columns), threshold)
+    of = _token_shares(sets)
+    rows = small.join(sets, "rep") if of == 1 else saved_parts(sets.sparkSession, [partial(_with_sets, small, sets, "rep", i, of) for i in range(of)], "near-members", HASHES)
+    dropped = stream_keep_first(rows.select(*columns), threshold)
     return dropped if large is None else dropped.unionByName(_keep_first_wide(saved(large, "near-large"), entry, sets, threshold, prefixed))
 
 
+def _met_lowest(own: DataFrame, open_sets: DataFrame, lowest: DataFrame) -> DataFrame:
+    return _pairs(own.join(open_sets, "rep"), own.join(lowest, "rep"), ["comp", "key"], F.col("x.rep") != F.col("y.rep"))
+
+
 def _keep_first_wide(open_sets: DataFrame, entry: DataFrame, sets: DataFrame, threshold: float, sketched: bool, waves: int = 3) -> DataFrame:
     """:func:`keep_first` of large components ``open_sets(rep, comp)`` by joins.
 
@@ -420,16 +488,16 @@ def _keep_first_wide(open_sets: DataFrame, entry: DataFrame, sets: DataFrame, th
     dropped = None
     for _ in range(waves):
         lowest = saved(open_sets.groupBy("comp").agg(F.min("rep").alias("rep")), "near-lowest")
-        met = _pairs(entry.join(open_sets, "rep"), entry.join(lowest, "rep"), ["comp", "key"], F.col("x.rep") != F.col("y.rep"))
-        gone = saved(verify_pairs(met, sets, threshold).select(F.col("b").alias("x")), "near-gone")
+        met = _met_by_shares(entry, partial(_met_lowest, open_sets=open_sets, lowest=lowest))
+        gone = _verified(met, sets, threshold).select(F.col("b").alias("x"))
         dropped = gone if dropped is None else dropped.unionByName(gone)
         decided = gone.unionByName(lowest.select(F.col("rep").alias("x")))
         open_sets = saved(open_sets.join(decided.withColumnRenamed("x", "rep"), "rep", "left_anti"), "near-undecided")
         if open_sets.isEmpty():
             return dropped
-    left = entry.join(open_sets, "rep").withColumn("key", F.xxhash64("comp", "key"))
-    rest = _key_pairs(left, (F.col("x.comp") == F.col("y.comp")) & _may_be_similar("x", "y", threshold, sketched))
-    return dropped.unionByName(greedy_keep_first(verify_pairs(rest, sets, threshold)))
+    within = (F.col("x.comp") == F.col("y.comp")) & _may_be_similar("x", "y", threshold, sketched)
+    rest = _met_by_shares(entry, lambda own: _key_pairs(own.join(open_sets, "rep").withColumn("key", F.xxhash64("comp", "key")), within))
+    return dropped.unionByName(greedy_keep_first(_verified(rest, sets, threshold)))
 
 
 def bucket_keep_first(keyed: DataFrame, bound: int | None = None) -> DataFrame:
@@ -479,39 +547,58 @@ def near_dedup(df: DataFrame, threshold: float = 0.85, mode: str = "exact", text
     """
     if not (0.0 < threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {threshold!r}")
-    if mode == "exact":
-        sets, reps, _ = _collapsed_hashes(token_sets(df, text))
-        ranked = prefix_sets(sets, threshold)
-        dropped = keep_first(prefix_postings(ranked), sets, threshold, ranked)
-    elif mode == "lsh":
-        reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
-        bands = band_keys(reps, threshold)
-        if verify:
-            sets = saved(_hashed(reps).join(bands, "rep"), "near-hashed")
-            postings = sets.select(F.explode("keys").alias("key"), "rep", "n", F.col("n").alias("rest"))
-            dropped = keep_first(postings, sets, threshold)
+    with scratch_block(df.sparkSession) as keep:
+        if mode == "exact":
+            sets, reps, _ = _collapsed_hashes(token_sets(df, text))
+            ranked = prefix_sets(sets, threshold)
+            dropped = keep_first(prefix_postings(ranked), sets, threshold, ranked)
+        elif mode == "lsh":
+            reps, _ = collapse_identical_sets(saved(token_sets(df, text), "near-sets"))
+            bands = band_keys(reps, threshold)
+            if verify:
+                sets = saved(_hashed(reps).join(bands, "rep"), "near-hashed")
+                postings = sets.select(F.explode("keys").alias("key"), "rep", "n", F.col("n").alias("rest"))
+                dropped = keep_first(postings, sets, threshold)
+            else:
+                dropped = bucket_keep_first(bands)
         else:
-            dropped = bucket_keep_first(bands)
-    else:
-        raise ValueError(f"unknown near-dup mode {mode!r}")
-    kept = reps.select(F.col("rep").alias("ord")).join(dropped.withColumnRenamed("x", "ord"), "ord", "left_anti")
+            raise ValueError(f"unknown near-dup mode {mode!r}")
+        # the answer needs no other table
+        kept = keep(saved(reps.select(F.col("rep").alias("ord")).join(dropped.withColumnRenamed("x", "ord"), "ord", "left_anti"), "near-kept"))
     return df.join(kept, "ord", "left_semi")
 
 
+def length_filtered(parts: list[DataFrame], min_assistant_chars: int = 50) -> tuple[DataFrame, dict[str, int]]:
+    """The length filter of samples in parts, saved, and the counts ``before`` and ``filtered``; the input is evaluated once."""
+    from chatloom.operators.validate import min_answer_filter
+
+    before, after = ([Observation() for _ in parts] for _ in range(2))
+    rows = F.count(F.lit(1)).alias("n")
+
+    def part(i: int) -> DataFrame:
+        return min_answer_filter(parts[i].observe(before[i], rows), min_assistant_chars).observe(after[i], rows)
+
+    filtered = saved_parts(parts[0].sparkSession, [partial(part, i) for i in range(len(parts))], "filtered", TEXTS)
+    return filtered, {"before": sum(int(x.get["n"]) for x in before), "filtered": sum(int(x.get["n"]) for x in after)}
+
+
+def deduped(filtered: DataFrame, similarity_threshold: float = 0.85, mode: str = "exact") -> tuple[DataFrame, int]:
+    """Near-duplicate removal (``mode='exact_text'`` = exact dedup only), saved and counted; ``filtered`` is read twice."""
+    kept = exact_dedup(filtered) if mode == "exact_text" else near_dedup(filtered, similarity_threshold, mode)
+    return saved_counted(kept, "deduped", TEXTS)
+
+
 def dedup_and_filter(samples: DataFrame, similarity_threshold: float = 0.85, min_assistant_chars: int = 50,
                      mode: str = "exact") -> tuple[DataFrame, dict[str, int]]:
     """Length filter, then near-duplicate removal (``mode='exact_text'`` = exact dedup only), both saved.
 
     Returns the samples and the counts ``before``, ``filtered`` and ``after``, observed as the stages
-    are written; the input is evaluated once.
+    are written; the input is evaluated once. Of the tables on the way none is left.
     """
-    from chatloom.operators.validate import min_answer_filter
-
     if not (0.0 < similarity_threshold <= 1.0):
         raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {similarity_threshold!r}")
-    seen = Observation()
-    observed = samples.observe(seen, F.count(F.lit(1)).alias("n"))
-    filtered, n_filtered = saved_counted(min_answer_filter(observed, min_assistant_chars), "filtered")
-    kept = exact_dedup(filtered) if mode == "exact_text" else near_dedup(filtered, similarity_threshold, mode)
-    kept, n_kept = saved_counted(kept, "deduped")
-    return kept, {"before": int(seen.get["n"]), "filtered": n_filtered, "after": n_kept}
+    with scratch_block(samples.sparkSession) as keep:
+        filtered, counts = length_filtered([samples], min_assistant_chars)
+        kept, n_kept = deduped(filtered, similarity_threshold, mode)
+        keep(kept)
+    return kept, counts | {"after": n_kept}

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -66,36 +69,118 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/chatloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a scratch table in the shared folder and read back (cuts its lineage)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _SCRATCH.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting to delete the shuffle files of a statement at its end, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Writer options of tables with texts, and of tables with arrays of token hashes (a dictionary holds each hash once a file).
+TEXTS = {"compression": "zstd"}
+HASHES = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
 
 
-def saved_counted(df: DataFrame, name: str, **also: Column) -> tuple[DataFrame, int] | tuple[DataFrame, dict[str, int]]:
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def saved(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written to a scratch table in the shared folder and read back (cuts its lineage).
+
+    The shuffle files of the write go with its end: nothing reads them again.
+    """
+    return saved_parts(df.sparkSession, [lambda: df], name, options)
+
+
+def saved_parts(spark: SparkSession, parts: Iterable[Callable[[], DataFrame]], name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """:func:`saved` of the union of ``parts``, made and written one after the other.
+
+    The shuffle files of a part, and the tables saved while it is made, go before the next.
+    """
+    path = scratch_path(spark, name)
+    for part in parts:
+        with scratch_block(spark), _shuffles_deleted(spark):
+            df = part()
+            df.write.mode("append").options(**(options or {})).parquet(path)
+    _BLOCK.get().append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def shares(n: int | None, size: int, most: int) -> int:
+    """How many shares of about ``size`` rows there are, ``most`` at most."""
+    return max(1, min(most, -(-(n or 0) // size)))
+
+
+def share(df: DataFrame, column: str, i: int, of: int) -> DataFrame:
+    """The rows whose ``column`` falls to share ``i`` of ``of``."""
+    return df if of == 1 else df.where(F.pmod(F.xxhash64(F.col(column), F.lit("share")), F.lit(of)) == i)
+
+
+def saved_counted(df: DataFrame, name: str, options: dict[str, str] | None = None, **also: Column) -> tuple[DataFrame, int] | tuple[DataFrame, dict[str, int]]:
     """:func:`saved`, with the number of rows observed while they are written: no job counts them.
 
     With further aggregates in ``also``, all numbers come as a dictionary (the rows' is ``n``).
     """
     seen = Observation()
-    table = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in also.items()]), name)
+    table = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in also.items()]), name, options)
     found = {k: int(v) for k, v in seen.get.items()}
     return (table, found) if also else (table, found["n"])
 
 
 _SCRATCH: list[str] = []
+#: Where :func:`saved` notes its tables: the innermost block's list.
+_BLOCK: ContextVar[list[str]] = ContextVar("block", default=_SCRATCH)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True))
+
+
+@contextmanager
+def scratch_block(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that :func:`saved` wrote inside at the block's end, but for those passed to the function it gives.
+
+    A frame that leaves the block may read kept tables, and tables from outside, alone.
+    """
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.scratch)
+        return table
+
+    outer, inner = _BLOCK.get(), []
+    token = _BLOCK.set(inner)
+    try:
+        yield keep
+    finally:
+        _BLOCK.reset(token)
+        for path in inner:
+            if path in kept:
+                outer.append(path)
+            else:
+                _delete(spark, path)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of :func:`saved` that nothing reads any more, before its block's end."""
+    _BLOCK.get().remove(table.scratch)
+    _delete(table.sparkSession, table.scratch)
 
 
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables that :func:`saved` wrote so far; call it when their results are no
     longer read (between jobs of a long session). Returns how many were deleted."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _SCRATCH.pop())
     return n
 
 

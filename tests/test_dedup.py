@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -294,3 +295,34 @@ def test_rows_that_repeat_an_id_stay_together(spark):
     df = spark.createDataFrame(rows, "ord long, text string")
     assert sorted(r["ord"] for r in dedup.near_dedup(df, 0.85, text=F.col("text")).collect()) == [0, 0, 2, 2]
     assert [(r["a"], r["b"]) for r in dedup.near_dup_pairs(dedup.token_sets(df, F.col("text")))[0].collect()] == [(0, 1)]
+
+
+def test_shares_change_no_result(spark, monkeypatch):
+    """Tokens and postings that move in small shares give the rows of one exchange."""
+    rnd = random.Random(23)
+    texts = list(_near_copies(12, 20)) + [" ".join(rnd.sample([f"v{i}" for i in range(14)], rnd.randint(3, 12))) for _ in range(30)] + ["", " "]
+    rnd.shuffle(texts)
+    for name, value in (("SHARE_TOKENS", 40), ("SHARE_POSTINGS", 40), ("TOKEN_SHARES", 2), ("POSTING_SHARES", 2), ("STAR_KEYS", 2), ("HOT_KEYS", 4), ("STREAM_TOKENS", 60)):
+        monkeypatch.setattr(dedup, name, value)
+    assert _kept(spark, texts, 0.6) == sequential_keep_first(texts, 0.6)
+    sets = {i: set(t.lower().split()) for i, t in enumerate(texts) if t.strip()}
+    pairs = dedup.near_dup_pairs(dedup.token_sets(_texts(spark, texts), F.col("text")), 0.6)[0].collect()
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert sorted((r["a"], r["b"]) for r in pairs) == sorted(
+        {(a, b) for a in first.values() for b in first.values() if a < b and _jac(sets[a], sets[b]) >= 0.6})
+
+
+def test_dedup_leaves_one_table(spark):
+    """Tables on the way held several times the input until the session's end."""
+    from chatloom.session import checkpoint_root
+
+    def names():
+        root = checkpoint_root(spark).removeprefix("file:")
+        return {n for n in os.listdir(root) if not n.startswith("chatloom-pyfiles")}
+
+    rows = [(i, [("user", "q"), ("assistant", " ".join(f"w{j}" for j in range(i // 2, i // 2 + 30)))]) for i in range(12)]
+    for mode in ("exact", "exact_text"):
+        before = names()
+        kept, counts = dedup.dedup_and_filter(samples_df(spark, rows), mode=mode)
+        assert [n.rsplit("-", 1)[0] for n in names() - before] == ["chatloom-deduped"]
+        assert kept.count() == counts["after"]
