@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import saved, ship_package
+from chatloom.session import TEXTS, saved, ship_package
 
 
 def inference_hook(requests: DataFrame, fn: Callable[..., str], keys: list[str], prompt_col: str = "prompt",
@@ -82,7 +82,7 @@ def extraction_collect(replies: DataFrame, num_samples: int = 50, key: str = "do
 
     from chatloom.operators.replies import explode_items, parse_replies
 
-    replies = saved(replies, "extraction-replies")
+    replies = saved(replies, "extraction-replies", TEXTS)
     parsed = parse_replies(replies, keys=(key, "chunk_idx"))
     ok = parsed.where(F.col("status").isin("ok", "salvaged"))
     skipped = parsed.where(~F.col("status").isin("ok", "salvaged")).select(key, "chunk_idx", "status")

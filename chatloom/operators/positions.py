@@ -12,14 +12,16 @@ from chatloom.session import saved
 BUCKET_ROWS = 250_000
 
 
-def dense_positions_by(df: DataFrame, order_cols: list[str], pos_col: str = "ord", buckets: int | None = None) -> DataFrame:
+def dense_positions_by(df: DataFrame, order_cols: list[str], pos_col: str = "ord", buckets: int | None = None,
+                       keys: DataFrame | None = None) -> DataFrame:
     """0-based positions in the order of several columns (any sortable types, unique together).
 
     Only the keys are sorted and saved: they are range-partitioned into buckets of about
     ``BUCKET_ROWS``, counted per bucket, and numbered inside their bucket; the rows then get
-    their position by a join on the keys. No step sees more than one bucket.
+    their position by a join on the keys. No step sees more than one bucket. ``keys`` may be given
+    where they are saved already.
     """
-    keys = saved(df.select(*order_cols), "position-keys")
+    keys = saved(df.select(*order_cols), "position-keys") if keys is None else keys
     n = buckets or max(1, -(-keys.count() // BUCKET_ROWS))
     ranged = saved(keys.repartitionByRange(n, *order_cols).withColumn("_bkt", F.spark_partition_id()), "position-buckets")
     counts = ranged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))

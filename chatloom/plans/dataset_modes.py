@@ -1,53 +1,82 @@
 """The three dataset modes as compositions of operators (P1-P3), with stage counts.
 
 Each mode returns ``(dataset, funnel)``: the final samples with ids and a small
-``(stage_no, stage, n)`` table. Every stage is saved once in the shared folder; the next stage
-reads it there, and its rows are counted as they are written, so no stage and no model call runs twice. An empty result is an
-error (``allow_empty=False``), and ``sink`` writes the golden JSONL.
+``(stage_no, stage, n)`` table. What a later stage reads twice is saved once in the shared folder, and rows are
+counted as they are written, so no stage and no model call runs twice; a saved stage is deleted when the last one that
+reads it is saved. An empty result is an error (``allow_empty=False``), and ``sink`` writes the golden JSONL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.operators import chunking, convert, dedup, inference, judge, positions, prompts, replies, validate
 from chatloom.schema import MESSAGE_TEXT
-from chatloom.session import saved, saved_counted
+from chatloom.session import TEXTS, release, saved, saved_counted, saved_parts, scratch_block, share, shares
 from chatloom.sources.jsonl import write_jsonl
 
 
+#: Texts that move in one exchange, about: more of them move in shares of their documents, so many at most, and the files of one go before the next.
+SHARE_TEXTS, TEXT_SHARES = 1 << 14, 4
+
+
 def funnel(spark: SparkSession, stages: list[tuple[str, int]]) -> DataFrame:
     """The stages' counts as a small table; they were observed as the stages were written."""
     return spark.createDataFrame([(i, name, n) for i, (name, n) in enumerate(stages)], "stage_no int, stage string, n long")
 
 
-def _finish(samples: DataFrame, stages: list[tuple[str, int]], sink: str | None, allow_empty: bool) -> tuple[DataFrame, DataFrame]:
-    repaired, n = saved_counted(validate.validate_and_repair(samples, keep_id=False), "mode-validated")
-    stages = stages + [("validated", n)]
+def _repaired(samples: DataFrame, allow_empty: bool, stages: Callable[[], list[tuple[str, int]]]) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Repaired samples, saved, and the stages with their count; ``stages`` is asked when they are written."""
+    repaired, n = saved_counted(validate.validate_and_repair(samples, keep_id=False), "mode-validated", TEXTS)
+    counted = [*stages(), ("validated", n)]
     if not n and not allow_empty:
-        raise RuntimeError(f"{MESSAGE_TEXT['empty_dataset']} ({', '.join(f'{stage}={count}' for stage, count in stages)})")
+        raise RuntimeError(f"{MESSAGE_TEXT['empty_dataset']} ({', '.join(f'{stage}={count}' for stage, count in counted)})")
+    return repaired, counted
+
+
+def _finish(repaired: DataFrame, stages: list[tuple[str, int]], sink: str | None) -> tuple[DataFrame, DataFrame]:
     final = positions.assign_ids(repaired).drop("pos")
     if sink:
         write_jsonl(final, sink)
-    return final, funnel(samples.sparkSession, stages)
+    return final, funnel(repaired.sparkSession, stages)
+
+
+def _check_similarity(similarity: float) -> None:
+    if not (0.0 < similarity <= 1.0):
+        raise ValueError(f"similarity_threshold must be in (0.0, 1.0], got {similarity!r}")
+
+
+def _dedup_gate(filtered: DataFrame, counts: dict[str, int], gate: Callable[[DataFrame], DataFrame], similarity: float,
+                allow_empty: bool) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Near dedup, ``gate`` and repair of filtered samples, which go when they are read; gate and repair are one write."""
+    with scratch_block(filtered.sparkSession) as keep:
+        kept, n_kept = dedup.deduped(filtered, similarity)
+        keep(kept)
+    release(filtered)
+    seen = Observation()
+    gated = gate(kept).observe(seen, F.count(F.lit(1)).alias("n"))
+    found = [("acquired", counts["before"]), ("length_filter", counts["filtered"]), ("dedup", n_kept)]
+    return _repaired(gated, allow_empty, lambda: [*found, ("quality_gate", int(seen.get["n"]))])
 
 
 def filter_dedup_gate(acquired: DataFrame, gate: Callable[[DataFrame], DataFrame], similarity: float = 0.85, min_assistant_chars: int = 50,
                       sink: str | None = None, allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """Length filter, near dedup, ``gate`` and repair of acquired samples; each stage runs once and is counted as it is written."""
-    acquired, n_acquired = saved_counted(acquired, "mode-acquired")
-    deduped, counts = dedup.dedup_and_filter(acquired, similarity, min_assistant_chars)
-    gated, n_gated = saved_counted(gate(deduped), "mode-gated")
-    stages = [("acquired", n_acquired), ("length_filter", counts["filtered"]), ("dedup", counts["after"]), ("quality_gate", n_gated)]
-    return _finish(gated, stages, sink, allow_empty)
+    _check_similarity(similarity)
+    with scratch_block(acquired.sparkSession) as keep:
+        repaired, stages = _dedup_gate(*dedup.length_filtered([acquired], min_assistant_chars), gate, similarity, allow_empty)
+        keep(repaired)
+    return _finish(repaired, stages, sink)
 
 
-def _judged(samples: DataFrame, requests: DataFrame, model: Callable[..., str], min_score: float, scale: int) -> DataFrame:
-    """Samples whose judge reply reaches the score; a failed or unreadable reply counts as the middle."""
-    answers = saved(inference.inference_hook(requests, model, ["ord"], system_col=None, temperature=0.0), "mode-judged")
+def _judged(samples: DataFrame, requests: list[Callable[[], DataFrame]], model: Callable[..., str], min_score: float, scale: int) -> DataFrame:
+    """Samples whose judge reply reaches the score; a failed or unreadable reply counts as the middle. Requests come in parts."""
+    asked = [lambda part=part: inference.inference_hook(part(), model, ["ord"], system_col=None, temperature=0.0) for part in requests]
+    answers = saved_parts(samples.sparkSession, asked, "mode-judged")
     return judge.quality_gate(samples, answers, min_score, scale)[0].drop("score")
 
 
@@ -77,7 +106,7 @@ def generate_mode(stored_replies: DataFrame, num_samples: int | None, judge_repl
 
     def gate(samples: DataFrame) -> DataFrame:
         if judge_model is not None:
-            return _judged(samples, prompts.judge_requests(samples, scale), judge_model, min_score, scale)
+            return _judged(samples, [lambda: prompts.judge_requests(samples, scale)], judge_model, min_score, scale)
         return samples if judge_replies is None else judge.quality_gate(samples, judge_replies, min_score, scale)[0].drop("score")
 
     return filter_dedup_gate(acquired, gate, similarity, min_assistant_chars, sink, allow_empty)
@@ -94,26 +123,44 @@ def structure_mode(raw_texts: DataFrame, model: Callable[..., str], num_samples:
     (``grounding="chunk"``) or the head of its text (``"head"``), or reads ``judge_replies`` (by
     ``doc_id``); without either, all pass.
     """
+    _check_similarity(similarity)
     docs = raw_texts.where(~chunking.is_blank(F.col("text")))
-    reqs = saved(prompts.structure_requests(chunking.chunk_text(docs), num_samples), "mode-requests")
-    out = inference.inference_hook(reqs, model, ["doc_id", "chunk_idx"], max_tokens_col="max_tokens", temperature=0.3, response_format="json")
-    samples, _ = inference.extraction_collect(out, num_samples)
-    acquired = saved(positions.dense_positions_by(samples, ["doc_id", "chunk_idx", "pos"]), "mode-samples")
-
-    def gate(kept: DataFrame) -> DataFrame:
-        origin = acquired.select("ord", "doc_id", "chunk_idx")
-        if judge_model is not None:
-            if grounding == "chunk":
-                sources = origin.join(reqs.select("doc_id", "chunk_idx", F.col("chunk").alias("text")), ["doc_id", "chunk_idx"])
-            else:
-                sources = origin.join(docs, "doc_id")
-            return _judged(kept, prompts.judge_requests(kept, scale, sources, grounding=grounding), judge_model, min_score, scale)
-        if judge_replies is None:
-            return kept
-        named = kept.join(origin.select("ord", "doc_id"), "ord")
-        return judge.quality_gate(named, judge_replies, min_score, scale, key="doc_id")[0].select("ord", "id", "messages")
-
-    return filter_dedup_gate(acquired.select("ord", "id", "messages"), gate, similarity, min_assistant_chars, sink, allow_empty)
+    spark = raw_texts.sparkSession
+    with scratch_block(spark) as keep:
+        chunks, n = saved_counted(chunking.chunk_text(docs), "mode-chunks", TEXTS)
+        of, place = shares(n, SHARE_TEXTS, TEXT_SHARES), ["doc_id", "chunk_idx", "pos"]
+
+        def collected(i: int) -> DataFrame:
+            reqs = prompts.structure_requests(share(chunks, "doc_id", i, of), num_samples)
+            out = inference.inference_hook(reqs, model, ["doc_id", "chunk_idx"], max_tokens_col="max_tokens", temperature=0.3, response_format="json")
+            return inference.extraction_collect(out, num_samples)[0]
+
+        samples = saved_parts(spark, [partial(collected, i) for i in range(of)], "mode-samples", TEXTS)
+        keys = saved(samples.select(*place), "mode-keys")
+        acquired = positions.dense_positions_by(samples, place, keys=keys).select("doc_id", "ord", "id", "messages")
+        filtered, counts = dedup.length_filtered([share(acquired, "doc_id", i, of) for i in range(of)], min_assistant_chars)
+        release(samples)
+
+        def gate(kept: DataFrame) -> DataFrame:
+            # positions follow from the keys alone
+            origin = positions.dense_positions_by(keys, place, keys=keys).select("ord", "doc_id", "chunk_idx")
+            if judge_model is not None:
+                sources = chunks.select("doc_id", "chunk_idx", F.col("chunk").alias("text")) if grounding == "chunk" else docs
+                on = ["doc_id", "chunk_idx"] if grounding == "chunk" else ["doc_id"]
+
+                def asked(i: int) -> DataFrame:
+                    grounds = share(origin, "doc_id", i, of).join(share(sources, "doc_id", i, of), on)
+                    return prompts.judge_requests(share(kept, "doc_id", i, of), scale, grounds, grounding=grounding)
+
+                return _judged(kept, [partial(asked, i) for i in range(of)], judge_model, min_score, scale)
+            if judge_replies is None:
+                return kept
+            named = kept.drop("doc_id").join(origin.select("ord", "doc_id"), "ord")
+            return judge.quality_gate(named, judge_replies, min_score, scale, key="doc_id")[0].select("ord", "id", "messages")
+
+        repaired, stages = _dedup_gate(filtered, counts, gate, similarity, allow_empty)
+        keep(repaired)
+    return _finish(repaired, stages, sink)
 
 
 def bring_your_own_mode(records: DataFrame, max_samples: int | None = None, sink: str | None = None,
@@ -124,7 +171,7 @@ def bring_your_own_mode(records: DataFrame, max_samples: int | None = None, sink
     if not allow_empty and not n["converted"]:
         raise RuntimeError(f"no record of {n['n']} could be converted")
     acquired = conv.where(F.col("messages").isNotNull()).select("ord", F.lit("").alias("id"), "messages")
-    return _finish(acquired, [("records", n["n"]), ("converted", n["converted"])], sink, allow_empty)
+    return _finish(*_repaired(acquired, allow_empty, lambda: [("records", n["n"]), ("converted", n["converted"])]), sink)
 
 
 def bring_your_own_files(spark: SparkSession, path: str, sink: str | None = None, allow_empty: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -132,4 +179,4 @@ def bring_your_own_files(spark: SparkSession, path: str, sink: str | None = None
     from chatloom.sources.jsonl import load_dataset
 
     samples, n = saved_counted(load_dataset(spark, path)[0], "mode-loaded")
-    return _finish(samples.select("ord", "id", "messages"), [("loaded", n)], sink, allow_empty)
+    return _finish(*_repaired(samples.select("ord", "id", "messages"), allow_empty, lambda: [("loaded", n)]), sink)

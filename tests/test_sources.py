@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,65 @@ def test_scratch_can_be_cleared(spark):
     assert os.path.isdir(path) and clear_scratch(spark) == 1 and not os.path.isdir(path) and clear_scratch(spark) == 0
 
 
+def test_a_write_leaves_no_shuffle_files(spark):
+    from chatloom.session import saved
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    count = lambda: manager.getAllFiles().mkString(" ").count("/shuffle_")
+    before = count()
+    table = saved(spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    until = time.monotonic() + 20
+    while count() > before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert count() <= before and table.count() == 7
+
+
+def test_a_block_deletes_its_tables(spark):
+    from chatloom.session import release, saved, scratch_block
+
+    there = lambda table: os.path.isdir(table.scratch.removeprefix("file:"))
+    with scratch_block(spark) as keep:
+        a, b, c = (saved(spark.range(3), name) for name in ("a", "b", "c"))
+        keep(b)
+        release(c)
+        assert there(a) and not there(c)
+        with pytest.raises(ValueError), scratch_block(spark):
+            d = saved(spark.range(3), "d")
+            raise ValueError
+    assert [there(t) for t in (a, b, c, d)] == [False, True, False, False] and b.count() == 3
+    release(b)
+
+
+def test_structure_mode_in_shares(spark, monkeypatch):
+    """Shares of the documents give the rows of one pass, with repeated and null ids; of the tables on the way none is left."""
+    from chatloom.operators import inference
+    from chatloom.plans import dataset_modes
+    from chatloom.session import checkpoint_root
+
+    texts = ["\n\n".join(" ".join(f"w{d}x{p}y{j}" for j in range(12 + d + 50 * (p % 2) * 3)) for p in range(3)) for d in range(9)]
+    rows = [*enumerate(texts), (3, texts[3]), (4, texts[5]), (None, texts[6]), (20, texts[1]), (21, " "), (22, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def names():
+        return {n for n in os.listdir(checkpoint_root(spark).removeprefix("file:")) if not n.startswith("chatloom-pyfiles")}
+
+    def run(**more):
+        before = names()
+        ds, counts = dataset_modes.structure_mode(docs, inference.passage_echo_model, allow_empty=True, **more)
+        got = sorted(ds.select("ord", "id", F.to_json("messages").alias("m")).collect()), [r.n for r in counts.orderBy("stage_no").collect()]
+        left = {n.rsplit("-", 1)[0] for n in names() - before}
+        assert left <= {"chatloom-mode-validated", "chatloom-position-keys", "chatloom-position-buckets"}
+        return got
+
+    replies = spark.createDataFrame([(i, f"{i % 5}") for i in range(9)], "doc_id long, reply string")
+    ways = [{"judge_model": inference.length_judge_model}, {"judge_replies": replies}]
+    one = [run(**way) for way in ways]
+    assert one[0][1][0] > 10 and one[0][0]
+    monkeypatch.setattr(dataset_modes, "SHARE_TEXTS", 2)
+    monkeypatch.setattr(dataset_modes, "TEXT_SHARES", 2)
+    assert [run(**way) for way in ways] == one
+
+
 def test_cluster_needs_a_shared_folder(monkeypatch):
     from types import SimpleNamespace
 
