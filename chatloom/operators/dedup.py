@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import canonical_text
 from chatloom.operators.components import connected_components
 from chatloom.operators.keep_first import stream_bucket_keep_first, stream_keep_first
-from chatloom.session import HASHES, TEXTS, saved, saved_counted, saved_parts, scratch_block, share, shares, ship_package
+from chatloom.session import HASHES, TEXTS, lasting, saved, saved_counted, saved_parts, scratch_block, share, shares, ship_package
 
 
 def exact_dedup(samples: DataFrame, key=None) -> DataFrame:
@@ -275,11 +275,12 @@ def _key_pairs(entry: DataFrame, cond: F.Column, block: int | None = None) -> Da
 
 
 def _met_by_shares(entry: DataFrame, met: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Distinct ``(a, b)`` that ``met`` finds among entries, a share of the keys at a time; saved."""
+    """Distinct ``(a, b)`` that ``met`` finds among entries, a share of the keys at a time; saved, and left to be read again."""
     of = shares(entry.count(), SHARE_POSTINGS, POSTING_SHARES)
     with scratch_block(entry.sparkSession) as keep:
         found = saved_parts(entry.sparkSession, [lambda i=i: met(share(entry, "key", i, of)) for i in range(of)], "near-met")
-        return keep(found if of == 1 else saved(found.groupBy("a", "b").count().select("a", "b"), "near-met"))
+        found = keep(found if of == 1 else saved(found.groupBy("a", "b").count().select("a", "b"), "near-met"))
+    return lasting(found)
 
 
 def band_keys(reps: DataFrame, threshold: float, num_perm: int = 128, bands: tuple[int, int] | None = None) -> DataFrame:

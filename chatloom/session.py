@@ -175,6 +175,13 @@ def release(table: DataFrame) -> None:
     _delete(table.sparkSession, table.scratch)
 
 
+def lasting(table: DataFrame) -> DataFrame:
+    """A table of :func:`saved` that outlives its blocks: only :func:`clear_scratch` deletes it. For narrow tables."""
+    _BLOCK.get().remove(table.scratch)
+    _SCRATCH.append(table.scratch)
+    return table
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables that :func:`saved` wrote so far; call it when their results are no
     longer read (between jobs of a long session). Returns how many were deleted."""
